@@ -41,7 +41,8 @@ def frequent_digests(digests: DataFrame, column: str, heavy: int = HEAVY, tracke
     parts = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("sketch")
     )
-    whole = parts.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # grouped by a constant, since a global aggregate cannot merge the buffers of tasks without rows
+    whole = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     found = whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("hit"))
     return found.where(F.col("hit.count") > 1).select(F.col("hit.item").alias(column))
 
