@@ -6,8 +6,10 @@ fits most tightly is the lowest set bit at or above the item's length. When all
 and none fits, the fullest one closes to make room.
 
 Only lengths travel: (id, piece, length) rows are dealt over tasks by a hash of the id, in a
-number of tasks that follows their count, and come in hash order, so a task that is run again
-packs the same way. Pieces that fill a bin alone skip the packing.
+number of tasks that follows their count. A task takes them in runs of bounded size, each in
+falling order of length: long items open the bins, short ones close their gaps, and what a run
+leaves open serves the next. The order is total, so a task that is run again packs the same
+way. Pieces that fill a bin alone skip the packing.
 
 Defined results: a null text is empty and becomes the separator alone. Rows with the same id
 are packed one by one, as often as they occur; a null id is an id like another.
@@ -30,9 +32,11 @@ from blockweave.runtime import settle
 CAPACITY = 2048
 SEPARATOR = 0
 #: Bins that a task holds open.
-OPEN_BINS = 4096
+OPEN_BINS = 65_536
+#: Items come in runs of about this many, long ones first; a run never needs more bins than are held open.
+ITEMS_PER_RUN = 60_000
 #: Items that a packing task gets; each further task costs a few bins that stay half empty.
-ITEMS_PER_TASK = 250_000
+ITEMS_PER_TASK = 480_000
 #: Entries of the tokenizer's memo in a Python worker.
 MEMO = 700_000
 
@@ -83,7 +87,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     pieces = settle(pieces, "pieces")
     small = F.col("length") < capacity
     tasks = max(1, -(-pieces.where(small).count() // items_per_task))
-    mixed = pieces.where(small).withColumn("deal", F.xxhash64("doc_id", "row", "piece")).repartition(tasks, "deal").sortWithinPartitions("deal", "doc_id", "row", "piece").drop("deal")
+    runs = max(1, -(-items_per_task // ITEMS_PER_RUN))
+    dealt = pieces.where(small).withColumn("deal", F.xxhash64("doc_id", "row", "piece")).repartition(tasks, "deal")
+    mixed = dealt.sortWithinPartitions(F.pmod(F.shiftright("deal", 20), F.lit(runs)), F.col("length").desc(), "deal", "doc_id", "row", "piece").drop("deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(capacity, open_bins)
@@ -111,10 +117,46 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+        sizes = range(self.tokenizer.get_vocab_size(with_added_tokens=False))
+        self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in sizes])
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts taken apart into chunks; what is new among them is learnt together."""
+        found = [list(map(self.get, chunks)) for chunks in texts]
+        holes = [[i for i, ids in enumerate(x) if ids is None] if None in x else [] for x in found]
+        new = {chunks[i] for chunks, gaps in zip(texts, holes, strict=True) for i in gaps}
+        if new:
+            self.learn(new)
+            for chunks, x, gaps in zip(texts, found, holes, strict=True):
+                for i in gaps:
+                    x[i] = self[chunks[i]]
+        return list(map(b"".join, found))
+
     def learn(self, chunks: set[str]) -> None:
         if len(self) > MEMO:
             self.clear()
-        new = [c for c in chunks if c not in self]
+        letters, marked, rest = set(), [], []
+        for c in chunks:
+            if c.isalpha():
+                letters.add(c)
+            elif c[-1:] in (".", ",") and c[:-1].isalpha():  # a mark after letters is a word of its own
+                marked.append(c)
+                letters.add(c[:-1])
+            else:
+                rest.append(c)
+        self._encode(list(letters.difference(self)))
+        self._encode([x for x in (".", ",", *rest) if x not in self], apart=True)
+        self.update((c, self[c[:-1]] + self[c[-1]]) for c in marked)
+
+    def _encode(self, new: list[str], apart: bool = False) -> None:
+        if not apart and new:
+            # each run of letters gives just one token that ends a word, its last
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(new):
+                raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+                self.update(zip(new, (raw[i:j] for i, j in zip(at, at[1:])), strict=False))
+                return
         encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         self.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, encoded, strict=True))
 
@@ -134,10 +176,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             for at in range(0, batch.num_rows, group):
                 part = batch.slice(at, group)
                 texts = [(x or "").replace("\n", " ").split(" ") for x in part.column(2).to_pylist()]
-                words.learn(set().union(*texts))
                 rows: list[tuple] = []
-                for doc_id, row, chunks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
-                    ids = b"".join(map(words.__getitem__, chunks)) + SEPARATOR.to_bytes(4, "little")
+                for doc_id, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), words.encode(texts), strict=True):
+                    ids += SEPARATOR.to_bytes(4, "little")
                     for i in range(0, len(ids), 4 * capacity):
                         cut = ids[i : i + 4 * capacity]
                         rows.append((doc_id, row, i // (4 * capacity), i // 4, len(cut) // 4, zlib.crc32(cut)))
