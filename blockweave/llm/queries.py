@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_file
 
-from blockweave.llm import byte_bpe, exact_dedup, packing, topk
+from blockweave.llm import byte_bpe, exact_dedup, near_dedup, packing, sharding, topk, toxicity
 from blockweave.runtime import table
 
 
@@ -15,6 +15,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -23,6 +31,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -52,8 +64,11 @@ SELECT * FROM ranked WHERE rank <= 20
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_near_dedup": op2_near_dedup,
+    "op3_kd_sharding": op3_kd_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
 }
 

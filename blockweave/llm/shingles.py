@@ -22,7 +22,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @cache
-def _byte_values() -> tuple[np.ndarray, np.ndarray]:
+def byte_values() -> tuple[np.ndarray, np.ndarray]:
     values = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
     space = np.zeros(256, bool)
@@ -52,20 +52,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, end byte) of each word and the words before each text, for texts data[offsets[i]:offsets[i+1]]."""
-    values, space = _byte_values()
-    n = len(data)
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~space[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(inside & (edge[:n] | ~np.concatenate([[False], inside[:-1]])))
-    ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-    up, down = _Powers.of(n)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * up, dtype=np.uint64)])
-    return mixed((sums[ends] - sums[starts]) * down[starts]), starts, ends, np.searchsorted(starts, offsets)
+class Runs:
+    """Maximal runs of the bytes marked in ``inside`` within texts data[offsets[i]:offsets[i + 1]]."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, values: np.ndarray):
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        before, after = np.zeros(n, bool), np.zeros(n, bool)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        self.starts = np.flatnonzero(inside & (edge[:n] | ~before))
+        self.ends = np.flatnonzero(inside & (edge[1:] | ~after)) + 1
+        #: runs before each text
+        self.before = np.searchsorted(self.starts, offsets)
+        up, self._down = _Powers.of(n)
+        self._sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * up, dtype=np.uint64)])
+
+    def hashes(self) -> np.ndarray:
+        return mixed((self._sums[self.ends] - self._sums[self.starts]) * self._down[self.starts])
+
+    def heads(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes; shorter runs get 0."""
+        to = np.minimum(self.starts + size, len(self._down))
+        h = mixed((self._sums[to] - self._sums[self.starts]) * self._down[self.starts])
+        return np.where(self.ends - self.starts >= size, h, np.uint64(0))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the words before each text."""
+    values, space = byte_values()
+    runs = Runs(data, offsets, ~space[data], values)
+    return runs.hashes(), runs.before
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -82,7 +99,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after another, and their bounds per text."""
-    h, _, _, before = word_hashes(data, offsets)
+    h, before = word_hashes(data, offsets)
     counts = np.diff(before)
     weights = np.random.default_rng(77).integers(1, 2**63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
