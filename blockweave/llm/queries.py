@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_file
 
-from blockweave.llm import byte_bpe, exact_dedup, near_dedup, packing, sharding, topk, toxicity
+from blockweave.llm import byte_bpe, chat, exact_dedup, html_extract, license_scan, near_dedup, packing, sharding, topk, toxicity
 from blockweave.runtime import table
 
 
@@ -27,6 +27,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+#: Schemas of the tools that conversations may call.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+}
+
+
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.linked(table(spark, sf_dir, "conversations"), TOOLS)
+    return linked.select("conv_id", "turn", "part", "order_turn", "depth", "kind", "call_id", "status", "json")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
@@ -35,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -62,17 +82,28 @@ WITH v AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
+#: The tables hold no tool calls, so every turn is one plain message of status ok; linking is tested on fixtures.
+OP5_SQL = """
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, turn AS order_turn, CAST(0 AS INTEGER) AS depth, 'plain' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status,
+       '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || CAST(to_json(coalesce(role, 'unknown')) AS VARCHAR) || '}' AS json
+FROM conversations
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_kd_sharding": op3_kd_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_tool_call_linking": op5_tool_call_linking,
+    "op6_html_extraction": op6_html_extraction,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
+    "op5_tool_call_linking": OP5_SQL,
     "op9_exact_topk": OP9_SQL,
 }

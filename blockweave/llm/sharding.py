@@ -80,7 +80,7 @@ def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, leaves: int |
         leaves = max(1, -(-(total or 0) // (target_bytes or 1)))
     if leaves > MAX_LEAVES:
         raise ValueError(f"{leaves} leaves; choose a target of at least {(total or 0) // MAX_LEAVES} bytes")
-    placed = rows.withColumn("node", F.lit(0).cast("int"))
+    placed = rows.withColumn("node", F.col(tie).bitwiseAND(F.lit(0)).cast("int"))  # not a constant, so that joins stay hash joins
     if not total or leaves == 1:
         return placed.withColumnRenamed("node", "shard")
     nodes = {0: (0, leaves)}  # name: first leaf, leaves
