@@ -19,7 +19,7 @@ def from_text(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str
 
 
 def from_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, blob_id, data, n_bytes) of files; blob_id is a hash of the path."""
+    """(path, blob_id, data, n_bytes) of files; blob_id is a hash of the path. Spark's scan passes over empty files."""
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
