@@ -27,6 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockweave.llm.shingles import Runs, byte_values, slices
 from blockweave.runtime import settle
 
 CAPACITY = 2048
@@ -38,7 +39,7 @@ ITEMS_PER_RUN = 60_000
 #: Items that a packing task gets; each further task costs a few bins that stay half empty.
 ITEMS_PER_TASK = 480_000
 #: Entries of the tokenizer's memo in a Python worker.
-MEMO = 700_000
+MEMO = 1_000_000
 
 PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", bin long, offset long"
@@ -104,10 +105,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     return placed.select(out).unionByName(full.select(out))
 
 
-class _Words(dict):
-    """Little-endian 32-bit ids of every chunk of text between blanks and line ends.
+class _Tokenizer:
+    """Ids of many texts at once, with a memo of what recurs.
 
-    The vocabulary drops white space and never joins across it, so chunks can be encoded apart.
+    The vocabulary drops white space, lowers letters and splits a text into runs of letters,
+    single digits and runs of other signs before anything is merged. Runs of ASCII classes are
+    found and hashed with array operations, so only a run not met before costs Python work.
+    Bytes of other characters count as letters; a text in which such a run holds anything but
+    letters, or an apostrophe stands before a letter, is taken apart at blanks and line ends
+    only, and its chunks are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -116,68 +122,108 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
         sizes = range(self.tokenizer.get_vocab_size(with_added_tokens=False))
         self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in sizes])
-
-    def encode(self, texts: list[list[str]]) -> list[bytes]:
-        """Ids of texts taken apart into chunks; what is new among them is learnt together."""
-        found = [list(map(self.get, chunks)) for chunks in texts]
-        holes = [[i for i, ids in enumerate(x) if ids is None] if None in x else [] for x in found]
-        new = {chunks[i] for chunks, gaps in zip(texts, holes, strict=True) for i in gaps}
-        if new:
-            self.learn(new)
-            for chunks, x, gaps in zip(texts, found, holes, strict=True):
-                for i in gaps:
-                    x[i] = self[chunks[i]]
-        return list(map(b"".join, found))
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) > MEMO:
-            self.clear()
-        letters, marked, rest = set(), [], []
-        for c in chunks:
-            if c.isalpha():
-                letters.add(c)
-            elif c[-1:] in (".", ",") and c[:-1].isalpha():  # a mark after letters is a word of its own
-                marked.append(c)
-                letters.add(c[:-1])
+        code = np.arange(256)
+        self.kinds = np.full(256, 3, np.uint8)
+        self.kinds[(code >= 128) | ((code | 32) >= 97) & ((code | 32) <= 122)] = 1
+        self.kinds[(code >= 48) & (code <= 57)] = 2
+        self.kinds[[0x20, *range(0x09, 0x0E)]] = 0
+        self.chunks: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[int, int] = {}
+        #: ids of all runs known, and where each begins; the first run is the mark of an odd one
+        self.ids, self.starts, self.filled = np.zeros(1 << 16, np.uint32), [0, 0], 0
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        values, _ = byte_values()
+        runs = Runs(data, offsets, self.kinds[data], values)
+        unique, first, inverse = np.unique(runs.hashes(), return_index=True, return_inverse=True)
+        if len(self.places) > MEMO:
+            self._forget()
+        found = list(map(self.places.get, unique.tolist()))
+        if None in found:
+            self._learn(data, runs, unique, first, [i for i, x in enumerate(found) if x is None])
+            found = list(map(self.places.get, unique.tolist()))
+        place = np.array(found, np.int64)[inverse]
+        starts = np.array(self.starts, np.int64)
+        begin, sizes = starts[place], starts[place + 1] - starts[place]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.ids[np.arange(total) + np.repeat(begin - (ends - sizes), sizes)].astype("<u4")
+        odd = place == 0
+        quote = (runs.ends - runs.starts == 1) & (data[runs.starts] == ord("'"))
+        odd[:-1] |= quote[:-1] & (runs.starts[1:] == runs.ends[:-1]) & (self.kinds[data[runs.starts[1:]]] == 1)
+        odd_before = np.concatenate([[0], np.cumsum(odd)])
+        strange = odd_before[runs.before[1:]] > odd_before[runs.before[:-1]]
+        bounds = np.concatenate([[0], ends])[runs.before].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(strange).tolist():
+            out[i] = self._by_chunks(data[offsets[i] : offsets[i + 1]].tobytes().decode())
+        return out
+
+    def _learn(self, data: np.ndarray, runs: Runs, unique: np.ndarray, first: np.ndarray, new: list[int]) -> None:
+        hashes, at = unique[new].tolist(), first[new]
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(runs.starts[at].tolist(), runs.ends[at].tolist())]
+        letters, others = [], []
+        for h, t in zip(hashes, texts):
+            if t.isascii():
+                (letters if t.isalpha() else others).append((h, t))
+            elif t.isalpha() and t.lower().isalpha():  # lowering can part a mark from its letter
+                letters.append((h, t))
             else:
-                rest.append(c)
-        self._encode(list(letters.difference(self)))
-        self._encode([x for x in (".", ",", *rest) if x not in self], apart=True)
-        self.update((c, self[c[:-1]] + self[c[-1]]) for c in marked)
-
-    def _encode(self, new: list[str], apart: bool = False) -> None:
-        if not apart and new:
+                self.places[h] = 0
+        if letters:
             # each run of letters gives just one token that ends a word, its last
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in letters)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(new):
-                raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
-                self.update(zip(new, (raw[i:j] for i, j in zip(at, at[1:])), strict=False))
-                return
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, encoded, strict=True))
+            if len(stops) == len(letters):
+                self._add([h for h, _ in letters], ids, stops)
+            else:
+                others += letters
+        if others:
+            parts = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)]
+            self._add([h for h, _ in others], np.array([i for p in parts for i in p], np.uint32), np.cumsum([len(p) for p in parts]))
+
+    def _add(self, hashes: list[int], ids: np.ndarray, stops: np.ndarray) -> None:
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        place = len(self.starts) - 1
+        self.starts += (self.filled + stops).tolist()
+        self.filled += len(ids)
+        self.places.update(zip(hashes, range(place, place + len(hashes))))
+
+    def _by_chunks(self, text: str) -> bytes:
+        chunks = text.replace("\n", " ").split(" ")
+        if len(self.chunks) > MEMO // 4:
+            self.chunks.clear()
+        new = list({c for c in chunks if c not in self.chunks})
+        if new:
+            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            self.chunks.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, encoded, strict=True))
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
 
-_words: dict[str, _Words] = {}
+_tokenizers: dict[str, _Tokenizer] = {}
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group: int = 200) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PIECE rows of every text: its ids and the separator, cut after each ``capacity`` ids."""
     spark = docs.sparkSession
     spark.sparkContext.addFile(tokenizer_path)
     name = tokenizer_path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words.get(name) or _words.setdefault(name, _Words(SparkFiles.get(name)))
+        tokenizer = _tokenizers.get(name) or _tokenizers.setdefault(name, _Tokenizer(SparkFiles.get(name)))
         for batch in batches:
-            for at in range(0, batch.num_rows, group):
-                part = batch.slice(at, group)
-                texts = [(x or "").replace("\n", " ").split(" ") for x in part.column(2).to_pylist()]
+            for at, n, data, offsets in slices(batch.column(2)):
                 rows: list[tuple] = []
-                for doc_id, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), words.encode(texts), strict=True):
+                for doc_id, row, ids in zip(batch.column(0).slice(at, n).to_pylist(), batch.column(1).slice(at, n).to_pylist(), tokenizer.encode(data, offsets), strict=True):
                     ids += SEPARATOR.to_bytes(4, "little")
                     for i in range(0, len(ids), 4 * capacity):
                         cut = ids[i : i + 4 * capacity]

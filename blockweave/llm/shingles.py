@@ -53,16 +53,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Maximal runs of the bytes marked in ``inside`` within texts data[offsets[i]:offsets[i + 1]]."""
+    """Maximal runs of bytes of one class within texts data[offsets[i]:offsets[i + 1]]; ``inside`` has each byte's class, 0 or False outside runs."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, values: np.ndarray):
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        self.starts = np.flatnonzero(inside & (edge[:n] | ~before))
-        self.ends = np.flatnonzero(inside & (edge[1:] | ~after)) + 1
+        edge[1:n] |= inside[1:] != inside[:-1]
+        self.starts = np.flatnonzero((inside != 0) & edge[:n])
+        edge[n] = True
+        self.ends = np.flatnonzero((inside != 0) & edge[1:]) + 1
         #: runs before each text
         self.before = np.searchsorted(self.starts, offsets)
         up, self._down = _Powers.of(n)
