@@ -8,10 +8,13 @@
    that distance share a key. (At a similarity of 0.75 a pair exceeds it, and every chunk's
    errors too, with a chance near 1e-6.)
 3. Rows that are alone under a key go. The others meet by key, with their signatures, and a
-   pair goes on only from the first key it shares and only if enough of all symbols agree.
-   What leaves a task is (key, set) for the sets that take part, never pairs.
-4. These meet once more with their whole shingle sets, are compared exactly and linked by a
-   local union-find that gives at most one link less than there are members.
+   pair counts only under the first key it shares and only if enough of all symbols agree.
+   What leaves a task is one row per key and set that takes part, with a link to its local
+   root, never all pairs.
+4. The candidates' components meet once more, with their whole shingle sets; members of one
+   with more than ``TOGETHER`` sets meet under the keys of step 3 instead. Pairs that agree in
+   enough symbols and are not yet connected are compared exactly, and a local union-find gives
+   at most one link less than there are members.
 5. Components of the links.
 
 A key with more than ``BLOCK`` rows is dealt over pairs of blocks, so that a task never holds
@@ -47,6 +50,10 @@ PERCENT = 75
 AGREE = 0.585
 #: Rows of a key that meet in one task; larger keys are dealt over pairs of such blocks.
 BLOCK = 2048
+#: Sets of a candidate component that meet in one task as a whole.
+TOGETHER = 1024
+#: Candidates whose ids and groups are broadcast at most (about 50 bytes each) to pick their texts.
+BROADCAST = 400_000
 
 SUBSETS = [(c, [c * CHUNK + i for i in kept]) for c in range(CHUNKS) for kept in combinations(range(CHUNK), CHUNK - ERRORS)]
 DIGEST = "doc_id long, n_shingles long, set_hash binary, signature binary"
@@ -59,6 +66,23 @@ def _sets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], list[byt
     return sets, [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in sets]
 
 
+def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    # a minimum is small, so its high bits say little; the bits kept are those of a mix of it
+    minima = mixed(min_hashes(hashes, bounds, SYMBOLS))
+    coarse = (minima[:, :INDEXED] >> np.uint64(48)).astype("<u2")
+    fine = (minima[:, INDEXED:] >> np.uint64(56)).astype(np.uint8)
+    return [a.tobytes() + b.tobytes() for a, b in zip(coarse, fine)]
+
+
+def _signs(sets: list[np.ndarray]) -> list[bytes]:
+    """Signatures of sets in hand, a few at a time."""
+    out: list[bytes] = []
+    for at in range(0, len(sets), 64):
+        part = sets[at : at + 64]
+        out += _signatures(np.concatenate(part), np.cumsum([0, *map(len, part)]))
+    return out
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """DIGEST of every row; set_hash and signature are null for an empty set."""
 
@@ -66,11 +90,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             for at, rows, data, offsets in slices(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets)
-                minima = min_hashes(hashes, bounds, SYMBOLS)
-                coarse = (minima[:, :INDEXED] >> np.uint64(48)).astype("<u2")
-                fine = (minima[:, INDEXED:] >> np.uint64(56)).astype(np.uint8)
                 sets, digests = _sets(hashes, bounds)
-                signs = [coarse[i].tobytes() + fine[i].tobytes() if x else None for i, x in enumerate(sets)]
+                signs = [s if x else None for s, x in zip(_signatures(hashes, bounds), sets)]
                 columns = [batch.column(0).slice(at, rows), pa.array(np.diff(bounds)), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hash", "signature"])
 
@@ -106,29 +127,39 @@ def index(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
-def _in_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], pa.Table | None]) -> Iterator[pa.RecordBatch]:
-    """Calls ``work`` on the rows of each group of a sorted stream; a group may span batches."""
-    held: pa.Table | None = None
+def _in_groups(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.ndarray], pa.Table | None]) -> Iterator[pa.RecordBatch]:
+    """Calls ``work`` on runs of whole groups of a sorted stream, with the end of each row's group; a group may span batches."""
+    held: list[pa.RecordBatch] = []
 
-    def cut(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
-        marks = np.zeros(table.num_rows - 1, bool)
-        for k in keys:
-            values = table.column(k).to_numpy()
-            marks |= values[1:] != values[:-1]
-        bounds = [0, *(np.flatnonzero(marks) + 1).tolist(), table.num_rows]
-        groups = [table.slice(a, b - a) for a, b in zip(bounds, bounds[1:])]
-        return (groups, None) if last else (groups[:-1], groups[-1])
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bounds = np.concatenate([[0], _marks(table), [table.num_rows]])
+        sizes = np.diff(bounds)
+        ends = np.repeat(bounds[1:], sizes)
+        if (sizes > 1).any() and (out := work(table, ends)) is not None:
+            yield from out.to_batches()
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        groups, held = cut(pa.concat_tables([held, table]).combine_chunks() if held is not None else table, False)
-        for group in groups:
-            if group.num_rows > 1 and (out := work(group)) is not None:
-                yield from out.to_batches()
-    if held is not None and held.num_rows > 1 and (out := work(held)) is not None:
-        yield from out.to_batches()
+        held.append(batch)
+        last = _marks(pa.Table.from_batches(held[-2:]))
+        if not len(last):
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(_marks(table)[-1])
+        yield from done(table.slice(0, cut))
+        held = [b for b in table.slice(cut).combine_chunks().to_batches() if b.num_rows]
+    if held:
+        yield from done(pa.Table.from_batches(held))
+
+
+def _marks(table: pa.Table) -> np.ndarray:
+    """Rows at which a new group begins, but for the first."""
+    marks = np.zeros(table.num_rows - 1, bool)
+    for k in GROUP:
+        values = table.column(k).to_numpy()
+        marks |= values[1:] != values[:-1]
+    return np.flatnonzero(marks) + 1
 
 
 def _dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -143,63 +174,94 @@ def _dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 GROUP = ["key", "low", "high"]
-MEETING = [*GROUP, "block", "rep", "signature"]
 
 
 def _together(rows: DataFrame) -> DataFrame:
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "rep")
 
 
-def _pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, all j > i) that agree in enough symbols and share no earlier key than the group's."""
-    coarse, fine = _symbols(group.column("signature").combine_chunks())
-    block, keys = group.column("block").to_numpy(), _keys(coarse)
-    number = int(np.flatnonzero((keys == group.column("key")[0].as_py()).all(axis=0))[0])
-    apart = group.column("low")[0].as_py() != group.column("high")[0].as_py()
-    need = int(np.ceil(AGREE * SYMBOLS))
-    for i in range(len(coarse) - 1):
-        other = np.arange(i + 1, len(coarse))
-        if apart:
-            other = other[block[other] != block[i]]
-        same = (coarse[other] == coarse[i]).sum(axis=1) + (fine[other] == fine[i]).sum(axis=1)
-        other = other[same >= need]
-        if number and len(other):
-            other = other[~(keys[other, :number] == keys[i, :number]).any(axis=1)]
-        if len(other):
-            yield i, other
-
-
-def _meeting(group: pa.Table) -> pa.Table | None:
-    """The members of a group that belong to any of its pairs."""
-    takes_part = np.zeros(group.num_rows, bool)
-    for i, other in _pairs(group):
-        takes_part[i] = takes_part[other] = True
-    return group.filter(pa.array(takes_part)).select(MEETING) if takes_part.any() else None
-
-
-def _linked(group: pa.Table) -> pa.Table | None:
-    """Links that span what the group's similar sets connect."""
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-    names, root, found = group.column("rep").to_pylist(), list(range(len(sets))), []
-
-    def find(i: int) -> int:
+class _Forest:
+    """Union-find over the rows of a batch."""
+
+    def __init__(self, size: int):
+        self.root = list(range(size))
+
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    for i, other in _pairs(group):
-        mine = sets[i]
-        for j in other.tolist():
-            a, b = find(i), find(j)
-            if a == b:
-                continue
-            theirs = sets[j]
-            at = np.searchsorted(mine, theirs)
-            shared = int((mine[np.minimum(at, len(mine) - 1)] == theirs).sum())
-            if 100 * shared >= PERCENT * (len(mine) + len(theirs) - shared):
-                root[a] = b
-                found.append((names[i], names[j]))
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _pairs(signature: pa.Array, block: np.ndarray, apart: np.ndarray, ends: np.ndarray, key: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of one group that agree in enough symbols, by their distance j - i.
+
+    ``ends`` is where each row's group ends. Rows of a group that is ``apart`` pair only across
+    its blocks. With ``key``, a pair counts if this is the first key that the two share.
+    """
+    coarse, fine = _symbols(signature)
+    keys = _keys(coarse) if key is not None else None
+    number = (keys == key[:, None]).argmax(axis=1) if keys is not None else None
+    need, at = int(np.ceil(AGREE * SYMBOLS)), np.arange(len(coarse))
+    for step in range(1, len(coarse)):
+        at = at[at + step < ends[at]]
+        if not len(at):
+            break
+        i = at[~apart[at] | (block[at] != block[at + step])]
+        j = i + step
+        same = (coarse[i] == coarse[j]).sum(axis=1) + (fine[i] == fine[j]).sum(axis=1)
+        i, j = i[same >= need], j[same >= need]
+        if keys is not None and len(i):
+            first = (keys[i] == keys[j]).argmax(axis=1) == number[i]
+            i, j = i[first], j[first]
+        if len(i):
+            yield i, j
+
+
+def _meeting(rows: pa.Table, ends: np.ndarray) -> pa.Table | None:
+    """The rows of whole groups that belong to any pair, each with the root of what it is connected with."""
+    rows = rows.combine_chunks()
+    forest, takes_part = _Forest(rows.num_rows), np.zeros(rows.num_rows, bool)
+    columns = {c: rows.column(c).to_numpy() for c in (*GROUP, "block", "rep")}
+    for i, j in _pairs(rows.column("signature").chunk(0), columns["block"], columns["low"] != columns["high"], ends, columns["key"]):
+        takes_part[i] = takes_part[j] = True
+        for a, b in zip(i.tolist(), j.tolist()):
+            forest.join(a, b)
+    own = np.flatnonzero(takes_part)
+    if not len(own):
+        return None
+    roots = columns["rep"][[forest.find(i) for i in own.tolist()]]
+    return pa.table({**{c: v[own] for c, v in columns.items()}, "root": roots})
+
+
+def _linked(rows: pa.Table, ends: np.ndarray) -> pa.Table | None:
+    """Links that span what similar sets connect within each group."""
+    rows = rows.combine_chunks()
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    names, forest, found = rows.column("rep").to_pylist(), _Forest(rows.num_rows), []
+    block, low, high, key, whole = (rows.column(c).to_numpy() for c in ("block", "low", "high", "key", "whole"))
+    for part in (whole, ~whole):
+        own = np.flatnonzero(part)  # a group is of one kind
+        if not len(own):
+            continue
+        after = np.searchsorted(own, ends[own])
+        signs = pa.array(_signs([sets[i] for i in own]), pa.binary())
+        for i, j in _pairs(signs, block[own], (low != high)[own], after, None if part is whole else key[own]):
+            for a, b in zip(own[i].tolist(), own[j].tolist()):
+                if forest.find(a) == forest.find(b):
+                    continue
+                mine, theirs = sets[a], sets[b]
+                at = np.searchsorted(mine, theirs)
+                shared = int((mine[np.minimum(at, len(mine) - 1)] == theirs).sum())
+                if 100 * shared >= PERCENT * (len(mine) + len(theirs) - shared):
+                    forest.join(a, b)
+                    found.append((names[a], names[b]))
     return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())}) if found else None
 
 
@@ -209,21 +271,33 @@ def links(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_col: st
     keyed = keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
     keyed = settle(keyed, "shared-keys")
     near = _together(_dealt(keyed).join(reps.select("rep", "signature"), "rep"))
-    shape = "key long, low int, high int, block int, rep long, signature binary"
-    meeting = settle(near.mapInArrow(lambda batches: _in_groups(batches, GROUP, _meeting), shape), "meetings")
+    shape = "key long, low int, high int, block int, rep long, root long"
+    meeting = settle(near.mapInArrow(lambda batches: _in_groups(batches, _meeting), shape), "meetings")
+    named = settle(components(meeting.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep"), "candidates")
+    sizes = named.groupBy("component").agg((F.count("*") <= TOGETHER).alias("whole"))
+    named = named.join(sizes, "component")
+    zero = F.lit(0)
+    small = named.where("whole").select("rep", F.col("component").alias("key"), zero.alias("low"), zero.alias("high"), zero.alias("block"), "whole")
+    large = meeting.join(named.where(~F.col("whole")).select("rep", "whole"), "rep").select("rep", *GROUP, "block", "whole")
+    groups = small.unionByName(large).groupBy("rep").agg(F.collect_list(F.struct(*GROUP, "block", "whole")).alias("groups"))
+    wanted = settle(groups.join(reps.select("rep", "doc_id"), "rep"), "wanted")
+    # whole texts are read once more, and only candidates' sets are shuffled, once for each group
+    few = wanted.count() <= BROADCAST
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "rep", "groups")
+    shape = "rep long, groups array<struct<key: long, low: int, high: int, block: int, whole: boolean>>, set_hash binary, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, rows, data, offsets in slices(batch.column(1)):
+            for at, rows, data, offsets in slices(batch.column(0)):
                 sets, digests = _sets(*shingle_sets(data, offsets))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["set_hash", "shingles"])
+                columns = [batch.column(1).slice(at, rows), batch.column(2).slice(at, rows), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "groups", "set_hash", "shingles"])
 
-    wanted = meeting.select("rep").distinct().join(reps.select("rep", "doc_id"), "rep")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
-    # an id may stand in several rows: those with a set that is wanted count
-    sets = texts.mapInArrow(run, "set_hash binary, shingles binary").withColumn("rep", F.xxhash64("set_hash"))
-    full = _together(meeting.join(sets.dropDuplicates(["rep"]).select("rep", "shingles"), "rep"))
-    return full.mapInArrow(lambda batches: _in_groups(batches, GROUP, _linked), "u long, v long")
+    # an id may stand in several rows: the one with the set that is meant counts
+    sets = texts.mapInArrow(run, shape).where(F.xxhash64("set_hash") == F.col("rep"))
+    full = _together(sets.select("rep", F.explode("groups").alias("g"), "shingles").select("g.*", "rep", "shingles"))
+    return full.mapInArrow(lambda batches: _in_groups(batches, _linked), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,5 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id is not the smallest of its component."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    gone = settle(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "near-copies")
+    if gone.count() <= BROADCAST:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
