@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def byte_rows(df: DataFrame, keys: list[str], data: str) -> DataFrame:
-    """(keys, pos, b): every byte of a binary column with its place from 0; empty values have no rows."""
+def byte_rows(df: DataFrame, keys: list[str], data: str, together: bool = False) -> DataFrame:
+    """(keys, pos, b): every byte of a binary column with its place from 0; empty values have no rows.
+
+    With ``together`` the values are dealt by ``keys`` before they are taken apart. Windows over
+    ``keys``, alone or with more columns, then need no shuffle of single bytes.
+    """
     digits = F.regexp_extract_all(F.hex(F.col(data)), F.lit(".."), F.lit(0))
+    if together:
+        df = df.select(*keys, data).repartition(*keys)
     return df.select(*keys, F.posexplode(digits).alias("pos", "h")).select(*keys, "pos", F.conv("h", 16, 10).cast("int").alias("b"))
 
 

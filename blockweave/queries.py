@@ -42,7 +42,7 @@ def fixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_sql.byte_rows(documents(spark, sf_dir).withColumnRenamed("blob_id", "doc_id"), ["doc_id"], "data")
+    return byte_sql.byte_rows(documents(spark, sf_dir).withColumnRenamed("blob_id", "doc_id"), ["doc_id"], "data", together=True)
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
