@@ -339,6 +339,19 @@ def q34_bench_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
+def q35_chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each corpus blob: contiguous from 0 to its end, none too long, references only to roots that are as long."""
+    planned = settle(codec.plan(corpora(spark, sf_dir), SMALL_SIZES), "plan")
+    before = Window.partitionBy("blob_id").orderBy("block_index")
+    target = planned.select("blob_id", F.col("block_index").alias("ref_target"), (F.col("end") - F.col("start")).alias("target_size"), F.col("ref_target").isNull().alias("root"))
+    rows = planned.withColumn("gap", F.col("start") - F.lag("end", 1, 0).over(before)).join(target, ["blob_id", "ref_target"], "left")
+    size = F.col("end") - F.col("start")
+    bad = F.col("ref_target").isNotNull() & (~F.col("root") | (F.col("target_size") != size))
+    return rows.groupBy("blob_id").agg(
+        F.max("end").alias("n_bytes"), F.sum(F.abs("gap")).alias("gap_bytes"), F.count_if(size > SMALL_SIZES.chunk_most).alias("too_long"), F.count_if(bad).alias("bad_references")
+    )
+
+
 # -- twins -----------------------------------------------------------------------------------------
 
 _BLOCKS = """
@@ -418,6 +431,24 @@ ORACLE_SQL = {
         ) SELECT lang, symbol, length, CAST(coalesce(sum(1 << (24 - length)) OVER w, 0) AS BIGINT) >> (24 - length) AS code
         FROM lengths WHERE length <= 24
         WINDOW w AS (PARTITION BY lang ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    # the best code's cost is the sum of all merged counts, whatever the order of equal ones
+    "q16_code_cost": f"""WITH RECURSIVE {_COUNTS}, merged AS (
+          SELECT lang, list_sort(list(CAST(n AS BIGINT))) AS w, CAST(0 AS BIGINT) AS cost FROM counts GROUP BY lang
+          UNION ALL SELECT lang, list_sort(list_append(w[3:], w[1] + w[2])), cost + w[1] + w[2] FROM merged WHERE len(w) > 1
+        ), entropy AS (
+          SELECT lang, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(floor(sum(-n * log2(n / total))) AS BIGINT) AS entropy_bits
+          FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM counts) GROUP BY lang
+        ) SELECT lang, n_bytes, cost AS code_bits, CAST(16777216 AS BIGINT) AS kraft, entropy_bits FROM merged JOIN entropy USING (lang) WHERE len(w) = 1""",
+    # the checksum is linear: every set bit adds what it becomes after the bytes that follow it
+    "q17_block_crc": f"""WITH RECURSIVE {_BYTES}, steps AS (
+          SELECT 0 AS k, i AS bit, CAST(CASE WHEN i = 8 THEN 4294967295 ELSE 1 << i END AS BIGINT) AS x FROM range(9) t(i)
+          UNION ALL
+          SELECT k + 1, bit, list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)) FROM steps WHERE k < {SMALL}
+        ), placed AS (
+          SELECT doc_id, pos // {SMALL} AS block_index, b, count(*) OVER w AS n, pos % {SMALL} AS i FROM bytes WINDOW w AS (PARTITION BY doc_id, pos // {SMALL})
+        ), bits AS (SELECT doc_id, block_index, n, n - i AS k, unnest(list_filter(range(8), lambda j: (b >> j) & 1 = 1)) AS bit FROM placed)
+        , sums AS (SELECT doc_id, block_index, n, bit_xor(x) AS s FROM bits JOIN steps USING (k, bit) GROUP BY ALL)
+        SELECT doc_id, CAST(block_index AS INTEGER) AS block_index, xor(4294967295, xor(s, x)) AS crc FROM sums JOIN steps ON steps.k = n AND steps.bit = 8""",
     "q18_period": """WITH items AS (SELECT item_id, text AS t, encode(repeat(text, CAST(item_id % 8 + 2 AS BIGINT))) AS data FROM benchmark),
         tried AS (SELECT item_id, data, octet_length(data) AS n, unnest(range(2, 65)) AS copies FROM items)
         SELECT item_id, CAST(n AS BIGINT) AS n_bytes, min(n // copies) FILTER (WHERE n % copies = 0 AND data[n // copies + 1 :] = data[: n - n // copies]) AS period
@@ -443,6 +474,8 @@ ORACLE_SQL = {
           SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(round(quantile_cont(cents, 0.25) * 4) AS BIGINT) AS q1,
                  CAST(round(quantile_cont(cents, 0.5) * 4) AS BIGINT) AS median, CAST(round(quantile_cont(cents, 0.75) * 4) AS BIGINT) AS q3 FROM c GROUP BY ALL
         ) SELECT *, q3 - q1 AS iqr FROM s""",
+    "q35_chunk_bounds": f"""SELECT blob_id, CAST(octet_length(encode(t)) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS gap_bytes, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS bad_references
+        FROM ({_CORPORA})""",
 }
 
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
