@@ -12,7 +12,7 @@ from blockweave.operators.errors import refuse
 
 #: Fixed values of the format.
 STORED, COMMANDS, CODED_COMMANDS, SPLIT, REFERENCE = range(5)
-METHOD_NAMES = {STORED: "stored", COMMANDS: "pulse", CODED_COMMANDS: "pulse_huffman", SPLIT: "split", REFERENCE: "reference"}
+METHOD_NAMES = {STORED: "stored", COMMANDS: "commands", CODED_COMMANDS: "coded_commands", SPLIT: "split", REFERENCE: "reference"}
 PREDICTOR_NAMES = {predict.NONE: "none", predict.DELTA: "delta", predict.XOR: "xor"}
 
 
@@ -34,27 +34,20 @@ def encode(data: bytes, smallest: bool = False) -> Block:
     changed = predict.forward(raw, predictor)
     changed_bytes = changed.tobytes()
     steps = matching.parse(changed)
-    plain = tokens.commands(changed_bytes, steps)
-    forms = [(COMMANDS, plain)]
     split = tokens.pack_split(tokens.split(changed_bytes, steps))
-    if smallest or len(split) >= len(plain):
-        if (coded := huffman.encode(plain)) is not None:
-            forms.append((CODED_COMMANDS, coded))
-    forms.append((SPLIT, split))
-    method, payload = min(forms, key=lambda f: len(f[1])) if smallest else _first(forms)
+    method, payload = SPLIT, split
+    # plain commands are written out only where the split form does not win by their length
+    if smallest or len(split) >= tokens.command_size(steps):
+        plain = tokens.commands(changed_bytes, steps)
+        coded = huffman.encode(plain)
+        forms = [(COMMANDS, plain)] + ([(CODED_COMMANDS, coded)] if coded is not None else []) + ([(SPLIT, split)] if smallest else [])
+        method, payload = min(forms, key=lambda f: len(f[1]))
     checksum = zlib.crc32(data)
     if len(payload) >= len(data):
         return Block(STORED, predict.NONE, len(data), checksum, data)
     return Block(method, predictor, len(data), checksum, payload)
 
 
-def _first(forms: list[tuple[int, bytes]]) -> tuple[int, bytes]:
-    size = {m: len(p) for m, p in forms}
-    order = [m for m in (SPLIT, CODED_COMMANDS) if m in size and size[m] < size[COMMANDS]]
-    wanted = order[0] if order else COMMANDS
-    return next(f for f in forms if f[0] == wanted)
-
-
 def commands_of(block: Block):
     """The commands of a block, for decoding or for counting; a stored block is one run of literals."""
     if block.method == STORED:

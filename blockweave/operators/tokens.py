@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+
 from blockweave.operators import huffman
 from blockweave.operators.errors import refuse
 
@@ -79,28 +81,59 @@ def commands(data: bytes, steps: list[Step]) -> bytes:
     return bytes(out)
 
 
+_VARINTS: list[bytes] = []
+
+
+def _distance_codes(distances: list[int]) -> bytes:
+    """Each distance as its place among the four latest, or as a varint of itself plus 4."""
+    if not _VARINTS:
+        _VARINTS.extend(put_varint(v) for v in range(FARTHEST + SHORTEST + 1))
+    out: list[bytes] = []
+    a = b = c = d = 0  # the latest first; 0 is no distance
+    for x in distances:
+        if x == a:
+            out.append(b"\0")
+        elif x == b:
+            out.append(b"\1")
+            a, b = x, a
+        elif x == c:
+            out.append(b"\2")
+            a, b, c = x, a, b
+        else:
+            out.append(b"\3" if x == d else _VARINTS[x + 4])
+            a, b, c, d = x, a, b, c
+    return b"".join(out)
+
+
+def command_size(steps: list[Step]) -> int:
+    """Length of the command stream of a parse."""
+    if not steps:
+        return 0
+    x = np.array(steps, np.int64)
+    literals, length = x[:, 1], x[:, 2]
+    matches = length[length > 0]
+    long = matches[matches > SHORT_MOST]
+    varint = len(long) + sum(int((long >> bits > 0).sum()) for bits in (7, 14))
+    return int(literals.sum() + -(-literals // RUN).sum() + 3 * len(matches) + varint)
+
+
 def split(data: bytes, steps: list[Step]) -> tuple[bytes, bytes, bytes, bytes]:
     """Tags, literals, lengths and distances of a parse."""
-    tags, literal_bytes, lengths, distances, recent = bytearray(), bytearray(), bytearray(), bytearray(), Recent()
-    for start, literals, length, distance in steps:
-        if literals:
-            whole, rest = divmod(literals, RUN)
-            tags += bytes([RUN - 1]) * whole
-            if rest:
-                tags.append(rest - 1)
-            literal_bytes += data[start : start + literals]
-        if length:
-            if length <= SHORT_MOST:
-                tags.append(SHORT_MATCH + length - SHORTEST)
-            else:
-                tags.append(LONG_MATCH)
-                lengths += put_varint(length)
-            place = recent.use(distance)
-            if place is None:
-                distances += put_varint(distance + 4)
-            else:
-                distances.append(place)
-    return bytes(tags), bytes(literal_bytes), bytes(lengths), bytes(distances)
+    if not steps:
+        return b"", b"", b"", b""
+    x = np.array(steps, np.int64)
+    start, literals, length = x[:, 0], x[:, 1], x[:, 2]
+    whole, rest = np.divmod(literals, RUN)
+    # each step: full runs, the rest of a run, the match
+    counts = np.stack([whole, rest > 0, length > 0], axis=1).ravel()
+    kinds = np.stack([np.full(len(x), RUN - 1), rest - 1, np.where(length > SHORT_MOST, LONG_MATCH, SHORT_MATCH + length - SHORTEST)], axis=1).ravel()
+    tags = np.repeat(kinds, counts).astype(np.uint8).tobytes()
+    inside = np.zeros(len(data) + 1, np.int8)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, start + literals, -1)
+    literal_bytes = np.frombuffer(data, np.uint8)[np.cumsum(inside[:-1]) > 0].tobytes()
+    lengths = b"".join(put_varint(n) for n in length[length > SHORT_MOST].tolist())
+    return tags, literal_bytes, lengths, _distance_codes(x[length > 0, 3].tolist())
 
 
 def pack_split(streams: tuple[bytes, ...]) -> bytes:
@@ -196,7 +229,10 @@ def read_split(streams: list[bytes], original: int) -> Iterator[Command]:
             length = (tag & 63) + SHORTEST
         else:
             length, length_at = get_varint(lengths, length_at)
-        code, distance_at = get_varint(distances, distance_at)
+        if distance_at < len(distances) and distances[distance_at] < 128:
+            code, distance_at = distances[distance_at], distance_at + 1
+        else:
+            code, distance_at = get_varint(distances, distance_at)
         if code < 4 and code >= len(recent.held) or code == 4:
             raise refuse("InvalidMatch", "distance code")
         distance = recent.held[code] if code < 4 else code - 4

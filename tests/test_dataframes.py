@@ -50,7 +50,7 @@ def test_both_decoders_agree(items, archives):
 def test_analysis_adds_up(items, archives):
     for r in codec.derived(codec.analyze(archives)).collect():
         assert r["literal_bytes"] + r["matched_bytes"] + r["referenced_bytes"] == r["original_size"] == len(items[r["blob_id"]])
-        assert r["stored_blocks"] + r["pulse_blocks"] + r["pulse_huffman_blocks"] + r["split_blocks"] + r["reference_blocks"] == r["blocks"]
+        assert r["stored_blocks"] + r["commands_blocks"] + r["coded_commands_blocks"] + r["split_blocks"] + r["reference_blocks"] == r["blocks"]
     info = {r["blob_id"]: r for r in codec.frame_info(archives).collect()}
     assert info[0]["blocks"] == 0 and info[0]["frame_size"] == 26 and info[4]["original_size"] == 27_000
 
