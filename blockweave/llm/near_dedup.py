@@ -49,9 +49,11 @@ SYMBOLS = 126
 PERCENT = 75
 AGREE = 0.585
 #: Rows of a key that meet in one task; larger keys are dealt over pairs of such blocks.
-BLOCK = 2048
+BLOCK = 512
 #: Sets of a candidate component that meet in one task as a whole.
-TOGETHER = 1024
+TOGETHER = 512
+#: A set with over a HEAVY-th of all rows is named by broadcast.
+HEAVY = 512
 #: Candidates whose ids and groups are broadcast at most (about 50 bytes each) to pick their texts.
 BROADCAST = 400_000
 
@@ -304,17 +306,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = settle(signatures(docs, id_col, text_col), "signatures")
     whole = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    reps = whole.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"))
+    reps = whole.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.count("*").alias("copies"))
     reps = settle(reps.withColumn("rep", F.xxhash64("set_hash")), "sets")
     named = components(links(docs, reps, id_col, text_col))
     members = reps.select("rep", "doc_id", "set_hash").join(named, F.col("rep") == F.col("node"))
     members = settle(members.select("set_hash", "component", "doc_id"), "members")
     firsts = members.groupBy("component").agg(F.min("doc_id").alias("first"))
-    of_set = reps.select("set_hash", "doc_id").join(members.join(firsts, "component").select("set_hash", "first"), "set_hash", "left")
-    of_set = of_set.select("set_hash", F.coalesce("first", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(of_set, "set_hash", "left")
+    of_set = reps.select("set_hash", "doc_id", "copies").join(members.join(firsts, "component").select("set_hash", "first"), "set_hash", "left")
+    of_set = of_set.select("set_hash", F.coalesce("first", "doc_id").alias("component_id"), (F.col("copies") * HEAVY > rows.count()).alias("heavy"))
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
+    # fewer than HEAVY sets can each have over a HEAVY-th of the rows: those are told where they lie
+    heavy = F.broadcast(of_set.where("heavy").select("set_hash", F.col("component_id").alias("common")))
+    out = settle(out.join(heavy, "set_hash", "left"), "told")
+    rest = out.where("common IS NULL").drop("common").join(of_set.where(~F.col("heavy")).drop("heavy"), "set_hash", "left")
+    told = out.where("common IS NOT NULL").withColumnRenamed("common", "component_id").unionByName(rest)
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return told.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
