@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +36,13 @@ from blockweave.runtime import settle
 SHARE, LEAST = 0.25, 5
 #: (host, hash) rows that are broadcast at most (16 bytes and a host name each).
 BROADCAST = 100_000
+#: Subtrees deeper than this are no template candidates, so that hashing stays linear in a page.
+DEEPEST = 100
+#: Inline elements inside so many others are passed through.
+NESTED = 500
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag ends before another one begins, and quotes close within so many parts: what does not is text. Each place is looked at a bounded number of times.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,200}+)>|<[!?][^<>]*+>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 #: Element names and words of class and id, by what they mean here.
@@ -68,10 +74,13 @@ def parse(source: str) -> Element:
     """The element tree of a page; positions point into ``source``."""
     root = Element("#page", 0)
     stack, at, size = [root], 0, len(source)
+    opened: Counter[str] = Counter()
 
     def close(to: int, end: int) -> None:
         while len(stack) > to:
-            stack.pop().end = end
+            e = stack.pop()
+            e.end = end
+            opened[e.tag] -= 1
 
     while at < size:
         m = TOKEN.search(source, at)
@@ -85,26 +94,28 @@ def parse(source: str) -> Element:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(0) if not opened[tag] else range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     close(i + 1, m.start())
                     close(i, at)
                     break
             continue
         if tag in CLOSED_BY:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(0) if not any(opened[t] for t in CLOSED_BY[tag]) else range(len(stack) - 1, 0, -1):
                 if stack[i].tag in CLOSED_BY[tag]:
                     close(i, m.start())
                     break
                 if stack[i].tag in SCOPE[tag]:
                     break
         elif tag not in INLINE and tag != "br":  # a block ends an open paragraph
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(0) if not opened["p"] else range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     close(i, m.start())
                     break
                 if stack[i].tag not in INLINE:
                     break
+        elif len(stack) > NESTED:
+            continue
         new = Element(tag, m.start(), m[3])
         stack[-1].children.append(new)
         if tag in VOID or m[3].endswith("/"):
@@ -114,6 +125,7 @@ def parse(source: str) -> Element:
             new.end = at = stop.end() if stop else size
         else:
             stack.append(new)
+            opened[tag] += 1
     close(0, size)
     return root
 
@@ -141,24 +153,31 @@ def _boilerplate(e: Element, in_article: bool) -> bool:
     return False
 
 
-def _subtrees(e: Element, source: str, in_article: bool, found: set[int]) -> None:
-    for c in e.children:
-        if isinstance(c, Element):
-            inside = in_article or c.tag in ("article", "main")
-            if c.tag not in ("html", "head", "body", "br") and not (in_article and c.tag in TEXT | INLINE):
-                found.add(xxhash.xxh3_64_intdigest(source[c.start : c.end].encode("utf-8", "surrogatepass")) - (1 << 63))
-            if c.tag not in RAW and c.tag != "head":
-                _subtrees(c, source, inside, found)
+def _hash(e: Element, source: str) -> int:
+    return xxhash.xxh3_64_intdigest(source[e.start : e.end].encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _candidate(e: Element, in_article: bool, depth: int) -> bool:
+    """Whether an element may belong to a template: text blocks inside an article may not."""
+    return depth < DEEPEST and e.tag not in ("html", "head", "body", "br") and not (in_article and e.tag in TEXT | INLINE)
 
 
 def subtree_hashes(source: str) -> set[int]:
     """Hashes of the subtrees of a page that may belong to a template."""
     found: set[int] = set()
-    _subtrees(parse(source), source, False, found)
+    todo = [(parse(source), False, 0)]
+    while todo:
+        e, in_article, depth = todo.pop()
+        for c in e.children:
+            if isinstance(c, Element):
+                if _candidate(c, in_article, depth):
+                    found.add(_hash(c, source))
+                if c.tag not in RAW and c.tag != "head" and depth < DEEPEST:
+                    todo.append((c, in_article or c.tag in ("article", "main"), depth + 1))
     return found
 
 
-def _articles(e: Element, source: str, templates: frozenset[int] | set[int]) -> list[Element]:
+def _articles(e: Element) -> list[Element]:
     """Outermost articles that are not part of boilerplate; else the page's main element."""
     found, mains = [], []
     todo = [e]
@@ -175,28 +194,44 @@ def _articles(e: Element, source: str, templates: frozenset[int] | set[int]) ->
     return sorted(found, key=lambda x: x.start) or mains[:1]
 
 
-def _read(e: Element, source: str, in_article: bool, templates: frozenset[int] | set[int], out: list[str]) -> None:
-    for c in e.children:
-        if isinstance(c, tuple):
-            out.append(html.unescape(source[c[0] : c[1]]))
-            continue
-        block = c.tag not in INLINE
-        if block:
-            out.append("\n")
-        candidate = not (in_article and c.tag in TEXT | INLINE) and c.tag not in ("html", "body", "br")
-        if not _boilerplate(c, in_article) and not (candidate and templates and xxhash.xxh3_64_intdigest(source[c.start : c.end].encode("utf-8", "surrogatepass")) - (1 << 63) in templates):
-            _read(c, source, in_article, templates, out)
-        if block:
-            out.append("\n")
+def _read(top: Element, source: str, in_article: bool, templates: frozenset[int] | set[int], out: list[str], depth: int) -> None:
+    """The text of an element without boilerplate and templates; line ends stand around blocks."""
+    frames = [(iter(top.children), False)]
+    while frames:
+        children, block = frames[-1]
+        for c in children:
+            if isinstance(c, tuple):
+                out.append(html.unescape(source[c[0] : c[1]]))
+                continue
+            inner = c.tag not in INLINE
+            if inner:
+                out.append("\n")
+            if _boilerplate(c, in_article) or templates and _candidate(c, in_article, depth + len(frames) - 1) and _hash(c, source) in templates:
+                continue
+            frames.append((iter(c.children), inner))
+            break
+        else:
+            frames.pop()
+            if block:
+                out.append("\n")
+
+
+def _depth(page: Element, e: Element) -> int:
+    """Elements around ``e``, the page included."""
+    found, at = 0, page
+    while at is not e:
+        found += 1
+        at = next(c for c in at.children if isinstance(c, Element) and c.start <= e.start < c.end)
+    return found
 
 
 def main_text(source: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's article as one line: white space becomes one blank, blocks are joined by one."""
     page = parse(source)
-    articles = _articles(page, source, templates)
+    articles = _articles(page)
     out: list[str] = []
     for e in articles or [page]:
-        _read(e, source, bool(articles), templates, out)
+        _read(e, source, bool(articles), templates, out, _depth(page, e))
         out.append("\n")
     return " ".join("".join(out).split())
 

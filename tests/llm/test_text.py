@@ -266,3 +266,18 @@ def test_site_templates_go_and_quoted_passages_stay(spark):
         got = {r["page_id"]: r["text"] for r in html_extract.extract(df, broadcast=broadcast).collect()}
         assert got[3] == "Text 3." and got[103] == "A passage that all pages quote. Own 3" and got[200] == "Logo of the site" and got[201] == got[202] == ""
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    began = time.monotonic()
+    for page in (
+        "<div>" * 30_000 + "x", "<b>" * 50_000 + "<div>y" * 10_000, "<p><b>a" * 20_000, "<ul><li>a" * 10_000 + "</b>" * 20_000, "<" * 50_000, "<a " * 50_000, '<a x="' * 20_000,
+        "<!--" * 50_000, "<!" * 50_000, "<a " * 50_000 + "'\">", "<script>" * 20_000, "</p" * 50_000, "<article>" * 3000 + "q",
+    ):
+        html_extract.main_text(page)
+        html_extract.subtree_hashes(page)
+    assert time.monotonic() - began < 30
+    assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    assert html_extract.main_text("<p a=\"x>y\" b='<q>'>ok</p><img src=\"data:" + "z" * 200_000 + '">end') == "ok end"
