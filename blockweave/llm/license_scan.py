@@ -16,6 +16,7 @@ scanned one by one, repeated or not.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -152,7 +153,9 @@ class Index:
         places = defaultdict(list)
         self.kept = {}
         for name, h in self.templates.items():
-            g = grams(h, min(K, max(1, len(h))))
+            if len(h) < K:
+                raise ValueError(f"template {name} has fewer than {K} words")
+            g = grams(h)
             self.kept[name] = winnow(g)
             for i in self.kept[name]:
                 places[int(g[i])].append((name, i))
@@ -188,9 +191,13 @@ class Index:
                     found.append(Finding(name, len(pairs) / len(template), len(pairs), pairs[0][1], pairs[-1][1]))
         found.sort(key=lambda f: (-f.matched, -f.coverage, f.license, f.first))
         kept: list[Finding] = []
+        taken: list[tuple[int, int]] = []  # spans kept so far, in order
+        longest = max((f.last - f.first for f in found), default=0)
         for f in found:
-            if all(2 * (min(f.last, k.last) - max(f.first, k.first) + 1) <= f.last - f.first + 1 for k in kept):
+            near = taken[bisect_left(taken, (f.first - longest,)) : bisect_right(taken, (f.last + 1,))]
+            if all(2 * (min(f.last, b) - max(f.first, a) + 1) <= f.last - f.first + 1 for a, b in near):
                 kept.append(f)
+                insort(taken, (f.first, f.last))
         return sorted(kept, key=lambda f: f.first)
 
 

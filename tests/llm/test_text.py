@@ -222,6 +222,14 @@ def test_findings_have_coverage_and_spans(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_findings_in_one_text(spark):
+    text = "Released under the MIT License. Licensed under CC BY-NC 4.0. " * 4000
+    found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert {r["license"]: r["count"] for r in found.groupBy("license").count().collect()} == {"MIT-notice": 4000, "CC-BY-NC-4.0-notice": 4000}
+    with pytest.raises(ValueError):
+        license_scan.Index({"short": "two words"})
+
+
 def test_every_template_is_found_in_itself():
     index = license_scan.Index()
     for name, text in license_scan.TEMPLATES.items():
