@@ -47,27 +47,49 @@ def frequent_digests(digests: DataFrame, column: str, heavy: int = HEAVY, tracke
     return found.where(F.col("hit.count") > 1).select(F.col("hit.item").alias(column))
 
 
+def _first() -> Column:
+    """The row that stays of equal texts: the smallest id, a null id last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+
+
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), digest(F.col(text_col)).alias("text_sha256")]
+    return settle(docs.select(own), "digests")
+
+
+def verified_winners(narrow: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
+    """(text_sha256, first, group_size) of at most ``heavy`` frequent digests, counted exactly."""
+    frequent = settle(frequent_digests(narrow, "text_sha256", heavy, tracked), "frequent-digests")
+    own = narrow.join(F.broadcast(frequent), "text_sha256", "left_semi")
+    return settle(own.groupBy("text_sha256").agg(_first().alias("first"), F.count("*").alias("group_size")), "winners")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    narrow = settle(
-        docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), digest(F.col(text_col)).alias("text_sha256")),
-        "digests",
-    )
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    frequent = frequent_digests(narrow.where(F.col("text_sha256").isNotNull()), "text_sha256", heavy, tracked)
-    frequent = settle(frequent, "frequent-digests")
-    winners = narrow.join(F.broadcast(frequent), "text_sha256", "left_semi").groupBy("text_sha256").agg(first.alias("first"), F.count("*").alias("group_size"))
-    marked = narrow.join(F.broadcast(settle(winners, "winners")), "text_sha256", "left")
+    narrow = _digests(docs, id_col, text_col)
+    winners = F.broadcast(verified_winners(narrow, heavy, tracked))
     shape = ["doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"]
+    common = narrow.join(winners, "text_sha256")
     same = Window.partitionBy("text_sha256")
-    rare = narrow.join(F.broadcast(frequent), "text_sha256", "left_anti").withColumns({"first": first.over(same), "group_size": F.count("*").over(same)})
-    return marked.where(F.col("first").isNotNull()).select(*shape).unionByName(rare.select(*shape))
+    rare = narrow.join(winners, "text_sha256", "left_anti").withColumns({"first": _first().over(same), "group_size": F.count("*").over(same)})
+    return common.select(*shape).unionByName(rare.select(*shape))
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
+    """``docs`` without the rows that ``exact_groups`` does not keep; all its columns stay as they are.
+
+    Copies of frequent texts go where they lie; what is left is shuffled once, by digest.
+    """
+    winners = verified_winners(_digests(docs, id_col, text_col), heavy, tracked)
+    own, hot, first, place = (_unused(docs, x) for x in ("_digest", "_hot", "_first", "_place"))
+    told = F.broadcast(winners.select(F.col("text_sha256").alias(hot), F.col("first.doc_id").alias(first)))
+    marked = docs.withColumn(own, digest(F.col(text_col))).join(told, F.col(own) == F.col(hot), "left")
+    left = marked.where(F.col(hot).isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(first)))
+    order = Window.partitionBy(own).orderBy(F.col(id_col).isNull(), F.col(id_col))
+    return left.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(docs.columns)
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` does not keep; all its columns stay as they are."""
-    verdict = exact_groups(docs, id_col, text_col, **options).where("kept")
-    keys = verdict.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_digest", digest(F.col(text_col)))
-    kept = marked.join(keys, marked[id_col].eqNullSafe(keys["_id"]) & (marked["_digest"] == keys["_sha"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_digest"]).drop("_digest")
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
