@@ -133,24 +133,26 @@ class _Tokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[int, int] = {}
+        #: hashes of the runs known, in order, and the place of each
+        self.hashes, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)
         #: ids of all runs known, and where each begins; the first run is the mark of an odd one
-        self.ids, self.starts, self.filled = np.zeros(1 << 16, np.uint32), [0, 0], 0
+        self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.known = np.zeros(1 << 16, np.int64), 1
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         values, _ = byte_values()
         runs = Runs(data, offsets, self.kinds[data], values)
         unique, first, inverse = np.unique(runs.hashes(), return_index=True, return_inverse=True)
-        if len(self.places) > MEMO:
+        if len(self.hashes) > MEMO:
             self._forget()
-        found = list(map(self.places.get, unique.tolist()))
-        if None in found:
-            self._learn(data, runs, unique, first, [i for i, x in enumerate(found) if x is None])
-            found = list(map(self.places.get, unique.tolist()))
-        place = np.array(found, np.int64)[inverse]
-        starts = np.array(self.starts, np.int64)
-        begin, sizes = starts[place], starts[place + 1] - starts[place]
+        at, known = self._find(unique)
+        if not known.all():
+            self._learn(data, runs, unique, first, np.flatnonzero(~known).tolist())
+            at, _ = self._find(unique)
+        place = self.places[at][inverse] if len(unique) else np.empty(0, np.int64)
+        begin = self.starts[place]
+        sizes = self.starts[place + 1] - begin
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.ids[np.arange(total) + np.repeat(begin - (ends - sizes), sizes)].astype("<u4")
@@ -165,18 +167,26 @@ class _Tokenizer:
             out[i] = self._by_chunks(data[offsets[i] : offsets[i + 1]].tobytes().decode())
         return out
 
+    def _find(self, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes stand among the known ones, and which do."""
+        if not len(self.hashes):
+            return np.zeros(len(unique), np.int64), np.zeros(len(unique), bool)
+        at = np.minimum(np.searchsorted(self.hashes, unique), len(self.hashes) - 1)
+        return at, self.hashes[at] == unique
+
     def _learn(self, data: np.ndarray, runs: Runs, unique: np.ndarray, first: np.ndarray, new: list[int]) -> None:
         hashes, at = unique[new].tolist(), first[new]
         raw = data.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(runs.starts[at].tolist(), runs.ends[at].tolist())]
-        letters, others = [], []
+        letters, others, odd = [], [], []
         for h, t in zip(hashes, texts):
             if t.isascii():
                 (letters if t.isalpha() else others).append((h, t))
             elif t.isalpha() and t.lower().isalpha():  # lowering can part a mark from its letter
                 letters.append((h, t))
             else:
-                self.places[h] = 0
+                odd.append(h)
+        self._keep(odd, np.zeros(len(odd), np.int32))
         if letters:
             # each run of letters gives just one token that ends a word, its last
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in letters)], add_special_tokens=False)[0].ids, np.uint32)
@@ -193,10 +203,19 @@ class _Tokenizer:
         while self.filled + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.filled : self.filled + len(ids)] = ids
-        place = len(self.starts) - 1
-        self.starts += (self.filled + stops).tolist()
+        while self.known + len(hashes) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+        self.starts[self.known + 1 : self.known + 1 + len(hashes)] = self.filled + stops
+        self._keep(hashes, np.arange(self.known, self.known + len(hashes), dtype=np.int32))
         self.filled += len(ids)
-        self.places.update(zip(hashes, range(place, place + len(hashes))))
+        self.known += len(hashes)
+
+    def _keep(self, hashes: list[int], places: np.ndarray) -> None:
+        new = np.array(hashes, np.uint64)
+        order = np.argsort(new)
+        at = np.searchsorted(self.hashes, new[order])
+        self.hashes = np.insert(self.hashes, at, new[order])
+        self.places = np.insert(self.places, at, places[order])
 
     def _by_chunks(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")

@@ -16,7 +16,7 @@ import pyarrow as pa
 #: Words in a shingle.
 WORDS = 5
 #: Texts are taken in slices of about so many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
