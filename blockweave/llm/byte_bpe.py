@@ -53,6 +53,14 @@ class Vocabulary:
                 reach[token[-2:]] = max(len(token), reach.get(token[-2:], 0))
         self.reach = reach  # longest token by its last two bytes
         self.longest = max(map(len, ranks), default=0)
+        self.sizes = list(map(len, self.bytes_of))
+        #: tokens by their bytes, one level per byte; the rank stands under None
+        self.tree: dict = {}
+        for token, rank in ranks.items():
+            node = self.tree
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[None] = rank
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -81,13 +89,36 @@ class Vocabulary:
         return known
 
 
+def last_tokens(v: Vocabulary, data: bytes) -> list[int]:
+    """Last token of every prefix, found forwards: what may begin at a place is offered to the place where it ends."""
+    n, pair = len(data), v.pairs.get
+    last: list[int | None] = [None] * (n + 1)
+    last[0] = -1
+    for start in range(n):
+        before, node = last[start], v.tree
+        if before is None:
+            break
+        key = before << 32
+        for end in range(start + 1, n + 1):
+            node = node.get(data[end - 1])
+            if node is None:
+                break
+            token = node.get(None)
+            if token is not None and last[end] is None:
+                fits = pair(key | token)
+                if fits or fits is None and v.may_follow(before, token):
+                    last[end] = token
+    if None in last:
+        raise ValueError(f"no token ends at byte {last.index(None)}: the vocabulary lacks single bytes")
+    return last[1:]
+
+
 class PrefixTable:
     """last[i] is the token that ends the encoding of the first i + 1 bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data = vocabulary, b""
-        self.last: list[int] = []
-        self.append(data)
+        self.vocabulary, self.data = vocabulary, data
+        self.last = last_tokens(vocabulary, data)
 
     def _last_tokens(self, begin: int) -> Iterator[int]:
         """Last tokens of the prefixes longer than ``begin``; each is stored before the next is asked for."""
@@ -128,11 +159,11 @@ class PrefixTable:
 
     def ids(self, length: int | None = None) -> list[int]:
         """Encoding of the first ``length`` bytes (all, if none)."""
-        at, out, bytes_of = len(self.data) if length is None else length, [], self.vocabulary.bytes_of
+        at, out, sizes = len(self.data) if length is None else length, [], self.vocabulary.sizes
         while at:
             token = self.last[at - 1]
             out.append(token)
-            at -= len(bytes_of[token])
+            at -= sizes[token]
         return out[::-1]
 
 
