@@ -12,7 +12,7 @@ from blockweave.operators import block as kernel
 from blockweave.operators import codec, frame
 from blockweave.plans import ranges as plans
 from blockweave.plans.ranges import Sizes
-from blockweave.runtime import settle, shared_folder, table
+from blockweave.runtime import settle, shared_folder, spread, table
 from blockweave.sources import blobs as sources
 from blockweave.streaming import stream
 
@@ -27,6 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.from_text(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is heavy on each."""
+    return spread(documents(spark, sf_dir), "blob_id")
+
+
 def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each ``GROUP`` neighbouring documents as one blob."""
     return sources.concatenated(table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / GROUP).cast("long"))
@@ -47,7 +52,7 @@ def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of single documents, settled since they are costly and read more than once."""
-    return settle(codec.compress_small(documents(spark, sf_dir), SMALL_SIZES), "archives")
+    return settle(codec.compress_small(dealt(spark, sf_dir), SMALL_SIZES), "archives")
 
 
 # -- plans and references ------------------------------------------------------------------
@@ -157,7 +162,7 @@ def q13_predictor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = byte_sql.byte_rows(documents(spark, sf_dir), ["lang"], "data")
+    rows = byte_sql.byte_rows(dealt(spark, sf_dir), ["lang"], "data")
     return rows.groupBy("lang", F.col("b").alias("symbol")).agg(F.count("*").alias("n"))
 
 
@@ -254,7 +259,7 @@ def q23_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q24_roundtrip_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = codec.decompress(codec.compress_small(documents(spark, sf_dir), SMALL_SIZES), strict=True)
+    back = codec.decompress(codec.compress_small(dealt(spark, sf_dir), SMALL_SIZES), strict=True)
     return back.select(F.col("blob_id").alias("doc_id"), F.md5("data").alias("md5"))
 
 
@@ -303,7 +308,7 @@ def q30_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q31_stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through a stream that encodes and another that decodes."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    documents(spark, sf_dir).select("blob_id", "data").write.parquet(f"{folder}/in")
+    dealt(spark, sf_dir).select("blob_id", "data").write.parquet(f"{folder}/in")
     encoded = stream.encode_stream(stream.blob_source(spark, f"{folder}/in", "blob_id long, data binary"), SMALL)
     stream.run_to_end(encoded, f"{folder}/archives", f"{folder}/encode-log")
     decoded = stream.decode_stream(stream.blob_source(spark, f"{folder}/archives", "blob_id long, archive binary"))

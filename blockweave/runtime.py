@@ -41,5 +41,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over all cores if it comes from fewer files than there are.
+
+    For work that costs far more than moving its rows. A table of many files, as any large one
+    is, stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(3 * cores, *keys)
