@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
 from blockweave.llm import byte_bpe, chat, exact_dedup, html_extract, license_scan, near_dedup, packing, sharding, topk, toxicity
-from blockweave.runtime import table
+from blockweave.runtime import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table, dealt over all cores if it is only a few files."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,19 +45,19 @@ def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    return html_extract.extract(spread(table(spark, sf_dir, "pages"), "page_id"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return byte_bpe.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(documents(spark, sf_dir))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
