@@ -239,6 +239,20 @@ def test_every_template_is_found_in_itself():
         assert name in [f.license for f in found], name
 
 
+def test_licenses_are_whole(spark):
+    ends = {"MIT": "DEALINGS IN THE SOFTWARE", "ISC": "PERFORMANCE OF THIS SOFTWARE", "Apache-2.0": "limitations under the License", "GPL-3.0-or-later": "www.gnu.org/licenses", "BSD-2-Clause": "POSSIBILITY OF SUCH DAMAGE", "BSD-3-Clause": "POSSIBILITY OF SUCH DAMAGE"}
+    texts = [f"Before it. {license_scan.TEMPLATES[name]} Behind it." for name in ends]
+    mit = license_scan.TEMPLATES["MIT"]
+    cut = mit[: mit.index("IN NO EVENT")]
+    texts += [cut, cut + "The holders answer for all that goes wrong with what they give away, at any time."]
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: (r["license"], r["coverage"], texts[r["doc_id"]][r["span_start"] : r["span_end"]]) for r in found}
+    assert len(found) == len(spans) == len(texts)
+    for i, (name, end) in enumerate(ends.items()):
+        assert spans[i][:2] == (name, 1.0) and spans[i][2].endswith(end)
+    assert spans[6][0] == spans[7][0] == "MIT-beginning"  # the rest is missing or another
+
+
 # -- pages --------------------------------------------------------------------------------------
 
 
