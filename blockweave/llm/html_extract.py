@@ -1,17 +1,20 @@
 """Main text of web pages with removal of each site's template.
 
 1. Every page is parsed into its element tree. The subtrees that could belong to a template,
-   all but plain text blocks inside an article, are hashed by their source; (host, hash) rows
-   are counted over pages by an aggregate with a map side, so a host that holds a third of all
-   pages costs no task more than another. A subtree on ``SHARE`` of a host's pages, and on
-   ``LEAST`` at least, is that host's template.
+   inside an article containers with lists, tables and figures, else all, are hashed by their
+   source; (host, hash) rows are counted over pages by an aggregate with a map side, so a host
+   that holds a third of all pages costs no task more than another. A subtree on ``SHARE`` of a
+   host's pages, and on ``LEAST`` at least, is that host's template, and so is a container, list,
+   table or figure on ``MANY`` of its pages, however large the host is, unless those are mostly
+   copies of a few pages.
 2. Each page is parsed again. Its article, or the page if it has none, is read without template
    subtrees and without elements that are by name, role or class menus, headers, footers,
    sidebars, notices, adverts, forms, scripts, styles or comments. Paragraphs that many pages
    quote inside their article are text and stay.
 
-The template table is broadcast while it has at most ``BROADCAST`` rows; beyond that pages meet
-their host's templates in a join, which adaptive execution can split for a hot host.
+The template table is broadcast while it has at most ``BROADCAST`` rows; beyond that the hashes
+of each page meet the templates in a join, so that a page is given only those it holds, however
+many its host has. Adaptive execution can split the join for a hot template.
 
 Defined results: null and empty html give an empty text, as does a page without text. Elements
 that are not closed end with their parent; stray end tags are ignored. A page without a host
@@ -34,6 +37,10 @@ from blockweave.runtime import settle
 
 #: A template subtree is on this share of its host's pages, and on so many at least.
 SHARE, LEAST = 0.25, 5
+#: A container on so many pages of its host is a template whatever their share.
+MANY = 100
+#: Of 64 classes of page digests, so many must hold it then; 100 different pages reach about 51, copies of one page reach 1.
+CLASSES = 32
 #: (host, hash) rows that are broadcast at most (16 bytes and a host name each).
 BROADCAST = 100_000
 #: Subtrees deeper than this are no template candidates, so that hashing stays linear in a page.
@@ -50,6 +57,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript template iframe svg math select object".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img data".split())
 TEXT = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody table ul ol dl figcaption figure em b i strong".split())
+#: Text elements that hold others and may be templates inside an article, too.
+GROUPS = set("ul ol dl table figure".split())
 BOILERPLATE = set("nav footer aside form menu dialog button head".split()) | RAW
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 WORDS = set(
@@ -57,6 +66,7 @@ WORDS = set(
     "disqus nav navbar navigation menu breadcrumb breadcrumbs footer header masthead share sharing social related newsletter subscribe popup "
     "modal overlay widget pagination pager toolbar skip".split()
 )
+SINGLE = TEXT | INLINE
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
@@ -158,20 +168,24 @@ def _hash(e: Element, source: str) -> int:
 
 
 def _candidate(e: Element, in_article: bool, depth: int) -> bool:
-    """Whether an element may belong to a template: text blocks inside an article may not."""
-    return depth < DEEPEST and e.tag not in ("html", "head", "body", "br") and not (in_article and e.tag in TEXT | INLINE)
+    """Whether an element may belong to a template: paragraphs and inline elements inside an article may not."""
+    return depth < DEEPEST and e.tag not in ("html", "head", "body", "br") and not (in_article and not _container(e))
 
 
-def subtree_hashes(source: str) -> set[int]:
-    """Hashes of the subtrees of a page that may belong to a template."""
-    found: set[int] = set()
+def _container(e: Element) -> bool:
+    return e.tag in GROUPS or e.tag not in SINGLE
+
+
+def subtree_hashes(source: str) -> dict[int, bool]:
+    """Hashes of the subtrees of a page that may belong to a template, and whether they are containers."""
+    found: dict[int, bool] = {}
     todo = [(parse(source), False, 0)]
     while todo:
         e, in_article, depth = todo.pop()
         for c in e.children:
             if isinstance(c, Element):
                 if _candidate(c, in_article, depth):
-                    found.add(_hash(c, source))
+                    found[_hash(c, source)] = _container(c)
                 if c.tag not in RAW and c.tag != "head" and depth < DEEPEST:
                     todo.append((c, in_article or c.tag in ("article", "main"), depth + 1))
     return found
@@ -241,27 +255,32 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, hash) of subtrees that recur across the pages of a host."""
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other columns, and a row for every subtree of a page that may belong to a template."""
+    for batch in batches:
+        own = [subtree_hashes(x.as_py() or "") for x in batch.column("html")]
+        rows = pa.array([i for i, x in enumerate(own) for _ in x], pa.int64())
+        others = [n for n in batch.schema.names if n != "html"]
+        columns = [batch.column(n).take(rows) for n in others]
+        columns += [pa.array([h for x in own for h in x], pa.int64()), pa.array([c for x in own for c in x.values()], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*others, "hash", "container"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, hashes = [], []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = subtree_hashes(source.as_py() or "")
-                hashes += own
-                hosts += [host] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
 
+def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, url_col: str = "url", html_col: str = "html", many: int = MANY) -> DataFrame:
+    """(host, hash) of subtrees that recur across the pages of a host."""
     own = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    counts = own.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    sizes = own.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
-    return counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    rows = own.withColumn("page", F.pmod(F.xxhash64("html"), F.lit(64)).cast("int")).mapInArrow(_hashes, "host string, page int, hash long, container boolean")
+    counts = rows.groupBy("host", "hash").agg(F.count("*").alias("n"), F.expr("bit_or(if(container, shiftleft(1L, page), 0L))").alias("classes")).where(F.col("n") >= min(least, many))
+    sizes = own.groupBy("host").agg(F.count("*").alias("pages"))
+    common = (F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))
+    return counts.join(sizes, "host").where(common | (F.col("n") >= many) & (F.bit_count("classes") >= CLASSES)).select("host", "hash")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST, broadcast: int = BROADCAST) -> DataFrame:
+def extract(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST, broadcast: int = BROADCAST, many: int = MANY
+) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    templates = settle(site_templates(pages, share, least, url_col, html_col), "templates")
+    templates = settle(site_templates(pages, share, least, url_col, html_col, many), "templates")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     held = None
     if templates.count() <= broadcast:
@@ -270,9 +289,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             known.setdefault(r["host"], set()).add(r["hash"])
         held = pages.sparkSession.sparkContext.broadcast(known)
     else:
-        # each of a host's hashes is on a share of its pages, so their number per host is bounded
-        of_host = templates.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
-        own = own.join(of_host, "host", "left")
+        # equal pages of a host hold the same templates, so a digest names a page
+        own = own.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
+        of_page = own.select("host", "digest", "html").mapInArrow(_hashes, "host string, digest string, hash long, container boolean")
+        of_page = of_page.join(templates, ["host", "hash"]).groupBy("host", "digest").agg(F.collect_set("hash").alias("hashes"))
+        own = own.join(of_page, ["host", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

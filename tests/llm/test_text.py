@@ -290,6 +290,17 @@ def test_site_templates_go_and_quoted_passages_stay(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_templates_of_large_hosts_and_lists_inside_articles_go(spark):
+    advert, menu = "<div>Rotating advert</div>", "<ul><li>Home<li>About</ul>"
+    rows = [(i, f"https://h.example/{i}", f"<body>{advert if i < 110 else ''}<b>Seen often</b><div>Text {i}.</div></body>" if i < 120 else f"<div>Text {i}.</div>") for i in range(600)]
+    rows += [(1000 + i, f"https://k.example/{i}", f"<article>{menu}<table><tr><td>Site</table><figure>Logo</figure><p>Quoted</p><ul><li>Own {i}</ul></article>") for i in range(8)]
+    rows += [(2000 + i, f"https://h.example/copy/{i}", "<article><div>One page, copied.</div></article>") for i in range(110)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for broadcast in (1000, 0):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(df, broadcast=broadcast).collect()}
+        assert len(got) == 718 and got[2000] == "One page, copied." and got[3] == "Seen often Text 3." and got[300] == "Text 300." and got[1003] == "Quoted Own 3"
+
+
 def test_hostile_markup_takes_linear_time():
     import time
 
