@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,23 +43,22 @@ MANY = 100
 CLASSES = 32
 #: (host, hash) rows that are broadcast at most (16 bytes and a host name each).
 BROADCAST = 100_000
-#: Subtrees deeper than this are no template candidates, so that hashing stays linear in a page.
-DEEPEST = 100
-#: Inline elements inside so many others are passed through.
-NESTED = 500
 
-#: A tag ends before another one begins, and quotes close within so many parts: what does not is text. Each place is looked at a bounded number of times.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,200}+)>|<[!?][^<>]*+>", re.S)
+#: A tag ends before another one begins and closes its quotes: what does not is text. The first parts of a tag are read at once, others one by one.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,200}+)|<[!?][^<>]*+>", re.S)
+PART = re.compile(r"[^<>\"']++|\"[^\"]*+\"|'[^']*+'")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 #: Element names and words of class and id, by what they mean here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math select object".split())
+RAW = set("script style textarea title iframe".split())
+#: Read as elements, so that they end with their parent at the latest, but never text.
+UNSEEN = set("noscript template svg math select object".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img data".split())
 TEXT = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody table ul ol dl figcaption figure em b i strong".split())
 #: Text elements that hold others and may be templates inside an article, too.
 GROUPS = set("ul ol dl table figure".split())
-BOILERPLATE = set("nav footer aside form menu dialog button head".split()) | RAW
+BOILERPLATE = set("nav footer aside form menu dialog button head".split()) | RAW | UNSEEN
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice sidebar comment comments "
@@ -72,10 +71,11 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 
 class Element:
-    __slots__ = ("tag", "start", "end", "children", "attributes")
+    __slots__ = ("tag", "start", "end", "children", "attributes", "hash")
 
     def __init__(self, tag: str, start: int, attributes: str = ""):
         self.tag, self.start, self.end, self.attributes = tag, start, -1, attributes
+        self.hash = 0
         #: elements, and (from, to) of the text between them
         self.children: list[Element | tuple[int, int]] = []
 
@@ -83,59 +83,71 @@ class Element:
 def parse(source: str) -> Element:
     """The element tree of a page; positions point into ``source``."""
     root = Element("#page", 0)
-    stack, at, size = [root], 0, len(source)
-    opened: Counter[str] = Counter()
+    stack, at, text, size = [root], 0, 0, len(source)
+    #: where on the stack each tag, and each element that is not inline, is open
+    opened: defaultdict[str, list[int]] = defaultdict(list)
+    blocks = [0]
+    no_end: set[int] = set()  # places from which no tag closes
 
     def close(to: int, end: int) -> None:
         while len(stack) > to:
             e = stack.pop()
             e.end = end
-            opened[e.tag] -= 1
+            if stack:
+                opened[e.tag].pop()
+                if blocks[-1] == len(stack):
+                    blocks.pop()
+
+    def nearest(tags: set[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
 
     while at < size:
         m = TOKEN.search(source, at)
         if not m:
-            stack[-1].children.append((at, size))
             break
-        if m.start() > at:
-            stack[-1].children.append((at, m.start()))
         at = m.end()
         tag = m[2] and m[2].lower()
+        if tag:
+            tried = []
+            while source[at : at + 1] != ">" and at not in no_end and (part := PART.match(source, at)):
+                tried.append(at)
+                at = part.end()
+            if source[at : at + 1] != ">":
+                no_end.update(tried)
+                at = m.start() + 1
+                continue
+            attributes, at = source[m.end(2) : at], at + 1
+        if m.start() > text:
+            stack[-1].children.append((text, m.start()))
+        text = at
         if not tag:
             continue
         if m[1]:
-            for i in range(0) if not opened[tag] else range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i + 1, m.start())
-                    close(i, at)
-                    break
+            if opened[tag]:
+                i = opened[tag][-1]
+                close(i + 1, m.start())
+                close(i, at)
             continue
         if tag in CLOSED_BY:
-            for i in range(0) if not any(opened[t] for t in CLOSED_BY[tag]) else range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSED_BY[tag]:
-                    close(i, m.start())
-                    break
-                if stack[i].tag in SCOPE[tag]:
-                    break
-        elif tag not in INLINE and tag != "br":  # a block ends an open paragraph
-            for i in range(0) if not opened["p"] else range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i, m.start())
-                    break
-                if stack[i].tag not in INLINE:
-                    break
-        elif len(stack) > NESTED:
-            continue
-        new = Element(tag, m.start(), m[3])
+            i = nearest(CLOSED_BY[tag])
+            if i > nearest(SCOPE[tag]):
+                close(i, m.start())
+        elif tag not in INLINE and tag != "br" and stack[blocks[-1]].tag == "p":  # a block ends an open paragraph
+            close(blocks[-1], m.start())
+        new = Element(tag, m.start(), attributes)
         stack[-1].children.append(new)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             new.end = at
         elif tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            new.end = at = stop.end() if stop else size
+            new.end = at = text = stop.end() if stop else size
         else:
+            opened[tag].append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
             stack.append(new)
-            opened[tag] += 1
+    if text < size:
+        stack[-1].children.append((text, size))
     close(0, size)
     return root
 
@@ -163,13 +175,24 @@ def _boilerplate(e: Element, in_article: bool) -> bool:
     return False
 
 
-def _hash(e: Element, source: str) -> int:
-    return xxhash.xxh3_64_intdigest(source[e.start : e.end].encode("utf-8", "surrogatepass")) - (1 << 63)
+def _hash(page: Element, source: str) -> None:
+    """Hash every subtree by its source, in which the elements inside stand as their own hashes: linear at any depth."""
+    order = [page]
+    for e in order:
+        order += [c for c in e.children if isinstance(c, Element)]
+    for e in reversed(order):
+        parts, at = [], e.start
+        for c in e.children:
+            if isinstance(c, Element):
+                parts += [source[at : c.start].encode("utf-8", "surrogatepass"), b"\0%d\0" % c.hash]
+                at = c.end
+        parts.append(source[at : e.end].encode("utf-8", "surrogatepass"))
+        e.hash = xxhash.xxh3_64_intdigest(b"".join(parts)) - (1 << 63)
 
 
-def _candidate(e: Element, in_article: bool, depth: int) -> bool:
+def _candidate(e: Element, in_article: bool) -> bool:
     """Whether an element may belong to a template: paragraphs and inline elements inside an article may not."""
-    return depth < DEEPEST and e.tag not in ("html", "head", "body", "br") and not (in_article and not _container(e))
+    return e.tag not in ("html", "head", "body", "br") and not (in_article and not _container(e))
 
 
 def _container(e: Element) -> bool:
@@ -179,15 +202,17 @@ def _container(e: Element) -> bool:
 def subtree_hashes(source: str) -> dict[int, bool]:
     """Hashes of the subtrees of a page that may belong to a template, and whether they are containers."""
     found: dict[int, bool] = {}
-    todo = [(parse(source), False, 0)]
+    page = parse(source)
+    _hash(page, source)
+    todo = [(page, False)]
     while todo:
-        e, in_article, depth = todo.pop()
+        e, in_article = todo.pop()
         for c in e.children:
             if isinstance(c, Element):
-                if _candidate(c, in_article, depth):
-                    found[_hash(c, source)] = _container(c)
-                if c.tag not in RAW and c.tag != "head" and depth < DEEPEST:
-                    todo.append((c, in_article or c.tag in ("article", "main"), depth + 1))
+                if _candidate(c, in_article):
+                    found[c.hash] = _container(c)
+                if c.tag not in RAW | UNSEEN and c.tag != "head":
+                    todo.append((c, in_article or c.tag in ("article", "main")))
     return found
 
 
@@ -208,7 +233,7 @@ def _articles(e: Element) -> list[Element]:
     return sorted(found, key=lambda x: x.start) or mains[:1]
 
 
-def _read(top: Element, source: str, in_article: bool, templates: frozenset[int] | set[int], out: list[str], depth: int) -> None:
+def _read(top: Element, source: str, in_article: bool, templates: frozenset[int] | set[int], out: list[str]) -> None:
     """The text of an element without boilerplate and templates; line ends stand around blocks."""
     frames = [(iter(top.children), False)]
     while frames:
@@ -220,7 +245,7 @@ def _read(top: Element, source: str, in_article: bool, templates: frozenset[int]
             inner = c.tag not in INLINE
             if inner:
                 out.append("\n")
-            if _boilerplate(c, in_article) or templates and _candidate(c, in_article, depth + len(frames) - 1) and _hash(c, source) in templates:
+            if _boilerplate(c, in_article) or templates and _candidate(c, in_article) and c.hash in templates:
                 continue
             frames.append((iter(c.children), inner))
             break
@@ -230,22 +255,15 @@ def _read(top: Element, source: str, in_article: bool, templates: frozenset[int]
                 out.append("\n")
 
 
-def _depth(page: Element, e: Element) -> int:
-    """Elements around ``e``, the page included."""
-    found, at = 0, page
-    while at is not e:
-        found += 1
-        at = next(c for c in at.children if isinstance(c, Element) and c.start <= e.start < c.end)
-    return found
-
-
 def main_text(source: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's article as one line: white space becomes one blank, blocks are joined by one."""
     page = parse(source)
+    if templates:
+        _hash(page, source)
     articles = _articles(page)
     out: list[str] = []
     for e in articles or [page]:
-        _read(e, source, bool(articles), templates, out, _depth(page, e))
+        _read(e, source, bool(articles), templates, out)
         out.append("\n")
     return " ".join("".join(out).split())
 

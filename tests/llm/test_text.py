@@ -301,6 +301,25 @@ def test_templates_of_large_hosts_and_lists_inside_articles_go(spark):
         assert len(got) == 718 and got[2000] == "One page, copied." and got[3] == "Seen often Text 3." and got[300] == "Text 300." and got[1003] == "Quoted Own 3"
 
 
+def test_markup_is_read_at_any_size():
+    assert html_extract.main_text("<article><div><select><option>no</div><p>One<object>no</article>") == "One"
+    many = " ".join(f'a{i}="<{i}>"' for i in range(300))
+    assert html_extract.main_text(f"<p {many}>text</p><p {many} end") == html_extract.main_text(f"<p>text</p>&lt;p {html_lib.escape(many, quote=False)} end")
+    assert html_extract.main_text("<i>" * 600 + '<span class="advert">no</span>yes') == "yes"
+    deep = "<div>" * 150 + "<div>site</div>text"
+    assert html_extract.main_text(deep, set(html_extract.subtree_hashes("<div>site</div>"))) == "text"
+
+
+def test_hostile_tags_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    for page in ("<a \"'<a '\"" * 20_000, "<a '\"'<a \"" * 20_000, "<a " + '"" ' * 100_000 + "<a '" * 20_000, '<a "" "<a" ' * 30_000, "<p><li>" + "<b>" * 30_000 + "<hr>" * 30_000, "<svg>" * 30_000, "<select><option>" * 20_000):
+        html_extract.main_text(page, {1})
+        html_extract.subtree_hashes(page)
+    assert time.monotonic() - began < 30
+
+
 def test_hostile_markup_takes_linear_time():
     import time
 
