@@ -106,7 +106,7 @@ def invalid(value: Any, schema: dict, path: str = "$") -> str | None:
 
 def _messages(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, row, part, kind, role, content, call): one per plain message, call and result."""
-    seems = F.col("text").startswith("{")
+    seems = F.col("text").rlike(r"\A[ \t\r\n]*\{")  # JSON's own white space may stand before it
     body = F.when(seems, F.from_json("text", ENVELOPE))
     read = turns.withColumn("body", body)
     is_call = (F.col("role") == "assistant") & (F.size("body.tool_calls") > 0)

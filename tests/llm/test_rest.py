@@ -148,6 +148,12 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert chat.linked(spark.createDataFrame([], TURN), TOOLS).count() == 0
 
 
+def test_envelopes_behind_white_space_are_read(spark):
+    rows = [(1, 0, "assistant", " \r\n\t" + calls(call("a"))), (1, 1, "tool", "\n" + result("a", "A")), (1, 2, "user", "\n {plain")]
+    got = [(r["kind"], r["call_id"], r["status"]) for r in linked(spark, rows)]
+    assert got == [("call", "a", "ok"), ("result", "a", "ok"), ("plain", None, "ok")]
+
+
 def test_links_match_brute_force(spark):
     rng = random.Random(6)
     rows = []
