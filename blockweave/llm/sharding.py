@@ -7,7 +7,9 @@ values are ordered by a hash of the id, so a value that holds a third of all row
 through. The cut is exact: histograms of a fixed number of buckets narrow the range around it
 until one value is left, and only bucket sums reach the driver.
 
-Text is read once, for its size and checksum; all passes after that read a narrow table.
+Text is read once, for its size and checksum; all passes after that read a narrow table. A
+dimension of text counts by the exact ranks of its distinct values, which a range partitioning
+numbers without one task that sees all of them.
 
 Defined results: a null text has no bytes; sizes count one more than the bytes, so empty texts
 weigh too. A null in a dimension counts as its smallest value. Repeated rows are rows of their
@@ -31,11 +33,8 @@ MAX_LEAVES = 1 << 14
 
 
 def coordinate(column: Column, kind: T.DataType) -> Column:
-    """A metadata value as a whole number in its order: text by its first six bytes."""
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 6)), 12, "0")
-        number = F.conv(head, 16, 10).cast("long")
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    """A metadata value that is not text as a whole number in its order."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         number = F.unix_seconds(column.cast("timestamp"))
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         number = F.floor(F.greatest(F.least(F.nanvl(column, F.lit(0.0)), F.lit(1e15)), F.lit(-1e15)))
@@ -44,6 +43,21 @@ def coordinate(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(number, F.lit(0).cast("long"))
 
 
+def ranked(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the texts of ``column`` replaced by their ranks among the distinct ones; null has the smallest."""
+    values = rows.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    values = settle(values.withColumn("at", F.monotonically_increasing_id()), "ranks")  # partition and place in it
+    part = F.shiftright("at", 33)
+    starts, before = [], 0
+    for r in sorted(values.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        starts.append((r["part"], before))
+        before += r["n"]
+    table = rows.sparkSession.createDataFrame(starts, "part long, before long")
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranks = values.withColumn("part", part).join(F.broadcast(table), "part").select(column, rank.alias("rank"))
+    return rows.join(ranks, column, "left").withColumn(column, F.coalesce("rank", F.lit(0).cast("long"))).drop("rank")
+
+
 class _Node:
     """A node whose cut is being searched: leaves on both sides, and the range that still holds the cut."""
 
@@ -157,13 +171,18 @@ def shard_documents(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row; the sizes of shards are near equal."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     kinds = {f.name: f.dataType for f in docs.schema}
-    axes = {f"axis{i}": coordinate(F.col(d), kinds[d]) for i, d in enumerate([d for d in dimensions if d in kinds])}
+    own = [d for d in dimensions if d in kinds]
+    texts = [f"axis{i}" for i, d in enumerate(own) if isinstance(kinds[d], T.StringType)]
+    axes = {f"axis{i}": F.col(d) if f"axis{i}" in texts else coordinate(F.col(d), kinds[d]) for i, d in enumerate(own)}
     axes["axis_id"] = F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
     row = F.monotonically_increasing_id()
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), *[c.alias(k) for k, c in axes.items()]
     )
     narrow = settle(narrow.withColumn("tie", F.xxhash64("doc_id", "row").bitwiseAND(F.lit((1 << 31) - 1))), "sizes")
+    for axis in texts:
+        narrow = ranked(narrow, axis)
+    narrow = settle(narrow, "axes") if texts else narrow
     placed = kd_shards(narrow, list(axes), "size", leaves=shards)
     out = numbered(placed, ["tie", "doc_id", "row"], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -57,6 +57,17 @@ def test_cuts_are_weighted_medians(spark):
     assert by_target == -(-sum(r[3] for r in rows) // 5000)
 
 
+def test_texts_with_one_beginning_are_parted(spark):
+    rows = [(i, "x" * 50, f"https://host/{i % 8}" if i % 9 else None) for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sources = {i: s or "https://host/0" for i, _, s in rows}
+    got = sharding.shard_documents(df, shards=2, dimensions=("source",)).collect()
+    low, high = (sorted({sources[r["doc_id"]] for r in got if r["shard"] == n}) for n in (0, 1))
+    assert len(got) == 1600 and low[-1] <= high[0]
+    narrow = spark.createDataFrame([("source_2",), ("b",), (None,), ("source_1",), ("source_2",), ("",)], "axis string")
+    assert sorted(r["axis"] for r in sharding.ranked(narrow, "axis").collect()) == [0, 0, 1, 2, 3, 3]
+
+
 def test_sharding_takes_odd_tables(spark):
     shape = "doc_id long, text string, lang string, source string, n_chars long, shard int, tie int"
     assert sharding.shard_documents(spark.createDataFrame([], shape)).count() == 0
