@@ -27,13 +27,20 @@ def code_of(status: str) -> int:
 
 def compress(data: bytes, sizes: Sizes = Sizes(), smallest: bool = False) -> bytes:
     """The archive of ``data``."""
-    parts: list[Block] = []
-    for r in plans.plan(data, sizes):
-        if r.target is None:
-            parts.append(blocks.encode(data[r.start : r.end], smallest))
-        else:
-            parts.append(Block(REFERENCE, 0, r.end - r.start, parts[r.target].checksum, r.target.to_bytes(4, "little")))
-    return frame.assemble(parts)
+    return compress_all([data], sizes, smallest)[0]
+
+
+def compress_all(items: list[bytes], sizes: Sizes = Sizes(), smallest: bool = False) -> list[bytes]:
+    """The archive of each item; blocks of different items are encoded together."""
+    planned = [plans.plan(data, sizes) for data in items]
+    roots = iter(blocks.encode_all([data[r.start : r.end] for data, ranges in zip(items, planned) for r in ranges if r.target is None], smallest))
+    out = []
+    for ranges in planned:
+        parts: list[Block] = []
+        for r in ranges:
+            parts.append(next(roots) if r.target is None else Block(REFERENCE, 0, r.end - r.start, parts[r.target].checksum, r.target.to_bytes(4, "little")))
+        out.append(frame.assemble(parts))
+    return out
 
 
 def decompress(archive: bytes, limit: int | None = frame.DEFAULT_LIMIT) -> bytes:
@@ -65,6 +72,42 @@ def info(archive: bytes, limit: int | None = None) -> dict:
     return {"version": head.version, "legacy_level": head.legacy_level, "block_size": head.block_size, "original_size": sum(b.original for b in found), "frame_size": len(archive), "checksum": True, "blocks": len(found)}
 
 
+def analyze(archive: bytes) -> dict[str, int | str]:
+    """Counters of an archive: blocks by method and predictor, bytes and commands; every block is decoded once.
+
+    A refused archive has its status, and the counters of what came before.
+    """
+    sizes = {c: 0 for c in ("original_size", "payload_size", "blocks")}
+    methods = {f"{n}_blocks": 0 for n in blocks.METHOD_NAMES.values()}
+    predictors = {f"{n}_predictor": 0 for n in blocks.PREDICTOR_NAMES.values()}
+    totals = [0, 0, 0, 0, 0]
+    referenced, status = 0, "ok"
+    try:
+        _, found, _ = frame.parse(archive)
+        sizes = {"original_size": sum(b.original for b in found), "payload_size": sum(len(b.payload) for b in found), "blocks": len(found)}
+        for b in found:
+            methods[f"{blocks.METHOD_NAMES[b.method]}_blocks"] += 1
+            if b.method == REFERENCE:
+                referenced += b.original
+                continue
+            predictors[f"{blocks.PREDICTOR_NAMES[b.predictor]}_predictor"] += 1
+        for b in found:
+            if b.method != REFERENCE:
+                totals = [x + y for x, y in zip(totals, blocks.expand(b)[1:], strict=True)]
+    except CodecError as e:
+        status = e.status
+    commands = dict(zip(("literal_commands", "match_commands", "literal_bytes", "matched_bytes", "distance_total"), totals))
+    return {**sizes, **methods, **predictors, "referenced_bytes": referenced, **commands, "frame_size": len(archive), "status": status}
+
+
+def derived(found: dict[str, int | str]) -> dict[str, int | float]:
+    """Shares in thousandths and averages of an analysis; a denominator of zero counts as one."""
+    size, matches = max(1, found["original_size"]), max(1, found["match_commands"])
+    shares = {f"{c}_permille": found[f"{c}_bytes"] * 1000 // size for c in ("referenced", "literal", "matched")}
+    averages = {"average_match": found["matched_bytes"] / matches, "average_distance": found["distance_total"] / matches}
+    return {**shares, **averages, "ratio_percent": found["frame_size"] * 100 / size if found["original_size"] else 0.0}
+
+
 class StreamStats(NamedTuple):
     """What a stream took and gave."""
 
@@ -92,6 +135,13 @@ def compress_stream(source: BinaryIO, sink: BinaryIO, block_size: int = frame.DE
     return StreamStats(taken, given, count)
 
 
+def compress_fixed(items: list[bytes], block_size: int = frame.DEFAULT_BLOCK) -> list[bytes]:
+    """What ``compress_stream`` writes for each item; blocks of different items are encoded together."""
+    frame.check_block_size(block_size)
+    encoded = iter(blocks.encode_all([x[at : at + block_size] for x in items for at in range(0, len(x), block_size)]))
+    return [b"".join([frame.header(block_size), *[frame.block_bytes(next(encoded)) for _ in range(0, len(x), block_size)], frame.end_mark()]) for x in items]
+
+
 def _fill(source: BinaryIO, size: int) -> bytes:
     """``size`` bytes, fewer only at the end, over any number of short reads."""
     parts, left = [], size
@@ -188,6 +238,6 @@ def crc32(data: bytes) -> int:
 
 
 __all__ = [
-    "CodecError", "Sizes", "StreamStats", "VERSION", "check", "code_of", "compress", "compress_file", "compress_stream", "crc32", "decompress",
-    "decompress_file", "decompress_into", "decompress_stream", "info", "read_concatenated", "write_atomic",
+    "CodecError", "Sizes", "StreamStats", "VERSION", "analyze", "check", "code_of", "compress", "compress_all", "compress_file", "compress_fixed", "compress_stream", "crc32",
+    "decompress", "decompress_file", "decompress_into", "decompress_stream", "derived", "info", "read_concatenated", "write_atomic",
 ]

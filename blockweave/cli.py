@@ -8,25 +8,17 @@ import sys
 import time
 
 from blockweave import api
-from blockweave.operators import block, frame
-from blockweave.operators.errors import CodecError
+from blockweave.operators.errors import CodecError, refuse
 
 USAGE = "usage: python -m blockweave.cli compress|decompress IN OUT | check|info|analyze ARCHIVE | bench FILE [RUNS] | --version"
 
 
 def analysis(archive: bytes) -> dict:
-    """Counters of one archive: blocks by method, commands and bytes."""
-    _, found, _ = frame.parse(archive)
-    out = {"original": sum(b.original for b in found), "frame": len(archive), "blocks": {n: sum(b.method == m for b in found) for m, n in block.METHOD_NAMES.items()}}
-    out |= {"referenced_bytes": sum(b.original for b in found if b.method == block.REFERENCE), "literal_bytes": 0, "matched_bytes": 0, "matches": 0}
-    for b in found:
-        if b.method != block.REFERENCE:
-            block.decode(b)
-            for literals, length, _ in block.commands_of(b):
-                out["literal_bytes"] += len(literals)
-                out["matched_bytes"] += length
-                out["matches"] += length > 0
-    return out
+    """Counters of one archive by method, predictor and command, with shares and averages."""
+    found = api.analyze(archive)
+    if found["status"] != "ok":
+        raise refuse(found["status"])
+    return found | api.derived(found)
 
 
 def bench(data: bytes, runs: int) -> dict:

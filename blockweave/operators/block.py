@@ -9,6 +9,7 @@ import numpy as np
 
 from blockweave.operators import huffman, matching, predict, tokens
 from blockweave.operators.errors import refuse
+from blockweave.operators.matching import Group
 
 #: Fixed values of the format.
 STORED, COMMANDS, CODED_COMMANDS, SPLIT, REFERENCE = range(5)
@@ -26,45 +27,71 @@ class Block(NamedTuple):
     payload: bytes
 
 
+#: Blocks that are encoded together, and about how many bytes of them, so that arrays stay in the cache.
+TOGETHER, TOGETHER_BYTES = 1024, 1 << 18
+
+
+def encode_all(blocks: list[bytes], smallest: bool = False) -> list[Block]:
+    """The block of each piece of data, encoded in groups. The split form wins over plain commands
+    whenever it is shorter; with ``smallest`` the shortest of all forms is taken."""
+    out: list[Block] = []
+    group: list[bytes] = []
+    size = 0
+    for data in blocks:
+        if group and (size + len(data) > TOGETHER_BYTES or len(group) == TOGETHER):
+            out += _encode_group(group, smallest)
+            group, size = [], 0
+        group.append(data)
+        size += len(data)
+    return out + _encode_group(group, smallest) if group else out
+
+
+def _encode_group(blocks: list[bytes], smallest: bool) -> list[Block]:
+    plain = Group.of([np.frombuffer(x, np.uint8) for x in blocks])
+    predictors = predict.choices(plain)
+    changed = predict.transformed(plain, predictors)
+    parse = matching.parse(changed)
+    sizes = tokens.command_sizes(parse).tolist()
+    out = []
+    for i, (data, predictor, streams, size) in enumerate(zip(blocks, predictors.tolist(), tokens.split(changed, parse), sizes, strict=True)):
+        split = tokens.pack_split(streams)
+        method, payload = SPLIT, split
+        # plain commands are written out only where the split form does not win by their length
+        if smallest or len(split) >= size:
+            begin, end = int(changed.bounds[i]), int(changed.bounds[i + 1])
+            commands = tokens.commands(changed.data[begin:end].tobytes(), parse.of(i, begin))
+            coded = huffman.encode(commands, below=len(commands))
+            forms = [(COMMANDS, commands)] + ([(CODED_COMMANDS, coded)] if coded is not None else []) + ([(SPLIT, split)] if smallest else [])
+            method, payload = min(forms, key=lambda f: len(f[1]))
+        if len(payload) >= len(data):
+            out.append(Block(STORED, predict.NONE, len(data), zlib.crc32(data), data))
+        else:
+            out.append(Block(method, predictor, len(data), zlib.crc32(data), payload))
+    return out
+
+
 def encode(data: bytes, smallest: bool = False) -> Block:
-    """The block of ``data``. The split form wins over plain commands whenever it is shorter;
-    with ``smallest`` the shortest of all forms is taken."""
-    raw = np.frombuffer(data, np.uint8)
-    predictor = predict.choose(raw)
-    changed = predict.forward(raw, predictor)
-    changed_bytes = changed.tobytes()
-    steps = matching.parse(changed)
-    split = tokens.pack_split(tokens.split(changed_bytes, steps))
-    method, payload = SPLIT, split
-    # plain commands are written out only where the split form does not win by their length
-    if smallest or len(split) >= tokens.command_size(steps):
-        plain = tokens.commands(changed_bytes, steps)
-        coded = huffman.encode(plain)
-        forms = [(COMMANDS, plain)] + ([(CODED_COMMANDS, coded)] if coded is not None else []) + ([(SPLIT, split)] if smallest else [])
-        method, payload = min(forms, key=lambda f: len(f[1]))
-    checksum = zlib.crc32(data)
-    if len(payload) >= len(data):
-        return Block(STORED, predict.NONE, len(data), checksum, data)
-    return Block(method, predictor, len(data), checksum, payload)
-
-
-def commands_of(block: Block):
-    """The commands of a block, for decoding or for counting; a stored block is one run of literals."""
+    return encode_all([data], smallest)[0]
+
+
+def expand(block: Block) -> tokens.Expanded:
+    """The bytes of a block that is no reference, checked against its checksum, and the commands that made them; a stored block has none."""
     if block.method == STORED:
-        return iter([(block.payload, 0, 0)]) if block.payload else iter([])
-    if block.method == COMMANDS:
-        return tokens.read_commands(block.payload)
-    if block.method == CODED_COMMANDS:
-        return tokens.read_commands(huffman.decode(block.payload, tokens.command_limit(block.original)))
-    if block.method == SPLIT:
-        return tokens.read_split(tokens.unpack_split(block.payload, block.original), block.original)
-    raise refuse("UnsupportedMethod", str(block.method))
+        found = tokens.Expanded(block.payload, 0, 0, len(block.payload), 0, 0)
+    elif block.method == COMMANDS:
+        found = tokens.restore(tokens.read_commands(block.payload), block.original)
+    elif block.method == CODED_COMMANDS:
+        found = tokens.restore(tokens.read_commands(huffman.decode(block.payload, tokens.command_limit(block.original))), block.original)
+    elif block.method == SPLIT:
+        found = tokens.restore_split(tokens.unpack_split(block.payload, block.original), block.original)
+    else:
+        raise refuse("UnsupportedMethod", str(block.method))
+    if block.predictor != predict.NONE:
+        found = found._replace(data=predict.inverse(np.frombuffer(found.data, np.uint8), block.predictor).tobytes())
+    if zlib.crc32(found.data) != block.checksum:
+        raise refuse("ChecksumMismatch")
+    return found
 
 
 def decode(block: Block) -> bytes:
-    """The bytes of a block that is no reference, checked against its checksum."""
-    changed = block.payload if block.method == STORED else tokens.restore(commands_of(block), block.original)
-    data = changed if block.predictor == predict.NONE else predict.inverse(np.frombuffer(changed, np.uint8), block.predictor).tobytes()
-    if zlib.crc32(data) != block.checksum:
-        raise refuse("ChecksumMismatch")
-    return data
+    return expand(block).data

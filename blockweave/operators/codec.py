@@ -2,7 +2,7 @@
 
 A blob is planned, its blocks are dealt over tasks and encoded apart, and an archive is put
 together from blocks that arrive in order. Decoding takes archives apart into block rows;
-everything that only asks about an archive works on those rows.
+everything that only asks about an archive is answered in one pass over it.
 
 ``blobs`` are (blob_id long, data binary), ``archives`` (blob_id long, archive binary). A null
 blob stays null. Archives that are refused give a row with a status, or an error with ``strict``.
@@ -10,11 +10,12 @@ blob stays null. Archives that are refused give a row with a status, or an error
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.operators import block as kernel
@@ -23,16 +24,31 @@ from blockweave.operators.block import REFERENCE, Block
 from blockweave.operators.errors import CodecError
 from blockweave.plans import ranges as plans
 from blockweave.plans.ranges import Sizes
+from blockweave.runtime import settle
 
 BLOCKS = (
-    "blob_id long, block_index int, method int, predictor int, original long, packed long, checksum long, ref_target int, payload binary, "
+    "blob_id long, block_index int, method int, predictor int, original long, packed long, checksum long, ref_target int, root int, payload binary, "
     "version int, legacy_level int, block_size long, status string, error string"
 )
-#: Rows of an Arrow batch; blocks are large.
-BATCH = 16
+#: Rows, and about how many bytes of them, that are worked on at once.
+ROWS, BYTES = 1024, 1 << 22
 
 
-def _map(df: DataFrame, work: Callable[[list[dict]], Iterator[dict]], shape: str) -> DataFrame:
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded size; a longer value is a part of its own."""
+    at, size = 0, 0
+    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    for i, n in enumerate(lengths):
+        if i > at and (i - at == ROWS or size + n > BYTES):
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def _map(df: DataFrame, column: str, work: Callable[[dict[str, list]], Iterator[tuple]], shape: str) -> DataFrame:
+    """``df`` through ``work``, which takes the columns of some rows as lists and gives rows; ``column`` is the large one."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -40,136 +56,165 @@ def _map(df: DataFrame, work: Callable[[list[dict]], Iterator[dict]], shape: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                rows = list(work(batch.slice(at, BATCH).to_pylist()))
+            for part in _slices(batch, column):
+                rows = list(work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}))
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=target)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target, strict=True)], schema=target)
 
     return df.mapInArrow(run, shape)
 
 
+PLAN = "blob_id long, block_index int, start long, end long, ref_target int, checksum long, block binary"
+
+
 def plan(blobs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
-    """(blob_id, block_index, start, end, ref_target, block): one row per block; references carry no bytes."""
+    """PLAN rows, one per block with its checksum; references carry no bytes. A blob without bytes is one row with a null block_index."""
 
-    def work(rows: list[dict]) -> Iterator[dict]:
-        for r in rows:
-            for i, x in enumerate(plans.plan(r["data"], sizes)):
-                piece = r["data"][x.start : x.end]
-                yield {"blob_id": r["blob_id"], "block_index": i, "start": x.start, "end": x.end, "ref_target": x.target, "checksum": None, "block": piece if x.target is None else None}
+    def work(columns: dict[str, list]) -> Iterator[tuple]:
+        for blob_id, data in zip(columns["blob_id"], columns["data"]):
+            sums: list[int] = []
+            for i, x in enumerate(plans.plan(data, sizes)):
+                piece = data[x.start : x.end] if x.target is None else None
+                sums.append(sums[x.target] if piece is None else zlib.crc32(piece))
+                yield blob_id, i, x.start, x.end, x.target, sums[-1], piece
+            if not data:
+                yield blob_id, None, 0, 0, None, None, None
 
-    shape = "blob_id long, block_index int, start long, end long, ref_target int, checksum long, block binary"
-    return _map(blobs.where("data IS NOT NULL").select("blob_id", "data"), work, shape)
+    return _map(blobs.where("data IS NOT NULL").select("blob_id", "data"), "data", work, PLAN)
 
 
-def encode_blocks(planned: DataFrame, smallest: bool = False) -> DataFrame:
-    """BLOCKS rows of a plan: what is no reference is encoded, references take their target's checksum."""
+ENCODED = "blob_id long, block_index int, method int, predictor int, original long, checksum long, payload binary"
 
-    def work(rows: list[dict]) -> Iterator[dict]:
-        for r in rows:
-            b = kernel.encode(r["block"], smallest)
-            yield {**_empty(r["blob_id"], r["block_index"]), "method": b.method, "predictor": b.predictor, "original": b.original, "packed": len(b.payload), "checksum": b.checksum, "payload": b.payload}
 
-    # blocks of one blob are spread over tasks; the shuffle moves each byte once
-    roots = _map(planned.where("ref_target IS NULL").repartition("blob_id", "block_index"), work, BLOCKS)
-    sums = planned.where("ref_target IS NULL").select("blob_id", F.col("block_index").alias("ref_target"), F.crc32("block").alias("checksum"))
-    own = planned.where("ref_target IS NOT NULL").select("blob_id", "block_index", "ref_target", (F.col("end") - F.col("start")).alias("original"))
-    target = F.hex("ref_target")
-    four = F.unhex(F.concat(*[F.substring(F.lpad(target, 8, "0"), at, 2) for at in (7, 5, 3, 1)]))
-    refs = own.join(sums, ["blob_id", "ref_target"]).select(
-        "blob_id", "block_index", F.lit(REFERENCE).alias("method"), F.lit(0).alias("predictor"), "original", F.lit(4).cast("long").alias("packed"), "checksum", "ref_target",
-        four.alias("payload"), F.lit(8).alias("version"), F.lit(None).cast("int").alias("legacy_level"), F.lit(None).cast("long").alias("block_size"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"),
-    )
-    return roots.unionByName(refs)
+def encode_blocks(planned: DataFrame, smallest: bool = False) -> DataFrame:
+    """ENCODED rows of a plan; those of a blob are dealt over tasks, which moves each byte once."""
 
+    def work(columns: dict[str, list]) -> Iterator[tuple]:
+        names = ("blob_id", "block_index", "start", "end", "ref_target", "checksum", "block")
+        encoded = iter(kernel.encode_all([x for x in columns["block"] if x is not None], smallest))
+        for blob_id, i, start, end, target, checksum, piece in zip(*map(columns.__getitem__, names)):
+            if i is None:
+                yield blob_id, None, None, None, 0, None, None
+            elif target is not None:
+                yield blob_id, i, REFERENCE, 0, end - start, checksum, target.to_bytes(4, "little")
+            else:
+                b = next(encoded)
+                yield blob_id, i, b.method, b.predictor, b.original, b.checksum, b.payload
 
-def _empty(blob_id: int | None, index: int | None) -> dict:
-    return {"blob_id": blob_id, "block_index": index, "version": 8, "status": "ok"}
+    return _map(planned.repartition("blob_id", "block_index"), "block", work, ENCODED)
 
 
-def assemble(blobs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Archives of all ``blobs``, put together from their blocks; an empty blob is a header and an end mark."""
-    ids = blobs.where("data IS NOT NULL").select("blob_id").withColumn("block_index", F.lit(-1))
-    rows = blocks.select("blob_id", "block_index", "method", "predictor", "original", "checksum", "payload")
-    rows = rows.unionByName(ids, allowMissingColumns=True)
-    rows = rows.repartition("blob_id").sortWithinPartitions("blob_id", "block_index")
+def _little(value: Column) -> Column:
+    """A whole number as four bytes, the lowest first."""
+    digits = F.lpad(F.hex(value), 8, "0")
+    return F.unhex(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([frame.assemble(parts)], pa.binary())], names=["blob_id", "archive"])
+def _in_order(value: str, order: str) -> Column:
+    return F.coalesce(F.expr(f"listagg({value}, X'') WITHIN GROUP (ORDER BY {order})"), F.lit(b""))
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["block_index"] < 0:  # comes first for every blob
-                    if now is not None:
-                        yield done()
-                    now, parts = r["blob_id"], []
-                else:
-                    parts.append(Block(r["method"], r["predictor"], r["original"], r["checksum"], r["payload"]))
-        if now is not None:
-            yield done()
 
-    return rows.mapInArrow(run, "blob_id long, archive binary")
+def assemble(blocks: DataFrame) -> DataFrame:
+    """Archives of ENCODED rows; an empty blob is a header and an end mark."""
+    byte = [F.unhex(F.lpad(F.hex(c), 2, "0")) for c in ("method", "predictor")]
+    whole = F.concat(*byte, *[_little(c) for c in (F.col("original"), F.octet_length("payload").cast("long"), F.col("checksum"))], F.col("payload"))
+    rows = blocks.select("blob_id", "block_index", "original", (F.col("method") == REFERENCE).alias("reference"), whole.alias("bytes"))
+    out = rows.groupBy("blob_id").agg(F.max("original").alias("largest"), F.max("reference").alias("references"), _in_order("bytes", "block_index").alias("body"))
+    start, size = frame.header(frame.LEAST_BLOCK), _little(F.greatest(F.col("largest"), F.lit(frame.LEAST_BLOCK).cast("long")))
+    flag = F.when(F.col("references"), F.lit(bytes([start[5] | frame.HAS_REFERENCES]))).otherwise(F.lit(start[5:6]))
+    return out.select("blob_id", F.concat(F.lit(start[:5]), flag, F.lit(start[6:8]), size, "body", F.lit(frame.end_mark())).alias("archive"))
 
 
 def compress(blobs: DataFrame, sizes: Sizes = Sizes(), smallest: bool = False) -> DataFrame:
     """Archives of ``blobs``; ids are unique and not null."""
-    planned = plan(blobs, sizes)
-    return assemble(blobs, encode_blocks(planned, smallest))
+    return assemble(encode_blocks(plan(blobs, sizes), smallest))
 
 
 def compress_small(blobs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """Archives of blobs that need no dealing of blocks: no shuffle, one pass. Gives the same archives as ``compress``."""
     from blockweave import api
 
-    def work(rows: list[dict]) -> Iterator[dict]:
-        for r in rows:
-            yield {"blob_id": r["blob_id"], "archive": api.compress(r["data"], sizes)}
+    def work(columns: dict[str, list]) -> Iterator[tuple]:
+        yield from zip(columns["blob_id"], api.compress_all(columns["data"], sizes))
+
+    return _map(blobs.where("data IS NOT NULL").select("blob_id", "data"), "data", work, "blob_id long, archive binary")
+
 
-    return _map(blobs.where("data IS NOT NULL").select("blob_id", "data"), work, "blob_id long, archive binary")
+def _each_archive(archives: DataFrame, work: Callable[[int, bytes], Iterator[tuple]], shape: str) -> DataFrame:
+    """The rows that ``work`` makes of each archive, in one pass without a shuffle."""
+
+    def run(columns: dict[str, list]) -> Iterator[tuple]:
+        for blob_id, archive in zip(columns["blob_id"], columns["archive"]):
+            yield from work(blob_id, archive)
+
+    return _map(archives.where("archive IS NOT NULL").select("blob_id", "archive"), "archive", run, shape)
 
 
 def read_blocks(archives: DataFrame, limit: int | None = None, trailing: bool = False) -> DataFrame:
-    """BLOCKS rows of archives. A refused archive is one row with its status and no block; so is one without blocks, with status ok."""
+    """BLOCKS rows of archives; root is the block whose bytes a block has. A refused archive is one row with its status and no block; so is one without blocks, with status ok."""
 
-    def work(rows: list[dict]) -> Iterator[dict]:
-        for r in rows:
-            try:
-                head, found, _ = frame.parse(r["archive"], limit, trailing)
-            except CodecError as e:
-                yield {"blob_id": r["blob_id"], "status": e.status, "error": str(e)}
-                continue
-            own = {"blob_id": r["blob_id"], "version": head.version, "legacy_level": head.legacy_level, "block_size": head.block_size, "status": "ok"}
-            if not found:
-                yield own
-            for i, b in enumerate(found):
-                yield {**own, "block_index": i, "method": b.method, "predictor": b.predictor, "original": b.original, "packed": len(b.payload), "checksum": b.checksum, "ref_target": frame.target_of(b), "payload": b.payload}
+    def work(blob_id: int, archive: bytes) -> Iterator[tuple]:
+        nothing = (None,) * 9
+        try:
+            head, found, _ = frame.parse(archive, limit, trailing)
+        except CodecError as e:
+            yield blob_id, *nothing, None, None, None, e.status, str(e)
+            return
+        own = (head.version, head.legacy_level, head.block_size, "ok", None)
+        if not found:
+            yield blob_id, *nothing, *own
+        roots: list[int] = []
+        for i, b in enumerate(found):
+            target = frame.target_of(b)
+            roots.append(i if target is None else roots[target])
+            yield blob_id, i, b.method, b.predictor, b.original, len(b.payload), b.checksum, target, roots[-1], b.payload, *own
+
+    return _each_archive(archives, work, BLOCKS)
 
-    return _map(archives.where("archive IS NOT NULL").select("blob_id", "archive"), work, BLOCKS)
+
+DECODED = "blob_id long, block_index int, block binary, status string"
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
-    """(blob_id, block_index, block, status): the bytes of blocks that are no references."""
+    """DECODED rows of all blocks of ``blocks``.
 
-    def work(rows: list[dict]) -> Iterator[dict]:
-        for r in rows:
-            try:
-                data, status = kernel.decode(Block(r["method"], r["predictor"], r["original"], r["checksum"], r["payload"])), "ok"
-            except CodecError as e:
-                data, status = None, e.status
-            yield {"blob_id": r["blob_id"], "block_index": r["block_index"], "block": data, "status": status}
+    Blocks are dealt over tasks together with the references that lead to them, so that each is
+    decoded once and references need no join.
+    """
+    own = ["blob_id", "root", "block_index", "method", "predictor", "original", "checksum", "payload"]
+    dealt = blocks.where("method IS NOT NULL").select(own).repartition("blob_id", "root").sortWithinPartitions("blob_id", "root", "block_index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, data, status = None, None, ""  # a block stands before what refers to it, perhaps in an earlier batch
+
+        def work(columns: dict[str, list]) -> Iterator[tuple]:
+            nonlocal last, data, status
+            for blob_id, root, i, *fields in zip(*map(columns.__getitem__, own)):
+                if i == root:
+                    last = (blob_id, root)
+                    try:
+                        data, status = kernel.decode(Block(*fields)), "ok"
+                    except CodecError as e:
+                        data, status = None, e.status
+                elif last != (blob_id, root):  # the rows of its target are not at hand
+                    last, data, status = None, None, "InvalidMatch"
+                yield blob_id, i, data, status
 
-    roots = blocks.where(F.col("method") != REFERENCE).select("blob_id", "block_index", "method", "predictor", "original", "checksum", "payload")
-    return _map(roots, work, "blob_id long, block_index int, block binary, status string")
+        for batch in batches:
+            for part in _slices(batch, "payload"):
+                rows = list(work({n: part.column(k).to_pylist() for k, n in enumerate(own)}))
+                for at in range(0, len(rows), 64):  # references to a large block are many bytes
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), (pa.int64(), pa.int32(), pa.binary(), pa.string()))], names=["blob_id", "block_index", "block", "status"])
+
+    return dealt.mapInArrow(run, DECODED)
 
 
 def resolved(blocks: DataFrame) -> DataFrame:
-    """(blob_id, block_index, ref_target) of references, each led to a block that is none, by pointer jumping."""
-    links = blocks.where(F.col("method") == REFERENCE).select("blob_id", "block_index", "ref_target")
+    """(blob_id, block_index, ref_target) of references in any table of blocks, each led to a block that is none, by pointer jumping."""
+    links = settle(blocks.where(F.col("method") == REFERENCE).select("blob_id", "block_index", "ref_target"), "links")
     while True:
         onward = links.select("blob_id", F.col("block_index").alias("ref_target"), F.col("ref_target").alias("next"))
-        jumped = links.join(onward, ["blob_id", "ref_target"], "left")
+        jumped = settle(links.join(onward, ["blob_id", "ref_target"], "left"), "links")
         if jumped.where("next IS NOT NULL").isEmpty():
             return links
         links = jumped.select("blob_id", "block_index", F.coalesce("next", "ref_target").alias("ref_target"))
@@ -178,122 +223,91 @@ def resolved(blocks: DataFrame) -> DataFrame:
 def decompress(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT, strict: bool = False) -> DataFrame:
     """(blob_id, data, status, error) of every archive; data is null where it is refused. Each archive is decoded in one pass."""
 
-    def work(rows: list[dict]) -> Iterator[dict]:
-        for r in rows:
-            out = {"blob_id": r["blob_id"], "data": None, "status": "ok", "error": None}
-            try:
-                out["data"] = frame.decode_all(r["archive"], limit)
-            except CodecError as e:
-                if strict:
-                    raise
-                out |= {"status": e.status, "error": str(e)}
-            yield out
+    def work(blob_id: int, archive: bytes) -> Iterator[tuple]:
+        try:
+            yield blob_id, frame.decode_all(archive, limit), "ok", None
+        except CodecError as e:
+            if strict:
+                raise
+            yield blob_id, None, e.status, str(e)
 
-    return _map(archives.where("archive IS NOT NULL").select("blob_id", "archive"), work, "blob_id long, data binary, status string, error string")
+    return _each_archive(archives, work, "blob_id long, data binary, status string, error string")
 
 
 def decompress_parallel(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT) -> DataFrame:
-    """As ``decompress``, with the blocks of an archive dealt over tasks and references resolved by joins; for few large archives."""
-    blocks = read_blocks(archives, limit)
-    decoded = decode_blocks(blocks.where("method IS NOT NULL").repartition("blob_id", "block_index"))
-    target = resolved(blocks)
-    copies = target.join(decoded.withColumnRenamed("block_index", "ref_target"), ["blob_id", "ref_target"]).select("blob_id", "block_index", "block", "status")
-    none = blocks.where("method IS NULL").select("blob_id", F.lit(-1).alias("block_index"), F.lit(None).cast("binary").alias("block"), "status")
-    rows = decoded.unionByName(copies).unionByName(none).repartition("blob_id").sortWithinPartitions("blob_id", "block_index")
+    """(blob_id, data, status) as of ``decompress``, with the blocks of an archive dealt over tasks; for few large archives."""
+    blocks = settle(read_blocks(archives, limit), "blocks")  # parsed once, read twice
+    decoded = decode_blocks(blocks)
+    none = blocks.where("method IS NULL").select("blob_id", F.lit(None).cast("int").alias("block_index"), F.lit(None).cast("binary").alias("block"), "status")
+    out = decoded.unionByName(none).groupBy("blob_id").agg(
+        _in_order("block", "block_index").alias("data"),
+        F.min(F.when(F.col("status") != "ok", F.struct("block_index", "status"))).alias("bad"),
+    )
+    return out.select("blob_id", F.when(F.col("bad").isNull(), F.col("data")).alias("data"), F.coalesce("bad.status", F.lit("ok")).alias("status"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, list[bytes], str] | None = None
 
-        def done(x: tuple[int, list[bytes], str]) -> pa.RecordBatch:
-            data = b"".join(x[1]) if x[2] == "ok" else None
-            return pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int64()), pa.array([data], pa.binary()), pa.array([x[2]])], names=["blob_id", "data", "status"])
+def check(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT) -> DataFrame:
+    """(blob_id, status, error, original): whether each archive decodes; what it holds stays in the worker, a block at a time."""
+    from blockweave import api
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held is None or held[0] != r["blob_id"]:
-                    if held is not None:
-                        yield done(held)
-                    held = (r["blob_id"], [], "ok")
-                held[1].append(r["block"] or b"")
-                if r["status"] != "ok" and held[2] == "ok":
-                    held = (*held[:2], r["status"])
-        if held is not None:
-            yield done(held)
+    def work(blob_id: int, archive: bytes) -> Iterator[tuple]:
+        try:
+            yield blob_id, "ok", None, api.check(archive, limit)
+        except CodecError as e:
+            yield blob_id, e.status, str(e), None
 
-    return rows.mapInArrow(run, "blob_id long, data binary, status string")
+    return _each_archive(archives, work, "blob_id long, status string, error string, original long")
 
 
-def check(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT) -> DataFrame:
-    """(blob_id, status, error, original): whether each archive decodes, without keeping what it holds."""
-    done = decompress(archives, limit)
-    return done.select("blob_id", "status", "error", F.octet_length("data").cast("long").alias("original"))
+INFO = "blob_id long, version int, legacy_level int, block_size long, original_size long, blocks long, status string, frame_size long, checksum boolean"
 
 
 def frame_info(archives: DataFrame) -> DataFrame:
-    """One row per archive from its headers alone: version, level, sizes, blocks; payloads are not decoded."""
-    blocks = read_blocks(archives)
-    sizes = archives.select("blob_id", F.octet_length("archive").cast("long").alias("frame_size"))
-    info = blocks.groupBy("blob_id").agg(
-        F.max("version").alias("version"),
-        F.max("legacy_level").alias("legacy_level"),
-        F.max("block_size").alias("block_size"),
-        F.coalesce(F.sum("original"), F.lit(0)).cast("long").alias("original_size"),
-        F.count("method").alias("blocks"),
-        F.max("status").alias("status"),
-    )
-    return info.join(sizes, "blob_id").withColumn("checksum", F.col("status") == "ok")
+    """INFO, one row per archive from its headers alone: payloads are not decoded."""
+
+    def work(blob_id: int, archive: bytes) -> Iterator[tuple]:
+        try:
+            head, found, _ = frame.parse(archive)
+            yield blob_id, head.version, head.legacy_level, head.block_size, sum(b.original for b in found), len(found), "ok", len(archive), True
+        except CodecError as e:
+            yield blob_id, None, None, None, 0, 0, e.status, len(archive), False
+
+    return _each_archive(archives, work, INFO)
 
 
-COUNTERS = "blob_id long, block_index int, literal_commands long, match_commands long, literal_bytes long, matched_bytes long, distance_total long, status string"
+COMMANDS = ("literal_commands", "match_commands", "literal_bytes", "matched_bytes", "distance_total")
+COUNTERS = "blob_id long, block_index int, " + ", ".join(f"{c} long" for c in COMMANDS) + ", status string"
 
 
 def command_counts(blocks: DataFrame) -> DataFrame:
-    """Counters of the commands of each block that is no reference; the block is decoded to check it."""
+    """COUNTERS of the commands of each block that is no reference; the block is decoded to check it."""
+    own = ["blob_id", "block_index", "method", "predictor", "original", "checksum", "payload"]
 
-    def work(rows: list[dict]) -> Iterator[dict]:
-        for r in rows:
-            b = Block(r["method"], r["predictor"], r["original"], r["checksum"], r["payload"])
-            out = {"blob_id": r["blob_id"], "block_index": r["block_index"], "status": "ok"}
+    def work(columns: dict[str, list]) -> Iterator[tuple]:
+        for blob_id, i, *fields in zip(*map(columns.__getitem__, own)):
             try:
-                kernel.decode(b)
-                found = [(len(x), n, d) for x, n, d in kernel.commands_of(b)]
+                yield blob_id, i, *kernel.expand(Block(*fields))[1:], "ok"
             except CodecError as e:
-                yield out | {"status": e.status}
-                continue
-            sizes = np.array(found, np.int64).reshape(-1, 3)
-            stored = b.method == kernel.STORED
-            yield out | {
-                "literal_commands": 0 if stored else int((sizes[:, 0] > 0).sum()), "match_commands": int((sizes[:, 1] > 0).sum()),
-                "literal_bytes": int(sizes[:, 0].sum()), "matched_bytes": int(sizes[:, 1].sum()), "distance_total": int(sizes[:, 2].sum()),
-            }
+                yield blob_id, i, None, None, None, None, None, e.status
+
+    return _map(blocks.where(F.col("method") != REFERENCE).select(own), "payload", work, COUNTERS)
+
 
-    roots = blocks.where(F.col("method") != REFERENCE).select("blob_id", "block_index", "method", "predictor", "original", "checksum", "payload")
-    return _map(roots, work, COUNTERS)
+ANALYSIS = ", ".join(
+    ["blob_id long", *[f"{c} long" for c in ("original_size", "payload_size", "blocks")], *[f"{n}_blocks long" for n in kernel.METHOD_NAMES.values()],
+     *[f"{n}_predictor long" for n in kernel.PREDICTOR_NAMES.values()], "referenced_bytes long", *[f"{c} long" for c in COMMANDS], "frame_size long", "status string"]
+)
 
 
 def analyze(archives: DataFrame) -> DataFrame:
-    """One row of counters per archive: blocks by method and predictor, bytes and commands."""
-    blocks = read_blocks(archives)
-    counts = command_counts(blocks)
-    by_method = [F.count_if(F.col("method") == m).alias(f"{name}_blocks") for m, name in kernel.METHOD_NAMES.items()]
-    by_predictor = [F.count_if((F.col("predictor") == p) & (F.col("method") != REFERENCE)).alias(f"{name}_predictor") for p, name in kernel.PREDICTOR_NAMES.items()]
-    whole = blocks.groupBy("blob_id").agg(
-        F.coalesce(F.sum("original"), F.lit(0)).cast("long").alias("original_size"),
-        F.coalesce(F.sum("packed"), F.lit(0)).cast("long").alias("payload_size"),
-        F.count("method").alias("blocks"),
-        *by_method,
-        *by_predictor,
-        F.coalesce(F.sum(F.when(F.col("method") == REFERENCE, F.col("original"))), F.lit(0)).cast("long").alias("referenced_bytes"),
-        F.max("status").alias("parsed"),
-    )
-    zero = F.lit(0).cast("long")
-    sums = counts.groupBy("blob_id").agg(
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("literal_commands", "match_commands", "literal_bytes", "matched_bytes", "distance_total")],
-        F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("failed"),
-    )
-    out = whole.join(sums, "blob_id", "left").join(archives.select("blob_id", F.octet_length("archive").cast("long").alias("frame_size")), "blob_id")
-    filled = {c: F.coalesce(c, zero) for c in ("literal_commands", "match_commands", "literal_bytes", "matched_bytes", "distance_total")}
-    return out.withColumns({**filled, "status": F.coalesce("failed", "parsed")}).drop("failed", "parsed")
+    """ANALYSIS, one row of counters per archive: blocks by method and predictor, bytes and commands; every block is decoded once."""
+
+    def work(blob_id: int, archive: bytes) -> Iterator[tuple]:
+        from blockweave import api
+
+        yield blob_id, *api.analyze(archive).values()
+
+    return _each_archive(archives, work, ANALYSIS)
 
 
 def derived(analysis: DataFrame) -> DataFrame:

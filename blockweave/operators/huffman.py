@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -10,32 +10,44 @@ from blockweave.operators.errors import refuse
 
 #: Fixed values of the format.
 SYMBOLS, HEADER, LONGEST = 256, 260, 24
+#: Bytes that are coded with array operations at once.
+STRETCH = 1 << 16
+#: Stands for bits that no code begins with; longer than any code.
+NO_CODE = 255
 
 
-def code_lengths(counts: np.ndarray) -> np.ndarray | None:
+def code_lengths(counts: Sequence[int]) -> np.ndarray | None:
     """Code length of every byte; equal counts meet in the order in which they arose. None without bytes or beyond LONGEST."""
-    present = np.flatnonzero(counts).tolist()
+    present = [s for s, n in enumerate(counts) if n]
     if not present:
         return None
     depth = np.zeros(SYMBOLS, np.uint8)
     if len(present) == 1:
         depth[present] = 1
         return depth
-    # a node is (count, serial, the bytes below it)
-    heap = [(int(counts[s]), i, [s]) for i, s in enumerate(present)]
-    heapq.heapify(heap)
-    serial = len(heap)
-    levels = dict.fromkeys(present, 0)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        below = a[2] + b[2]
-        for s in below:
-            levels[s] += 1
-        heapq.heappush(heap, (a[0] + b[0], serial, below))
-        serial += 1
-    if max(levels.values()) > LONGEST:
+    # Leaves in the order of their counts and merged nodes in the order in which they arise are two
+    # sorted queues; of equal counts a leaf comes first, for it arose first.
+    present.sort(key=counts.__getitem__)
+    weights = [int(counts[s]) for s in present]
+    leaves = len(weights)
+    above = [0] * (2 * leaves - 1)
+    leaf, node = 0, leaves
+    for new in range(leaves, 2 * leaves - 1):
+        weight = 0
+        for _ in range(2):
+            if leaf < leaves and (node == new or weights[leaf] <= weights[node]):
+                least, leaf = leaf, leaf + 1
+            else:
+                least, node = node, node + 1
+            above[least] = new
+            weight += weights[least]
+        weights.append(weight)
+    levels = [0] * (2 * leaves - 1)
+    for i in range(2 * leaves - 3, -1, -1):
+        levels[i] = levels[above[i]] + 1
+    if max(levels) > LONGEST:
         return None
-    depth[list(levels)] = list(levels.values())
+    depth[present] = levels[:leaves]
     return depth
 
 
@@ -54,22 +66,40 @@ def bit_cost(counts: np.ndarray, depth: np.ndarray) -> int:
     return int((counts.astype(np.int64) * depth).sum())
 
 
-def encode(data: bytes) -> bytes | None:
+def encode(data: bytes, below: int | None = None) -> bytes | None:
+    """The coded form; None without one, or if it would not be shorter than ``below``."""
+    if below is not None and below <= HEADER + 1 or not data or len(data) >> 32:
+        return None
     x = np.frombuffer(data, np.uint8)
     counts = np.bincount(x, minlength=SYMBOLS)
-    depth = code_lengths(counts)
-    if depth is None or len(data) >> 32:
+    if below is not None:  # no code beats the entropy
+        some = counts[counts > 0]
+        if HEADER + int(some @ (np.log2(len(x)) - np.log2(some)) / 8 * 0.999999) >= below:
+            return None
+    depth = code_lengths(counts.tolist())
+    if depth is None or below is not None and HEADER + -(-bit_cost(counts, depth) // 8) >= below:
         return None
     order, aligned = canonical(depth)
+    # a row of bits for every byte, from which those behind its code are left out
+    longest = int(depth.max())
     codes = np.zeros(SYMBOLS, np.int64)
     codes[order] = aligned
-    size, code = depth[x].astype(np.int64), codes[x]
-    starts = np.cumsum(size) - size
-    bits = np.zeros(bit_cost(counts, depth), np.uint8)
-    for k in range(int(depth.max())):
-        live = size > k
-        bits[starts[live] + k] = code[live] >> (LONGEST - 1 - k) & 1
-    return len(data).to_bytes(4, "little") + depth.tobytes() + np.packbits(bits).tobytes()
+    bits = (codes[:, None] >> np.arange(LONGEST - 1, LONGEST - 1 - longest, -1) & 1).astype(np.uint8)
+    used = np.arange(longest) < depth[:, None]
+    packed = [np.packbits(bits[x][used[x]])] if len(x) <= STRETCH else _packed(x, bits, used)
+    return b"".join([len(data).to_bytes(4, "little"), depth.tobytes(), *[p.tobytes() for p in packed]])
+
+
+def _packed(x: np.ndarray, bits: np.ndarray, used: np.ndarray) -> Iterator[np.ndarray]:
+    """The bits of a long stream, a stretch at a time."""
+    rest = np.empty(0, np.uint8)
+    for at in range(0, len(x), STRETCH):
+        part = x[at : at + STRETCH]
+        rest = np.concatenate([rest, bits[part][used[part]]])
+        whole = len(rest) & ~7
+        yield np.packbits(rest[:whole])
+        rest = rest[whole:]
+    yield np.packbits(rest)
 
 
 def decode(coded: bytes, limit: int) -> bytes:
@@ -92,34 +122,37 @@ def decode(coded: bytes, limit: int) -> bytes:
         raise refuse("InvalidEntropyData", "no codes")
     if not len(body):
         raise refuse("Truncated", "entropy data")
-    # what would be read at every bit; then only the places are followed one by one
-    total = 8 * len(body)
-    padded = np.concatenate([body, np.zeros(4, np.uint8)]).astype(np.uint32)
-    whole = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]
-    out = bytearray(count)
+    # what would be read at every bit: a table over the bits of the longest code; then only the places are followed
+    total, longest = 8 * len(body), int(depth.max())
+    shares = (np.int64(1) << (LONGEST - depth[order].astype(np.int64))) >> (LONGEST - longest)
+    symbols, steps = np.zeros(1 << longest, np.uint8), np.full(1 << longest, NO_CODE, np.uint8)
+    filled = int(shares.sum())
+    symbols[:filled], steps[:filled] = np.repeat(order.astype(np.uint8), shares), np.repeat(depth[order], shares)
+    padded = np.concatenate([body, np.zeros(4, np.uint8)])
+    out: list[np.ndarray] = []
     at = made = 0
-    ends = aligned + (np.int64(1) << (LONGEST - depth[order].astype(np.int64)))
-    block = 1 << 20
     shifts = np.arange(8, dtype=np.uint32)
     while made < count:
-        # a stretch of bits at a time, so that memory does not grow with the stream
+        # a stretch of bytes at a time, so that memory does not grow with the stream
         first = at >> 3
-        words = whole[first : first + (block >> 3)]
-        if not len(words):
+        part = padded[first : first + STRETCH + 3].astype(np.uint32)
+        if len(part) < 5:
             raise refuse("Truncated", "entropy data")
-        windows = ((words[:, None] << shifts) >> np.uint32(8)).ravel().astype(np.int64)
-        which = np.searchsorted(aligned, windows, side="right") - 1
-        good = windows < ends[which]
-        step = np.where(good, depth[order][which], 0).tolist()
-        symbol = order[which].tolist()
-        here, stop = at - 8 * first, len(windows)
-        while made < count and here < stop:
-            size = step[here]
-            if not size:
-                raise refuse("InvalidEntropyData" if 8 * first + here + LONGEST <= total else "Truncated", "code")
-            out[made] = symbol[here]
-            made += 1
-            here += size
+        words = part[:-3] << 24 | part[1:-2] << 16 | part[2:-1] << 8 | part[3:]
+        windows = ((words[:, None] << shifts) >> np.uint32(32 - longest)).ravel()
+        step, here, stop, places = steps[windows].tobytes(), at - 8 * first, len(windows), []
+        while here < stop:
+            places.append(here)
+            here += step[here]
+        if made + len(places) > count:
+            here = places[count - made]
+            del places[count - made :]
+        found = windows[places]
+        bad = np.flatnonzero(steps[found] == NO_CODE)
+        if len(bad):
+            raise refuse("InvalidEntropyData" if 8 * first + places[bad[0]] + LONGEST <= total else "Truncated", "code")
+        out.append(symbols[found])
+        made += len(places)
         at = 8 * first + here
     if at > total:
         raise refuse("Truncated", "entropy data")
@@ -127,4 +160,4 @@ def decode(coded: bytes, limit: int) -> bytes:
         raise refuse("TrailingData", "entropy data")
     if at % 8 and int(body[-1]) & (1 << 8 - at % 8) - 1:
         raise refuse("InvalidEntropyData", "padding")
-    return bytes(out)
+    return b"".join([x.tobytes() for x in out])

@@ -1,88 +1,166 @@
-"""Matches of a block with its own past.
+"""Matches of blocks with their own past, many blocks at once.
 
-Which earlier places a position may copy from does not depend on how the block is parsed, so
-the best match of every position is found with array operations; only the walk that takes
-one match after another is sequential.
+Which earlier places a position may copy from does not depend on how a block is parsed, so the
+best match of every position is found with array operations over a whole group of blocks laid
+end to end; only the walk that takes one match after another is sequential.
+
+Positions sorted by the hash of their three bytes stand beside their candidates: the k-th
+nearest earlier one with the same hash is the k-th neighbour. Four equal bytes in the same block
+are one comparison of neighbours, so candidates that cannot match cost next to nothing.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 #: Fixed values of the format and its parser.
 WINDOW, LONGEST, SHORTEST, CANDIDATES = 65_535, 65_535, 4, 16
+#: Factors of the hash of three bytes; the third has none.
+FIRST, SECOND = 251, 31
 #: Lengths found with array operations; a longer match is measured when it is taken.
 MEASURED = 64
 
 
-def _words(data: np.ndarray, size: int) -> np.ndarray:
-    """The ``size`` bytes from every position on as one number, zeros behind the end."""
-    padded = np.concatenate([data, np.zeros(MEASURED + 8, np.uint8)])
-    kind = np.uint64 if size == 8 else np.uint32
-    return np.lib.stride_tricks.sliding_window_view(padded, size)[: len(data) + MEASURED].copy().view(kind).ravel()
-
-
-def candidates(data: np.ndarray) -> np.ndarray:
-    """Row k: the (k+1)-th nearest earlier position with the same hash of three bytes, or -1."""
-    n = len(data)
-    out = np.full((CANDIDATES, n), -1, np.int32)
-    if n < 3:
-        return out
-    x = data.astype(np.int32)
-    h = (x[:-2] * 251 ^ x[1:-1] * 31 ^ x[2:]).astype(np.uint16)
-    order = np.argsort(h, kind="stable").astype(np.int32)
-    grouped = h[order]
-    for k in range(1, min(CANDIDATES, n - 3) + 1):
-        same = grouped[k:] == grouped[:-k]
-        here, there = order[k:][same], order[:-k][same]
-        near = here - there <= WINDOW
-        out[k - 1, here[near]] = there[near]
-    return out
-
-
-def best_matches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length up to MEASURED, distance, candidates) of every position's best match; of equal lengths the nearest."""
-    n = len(data)
-    near = candidates(data)
-    length, distance = np.zeros(n, np.int32), np.zeros(n, np.int32)
-    if n < SHORTEST:
-        return length, distance, near
-    w4, w8 = _words(data, 4), _words(data, 8)
-    room = np.minimum(n - np.arange(n), MEASURED).astype(np.int32)
-    for k in range(CANDIDATES):
-        here = np.flatnonzero(near[k] >= 0)
-        there = near[k, here]
-        ok = w4[here] == w4[there]
-        here, there = here[ok], there[ok]
-        # only a candidate that also agrees where the best one so far ends can be longer
-        best = length[here]
-        ok = (best < room[here]) & (data[np.minimum(here + best, n - 1)] == data[there + best])
-        here, there = here[ok], there[ok]
-        if not len(here):
-            continue
-        size = np.zeros(len(here), np.int32)
-        live = np.arange(len(here))
-        for at in range(0, MEASURED, 8):
-            differ = w8[here[live] + at] ^ w8[there[live] + at]
-            whole = differ == 0
-            rest = differ[~whole]
-            lowest = rest & (~rest + np.uint64(1))
-            size[live[~whole]] = at + (np.log2(lowest.astype(np.float64)).astype(np.int32) >> 3)
-            live = live[whole]
-            size[live] = at + 8
-            if not len(live):
+class Group(NamedTuple):
+    """Blocks laid end to end: block i is data[bounds[i]:bounds[i + 1]]."""
+
+    data: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, blocks: list[np.ndarray]) -> Group:
+        data = blocks[0] if len(blocks) == 1 else np.concatenate([*blocks, np.empty(0, np.uint8)])
+        return cls(data, np.cumsum([0, *map(len, blocks)]))
+
+    def owners(self) -> np.ndarray:
+        """The block of every byte."""
+        sizes = np.diff(self.bounds)
+        return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+
+class Parse(NamedTuple):
+    """Steps of all blocks of a group in order; block i has steps[first[i]:first[i + 1]].
+
+    A step is a run of literals and a match behind it; only the last of a block may be without
+    a match (length and distance 0).
+    """
+
+    start: np.ndarray
+    literals: np.ndarray
+    length: np.ndarray
+    distance: np.ndarray
+    first: np.ndarray
+
+    def of(self, block: int, offset: int = 0) -> list[tuple[int, int, int, int]]:
+        """(first literal, literals, match length, distance) of each step of one block."""
+        own = slice(int(self.first[block]), int(self.first[block + 1]))
+        return list(zip((self.start[own] - offset).tolist(), self.literals[own].tolist(), self.length[own].tolist(), self.distance[own].tolist()))
+
+
+def hash3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The hash of three bytes (as 16-bit numbers or wider) that matching and scoring group places by."""
+    return a * a.dtype.type(FIRST) ^ b * b.dtype.type(SECOND) ^ c
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The four and the eight bytes from every place on as numbers, zeros behind the end."""
+    w = np.zeros(len(data) + MEASURED + 16, np.uint64)
+    w[: len(data)] = data
+    w[:-1] |= w[1:] << np.uint64(8)
+    w[:-2] |= w[2:] << np.uint64(16)
+    four = w[: len(data)].copy()
+    w[:-4] |= w[4:] << np.uint64(32)
+    return four, w
+
+
+def _equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of eight bytes agree from the first on."""
+    differ = a ^ b
+    return np.where(differ == 0, 8, (np.bitwise_count(differ ^ (differ - np.uint64(1))) - 1) >> 3).astype(np.int32)
+
+
+class Matches:
+    """The best match of every position: length up to MEASURED (0 without one) and distance; of equal lengths the nearest."""
+
+    def __init__(self, group: Group):
+        self.group, data, n = group, group.data, len(group.data)
+        self.length, self.distance = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self._rank: np.ndarray | None = None
+        ends = group.bounds[1:][np.diff(group.bounds) > 0]
+        inside = np.ones(n, bool)  # with three bytes left in the block
+        inside[ends - 1] = inside[ends - 2] = False
+        places = np.flatnonzero(inside).astype(np.int32)
+        x = data.astype(np.uint16)
+        self._hash = hash3(x[:-2], x[1:-1], x[2:]) if n > 2 else np.empty(0, np.uint16)
+        self._order = places[np.argsort(self._hash[places], kind="stable")] if len(places) else places
+        if len(places) > 1:
+            self._measure(ends)
+
+    def _measure(self, ends: np.ndarray) -> None:
+        order, data = self._order, self.group.data
+        four, eight = _words(data)
+        owner = self.group.owners()
+        four |= owner.astype(np.uint64) << np.uint64(32)
+        last = ends - 3  # with three bytes left only: a candidate for others, but never a match
+        last = last[last >= 0]
+        four[last] = np.uint64(1 << 63) | last.astype(np.uint64)
+        four = four[order]
+        room = (self.group.bounds[1:].astype(np.int32)[owner] - np.arange(len(data), dtype=np.int32))[order]
+        np.minimum(room, MEASURED, out=room)
+        padded = np.concatenate([data, np.zeros(MEASURED, np.uint8)])
+        far = int(np.diff(self.group.bounds).max()) > WINDOW
+        length, distance = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        for k in range(1, min(CANDIDATES, len(order) - 1) + 1):
+            here = np.flatnonzero(four[k:] == four[:-k])
+            if not len(here):
+                continue
+            there = order[here]
+            here += k
+            at, best = order[here], length[here]
+            keep = best < room[here]
+            if k > 1:  # only a candidate that also agrees where the best one so far ends can be longer
+                keep &= padded[at + best] == padded[there + best]
+            if far:
+                keep &= at - there <= WINDOW
+            if not keep.all():
+                here, at, there, best = here[keep], at[keep], there[keep], best[keep]
+            size = _equal_bytes(eight[at + SHORTEST], eight[there + SHORTEST])
+            live = np.flatnonzero(size == 8)
+            size += SHORTEST
+            for step in range(SHORTEST + 8, MEASURED, 8):
+                if not len(live):
+                    break
+                more = _equal_bytes(eight[at[live] + step], eight[there[live] + step])
+                size[live] += more
+                live = live[more == 8]
+            np.minimum(size, room[here], out=size)
+            longer = size > best
+            here = here[longer]
+            length[here], distance[here] = size[longer], (at - there)[longer]
+        self.length[order], self.distance[order] = length, distance
+
+    def whole(self, at: int, end: int, raw: bytes) -> tuple[int, int]:
+        """(length, distance) of the best match at a place, measured to the end of its block."""
+        if self._rank is None:
+            self._rank = np.zeros(len(self.group.data), np.int32)
+            self._rank[self._order] = np.arange(len(self._order), dtype=np.int32)
+        rank, most, begin = int(self._rank[at]), min(LONGEST, end - at), int(self.group.bounds[np.searchsorted(self.group.bounds, at, side="right") - 1])
+        best = (0, 0)
+        for there in self._order[max(0, rank - CANDIDATES) : rank][::-1].tolist():
+            if there < begin or at - there > WINDOW or self._hash[there] != self._hash[at]:
                 break
-        size = np.minimum(size, room[here])
-        longer = (size > length[here]) & (size >= SHORTEST)
-        length[here[longer]] = size[longer]
-        distance[here[longer]] = (here - there)[longer]
-    return length, distance, near
+            if (size := _common(raw, there, at, most)) > best[0]:
+                best = size, at - there
+                if size == most:
+                    break
+        return best
 
 
 def _common(data: bytes, a: int, b: int, most: int) -> int:
     """Length of the common prefix of data[a:] and data[b:], at most ``most``."""
-    size = 0
-    step = MEASURED
+    size, step = 0, MEASURED
     while size < most:
         step = min(step, most - size)
         if data[a + size : a + size + step] == data[b + size : b + size + step]:
@@ -95,31 +173,41 @@ def _common(data: bytes, a: int, b: int, most: int) -> int:
     return size
 
 
-def parse(data: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Greedy parse: (first literal, literals, match length, distance); only the last may be without a match (0, 0)."""
-    n = len(data)
-    length, distance, near = best_matches(data)
-    ahead = np.flatnonzero(length >= SHORTEST)
-    raw = data.tobytes()
-    lengths, distances, starts = length.tolist(), distance.tolist(), ahead.tolist()
-    # for every position the next one with a match
-    following = np.searchsorted(ahead, np.arange(n + 1)).tolist()
-    steps, at, count = [], 0, len(starts)
-    while at < n:
-        i = following[at]
-        if i == count:
-            steps.append((at, n - at, 0, 0))
-            break
-        here = starts[i]
-        size, back = lengths[here], distances[here]
-        if size >= MEASURED:
-            most = min(LONGEST, n - here)
-            size = 0
-            for there in near[:, here].tolist():
-                if there >= 0 and (found := _common(raw, there, here, most)) > size:
-                    size, back = found, here - there
-                    if size == most:
-                        break
-        steps.append((at, here - at, size, back))
-        at = here + size
-    return steps
+def parse(group: Group) -> Parse:
+    """Greedy parse of every block: a match wherever one of SHORTEST bytes at least is found, else a literal."""
+    found, bounds, n = Matches(group), group.bounds, len(group.data)
+    ahead = np.flatnonzero(found.length)
+    size = found.length[ahead]
+    # matches that begin before each place: the number of the first one from there on
+    before = np.zeros(n + 1, np.int64)
+    np.cumsum(found.length > 0, out=before[1:])
+    after = before[ahead + size]
+    after[size == MEASURED] = -1  # the whole length is not known yet
+    following, taken, measured, i, raw = after.tolist(), [], [], 0, b""
+    while i < len(following):
+        taken.append(i)
+        i = following[i]
+        if i < 0:
+            at = int(ahead[taken[-1]])
+            raw = raw or group.data.tobytes()
+            whole = found.whole(at, int(bounds[np.searchsorted(bounds, at, side="right")]), raw)
+            measured.append((len(taken) - 1, *whole))
+            i = int(before[at + whole[0]])
+    at = ahead[taken]
+    length, distance = found.length[at].astype(np.int64), found.distance[at].astype(np.int64)
+    for place, whole, back in measured:
+        length[place], distance[place] = whole, back
+    # every block gets one more step, for the literals behind its last match
+    blocks = len(bounds) - 1
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    counts = np.bincount(owner, minlength=blocks) + 1
+    last = np.cumsum(counts) - 1
+    place = np.arange(len(at)) + owner
+    start, end, lengths, distances = (np.zeros(len(at) + blocks, np.int64) for _ in range(4))
+    lengths[place], distances[place] = length, distance
+    end[place], end[last] = at, bounds[1:]  # where the literals of a step end
+    start[1:] = (end + lengths)[:-1]
+    start[np.concatenate([[0], last[:-1] + 1])[:blocks]] = bounds[:-1]
+    some = (end > start) | (lengths > 0)
+    first = np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], last + 1])]
+    return Parse(start[some], (end - start)[some], lengths[some], distances[some], first)

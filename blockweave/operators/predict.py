@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from blockweave.operators.matching import Group, hash3
+
 #: Fixed values of the format.
 NONE, DELTA, XOR = 0, 1, 2
 #: A block shorter than LEAST is never predicted; at most SAMPLE bytes are looked at.
-LEAST, SAMPLE, MARGIN = 64, 8192, 64
+LEAST, SAMPLE, MARGIN, SLOTS = 64, 8192, 64, 4096
 
 
 def forward(data: np.ndarray, predictor: int) -> np.ndarray:
@@ -23,25 +25,58 @@ def inverse(data: np.ndarray, predictor: int) -> np.ndarray:
     return np.cumsum(data, dtype=np.uint8) if predictor == DELTA else np.bitwise_xor.accumulate(data)
 
 
-def score(data: np.ndarray, predictor: int) -> int:
-    """Places whose latest predecessor with the same 12-bit hash holds the same three bytes."""
-    x = forward(data, predictor).astype(np.int64)
-    if len(x) < 3:
-        return 0
-    a, b, c = x[:-2], x[1:-1], x[2:]
-    slot, triple = (a * 251 ^ b * 31 ^ c) & 4095, a << 16 | b << 8 | c
+def transformed(group: Group, predictors: np.ndarray) -> Group:
+    """The blocks of a group, each changed by its own predictor."""
+    if (predictors == NONE).all() or not len(group.data):
+        return group
+    data, own = group.data, predictors[group.owners()]
+    before = np.zeros_like(data)
+    before[1:] = data[:-1]
+    before[group.bounds[:-1][np.diff(group.bounds) > 0]] = 0
+    return Group(np.where(own == DELTA, data - before, np.where(own == XOR, data ^ before, data)), group.bounds)
+
+
+def scores(group: Group, predictor: int) -> np.ndarray:
+    """Per block: places whose latest predecessor with the same 12-bit hash holds the same three bytes."""
+    blocks = len(group.bounds) - 1
+    changed = transformed(group, np.full(blocks, predictor)).data
+    n = len(changed)
+    if n < 3:
+        return np.zeros(blocks, np.int64)
+    ends = group.bounds[1:][np.diff(group.bounds) > 0]
+    inside = np.ones(n, bool)  # with three bytes left in the block
+    inside[ends - 1] = inside[ends - 2] = False
+    inside = inside[:-2]
+    x = changed.astype(np.uint16)
+    slot = (hash3(x[:-2], x[1:-1], x[2:]) & np.uint16(SLOTS - 1))[inside]
+    wide = changed.astype(np.uint64)
+    owner = group.owners()[:-2]
+    triple = (owner.astype(np.uint64) << np.uint64(24) | wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:])[inside]
     order = np.argsort(slot, kind="stable")
-    slot, triple = slot[order], triple[order]
-    return int(((slot[1:] == slot[:-1]) & (triple[1:] == triple[:-1])).sum())
+    triple = triple[order]
+    same = order[1:][triple[1:] == triple[:-1]]  # equal bytes of a block have the same slot, too
+    return np.bincount(owner[inside][same], minlength=blocks)
+
+
+def score(data: np.ndarray, predictor: int) -> int:
+    return int(scores(Group.of([data]), predictor)[0])
+
+
+def choices(group: Group) -> np.ndarray:
+    """Per block the predictor whose sample repeats clearly more than the plain bytes."""
+    sizes = np.minimum(np.diff(group.bounds), SAMPLE)
+    sample = group
+    if (np.diff(group.bounds) > SAMPLE).any():
+        sample = Group.of([group.data[a : a + n] for a, n in zip(group.bounds[:-1].tolist(), sizes.tolist())])
+    plain, delta, xor = (scores(sample, p) for p in (NONE, DELTA, XOR))
+    return chosen(sizes, plain, delta, xor)
+
+
+def chosen(sizes: np.ndarray, plain: np.ndarray, delta: np.ndarray, xor: np.ndarray) -> np.ndarray:
+    bar = plain + sizes // MARGIN
+    out = np.where((delta > bar) & (delta >= xor), DELTA, np.where(xor > bar, XOR, NONE))
+    return np.where(sizes < LEAST, NONE, out)
 
 
 def choose(data: np.ndarray) -> int:
-    """The predictor whose sample repeats clearly more than the plain bytes."""
-    sample = data[:SAMPLE]
-    if len(sample) < LEAST:
-        return NONE
-    plain, delta, xor = (score(sample, p) for p in (NONE, DELTA, XOR))
-    bar = plain + len(sample) // MARGIN
-    if delta > bar and delta >= xor:
-        return DELTA
-    return XOR if xor > bar else NONE
+    return int(choices(Group.of([data]))[0])

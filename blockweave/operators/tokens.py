@@ -9,11 +9,13 @@ own, and a distance is a place in a move-to-front list of four or a varint of it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 
 from blockweave.operators import huffman
-from blockweave.operators.errors import refuse
+from blockweave.operators.errors import CodecError, refuse
+from blockweave.operators.matching import Group, Parse
 
 #: Fixed values of the format.
 RUN, SHORT_MATCH, LONG_MATCH = 128, 0x80, 0xC0
@@ -105,43 +107,49 @@ def _distance_codes(distances: list[int]) -> bytes:
     return b"".join(out)
 
 
-def command_size(steps: list[Step]) -> int:
-    """Length of the command stream of a parse."""
-    if not steps:
-        return 0
-    x = np.array(steps, np.int64)
-    literals, length = x[:, 1], x[:, 2]
-    matches = length[length > 0]
-    long = matches[matches > SHORT_MOST]
-    varint = len(long) + sum(int((long >> bits > 0).sum()) for bits in (7, 14))
-    return int(literals.sum() + -(-literals // RUN).sum() + 3 * len(matches) + varint)
-
-
-def split(data: bytes, steps: list[Step]) -> tuple[bytes, bytes, bytes, bytes]:
-    """Tags, literals, lengths and distances of a parse."""
-    if not steps:
-        return b"", b"", b"", b""
-    x = np.array(steps, np.int64)
-    start, literals, length = x[:, 0], x[:, 1], x[:, 2]
+def command_sizes(parse: Parse) -> np.ndarray:
+    """Length of the command stream of each block."""
+    length = parse.length
+    long = length > SHORT_MOST
+    each = parse.literals - (-parse.literals // RUN) + 3 * (length > 0) + long + (long & (length >> 7 > 0)) + (long & (length >> 14 > 0))
+    sums = np.concatenate([[0], np.cumsum(each)])
+    return sums[parse.first[1:]] - sums[parse.first[:-1]]
+
+
+def split(group: Group, parse: Parse) -> list[tuple[bytes, bytes, bytes, bytes]]:
+    """Tags, literals, lengths and distances of each block."""
+    literals, length, first = parse.literals, parse.length, parse.first
     whole, rest = np.divmod(literals, RUN)
     # each step: full runs, the rest of a run, the match
     counts = np.stack([whole, rest > 0, length > 0], axis=1).ravel()
-    kinds = np.stack([np.full(len(x), RUN - 1), rest - 1, np.where(length > SHORT_MOST, LONG_MATCH, SHORT_MATCH + length - SHORTEST)], axis=1).ravel()
-    tags = np.repeat(kinds, counts).astype(np.uint8).tobytes()
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, start + literals, -1)
-    literal_bytes = np.frombuffer(data, np.uint8)[np.cumsum(inside[:-1]) > 0].tobytes()
-    lengths = b"".join(put_varint(n) for n in length[length > SHORT_MOST].tolist())
-    return tags, literal_bytes, lengths, _distance_codes(x[length > 0, 3].tolist())
+    kinds = np.stack([np.full(len(length), RUN - 1), rest - 1, np.where(length > SHORT_MOST, LONG_MATCH, SHORT_MATCH + length - SHORTEST)], axis=1).ravel()
+    tags = np.repeat(kinds.astype(np.uint8), counts).tobytes()
+    tag_at = np.concatenate([[0], np.cumsum(counts)])[3 * first].tolist()
+    # literals are what no match covers
+    edges = np.zeros(len(group.data) + 1, np.int8)
+    matched = np.flatnonzero(length)
+    begins = (parse.start + literals)[matched]
+    edges[begins] += 1
+    np.subtract.at(edges, begins + length[matched], 1)  # a match may begin where one ends
+    literal_bytes = group.data[np.cumsum(edges[:-1], dtype=np.int8) == 0].tobytes()
+    literal_at = np.concatenate([[0], np.cumsum(literals)])[first].tolist()
+    match_at = np.searchsorted(matched, first).tolist()
+    lengths, distances = length[matched].tolist(), parse.distance[matched].tolist()
+    long = (np.flatnonzero(length[matched] > SHORT_MOST)).tolist()
+    long_at = np.searchsorted(long, match_at).tolist()
+    out = []
+    for i in range(len(first) - 1):
+        own = b"".join([put_varint(lengths[j]) for j in long[long_at[i] : long_at[i + 1]]])
+        out.append((tags[tag_at[i] : tag_at[i + 1]], literal_bytes[literal_at[i] : literal_at[i + 1]], own, _distance_codes(distances[match_at[i] : match_at[i + 1]])))
+    return out
 
 
 def pack_split(streams: tuple[bytes, ...]) -> bytes:
     """The split form: each stream as it is or entropy-coded, whichever is smaller."""
     out = bytearray(SPLIT_MAGIC)
     for stream in streams:
-        coded = huffman.encode(stream)
-        smaller = coded is not None and len(coded) < len(stream)
+        coded = huffman.encode(stream, below=len(stream))
+        smaller = coded is not None
         body = coded if smaller else stream
         out.append(int(smaller))
         out += len(body).to_bytes(4, "little") + body
@@ -245,17 +253,33 @@ def read_split(streams: list[bytes], original: int) -> Iterator[Command]:
         raise refuse("TrailingData", "split streams")
 
 
-def restore(found: Iterator[Command], original: int) -> bytes:
+class Expanded(NamedTuple):
+    """The bytes that commands make, and what they were."""
+
+    data: bytes
+    literal_commands: int
+    match_commands: int
+    literal_bytes: int
+    matched_bytes: int
+    distance_total: int
+
+
+def restore(found: Iterator[Command], original: int) -> Expanded:
     """The bytes that commands make; exactly ``original`` of them."""
     out = bytearray()
+    runs = matches = literal_bytes = distances = 0
     for literals, length, distance in found:
         if literals:
             if len(out) + len(literals) > original:
                 raise refuse("Truncated", "literals beyond the block")
             out += literals
+            runs += 1
+            literal_bytes += len(literals)
             continue
         if length < SHORTEST or not 0 < distance <= len(out) or len(out) + length > original:
             raise refuse("InvalidMatch")
+        matches += 1
+        distances += distance
         if distance >= length:
             start = len(out) - distance
             out += out[start : start + length]
@@ -264,4 +288,81 @@ def restore(found: Iterator[Command], original: int) -> bytes:
             out += (unit * (length // distance + 1))[:length]
     if len(out) != original:
         raise refuse("Truncated" if len(out) < original else "LengthMismatch", "block")
-    return bytes(out)
+    return Expanded(bytes(out), runs, matches, literal_bytes, original - literal_bytes, distances)
+
+
+def restore_split(streams: list[bytes], original: int) -> Expanded:
+    """As ``restore`` of ``read_split``, in one loop; streams with anything odd are left to these two, which name what is wrong."""
+    found = _restored(streams, original)
+    return found if found is not None else restore(read_split(streams, original), original)
+
+
+def _restored(streams: list[bytes], original: int) -> Expanded | None:
+    tags, literals, lengths, codes = streams
+    out, made, total = bytearray(), 0, 0
+    literal_at = length_at = code_at = matches = 0
+    a = b = c = d = 0  # the latest distance first; 0 is none
+    try:
+        for tag in tags:
+            if tag < SHORT_MATCH:
+                end = literal_at + tag + 1
+                out += literals[literal_at:end]
+                made += tag + 1
+                literal_at = end
+                continue
+            if tag < LONG_MATCH:
+                length = tag - SHORT_MATCH + SHORTEST
+            elif tag == LONG_MATCH:
+                length, length_at = get_varint(lengths, length_at)
+            else:
+                return None
+            code = codes[code_at]
+            code_at += 1
+            if code > 127:
+                more = codes[code_at]
+                code_at += 1
+                if more > 127:
+                    most = codes[code_at]
+                    code_at += 1
+                    if not 0 < most < 128:
+                        return None
+                    code = code & 127 | (more & 127) << 7 | most << 14
+                elif more:
+                    code = code & 127 | more << 7
+                else:
+                    return None
+            if code > 4:
+                distance = code - 4
+                if distance == a or distance == b or distance == c:
+                    return None
+                a, b, c, d = distance, a, b, c
+            elif code == 0:
+                distance = a
+            elif code == 1:
+                distance = b
+                a, b = b, a
+            elif code == 2:
+                distance = c
+                a, b, c = c, a, b
+            elif code == 3:
+                distance = d
+                a, b, c, d = d, a, b, c
+            else:
+                return None
+            start = made - distance
+            if start < 0 or not distance or distance > FARTHEST:
+                return None
+            made += length
+            if made > original or length < SHORTEST:
+                return None
+            if distance >= length:
+                out += out[start : start + length]
+            else:
+                out += (out[start:] * (length // distance + 1))[:length]
+            matches += 1
+            total += distance
+    except (IndexError, CodecError):
+        return None
+    if made != original or len(out) != original or (literal_at, length_at, code_at) != (len(literals), len(lengths), len(codes)):
+        return None
+    return Expanded(bytes(out), len(tags) - matches, matches, literal_at, original - literal_at, total)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from blockweave import api
 from blockweave.operators import frame
-from blockweave.operators.codec import _map
+from blockweave.operators.codec import _each_archive, _map
 from blockweave.operators.errors import CodecError
 
 
@@ -22,28 +22,24 @@ def encode_stream(blobs: DataFrame, block_size: int = frame.DEFAULT_BLOCK) -> Da
     """(blob_id, archive) of a streaming or static DataFrame of blobs."""
     frame.check_block_size(block_size)
 
-    def work(rows):
-        for r in rows:
-            out = io.BytesIO()
-            api.compress_stream(io.BytesIO(r["data"]), out, block_size)
-            yield {"blob_id": r["blob_id"], "archive": out.getvalue()}
+    def work(columns):
+        yield from zip(columns["blob_id"], api.compress_fixed(columns["data"], block_size))
 
-    return _map(blobs.where("data IS NOT NULL").select("blob_id", "data"), work, "blob_id long, archive binary")
+    return _map(blobs.where("data IS NOT NULL").select("blob_id", "data"), "data", work, "blob_id long, archive binary")
 
 
 def decode_stream(archives: DataFrame, limit: int | None = None) -> DataFrame:
     """(blob_id, data, status); what was decoded before a refusal is kept, as a stream has passed it on already."""
 
-    def work(rows):
-        for r in rows:
-            out, status = io.BytesIO(), "ok"
-            try:
-                api.decompress_stream(io.BytesIO(r["archive"]), out, limit, exact=True)
-            except CodecError as e:
-                status = e.status
-            yield {"blob_id": r["blob_id"], "data": out.getvalue(), "status": status}
+    def work(blob_id, archive):
+        out, status = io.BytesIO(), "ok"
+        try:
+            api.decompress_stream(io.BytesIO(archive), out, limit, exact=True)
+        except CodecError as e:
+            status = e.status
+        yield blob_id, out.getvalue(), status
 
-    return _map(archives.where("archive IS NOT NULL").select("blob_id", "archive"), work, "blob_id long, data binary, status string")
+    return _each_archive(archives, work, "blob_id long, data binary, status string")
 
 
 def blob_source(spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -68,7 +68,8 @@ def test_best_match_is_the_longest_of_sixteen_nearest():
     rng = random.Random(3)
     data = bytes(rng.choice(b"abcd") for _ in range(3000))
     x = np.frombuffer(data, np.uint8)
-    length, distance, _ = matching.best_matches(x)
+    found = matching.Matches(matching.Group.of([x]))
+    length, distance = found.length, found.distance
     def h(i):
         return (data[i] * 251 ^ data[i + 1] * 31 ^ data[i + 2]) & 65535
 
@@ -85,9 +86,39 @@ def test_best_match_is_the_longest_of_sixteen_nearest():
 
 def test_long_matches_are_measured_in_full():
     unit = np.random.default_rng(4).integers(0, 256, 500, dtype=np.uint8).tobytes()
-    steps = matching.parse(np.frombuffer(unit * 3, np.uint8))
-    assert (steps[-1][2], steps[-1][3]) == (1000, 500)
-    assert max(s[2] for s in matching.parse(np.zeros(200_000, np.uint8))) == 65_535
+    def steps(data):
+        return matching.parse(matching.Group.of([data])).of(0)
+
+    assert steps(np.frombuffer(unit * 3, np.uint8))[-1][2:] == (1000, 500)
+    assert max(s[2] for s in steps(np.zeros(200_000, np.uint8))) == 65_535
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=40), st.sampled_from([b"", b"a" * 300, b"abcd" * 50, bytes(200), b"abcdefgh"])), max_size=8))
+def test_a_group_is_parsed_like_its_blocks_alone(blocks):
+    assert block.encode_all(blocks) == [block.encode(x) for x in blocks]
+    arrays = [np.frombuffer(x, np.uint8) for x in blocks] or [np.empty(0, np.uint8)]
+    group = matching.Group.of(arrays)
+    assert predict.choices(group).tolist() == [predict.choose(x) for x in arrays]
+    whole = matching.parse(group)
+    assert [whole.of(i, int(group.bounds[i])) for i in range(len(arrays))] == [matching.parse(matching.Group.of([x])).of(0) for x in arrays]
+
+
+def test_the_quick_reader_agrees_with_the_strict_one():
+    rng = random.Random(6)
+    data = bytes(rng.choice(b"abcab") for _ in range(3000)) + bytes(500)
+    group = matching.Group.of([np.frombuffer(data, np.uint8)])
+    streams = list(tokens.split(group, matching.parse(group))[0])
+    want = tokens.restore(tokens.read_split(streams, len(data)), len(data))
+    assert tokens._restored(streams, len(data)) == want == tokens.restore_split(streams, len(data)) and want.data == data
+    for _ in range(400):  # whatever it accepts, the strict one gives as well
+        bad = [bytearray(s) for s in streams]
+        part = rng.choice([s for s in bad if s])
+        part[rng.randrange(len(part))] ^= 1 << rng.randrange(8)
+        bad = [bytes(s) for s in bad]
+        found = tokens._restored(bad, len(data))
+        if found is not None:
+            assert found == tokens.restore(tokens.read_split(bad, len(data)), len(data))
 
 
 def test_varints():
