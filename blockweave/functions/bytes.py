@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from blockweave.operators.matching import FIRST, SECOND
+from blockweave.operators.predict import SLOTS
+
+
+#: Rows of an Arrow batch of single bytes.
+BYTES_AT_ONCE = 1 << 16
 
 
 def byte_rows(df: DataFrame, keys: list[str], data: str, together: bool = False) -> DataFrame:
     """(keys, pos, b): every byte of a binary column with its place from 0; empty values have no rows.
 
+    For looking at bytes with SQL; what is asked of whole blobs is cheaper in ``operators.profile``.
     With ``together`` the values are dealt by ``keys`` before they are taken apart. Windows over
     ``keys``, alone or with more columns, then need no shuffle of single bytes.
     """
-    digits = F.regexp_extract_all(F.hex(F.col(data)), F.lit(".."), F.lit(0))
     if together:
         df = df.select(*keys, data).repartition(*keys)
-    return df.select(*keys, F.posexplode(digits).alias("pos", "h")).select(*keys, "pos", F.conv("h", 16, 10).cast("int").alias("b"))
+    df = df.select(*keys, data)
+    names = [*keys, "pos", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                value = batch.column(len(keys))[i]
+                if not value.is_valid:
+                    continue
+                x = np.frombuffer(value.as_buffer(), np.uint8)
+                for at in range(0, len(x), BYTES_AT_ONCE):
+                    part = x[at : at + BYTES_AT_ONCE].astype(np.int32)
+                    own = [pa.repeat(batch.column(k)[i], len(part)) for k in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part)], names=names)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields[: len(keys)], StructField("pos", IntegerType()), StructField("b", IntegerType())]))
 
 
 def in_order(keys: list[str], at: str = "pos"):
@@ -36,7 +63,7 @@ def with_inverses(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def hash3(a: Column, b: Column, c: Column) -> Column:
     """The hash of three bytes that matching and scoring group places by."""
-    return (a * 251).bitwiseXOR(b * 31).bitwiseXOR(c)
+    return (a * FIRST).bitwiseXOR(b * SECOND).bitwiseXOR(c)
 
 
 def trigrams(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -49,7 +76,7 @@ def trigrams(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def scores(rows: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
     """(keys, into): places whose latest predecessor with the same 12-bit hash holds the same three bytes."""
-    tri = trigrams(rows, keys, value).withColumn("slot", F.col("h").bitwiseAND(4095))
+    tri = trigrams(rows, keys, value).withColumn("slot", F.col("h").bitwiseAND(SLOTS - 1))
     before = F.lag("t").over(Window.partitionBy(*keys, "slot").orderBy("pos"))
     return tri.withColumn("same", before == F.col("t")).groupBy(*keys).agg(F.count_if("same").alias(into))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.operators import block as kernel
-from blockweave.operators import frame
+from blockweave.operators import frame, tokens
 from blockweave.operators.block import REFERENCE, Block
 from blockweave.operators.errors import CodecError
 from blockweave.plans import ranges as plans
@@ -293,6 +293,17 @@ def command_counts(blocks: DataFrame) -> DataFrame:
     return _map(blocks.where(F.col("method") != REFERENCE).select(own), "payload", work, COUNTERS)
 
 
+def stream_sizes(blocks: DataFrame) -> DataFrame:
+    """(blob_id, block_index, tags, literals, lengths, distances): bytes of the four streams of split blocks, decoded."""
+
+    def work(columns: dict[str, list]) -> Iterator[tuple]:
+        for blob_id, i, original, payload in zip(*map(columns.__getitem__, ("blob_id", "block_index", "original", "payload"))):
+            yield blob_id, i, *map(len, tokens.unpack_split(payload, original))
+
+    own = blocks.where(F.col("method") == kernel.SPLIT).select("blob_id", "block_index", "original", "payload")
+    return _map(own, "payload", work, "blob_id long, block_index int, tags long, literals long, lengths long, distances long")
+
+
 ANALYSIS = ", ".join(
     ["blob_id long", *[f"{c} long" for c in ("original_size", "payload_size", "blocks")], *[f"{n}_blocks long" for n in kernel.METHOD_NAMES.values()],
      *[f"{n}_predictor long" for n in kernel.PREDICTOR_NAMES.values()], "referenced_bytes long", *[f"{c} long" for c in COMMANDS], "frame_size long", "status string"]

@@ -58,8 +58,20 @@ def scores(group: Group, predictor: int) -> np.ndarray:
     return np.bincount(owner[inside][same], minlength=blocks)
 
 
-def score(data: np.ndarray, predictor: int) -> int:
-    return int(scores(Group.of([data]), predictor)[0])
+def score(data: np.ndarray, predictor: int, stretch: int = 1 << 20) -> int:
+    """As ``scores`` for one blob, a stretch at a time: the latest three bytes of each slot are carried on."""
+    changed, total = forward(data, predictor), 0
+    latest = np.full(SLOTS, -1, np.int64)
+    for at in range(0, len(changed) - 2, stretch):
+        x = changed[at : at + stretch + 2].astype(np.int64)
+        slot, triple = hash3(x[:-2], x[1:-1], x[2:]) & SLOTS - 1, x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
+        slot, triple = slot[order], triple[order]
+        new = np.concatenate([[True], slot[1:] != slot[:-1]])
+        total += int(((triple[1:] == triple[:-1]) & ~new[1:]).sum()) + int((latest[slot[new]] == triple[new]).sum())
+        last = np.concatenate([new[1:], [True]])
+        latest[slot[last]] = triple[last]
+    return total
 
 
 def choices(group: Group) -> np.ndarray:

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockweave.functions import bytes as byte_sql
+from blockweave.functions import stats
 from blockweave.operators import block as kernel
-from blockweave.operators import codec, frame
+from blockweave.operators import codec, frame, huffman, predict, profile
 from blockweave.plans import ranges as plans
 from blockweave.plans.ranges import Sizes
 from blockweave.runtime import settle, shared_folder, spread, table
 from blockweave.sources import blobs as sources
+from blockweave.sources import corpora as synthetic
 from blockweave.streaming import stream
 
 #: Blocks and chunks small enough for single documents to have several.
@@ -46,10 +51,6 @@ def fixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(first, "digest").select(F.col("blob_id").alias("doc_id"), "lang", "block_index", (F.col("end") - F.col("start")).alias("size"), F.col("first.blob_id").alias("first_doc"), F.col("first.block_index").alias("first_block"))
 
 
-def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_sql.byte_rows(documents(spark, sf_dir).withColumnRenamed("blob_id", "doc_id"), ["doc_id"], "data", together=True)
-
-
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of single documents, settled since they are costly and read more than once."""
     return settle(codec.compress_small(dealt(spark, sf_dir), SMALL_SIZES), "archives")
@@ -115,46 +116,41 @@ def q07_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- predictors ----------------------------------------------------------------------------
 
 
-def _weighted(name: str) -> F.Column:
-    return F.sum(F.col(name).cast("long") * (F.col("pos") % 1021 + 1)).alias(f"{name}_sum")
+def _predicted(spark: SparkSession, sf_dir: str, predictor: int, into: str) -> DataFrame:
+    sums = profile.predictions(dealt(spark, sf_dir), predictor, into)
+    return sums.where("n_bytes > 0").select(F.col("blob_id").alias("doc_id"), into)
 
 
 def q08_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_sql.with_predictions(document_bytes(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(_weighted("delta"))
+    return _predicted(spark, sf_dir, predict.DELTA, "delta_sum")
 
 
 def q09_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_sql.with_predictions(document_bytes(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(_weighted("xored"))
+    return _predicted(spark, sf_dir, predict.XOR, "xored_sum")
 
 
-def _inverse(spark: SparkSession, sf_dir: str, restored: str) -> DataFrame:
-    keys = ["doc_id"]
-    rows = byte_sql.with_inverses(byte_sql.with_predictions(document_bytes(spark, sf_dir), keys), keys)
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_bytes"), F.count_if(F.col(restored) != F.col("b")).alias("mismatches"))
+def _inverse(spark: SparkSession, sf_dir: str, predictor: int) -> DataFrame:
+    back = profile.inverses(dealt(spark, sf_dir), predictor)
+    return back.where("n_bytes > 0").select(F.col("blob_id").alias("doc_id"), "n_bytes", "mismatches")
 
 
 def q10_inverse_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inverse(spark, sf_dir, "from_delta")
+    return _inverse(spark, sf_dir, predict.DELTA)
 
 
 def q11_inverse_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inverse(spark, sf_dir, "from_xored")
+    return _inverse(spark, sf_dir, predict.XOR)
 
 
 def q12_predictor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores over whole documents (the codec itself looks at a sample of each block)."""
-    keys = ["doc_id"]
-    rows = settle(byte_sql.with_predictions(document_bytes(spark, sf_dir), keys), "predictions")
-    out = rows.groupBy("doc_id").agg(F.count("*").alias("n_bytes"))
-    for value, into in (("b", "plain_score"), ("delta", "delta_score"), ("xored", "xor_score")):
-        out = out.join(byte_sql.scores(rows, keys, value, into), keys, "left")
-    return out.select("doc_id", "n_bytes", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("plain_score", "delta_score", "xor_score")])
+    return profile.scores(dealt(spark, sf_dir)).where("n_bytes > 0").withColumnRenamed("blob_id", "doc_id")
 
 
 def q13_predictor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bar = F.col("plain_score") + F.floor(F.col("n_bytes") / 64)
+    bar = F.col("plain_score") + F.floor(F.col("n_bytes") / predict.MARGIN)
     delta = (F.col("delta_score") > bar) & (F.col("delta_score") >= F.col("xor_score"))
-    choice = F.when(F.col("n_bytes") < 64, "none").when(delta, "delta").when(F.col("xor_score") > bar, "xor").otherwise("none")
+    choice = F.when(F.col("n_bytes") < predict.LEAST, "none").when(delta, "delta").when(F.col("xor_score") > bar, "xor").otherwise("none")
     return q12_predictor_score(spark, sf_dir).groupBy(choice.alias("predictor")).agg(F.count("*").alias("docs"))
 
 
@@ -162,37 +158,36 @@ def q13_predictor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = byte_sql.byte_rows(dealt(spark, sf_dir), ["lang"], "data")
-    return rows.groupBy("lang", F.col("b").alias("symbol")).agg(F.count("*").alias("n"))
+    return profile.histogram(dealt(spark, sf_dir), "lang")
 
 
 def q14_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir)
 
 
-def q15_canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes for lengths that follow the rank of a byte's count: 1, 2, 3, … up to 24."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "symbol"))
-    lengths = _counts(spark, sf_dir).withColumn("length", rank).where("length <= 24").select("lang", "symbol", "length")
-    return byte_sql.canonical_codes(lengths, ["lang"])
-
-
-def q16_code_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per language: bits of the best prefix code, its Kraft sum in 2**-24, and the entropy it cannot beat. 256 counts reach a task per language."""
-    import numpy as np
+def _code_lengths(counts: DataFrame) -> DataFrame:
+    """(lang, symbol, n, length) of each language's best prefix code; 256 counts reach a task per language."""
     import pandas as pd
 
-    from blockweave.operators import huffman
-
-    def cost(group: pd.DataFrame) -> pd.DataFrame:
+    def lengths(group: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros(256, np.int64)
         counts[group["symbol"]] = group["n"]
-        depth = huffman.code_lengths(counts)
-        kraft = int((1 << (24 - depth[depth > 0].astype(np.int64))).sum())
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "n_bytes": [int(counts.sum())], "code_bits": [huffman.bit_cost(counts, depth)], "kraft": [kraft]})
+        depth = huffman.code_lengths(counts.tolist())
+        return group.assign(length=depth[group["symbol"]].astype(np.int32)) if depth is not None else group.assign(length=0).iloc[:0]
+
+    return counts.groupBy("lang").applyInPandas(lengths, "lang string, symbol int, n long, length int")
+
+
+def q15_canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codec's own code of every byte that occurs in a language."""
+    return byte_sql.canonical_codes(_code_lengths(_counts(spark, sf_dir)).drop("n"), ["lang"])
+
 
+def q16_code_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: bits of the best prefix code, its Kraft sum in 2**-24, and the entropy it cannot beat."""
     counts = settle(_counts(spark, sf_dir), "counts")
-    costs = counts.groupBy("lang").applyInPandas(cost, "lang string, n_bytes long, code_bits long, kraft long")
+    share = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(huffman.LONGEST) - F.col("length"))
+    costs = _code_lengths(counts).groupBy("lang").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.col("length")).alias("code_bits"), F.sum(share).alias("kraft"))
     floor = byte_sql.entropy_bits(counts, ["lang"]).select("lang", F.floor("bits").alias("entropy_bits"))
     return costs.join(floor, "lang")
 
@@ -213,18 +208,21 @@ def q18_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.periods(blobs, least_period=1).select("item_id", "n_bytes", "period")
 
 
-def q19_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of each corpus blob in the layout that suits it."""
-    planned = codec.plan(corpora(spark, sf_dir), SMALL_SIZES)
+def _layout(planned: DataFrame) -> DataFrame:
     size = F.col("end") - F.col("start")
-    return planned.groupBy("blob_id").agg(
+    return planned.where("block_index IS NOT NULL").groupBy("blob_id").agg(
         F.count("*").alias("blocks"), F.min(size).alias("least"), F.max(size).alias("most"), F.sum(size).cast("long").alias("n_bytes"), F.count("ref_target").alias("refs")
     )
 
 
+def q19_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each corpus blob in the layout that suits it."""
+    return _layout(codec.plan(corpora(spark, sf_dir), SMALL_SIZES))
+
+
 def q20_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = byte_sql.candidate_counts(document_bytes(spark, sf_dir), ["doc_id"])
-    return near.groupBy("doc_id").agg(F.sum("candidates").alias("candidates"), F.count("nearest").alias("places"), F.coalesce(F.sum("nearest"), F.lit(0)).cast("long").alias("nearest_sum"))
+    found = profile.candidates(dealt(spark, sf_dir)).where("n_bytes > 2")
+    return found.select(F.col("blob_id").alias("doc_id"), "candidates", "places", "nearest_sum")
 
 
 def q21_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,18 +233,8 @@ def q21_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q22_split_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the four streams of split blocks, decoded."""
-    import pyarrow as pa
-
-    from blockweave.operators import tokens
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                sizes = [len(s) for s in tokens.unpack_split(r["payload"], r["original"])]
-                yield pa.RecordBatch.from_pydict({"doc_id": [r["blob_id"]], "block_index": pa.array([r["block_index"]], pa.int32()), **{n: pa.array([s], pa.int64()) for n, s in zip(("tags", "literals", "lengths", "distances"), sizes)}})
-
     blocks = codec.read_blocks(archives(spark, sf_dir)).where(F.col("method") == kernel.SPLIT)
-    return blocks.select("blob_id", "block_index", "original", "payload").mapInArrow(run, "doc_id long, block_index int, tags long, literals long, lengths long, distances long")
+    return codec.stream_sizes(blocks).withColumnRenamed("blob_id", "doc_id")
 
 
 def q23_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,21 +315,36 @@ def q32_legacy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(info, "blob_id").select(F.col("blob_id").alias("doc_id"), "version", "legacy_level", "md5")
 
 
+#: Order keys of one column block.
+COLUMN = 4096
+
+
 def q33_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrapping differences of the four low bytes of order keys, per line number."""
-    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey")
-    low = lines.withColumn("b", F.explode(F.array(*[F.call_function("shiftright", "l_orderkey", F.lit(8 * i)).bitwiseAND(255) for i in range(4)])))
-    delta = F.pmod(F.col("b") - F.lit(1), F.lit(256))
-    return low.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.sum("b").alias("byte_sum"), F.sum(delta).alias("delta_sum"))
+    """Order keys per line number as columns of eight bytes each, in blocks of neighbouring keys: sums of the bytes and of what both predictors make of them."""
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", F.floor(F.col("l_orderkey") / COLUMN).alias("block"))
+    before = F.lag("l_orderkey").over(Window.partitionBy("l_linenumber", "block").orderBy("l_orderkey"))
+    rows = lines.withColumn("before", before)
+
+    def byte(name: str, i: int) -> Column:
+        return F.call_function("shiftright", F.col(name), F.lit(8 * i)).bitwiseAND(255)
+
+    # the byte before a value's first one is the last of the value before
+    pairs = [(byte("l_orderkey", i), byte("l_orderkey", i - 1) if i else F.coalesce(byte("before", 7), F.lit(0).cast("long"))) for i in range(8)]
+
+    def total(each) -> Column:
+        return reduce(add, [each(b, a) for b, a in pairs])
+
+    own = rows.select("l_linenumber", total(lambda b, a: b).alias("b"), total(lambda b, a: F.pmod(b - a, F.lit(256))).alias("d"), total(lambda b, a: b.bitwiseXOR(a)).alias("x"))
+    return own.groupBy("l_linenumber").agg((F.count("*") * 8).alias("n"), F.sum("b").alias("byte_sum"), F.sum("d").alias("delta_sum"), F.sum("x").alias("xor_sum"))
 
 
 def q34_bench_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and quartiles of a measure per group, interpolated; in quarters of a cent, which are whole."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", cents.alias("cents"))
-    at = {name: F.round(F.percentile("cents", p) * 4).cast("long") for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
-    stats = lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), *[x.alias(name) for name, x in at.items()])
-    return stats.withColumn("iqr", F.col("q3") - F.col("q1"))
+    found = stats.quantiles(lines, ["l_returnflag", "l_linestatus"], "cents", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    whole = {c: F.round(F.col(c) * 4).cast("long") for c in ("q1", "median", "q3")}
+    return found.withColumns(whole).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def q35_chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,6 +360,22 @@ def q35_chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q36_periodic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every benchmark text written 20 to 26 times: cut by its period, all units but the first are references."""
+    text = F.repeat(F.coalesce("text", F.lit("")), (F.col("item_id") % 7 + 20).cast("int"))
+    blobs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("blob_id"), text.cast("binary").alias("data"))
+    return _layout(codec.plan(blobs, SMALL_SIZES))
+
+
+def q37_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeded corpora through the codec and back: sizes, references, and whether each comes back whole."""
+    found = settle(synthetic.corpora(spark, 0.1), "corpora")
+    packed = settle(codec.compress(found, SMALL_SIZES), "archives")
+    counts = codec.analyze(packed).select("blob_id", "original_size", "frame_size", "blocks", "referenced_bytes", "status")
+    back = codec.decompress_parallel(packed).select("blob_id", F.md5("data").alias("back"))
+    return found.select("blob_id", "name", F.md5("data").alias("md5")).join(counts, "blob_id").join(back, "blob_id").select("*", (F.col("md5") == F.col("back")).alias("whole")).drop("back")
+
+
 # -- twins -----------------------------------------------------------------------------------------
 
 _BLOCKS = """
@@ -410,6 +429,53 @@ _OWN = "first_doc = doc_id AND first_block = block_index"
 _COUNTS = f"{_BYTES}, counts AS (SELECT lang, b AS symbol, count(*) AS n FROM bytes GROUP BY ALL)"
 _CORPORA = f"SELECT doc_id // {GROUP} AS blob_id, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1"
 
+
+
+def _plan(blobs: str, sizes: Sizes = SMALL_SIZES) -> str:
+    """Ranges of every blob of ``blobs`` (blob_id, data) in the layout that suits it, as (blob_id, n, i, s, e, ref); ref marks references.
+
+    The rolling hash of 64 bytes is summed up by doubling; what content-defined cuts follow is one
+    recursion per blob.
+    """
+    gear = ", ".join(f"({i}, {int(g)})" for i, g in enumerate(plans._GEAR))
+    rolled = "h0 AS (SELECT blob_id, pos, CAST(g AS HUGEINT) AS h FROM single JOIN gear USING (b))"
+    for k in range(6):
+        rolled += f""", h{k + 1} AS (
+          SELECT blob_id, pos, (h + lag(h, {1 << k}, 0) OVER (PARTITION BY blob_id ORDER BY pos) * {1 << (1 << k)}) % 18446744073709551616 AS h FROM h{k})"""
+    return f"""
+blobs AS ({blobs}), sized AS (SELECT *, CAST(octet_length(data) AS BIGINT) AS n FROM blobs),
+gear(b, g) AS (VALUES {gear}),
+single AS (
+  SELECT blob_id, p - 1 AS pos, CAST('0x' || h AS INTEGER) AS b
+  FROM (SELECT blob_id, unnest(l) AS h, generate_subscripts(l, 1) AS p FROM (SELECT blob_id, regexp_extract_all(hex(data), '..') AS l FROM sized WHERE n >= {sizes.least_planned}))
+), {rolled}, ends AS (
+  SELECT blob_id, list(pos + 1 ORDER BY pos) AS places FROM h6 WHERE h < {1 << (64 - sizes.chunk_bits)} GROUP BY blob_id
+), content AS (
+  SELECT blob_id, n, coalesce(places, []) AS places, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e FROM sized LEFT JOIN ends USING (blob_id) WHERE n >= {sizes.least_planned}
+  UNION ALL
+  SELECT blob_id, n, places, i + 1, e, least(coalesce(list_filter(places, lambda x: x >= e + {sizes.chunk_least})[1], n), e + {sizes.chunk_most}, n) FROM content WHERE e < n
+), tried AS (SELECT blob_id, data, n, unnest(range(2, {plans.MOST_COPIES + 1})) AS copies FROM sized WHERE n >= {sizes.least_planned}
+), periodic AS (
+  SELECT blob_id, min(n // copies) AS unit FROM tried WHERE n % copies = 0 AND n // copies >= {sizes.least_period} AND data[n // copies + 1 :] = data[: n - n // copies] GROUP BY blob_id
+), units AS (SELECT blob_id, n, unit, unnest(range(0, n, unit)) AS begin FROM sized JOIN periodic USING (blob_id)
+), parts AS (SELECT blob_id, n, begin + unit AS stop, unnest(range(begin, begin + unit, {sizes.block})) AS s FROM units
+), ranges AS (
+  SELECT blob_id, n, 'fixed' AS kind, s, least(s + {sizes.block}, n) AS e FROM (SELECT blob_id, n, unnest(range(0, n, {sizes.block})) AS s FROM sized)
+  UNION ALL SELECT blob_id, n, 'planned', s, least(s + {sizes.block}, stop) FROM parts
+  UNION ALL SELECT blob_id, n, 'planned', s, e FROM content WHERE i >= 0 AND blob_id NOT IN (SELECT blob_id FROM periodic)
+), marked AS (
+  SELECT blob_id, n, kind, s, e, e - s > {plans.REFERENCE_BYTES} AND n >= {sizes.least_planned}
+         AND row_number() OVER (PARTITION BY blob_id, kind, data[s + 1 : e] ORDER BY s) > 1 AS ref
+  FROM ranges JOIN sized USING (blob_id, n)
+), chosen AS (
+  SELECT blob_id, CASE WHEN coalesce(sum(e - s) FILTER (WHERE kind = 'planned' AND ref), 0) >= any_value(n) // 100 AND any_value(n) >= {sizes.least_planned} THEN 'planned' ELSE 'fixed' END AS kind
+  FROM marked GROUP BY blob_id
+), planned AS (SELECT blob_id, n, row_number() OVER (PARTITION BY blob_id ORDER BY s) - 1 AS i, s, e, ref FROM marked JOIN chosen USING (blob_id, kind))"""
+
+
+_PLANNED = "SELECT blob_id, count(*) AS blocks, min(e - s) AS least, max(e - s) AS most, CAST(sum(e - s) AS BIGINT) AS n_bytes, count(*) FILTER (WHERE ref) AS refs FROM planned GROUP BY blob_id"
+_BENCHMARK_COPIES = "SELECT item_id AS blob_id, encode(repeat(coalesce(text, ''), CAST(item_id % 7 + 20 AS BIGINT))) AS data FROM benchmark"
+
 ORACLE_SQL = {
     "q01_blob_sizes": f"WITH {_BLOCKS} SELECT doc_id, n_bytes FROM cut",
     "q02_fixed_ranges": f"WITH {_BLOCKS} SELECT doc_id, block_index, range_start, range_end FROM blocks",
@@ -431,11 +497,17 @@ ORACLE_SQL = {
         WHEN delta_score > plain_score + n_bytes // 64 AND delta_score >= xor_score THEN 'delta'
         WHEN xor_score > plain_score + n_bytes // 64 THEN 'xor' ELSE 'none' END AS predictor, count(*) AS docs FROM scores GROUP BY 1""",
     "q14_histogram": f"WITH {_COUNTS} SELECT lang, symbol, n FROM counts",
-    "q15_canonical_codes": f"""WITH {_COUNTS}, lengths AS (
-          SELECT lang, symbol, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, symbol) AS INTEGER) AS length FROM counts
-        ) SELECT lang, symbol, length, CAST(coalesce(sum(1 << (24 - length)) OVER w, 0) AS BIGINT) >> (24 - length) AS code
-        FROM lengths WHERE length <= 24
-        WINDOW w AS (PARTITION BY lang ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    # merges of the two least nodes (count, order of arising, bytes below); a byte's length is the number of merges it takes part in
+    "q15_canonical_codes": f"""WITH RECURSIVE {_COUNTS}, steps AS (
+          SELECT lang, list(struct_pack(w := CAST(n AS BIGINT), s := CAST(0 AS BIGINT), k := CAST(symbol AS BIGINT), b := [symbol]) ORDER BY n, symbol) AS q, CAST([] AS INTEGER[]) AS merged, CAST(1 AS BIGINT) AS step
+          FROM counts GROUP BY lang
+          UNION ALL
+          SELECT lang, list_sort(list_append(q[3:], struct_pack(w := q[1].w + q[2].w, s := step, k := CAST(0 AS BIGINT), b := list_concat(q[1].b, q[2].b)))), list_concat(q[1].b, q[2].b), step + 1
+          FROM steps WHERE len(q) > 1
+        ), depths AS (SELECT lang, symbol, CAST(count(*) AS INTEGER) AS length FROM (SELECT lang, unnest(merged) AS symbol FROM steps) GROUP BY ALL
+        ), lengths AS (SELECT * FROM depths WHERE lang IN (SELECT lang FROM depths GROUP BY lang HAVING max(length) <= 24)
+        ) SELECT lang, symbol, length, CAST(coalesce(sum(CAST(1 AS BIGINT) << (24 - length)) OVER w, 0) AS BIGINT) >> (24 - length) AS code
+        FROM lengths WINDOW w AS (PARTITION BY lang ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     # the best code's cost is the sum of all merged counts, whatever the order of equal ones
     "q16_code_cost": f"""WITH RECURSIVE {_COUNTS}, merged AS (
           SELECT lang, list_sort(list(CAST(n AS BIGINT))) AS w, CAST(0 AS BIGINT) AS cost FROM counts GROUP BY lang
@@ -458,6 +530,8 @@ ORACLE_SQL = {
         tried AS (SELECT item_id, data, octet_length(data) AS n, unnest(range(2, 65)) AS copies FROM items)
         SELECT item_id, CAST(n AS BIGINT) AS n_bytes, min(n // copies) FILTER (WHERE n % copies = 0 AND data[n // copies + 1 :] = data[: n - n // copies]) AS period
         FROM tried GROUP BY item_id, n""",
+    "q19_chunks": f"WITH RECURSIVE {_plan(f'SELECT blob_id, encode(t) AS data FROM ({_CORPORA})')} {_PLANNED}",
+    "q36_periodic_plan": f"WITH RECURSIVE {_plan(_BENCHMARK_COPIES)} {_PLANNED}",
     "q20_candidates": f"""WITH {_BYTES}, {_score("b")}, near AS (
           SELECT doc_id, pos, {" + ".join(f"CASE WHEN pos - lag(pos, {k}) OVER w <= 65535 THEN 1 ELSE 0 END" for k in range(1, 17))} AS candidates,
                  CASE WHEN pos - lag(pos) OVER w <= 65535 THEN pos - lag(pos) OVER w END AS nearest
@@ -473,8 +547,11 @@ ORACLE_SQL = {
         CASE WHEN octet_length(encode(coalesce(text, ''))) <= 3000 THEN 'ok' ELSE 'OutputLimitExceeded' END AS status FROM documents""",
     "q31_stream_roundtrip": "SELECT doc_id, 'ok' AS status, md5(coalesce(text, '')) AS md5 FROM documents",
     "q32_legacy_headers": "SELECT doc_id, CAST(doc_id % 4 + 4 AS INTEGER) AS version, CAST(5 AS INTEGER) AS legacy_level, md5(coalesce(text, '')) AS md5 FROM documents",
-    "q33_columns": """WITH low AS (SELECT l_linenumber, (l_orderkey >> unnest([0, 8, 16, 24])) & 255 AS b FROM lineitem)
-        SELECT l_linenumber, count(*) AS n, CAST(sum(b) AS BIGINT) AS byte_sum, CAST(sum((b + 255) % 256) AS BIGINT) AS delta_sum FROM low GROUP BY l_linenumber""",
+    "q33_columns": f"""WITH vals AS (
+          SELECT l_linenumber, l_orderkey AS v, lag(l_orderkey) OVER (PARTITION BY l_linenumber, l_orderkey // {COLUMN} ORDER BY l_orderkey) AS p FROM lineitem
+        ), bytes AS (SELECT l_linenumber, v, p, unnest(range(8)) AS i FROM vals
+        ), pairs AS (SELECT l_linenumber, (v >> (8 * i)) & 255 AS b, CASE WHEN i > 0 THEN (v >> (8 * i - 8)) & 255 ELSE coalesce((p >> 56) & 255, 0) END AS a FROM bytes)
+        SELECT l_linenumber, count(*) AS n, CAST(sum(b) AS BIGINT) AS byte_sum, CAST(sum((b - a + 256) % 256) AS BIGINT) AS delta_sum, CAST(sum(xor(a, b)) AS BIGINT) AS xor_sum FROM pairs GROUP BY l_linenumber""",
     "q34_bench_stats": """WITH c AS (SELECT l_returnflag, l_linestatus, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem), s AS (
           SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(round(quantile_cont(cents, 0.25) * 4) AS BIGINT) AS q1,
                  CAST(round(quantile_cont(cents, 0.5) * 4) AS BIGINT) AS median, CAST(round(quantile_cont(cents, 0.75) * 4) AS BIGINT) AS q3 FROM c GROUP BY ALL

@@ -129,3 +129,42 @@ def test_files_as_blobs(spark, items, tmp_path):
     sources.write_archives(codec.compress_small(df, SMALL), str(tmp_path / "archives"))
     back = codec.decompress(spark.read.parquet(str(tmp_path / "archives")), strict=True)
     assert sorted(bytes(r["data"]) for r in back.collect()) == sorted(items)
+
+
+def test_profiles_agree_with_byte_sql_and_between_stretches(spark, monkeypatch):
+    from blockweave.operators import predict, profile
+
+    rng = random.Random(8)
+    items = [b"", b"a", b"ab", b"abc", None, bytes(rng.choices(b"abcab", k=700)), b"abcabcabc" * 40, rng.randbytes(900)]
+    blobs = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(items)], "blob_id long, data binary")
+    want = {}
+    rows = byte_sql.with_predictions(byte_sql.byte_rows(blobs, ["blob_id"], "data", together=True), ["blob_id"])
+    for column, into in (("b", "plain_score"), ("delta", "delta_score"), ("xored", "xor_score")):
+        want[into] = {r["blob_id"]: r[into] for r in byte_sql.scores(rows, ["blob_id"], column, into).collect()}
+    near = {r["blob_id"]: (r["c"], r["p"], r["s"]) for r in byte_sql.candidate_counts(rows, ["blob_id"]).groupBy("blob_id").agg(F.sum("candidates").alias("c"), F.count("nearest").alias("p"), F.sum("nearest").alias("s")).collect()}
+    sums = {r["blob_id"]: r["s"] for r in rows.groupBy("blob_id").agg(F.sum(F.col("delta").cast("long") * (F.col("pos") % 1021 + 1)).alias("s")).collect()}
+    for r in profile.scores(blobs).collect():
+        assert r["n_bytes"] == len(items[r["blob_id"]] or b"")
+        assert all(r[c] == want[c].get(r["blob_id"], 0) for c in want)
+    for r in profile.candidates(blobs).collect():
+        assert (r["candidates"], r["places"], r["nearest_sum"] or None) == (lambda x: (x[0], x[1], x[2]))(near.get(r["blob_id"], (0, 0, None)))
+    assert {r["blob_id"]: r["d"] for r in profile.predictions(blobs, predict.DELTA, "d").collect() if r["n_bytes"]} == sums
+    assert {r["mismatches"] for p in (1, 2) for r in profile.inverses(blobs, p).collect()} == {0}
+    named = blobs.withColumn("k", F.when(F.col("blob_id") > 3, "x"))
+    got = {(r["k"], r["symbol"]): r["n"] for r in profile.histogram(named, "k").collect()}
+    assert got == {(k, b): n for k, ids in ((None, range(4)), ("x", range(4, len(items)))) for b, n in __import__("collections").Counter(b"".join(items[i] or b"" for i in ids)).items()}
+
+
+@pytest.mark.parametrize("predictor", [0, 1, 2])
+def test_long_blobs_are_measured_in_stretches(predictor):
+    import numpy as np
+
+    from blockweave.operators import predict, profile
+    from blockweave.operators.matching import Group
+
+    x = np.frombuffer(bytes(random.Random(9).choices(b"abcabd", k=5000)), np.uint8)
+    for stretch in (1, 7, 1000, 4999):
+        assert predict.score(x, predictor, stretch) == predict.scores(Group.of([x]), predictor)[0]
+    whole = profile._candidates(Group.of([x]), 0)
+    parts = sum(profile._candidates(Group(x[: at + 902], np.array([0, len(x[: at + 902])])), at) for at in range(0, 5000, 900))
+    assert (parts == whole).all()
