@@ -6,12 +6,14 @@ import os
 import tempfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import BinaryIO, NamedTuple
 
 from blockweave.operators import block as blocks
 from blockweave.operators import frame
 from blockweave.operators.block import REFERENCE, Block
 from blockweave.operators.errors import CodecError, refuse
+from blockweave.operators.tokens import Expanded
 from blockweave.plans import ranges as plans
 from blockweave.plans.ranges import Sizes
 
@@ -43,8 +45,55 @@ def compress_all(items: list[bytes], sizes: Sizes = Sizes(), smallest: bool = Fa
     return out
 
 
+def _read(archives: list[bytes], limit: int | None) -> Iterator[tuple[frame.Head, list[Block], Iterator[Expanded | CodecError]] | CodecError]:
+    """Header and blocks of each archive, and what its blocks without references hold, decoded together with those of others."""
+    parsed: list[tuple[frame.Head, list[Block]] | CodecError] = []
+    for archive in archives:
+        try:
+            parsed.append(frame.parse(archive, limit)[:2])
+        except CodecError as e:
+            parsed.append(e)
+    found = blocks.expand_all(b for p in parsed if not isinstance(p, CodecError) for b in p[1] if b.method != REFERENCE)
+    for p in parsed:
+        if isinstance(p, CodecError):
+            yield p
+            continue
+        own = islice(found, sum(b.method != REFERENCE for b in p[1]))
+        yield *p, own
+        for _ in own:  # what the caller did not look at
+            pass
+
+
+def decompress_all(archives: list[bytes], limit: int | None = frame.DEFAULT_LIMIT) -> Iterator[bytes | CodecError]:
+    """The bytes of each archive, or why it is refused; references may lead to references, as long as they lead back."""
+    for read in _read(archives, limit):
+        if isinstance(read, CodecError):
+            yield read
+            continue
+        _, found, roots = read
+        done: list[bytes] = []
+        bad = None
+        for b in found:
+            if b.method == REFERENCE:
+                done.append(done[frame.target_of(b)])
+                continue
+            root = next(roots)
+            if isinstance(root, CodecError):
+                bad = root
+                break
+            done.append(root.data)
+        yield bad if bad is not None else b"".join(done)
+
+
+def _one(found: Iterator):
+    result = next(found)
+    if isinstance(result, CodecError):
+        raise result
+    return result
+
+
 def decompress(archive: bytes, limit: int | None = frame.DEFAULT_LIMIT) -> bytes:
-    return frame.decode_all(archive, limit)
+    return _one(decompress_all([archive], limit))
 
 
 def decompress_into(archive: bytes, buffer: bytearray | memoryview) -> int:
@@ -53,18 +102,24 @@ def decompress_into(archive: bytes, buffer: bytearray | memoryview) -> int:
     size = info(archive, len(view))["original_size"] if len(view) else info(archive)["original_size"]
     if size != len(view):
         raise refuse("LengthMismatch", f"{size} bytes for a buffer of {len(view)}")
-    data = frame.decode_all(archive, size)
+    data = decompress(archive, size)
     view[:] = data
     return size
 
 
+def check_all(archives: list[bytes], limit: int | None = frame.DEFAULT_LIMIT) -> Iterator[int | CodecError]:
+    """Decoded size of each archive, or why it is refused; what blocks hold is dropped at once."""
+    for read in _read(archives, limit):
+        if isinstance(read, CodecError):
+            yield read
+            continue
+        bad = next((r for r in read[2] if isinstance(r, CodecError)), None)
+        yield bad if bad is not None else sum(b.original for b in read[1])
+
+
 def check(archive: bytes, limit: int | None = frame.DEFAULT_LIMIT) -> int:
     """Decoded size of an archive that is sound; raises otherwise."""
-    _, found, _ = frame.parse(archive, limit)
-    for b in found:
-        if b.method != REFERENCE:
-            blocks.decode(b)
-    return sum(b.original for b in found)
+    return _one(check_all([archive], limit))
 
 
 def info(archive: bytes, limit: int | None = None) -> dict:
@@ -72,32 +127,30 @@ def info(archive: bytes, limit: int | None = None) -> dict:
     return {"version": head.version, "legacy_level": head.legacy_level, "block_size": head.block_size, "original_size": sum(b.original for b in found), "frame_size": len(archive), "checksum": True, "blocks": len(found)}
 
 
-def analyze(archive: bytes) -> dict[str, int | str]:
-    """Counters of an archive: blocks by method and predictor, bytes and commands; every block is decoded once.
+def analyze_all(archives: list[bytes]) -> Iterator[dict[str, int | str]]:
+    """Counters of each archive: blocks by method and predictor, bytes and commands; every block is decoded once.
 
-    A refused archive has its status, and the counters of what came before.
+    A refused archive has its status; counters of commands are those of its sound blocks.
     """
-    sizes = {c: 0 for c in ("original_size", "payload_size", "blocks")}
-    methods = {f"{n}_blocks": 0 for n in blocks.METHOD_NAMES.values()}
-    predictors = {f"{n}_predictor": 0 for n in blocks.PREDICTOR_NAMES.values()}
-    totals = [0, 0, 0, 0, 0]
-    referenced, status = 0, "ok"
-    try:
-        _, found, _ = frame.parse(archive)
+    for archive, read in zip(archives, _read(archives, None), strict=True):
+        _, found, roots = (None, [], iter(())) if isinstance(read, CodecError) else read
+        status = read.status if isinstance(read, CodecError) else "ok"
+        methods = {f"{n}_blocks": sum(b.method == m for b in found) for m, n in blocks.METHOD_NAMES.items()}
+        predictors = {f"{n}_predictor": sum(b.predictor == p and b.method != REFERENCE for b in found) for p, n in blocks.PREDICTOR_NAMES.items()}
+        totals = [0, 0, 0, 0, 0]
+        for root in roots:
+            if isinstance(root, CodecError):
+                status = root.status if status == "ok" else status
+            else:
+                totals = [x + y for x, y in zip(totals, root[1:], strict=True)]
         sizes = {"original_size": sum(b.original for b in found), "payload_size": sum(len(b.payload) for b in found), "blocks": len(found)}
-        for b in found:
-            methods[f"{blocks.METHOD_NAMES[b.method]}_blocks"] += 1
-            if b.method == REFERENCE:
-                referenced += b.original
-                continue
-            predictors[f"{blocks.PREDICTOR_NAMES[b.predictor]}_predictor"] += 1
-        for b in found:
-            if b.method != REFERENCE:
-                totals = [x + y for x, y in zip(totals, blocks.expand(b)[1:], strict=True)]
-    except CodecError as e:
-        status = e.status
-    commands = dict(zip(("literal_commands", "match_commands", "literal_bytes", "matched_bytes", "distance_total"), totals))
-    return {**sizes, **methods, **predictors, "referenced_bytes": referenced, **commands, "frame_size": len(archive), "status": status}
+        commands = dict(zip(("literal_commands", "match_commands", "literal_bytes", "matched_bytes", "distance_total"), totals))
+        referenced = sum(b.original for b in found if b.method == REFERENCE)
+        yield {**sizes, **methods, **predictors, "referenced_bytes": referenced, **commands, "frame_size": len(archive), "status": status}
+
+
+def analyze(archive: bytes) -> dict[str, int | str]:
+    return next(analyze_all([archive]))
 
 
 def derived(found: dict[str, int | str]) -> dict[str, int | float]:
@@ -238,6 +291,6 @@ def crc32(data: bytes) -> int:
 
 
 __all__ = [
-    "CodecError", "Sizes", "StreamStats", "VERSION", "analyze", "check", "code_of", "compress", "compress_all", "compress_file", "compress_fixed", "compress_stream", "crc32",
-    "decompress", "decompress_file", "decompress_into", "decompress_stream", "derived", "info", "read_concatenated", "write_atomic",
+    "CodecError", "Sizes", "StreamStats", "VERSION", "analyze", "analyze_all", "check", "check_all", "code_of", "compress", "compress_all", "compress_file", "compress_fixed", "compress_stream", "crc32",
+    "decompress", "decompress_all", "decompress_file", "decompress_into", "decompress_stream", "derived", "info", "read_concatenated", "write_atomic",
 ]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 
 from blockweave.operators import huffman, matching, predict, tokens
-from blockweave.operators.errors import refuse
+from blockweave.operators.errors import CodecError, refuse
 from blockweave.operators.matching import Group
 
 #: Fixed values of the format.
@@ -28,7 +29,7 @@ class Block(NamedTuple):
 
 
 #: Blocks that are encoded together, and about how many bytes of them, so that arrays stay in the cache.
-TOGETHER, TOGETHER_BYTES = 1024, 1 << 18
+TOGETHER, TOGETHER_BYTES = 254, 1 << 18
 
 
 def encode_all(blocks: list[bytes], smallest: bool = False) -> list[Block]:
@@ -53,8 +54,8 @@ def _encode_group(blocks: list[bytes], smallest: bool) -> list[Block]:
     parse = matching.parse(changed)
     sizes = tokens.command_sizes(parse).tolist()
     out = []
-    for i, (data, predictor, streams, size) in enumerate(zip(blocks, predictors.tolist(), tokens.split(changed, parse), sizes, strict=True)):
-        split = tokens.pack_split(streams)
+    splits = tokens.pack_split(tokens.split(changed, parse))
+    for i, (data, predictor, split, size) in enumerate(zip(blocks, predictors.tolist(), splits, sizes, strict=True)):
         method, payload = SPLIT, split
         # plain commands are written out only where the split form does not win by their length
         if smallest or len(split) >= size:
@@ -74,18 +75,19 @@ def encode(data: bytes, smallest: bool = False) -> Block:
     return encode_all([data], smallest)[0]
 
 
-def expand(block: Block) -> tokens.Expanded:
-    """The bytes of a block that is no reference, checked against its checksum, and the commands that made them; a stored block has none."""
-    if block.method == STORED:
-        found = tokens.Expanded(block.payload, 0, 0, len(block.payload), 0, 0)
-    elif block.method == COMMANDS:
-        found = tokens.restore(tokens.read_commands(block.payload), block.original)
-    elif block.method == CODED_COMMANDS:
-        found = tokens.restore(tokens.read_commands(huffman.decode(block.payload, tokens.command_limit(block.original))), block.original)
-    elif block.method == SPLIT:
-        found = tokens.restore_split(tokens.unpack_split(block.payload, block.original), block.original)
-    else:
-        raise refuse("UnsupportedMethod", str(block.method))
+def _commands(block: Block) -> tokens.Expanded:
+    if block.method == STORED:  # no commands
+        return tokens.Expanded(block.payload, 0, 0, len(block.payload), 0, 0)
+    if block.method == COMMANDS:
+        return tokens.restore(tokens.read_commands(block.payload), block.original)
+    if block.method == CODED_COMMANDS:
+        return tokens.restore(tokens.read_commands(huffman.decode(block.payload, tokens.command_limit(block.original))), block.original)
+    if block.method == SPLIT:
+        return tokens.restore_split(tokens.unpack_split(block.payload, block.original), block.original)
+    raise refuse("UnsupportedMethod", str(block.method))
+
+
+def _checked(block: Block, found: tokens.Expanded) -> tokens.Expanded:
     if block.predictor != predict.NONE:
         found = found._replace(data=predict.inverse(np.frombuffer(found.data, np.uint8), block.predictor).tobytes())
     if zlib.crc32(found.data) != block.checksum:
@@ -93,5 +95,38 @@ def expand(block: Block) -> tokens.Expanded:
     return found
 
 
+def expand(block: Block) -> tokens.Expanded:
+    """The bytes of a block that is no reference, checked against its checksum, and the commands that made them."""
+    return _checked(block, _commands(block))
+
+
+def expand_all(blocks: Iterable[Block]) -> Iterator[tokens.Expanded | CodecError]:
+    """``expand`` of each block in order, or why it is refused; groups of blocks are decoded together."""
+    group: list[Block] = []
+    size = 0
+    for block in blocks:
+        if group and (size + block.original > TOGETHER_BYTES or len(group) == TOGETHER):
+            yield from _expand_group(group)
+            group, size = [], 0
+        group.append(block)
+        size += block.original
+    yield from _expand_group(group)
+
+
+def _expand_group(blocks: list[Block]) -> Iterator[tokens.Expanded | CodecError]:
+    own = [i for i, b in enumerate(blocks) if b.method == SPLIT]
+    quick: dict[int, tokens.Expanded] = {}
+    if len(own) > 1:
+        streams = tokens.unpack_all([blocks[i].payload for i in own], [blocks[i].original for i in own])
+        sound = [(i, s) for i, s in zip(own, streams) if s is not None]
+        found = tokens.restore_all([s for _, s in sound], [blocks[i].original for i, _ in sound])
+        quick = dict(zip([i for i, _ in sound], found)) if found is not None else {}
+    for i, block in enumerate(blocks):
+        try:
+            yield _checked(block, quick[i] if i in quick else _commands(block))
+        except CodecError as e:
+            yield e
+
+
 def decode(block: Block) -> bytes:
     return expand(block).data

@@ -143,11 +143,17 @@ def compress_small(blobs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
 def _each_archive(archives: DataFrame, work: Callable[[int, bytes], Iterator[tuple]], shape: str) -> DataFrame:
     """The rows that ``work`` makes of each archive, in one pass without a shuffle."""
 
-    def run(columns: dict[str, list]) -> Iterator[tuple]:
-        for blob_id, archive in zip(columns["blob_id"], columns["archive"]):
+    def run(ids: list[int], found: list[bytes]) -> Iterator[tuple]:
+        for blob_id, archive in zip(ids, found):
             yield from work(blob_id, archive)
 
-    return _map(archives.where("archive IS NOT NULL").select("blob_id", "archive"), "archive", run, shape)
+    return _archives(archives, run, shape)
+
+
+def _archives(archives: DataFrame, work: Callable[[list[int], list[bytes]], Iterator[tuple]], shape: str) -> DataFrame:
+    """The rows that ``work`` makes of some archives at once."""
+    own = archives.where("archive IS NOT NULL").select("blob_id", "archive")
+    return _map(own, "archive", lambda columns: work(columns["blob_id"], columns["archive"]), shape)
 
 
 def read_blocks(archives: DataFrame, limit: int | None = None, trailing: bool = False) -> DataFrame:
@@ -189,13 +195,11 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
 
         def work(columns: dict[str, list]) -> Iterator[tuple]:
             nonlocal last, data, status
-            for blob_id, root, i, *fields in zip(*map(columns.__getitem__, own)):
+            found = kernel.expand_all(Block(*fields) for _, root, i, *fields in zip(*map(columns.__getitem__, own)) if i == root)
+            for blob_id, root, i in zip(*map(columns.__getitem__, own[:3])):
                 if i == root:
-                    last = (blob_id, root)
-                    try:
-                        data, status = kernel.decode(Block(*fields)), "ok"
-                    except CodecError as e:
-                        data, status = None, e.status
+                    last, read = (blob_id, root), next(found)
+                    data, status = (None, read.status) if isinstance(read, CodecError) else (read.data, "ok")
                 elif last != (blob_id, root):  # the rows of its target are not at hand
                     last, data, status = None, None, "InvalidMatch"
                 yield blob_id, i, data, status
@@ -223,15 +227,16 @@ def resolved(blocks: DataFrame) -> DataFrame:
 def decompress(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT, strict: bool = False) -> DataFrame:
     """(blob_id, data, status, error) of every archive; data is null where it is refused. Each archive is decoded in one pass."""
 
-    def work(blob_id: int, archive: bytes) -> Iterator[tuple]:
-        try:
-            yield blob_id, frame.decode_all(archive, limit), "ok", None
-        except CodecError as e:
-            if strict:
-                raise
-            yield blob_id, None, e.status, str(e)
+    from blockweave import api
 
-    return _each_archive(archives, work, "blob_id long, data binary, status string, error string")
+    def work(ids: list[int], found: list[bytes]) -> Iterator[tuple]:
+        for blob_id, data in zip(ids, api.decompress_all(found, limit)):
+            bad = data if isinstance(data, CodecError) else None
+            if bad is not None and strict:
+                raise bad
+            yield (blob_id, data, "ok", None) if bad is None else (blob_id, None, bad.status, str(bad))
+
+    return _archives(archives, work, "blob_id long, data binary, status string, error string")
 
 
 def decompress_parallel(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT) -> DataFrame:
@@ -250,13 +255,11 @@ def check(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT) -> DataF
     """(blob_id, status, error, original): whether each archive decodes; what it holds stays in the worker, a block at a time."""
     from blockweave import api
 
-    def work(blob_id: int, archive: bytes) -> Iterator[tuple]:
-        try:
-            yield blob_id, "ok", None, api.check(archive, limit)
-        except CodecError as e:
-            yield blob_id, e.status, str(e), None
+    def work(ids: list[int], found: list[bytes]) -> Iterator[tuple]:
+        for blob_id, size in zip(ids, api.check_all(found, limit)):
+            yield (blob_id, size.status, str(size), None) if isinstance(size, CodecError) else (blob_id, "ok", None, size)
 
-    return _each_archive(archives, work, "blob_id long, status string, error string, original long")
+    return _archives(archives, work, "blob_id long, status string, error string, original long")
 
 
 INFO = "blob_id long, version int, legacy_level int, block_size long, original_size long, blocks long, status string, frame_size long, checksum boolean"
@@ -284,11 +287,9 @@ def command_counts(blocks: DataFrame) -> DataFrame:
     own = ["blob_id", "block_index", "method", "predictor", "original", "checksum", "payload"]
 
     def work(columns: dict[str, list]) -> Iterator[tuple]:
-        for blob_id, i, *fields in zip(*map(columns.__getitem__, own)):
-            try:
-                yield blob_id, i, *kernel.expand(Block(*fields))[1:], "ok"
-            except CodecError as e:
-                yield blob_id, i, None, None, None, None, None, e.status
+        found = kernel.expand_all(Block(*fields) for fields in zip(*map(columns.__getitem__, own[2:])))
+        for blob_id, i, read in zip(columns["blob_id"], columns["block_index"], found):
+            yield (blob_id, i, None, None, None, None, None, read.status) if isinstance(read, CodecError) else (blob_id, i, *read[1:], "ok")
 
     return _map(blocks.where(F.col("method") != REFERENCE).select(own), "payload", work, COUNTERS)
 
@@ -297,8 +298,9 @@ def stream_sizes(blocks: DataFrame) -> DataFrame:
     """(blob_id, block_index, tags, literals, lengths, distances): bytes of the four streams of split blocks, decoded."""
 
     def work(columns: dict[str, list]) -> Iterator[tuple]:
-        for blob_id, i, original, payload in zip(*map(columns.__getitem__, ("blob_id", "block_index", "original", "payload"))):
-            yield blob_id, i, *map(len, tokens.unpack_split(payload, original))
+        found = tokens.unpack_all(columns["payload"], columns["original"])
+        for blob_id, i, original, payload, streams in zip(*map(columns.__getitem__, ("blob_id", "block_index", "original", "payload")), found):
+            yield blob_id, i, *map(len, tokens.unpack_split(payload, original) if streams is None else streams)
 
     own = blocks.where(F.col("method") == kernel.SPLIT).select("blob_id", "block_index", "original", "payload")
     return _map(own, "payload", work, "blob_id long, block_index int, tags long, literals long, lengths long, distances long")
@@ -313,12 +315,13 @@ ANALYSIS = ", ".join(
 def analyze(archives: DataFrame) -> DataFrame:
     """ANALYSIS, one row of counters per archive: blocks by method and predictor, bytes and commands; every block is decoded once."""
 
-    def work(blob_id: int, archive: bytes) -> Iterator[tuple]:
-        from blockweave import api
+    from blockweave import api
 
-        yield blob_id, *api.analyze(archive).values()
+    def work(ids: list[int], found: list[bytes]) -> Iterator[tuple]:
+        for blob_id, counters in zip(ids, api.analyze_all(found)):
+            yield blob_id, *counters.values()
 
-    return _each_archive(archives, work, ANALYSIS)
+    return _archives(archives, work, ANALYSIS)
 
 
 def derived(analysis: DataFrame) -> DataFrame:

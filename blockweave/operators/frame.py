@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from blockweave.operators import block as blocks
 from blockweave.operators.block import REFERENCE, STORED, Block
 from blockweave.operators.errors import refuse
 
@@ -120,12 +119,3 @@ def assemble(parts: list[Block]) -> bytes:
     size = max([LEAST_BLOCK, *(b.original for b in parts)])
     references = any(b.method == REFERENCE for b in parts)
     return b"".join([header(size, references), *map(block_bytes, parts), end_mark()])
-
-
-def decode_all(data: bytes, limit: int | None = DEFAULT_LIMIT) -> bytes:
-    """All bytes of one archive; references may lead to references, as long as they lead back."""
-    _, found, _ = parse(data, limit)
-    done: list[bytes] = []
-    for b in found:
-        done.append(done[target_of(b)] if b.method == REFERENCE else blocks.decode(b))
-    return b"".join(done)

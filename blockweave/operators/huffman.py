@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -53,9 +54,11 @@ def code_lengths(counts: Sequence[int]) -> np.ndarray | None:
 
 def canonical(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes in the order of their codes, their codes aligned to LONGEST bits); refuses lengths that no prefix code has."""
-    order = np.lexsort((np.arange(SYMBOLS), depth))
-    order = order[depth[order] > 0]
-    share = np.int64(1) << (LONGEST - depth[order].astype(np.int64))
+    order = np.argsort(depth, kind="stable")
+    sorted_depth = depth[order]
+    unused = int(np.searchsorted(sorted_depth, 1))
+    order = order[unused:]
+    share = np.int64(1) << (LONGEST - sorted_depth[unused:].astype(np.int64))
     ends = np.cumsum(share)
     if len(ends) and ends[-1] > 1 << LONGEST:
         raise refuse("InvalidEntropyData", "code lengths")
@@ -66,16 +69,26 @@ def bit_cost(counts: np.ndarray, depth: np.ndarray) -> int:
     return int((counts.astype(np.int64) * depth).sum())
 
 
-def encode(data: bytes, below: int | None = None) -> bytes | None:
+def histograms(parts: list[bytes]) -> np.ndarray:
+    """How often each byte occurs in each part, a row per part."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    row = np.repeat(np.arange(len(parts), dtype=np.int32) << 8, list(map(len, parts)))
+    return np.bincount(row | data, minlength=SYMBOLS * len(parts)).reshape(-1, SYMBOLS)
+
+
+def least_sizes(counts: np.ndarray) -> np.ndarray:
+    """Bytes that no coded form of each histogram's bytes can do without: its header and the entropy."""
+    total = counts.sum(axis=1)
+    bits = total * np.log2(np.maximum(total, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1)
+    return HEADER + np.floor(bits / 8 * 0.999999).astype(np.int64)
+
+
+def encode(data: bytes, below: int | None = None, counts: np.ndarray | None = None) -> bytes | None:
     """The coded form; None without one, or if it would not be shorter than ``below``."""
     if below is not None and below <= HEADER + 1 or not data or len(data) >> 32:
         return None
     x = np.frombuffer(data, np.uint8)
-    counts = np.bincount(x, minlength=SYMBOLS)
-    if below is not None:  # no code beats the entropy
-        some = counts[counts > 0]
-        if HEADER + int(some @ (np.log2(len(x)) - np.log2(some)) / 8 * 0.999999) >= below:
-            return None
+    counts = np.bincount(x, minlength=SYMBOLS) if counts is None else counts
     depth = code_lengths(counts.tolist())
     if depth is None or below is not None and HEADER + -(-bit_cost(counts, depth) // 8) >= below:
         return None
@@ -122,12 +135,12 @@ def decode(coded: bytes, limit: int) -> bytes:
         raise refuse("InvalidEntropyData", "no codes")
     if not len(body):
         raise refuse("Truncated", "entropy data")
-    # what would be read at every bit: a table over the bits of the longest code; then only the places are followed
+    # what would be read at every bit: a table over the bits of the longest code, each entry a byte
+    # and below it the size of its code; then only the places are followed
     total, longest = 8 * len(body), int(depth.max())
-    shares = (np.int64(1) << (LONGEST - depth[order].astype(np.int64))) >> (LONGEST - longest)
-    symbols, steps = np.zeros(1 << longest, np.uint8), np.full(1 << longest, NO_CODE, np.uint8)
-    filled = int(shares.sum())
-    symbols[:filled], steps[:filled] = np.repeat(order.astype(np.uint8), shares), np.repeat(depth[order], shares)
+    shares = (np.int64(1) << longest) >> depth[order].astype(np.int64)
+    known = np.repeat(order.astype(np.uint16) << np.uint16(8) | depth[order], shares)
+    table = np.concatenate([known, np.full((1 << longest) - len(known), NO_CODE, np.uint16)])
     padded = np.concatenate([body, np.zeros(4, np.uint8)])
     out: list[np.ndarray] = []
     at = made = 0
@@ -140,18 +153,20 @@ def decode(coded: bytes, limit: int) -> bytes:
             raise refuse("Truncated", "entropy data")
         words = part[:-3] << 24 | part[1:-2] << 16 | part[2:-1] << 8 | part[3:]
         windows = ((words[:, None] << shifts) >> np.uint32(32 - longest)).ravel()
-        step, here, stop, places = steps[windows].tobytes(), at - 8 * first, len(windows), []
+        found = table[windows]
+        step, here, stop, places = found.astype(np.uint8).tobytes(), at - 8 * first, len(windows), array("i")
+        take = places.append
         while here < stop:
-            places.append(here)
+            take(here)
             here += step[here]
         if made + len(places) > count:
             here = places[count - made]
             del places[count - made :]
-        found = windows[places]
-        bad = np.flatnonzero(steps[found] == NO_CODE)
+        found = found[np.frombuffer(places, np.int32)]
+        bad = np.flatnonzero(found == NO_CODE)
         if len(bad):
             raise refuse("InvalidEntropyData" if 8 * first + places[bad[0]] + LONGEST <= total else "Truncated", "code")
-        out.append(symbols[found])
+        out.append((found >> np.uint16(8)).astype(np.uint8))
         made += len(places)
         at = 8 * first + here
     if at > total:
@@ -161,3 +176,70 @@ def decode(coded: bytes, limit: int) -> bytes:
     if at % 8 and int(body[-1]) & (1 << 8 - at % 8) - 1:
         raise refuse("InvalidEntropyData", "padding")
     return b"".join([x.tobytes() for x in out])
+
+
+#: Codes longer than this are left to ``decode``; entries of the tables of streams that are decoded together, at most.
+QUICK, TABLES = 16, 1 << 19
+
+
+def decode_all(streams: list[bytes], limits: list[int]) -> list[bytes | None]:
+    """The bytes of many coded streams; None for one with anything odd, which ``decode`` can name."""
+    out: list[bytes | None] = [None] * len(streams)
+    sound = [i for i, s in enumerate(streams) if len(s) > HEADER and 0 < int.from_bytes(s[:4], "little") <= limits[i]]
+    if not sound:
+        return out
+    depths = np.frombuffer(b"".join([streams[i][4:HEADER] for i in sound]), np.uint8).reshape(-1, SYMBOLS)
+    longest = depths.max(axis=1)
+    rows = np.flatnonzero((longest > 0) & (longest <= QUICK))
+    if not len(rows):
+        return out
+    width = int(longest[rows].max())
+    each = max(1, TABLES >> width)
+    for at in range(0, len(rows), each):
+        part = rows[at : at + each]
+        _decode_group(streams, [sound[i] for i in part.tolist()], depths[part], width, out)
+    return out
+
+
+def _decode_group(streams: list[bytes], own: list[int], depths: np.ndarray, width: int, out: list[bytes | None]) -> None:
+    order = np.argsort(depths, axis=1, kind="stable")
+    ordered = np.take_along_axis(depths, order, axis=1)
+    shares = np.where(ordered > 0, np.int64(1 << width) >> ordered.astype(np.int64), 0)
+    rest = (1 << width) - shares.sum(axis=1)
+    if (rest < 0).any():  # lengths that no prefix code has
+        keep = np.flatnonzero(rest >= 0)
+        if len(keep):
+            _decode_group(streams, [own[i] for i in keep.tolist()], depths[keep], width, out)
+        return
+    entries = np.concatenate([order.astype(np.uint16) << np.uint16(8) | ordered, np.full((len(own), 1), NO_CODE, np.uint16)], axis=1)
+    table = np.repeat(entries.ravel(), np.concatenate([shares, rest[:, None]], axis=1).ravel())
+    bodies = [streams[i][HEADER:] for i in own]
+    sizes = np.array([len(b) + 4 for b in bodies])
+    data = np.frombuffer(b"\0\0\0\0".join([*bodies, b""]) + b"\0\0\0", np.uint8).astype(np.uint32)
+    words = data[:-3] << np.uint32(24) | data[1:-2] << np.uint32(16) | data[2:-1] << np.uint32(8) | data[3:]
+    base = np.repeat(np.arange(len(own), dtype=np.uint32) << np.uint32(width), sizes)
+    windows = ((words[:, None] << np.arange(8, dtype=np.uint32)) >> np.uint32(32 - width)) + base[:, None]
+    found = table[windows.ravel()]
+    step = found.astype(np.uint8).tobytes()
+    places, counts, ends, begins = array("i"), [], [], (np.cumsum(sizes) - sizes).tolist()
+    take = places.append
+    for i, body, begin in zip(own, bodies, begins):
+        here, before, count = 8 * begin, len(places), int.from_bytes(streams[i][:4], "little")
+        stop = here + 8 * len(body)
+        while here < stop:
+            take(here)
+            here += step[here]
+        if len(places) - before > count:
+            here = places[before + count]
+            del places[before + count :]
+        counts.append(len(places) - before)
+        ends.append(here - 8 * begin)
+    values = found[np.frombuffer(places, np.int32)]
+    broken = np.concatenate([[0], np.cumsum(values.astype(np.uint8) == NO_CODE)])
+    decoded = (values >> np.uint16(8)).astype(np.uint8).tobytes()
+    at = 0
+    for i, body, n, end in zip(own, bodies, counts, ends):
+        whole = n == int.from_bytes(streams[i][:4], "little") and -(-end // 8) == len(body) and not (end % 8 and body[-1] & (1 << 8 - end % 8) - 1)
+        if whole and broken[at] == broken[at + n]:
+            out[i] = decoded[at : at + n]
+        at += n

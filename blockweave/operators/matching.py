@@ -11,6 +11,7 @@ are one comparison of neighbours, so candidates that cannot match cost next to n
 
 from __future__ import annotations
 
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -75,10 +76,9 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return four, w
 
 
-def _equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of eight bytes agree from the first on."""
-    differ = a ^ b
-    return np.where(differ == 0, 8, (np.bitwise_count(differ ^ (differ - np.uint64(1))) - 1) >> 3).astype(np.int32)
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many of eight bytes agree from the first on, from the exclusive-or of both; 7 for all eight."""
+    return (np.bitwise_count(differ ^ (differ - np.uint64(1))) - np.uint8(1)) >> np.uint8(3)
 
 
 class Matches:
@@ -106,40 +106,46 @@ class Matches:
         last = ends - 3  # with three bytes left only: a candidate for others, but never a match
         last = last[last >= 0]
         four[last] = np.uint64(1 << 63) | last.astype(np.uint64)
-        four = four[order]
-        room = (self.group.bounds[1:].astype(np.int32)[owner] - np.arange(len(data), dtype=np.int32))[order]
-        np.minimum(room, MEASURED, out=room)
+        room = self.group.bounds[1:].astype(np.int32)[owner] - np.arange(len(data), dtype=np.int32)
+        room = np.minimum(room, MEASURED).astype(np.uint8)
+        four, next_eight, room = four[order], eight[order + SHORTEST], room[order]
         padded = np.concatenate([data, np.zeros(MEASURED, np.uint8)])
         far = int(np.diff(self.group.bounds).max()) > WINDOW
-        length, distance = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        length, which = np.zeros(len(order), np.uint8), np.zeros(len(order), np.uint8)
         for k in range(1, min(CANDIDATES, len(order) - 1) + 1):
-            here = np.flatnonzero(four[k:] == four[:-k])
-            if not len(here):
-                continue
-            there = order[here]
-            here += k
-            at, best = order[here], length[here]
-            keep = best < room[here]
-            if k > 1:  # only a candidate that also agrees where the best one so far ends can be longer
-                keep &= padded[at + best] == padded[there + best]
+            there = np.flatnonzero(four[k:] == four[:-k])
             if far:
-                keep &= at - there <= WINDOW
-            if not keep.all():
-                here, at, there, best = here[keep], at[keep], there[keep], best[keep]
-            size = _equal_bytes(eight[at + SHORTEST], eight[there + SHORTEST])
-            live = np.flatnonzero(size == 8)
-            size += SHORTEST
-            for step in range(SHORTEST + 8, MEASURED, 8):
-                if not len(live):
-                    break
-                more = _equal_bytes(eight[at[live] + step], eight[there[live] + step])
-                size[live] += more
-                live = live[more == 8]
+                there = there[order[there + k] - order[there] <= WINDOW]
+            if not len(there):
+                continue
+            here = there + k
+            differ = next_eight[here] ^ next_eight[there]
+            size = _equal_bytes(differ)
+            size += np.uint8(SHORTEST)
+            best = length[here]
+            more = np.flatnonzero(differ == 0)
+            if len(more):
+                at, before, reached = order[here[more]], order[there[more]], best[more]
+                # only a candidate that also agrees where the best one so far ends can be longer
+                keep = (padded[at + reached] == padded[before + reached]) & (reached < MEASURED)
+                size[more[~keep]] = 0
+                more, at, before = more[keep], at[keep], before[keep]
+                size[more] += np.uint8(1)
+                for step in range(SHORTEST + 8, MEASURED, 8):
+                    if not len(more):
+                        break
+                    differ = eight[at + step] ^ eight[before + step]
+                    whole = differ == 0
+                    size[more] += _equal_bytes(differ) + whole
+                    more, at, before = more[whole], at[whole], before[whole]
             np.minimum(size, room[here], out=size)
             longer = size > best
             here = here[longer]
-            length[here], distance[here] = size[longer], (at - there)[longer]
-        self.length[order], self.distance[order] = length, distance
+            length[here], which[here] = size[longer], k
+        matched = np.flatnonzero(length)
+        at = order[matched]
+        self.length[at] = length[matched]
+        self.distance[at] = at - order[matched - which[matched]]
 
     def whole(self, at: int, end: int, raw: bytes) -> tuple[int, int]:
         """(length, distance) of the best match at a place, measured to the end of its block."""
@@ -176,16 +182,17 @@ def _common(data: bytes, a: int, b: int, most: int) -> int:
 def parse(group: Group) -> Parse:
     """Greedy parse of every block: a match wherever one of SHORTEST bytes at least is found, else a literal."""
     found, bounds, n = Matches(group), group.bounds, len(group.data)
-    ahead = np.flatnonzero(found.length)
+    ahead = np.flatnonzero(found.length).astype(np.int32)
     size = found.length[ahead]
     # matches that begin before each place: the number of the first one from there on
-    before = np.zeros(n + 1, np.int64)
+    before = np.zeros(n + 1, np.int32)
     np.cumsum(found.length > 0, out=before[1:])
     after = before[ahead + size]
     after[size == MEASURED] = -1  # the whole length is not known yet
-    following, taken, measured, i, raw = after.tolist(), [], [], 0, b""
-    while i < len(following):
-        taken.append(i)
+    following, taken, measured, i, raw, count = after.tolist(), array("i"), [], 0, b"", len(ahead)
+    take = taken.append
+    while i < count:
+        take(i)
         i = following[i]
         if i < 0:
             at = int(ahead[taken[-1]])
@@ -193,6 +200,7 @@ def parse(group: Group) -> Parse:
             whole = found.whole(at, int(bounds[np.searchsorted(bounds, at, side="right")]), raw)
             measured.append((len(taken) - 1, *whole))
             i = int(before[at + whole[0]])
+    taken = np.frombuffer(taken, np.int32) if taken else np.empty(0, np.int32)
     at = ahead[taken]
     length, distance = found.length[at].astype(np.int64), found.distance[at].astype(np.int64)
     for place, whole, back in measured:

@@ -10,6 +10,8 @@ from blockweave.operators.matching import Group, hash3
 NONE, DELTA, XOR = 0, 1, 2
 #: A block shorter than LEAST is never predicted; at most SAMPLE bytes are looked at.
 LEAST, SAMPLE, MARGIN, SLOTS = 64, 8192, 64, 4096
+#: Stands for a block's number where three bytes belong to none.
+CROSSING = 255
 
 
 def forward(data: np.ndarray, predictor: int) -> np.ndarray:
@@ -29,33 +31,47 @@ def transformed(group: Group, predictors: np.ndarray) -> Group:
     """The blocks of a group, each changed by its own predictor."""
     if (predictors == NONE).all() or not len(group.data):
         return group
-    data, own = group.data, predictors[group.owners()]
+    data = group.data
     before = np.zeros_like(data)
     before[1:] = data[:-1]
     before[group.bounds[:-1][np.diff(group.bounds) > 0]] = 0
+    if (predictors == predictors[0]).all():
+        return Group(data - before if predictors[0] == DELTA else data ^ before, group.bounds)
+    own = predictors[group.owners()]
     return Group(np.where(own == DELTA, data - before, np.where(own == XOR, data ^ before, data)), group.bounds)
 
 
 def scores(group: Group, predictor: int) -> np.ndarray:
     """Per block: places whose latest predecessor with the same 12-bit hash holds the same three bytes."""
     blocks = len(group.bounds) - 1
+    if blocks >= CROSSING:  # the number of a block stands in the high byte of its triples
+        parts = [Group(group.data[group.bounds[a] : group.bounds[b]], group.bounds[a : b + 1] - group.bounds[a]) for a, b in _runs(blocks, CROSSING - 1)]
+        return np.concatenate([scores(part, predictor) for part in parts])
     changed = transformed(group, np.full(blocks, predictor)).data
-    n = len(changed)
-    if n < 3:
+    if len(changed) < 3:
         return np.zeros(blocks, np.int64)
-    ends = group.bounds[1:][np.diff(group.bounds) > 0]
-    inside = np.ones(n, bool)  # with three bytes left in the block
-    inside[ends - 1] = inside[ends - 2] = False
-    inside = inside[:-2]
     x = changed.astype(np.uint16)
-    slot = (hash3(x[:-2], x[1:-1], x[2:]) & np.uint16(SLOTS - 1))[inside]
-    wide = changed.astype(np.uint64)
-    owner = group.owners()[:-2]
-    triple = (owner.astype(np.uint64) << np.uint64(24) | wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:])[inside]
+    slot = hash3(x[:-2], x[1:-1], x[2:])
+    slot &= np.uint16(SLOTS - 1)
+    wide = changed.astype(np.uint32)
+    owner = group.owners()[:-2].astype(np.uint32)
+    triple = owner << np.uint32(24)
+    triple |= wide[:-2] << np.uint32(16)
+    triple |= wide[1:-1] << np.uint32(8)
+    triple |= wide[2:]
+    # places at the end of a block, whose three bytes reach into the next, equal nothing
+    ends = group.bounds[1:][np.diff(group.bounds) > 0]
+    crossing = np.concatenate([ends - 1, ends - 2])
+    crossing = np.unique(crossing[(crossing >= 0) & (crossing < len(triple))])
+    triple[crossing] = np.uint32(CROSSING << 24) | np.arange(len(crossing), dtype=np.uint32)
     order = np.argsort(slot, kind="stable")
     triple = triple[order]
-    same = order[1:][triple[1:] == triple[:-1]]  # equal bytes of a block have the same slot, too
-    return np.bincount(owner[inside][same], minlength=blocks)
+    same = triple[1:][triple[1:] == triple[:-1]]  # equal bytes of a block have the same slot, too
+    return np.bincount(same >> np.uint32(24), minlength=blocks)
+
+
+def _runs(n: int, size: int) -> list[tuple[int, int]]:
+    return [(at, min(at + size, n)) for at in range(0, n, size)]
 
 
 def score(data: np.ndarray, predictor: int, stretch: int = 1 << 20) -> int:

@@ -144,16 +144,22 @@ def split(group: Group, parse: Parse) -> list[tuple[bytes, bytes, bytes, bytes]]
     return out
 
 
-def pack_split(streams: tuple[bytes, ...]) -> bytes:
-    """The split form: each stream as it is or entropy-coded, whichever is smaller."""
-    out = bytearray(SPLIT_MAGIC)
-    for stream in streams:
-        coded = huffman.encode(stream, below=len(stream))
-        smaller = coded is not None
-        body = coded if smaller else stream
-        out.append(int(smaller))
-        out += len(body).to_bytes(4, "little") + body
-    return bytes(out)
+def pack_split(blocks: list[tuple[bytes, ...]]) -> list[bytes]:
+    """The split form of each block: each stream as it is or entropy-coded, whichever is smaller."""
+    streams = [s for block in blocks for s in block]
+    # most streams are too short or too even for a code; the entropy tells without making one
+    long = [i for i, s in enumerate(streams) if len(s) > huffman.HEADER + 1]
+    counts = huffman.histograms([streams[i] for i in long])
+    worth = {i: row for i, row, least in zip(long, counts, huffman.least_sizes(counts).tolist()) if least < len(streams[i])}
+    out, part = [], []
+    for i, stream in enumerate(streams):
+        coded = huffman.encode(stream, len(stream), worth[i]) if i in worth else None
+        body = stream if coded is None else coded
+        part += (b"\0" if coded is None else b"\1", len(body).to_bytes(4, "little"), body)
+        if i % 4 == 3:
+            out.append(SPLIT_MAGIC + b"".join(part))
+            part = []
+    return out
 
 
 def command_limit(original: int) -> int:
@@ -161,10 +167,11 @@ def command_limit(original: int) -> int:
     return original + -(-original // 128) + 1024
 
 
-def unpack_split(body: bytes, original: int) -> list[bytes]:
+def _parts(body: bytes, original: int) -> list[tuple[bool, bytes]]:
+    """Whether each of the four streams is coded, and its bytes as they stand."""
     if body[:4] != SPLIT_MAGIC:
         raise refuse("InvalidEntropyData", "split magic")
-    at, left, streams = 4, command_limit(original) + -(-original // 4), []
+    at, parts = 4, []
     for _ in range(4):
         if at + 5 > len(body):
             raise refuse("Truncated", "split stream header")
@@ -175,16 +182,54 @@ def unpack_split(body: bytes, original: int) -> list[bytes]:
         at += 5 + size
         if coded > 1:
             raise refuse("InvalidEntropyData", "split stream method")
-        if not coded and size > left:
+        parts.append((coded == 1, part))
+    if at != len(body):
+        raise refuse("TrailingData", "split streams")
+    return parts
+
+
+def split_limit(original: int) -> int:
+    """Bytes that the four streams of a block may take at most, decoded."""
+    return command_limit(original) + -(-original // 4)
+
+
+def unpack_split(body: bytes, original: int) -> list[bytes]:
+    left, streams = split_limit(original), []
+    for coded, part in _parts(body, original):
+        if not coded and len(part) > left:
             raise refuse("OutputLimitExceeded", "split streams")
         part = huffman.decode(part, left) if coded else part
         left -= len(part)
         streams.append(part)
-    if at != len(body):
-        raise refuse("TrailingData", "split streams")
     return streams
 
 
+def unpack_all(bodies: list[bytes], originals: list[int]) -> list[list[bytes] | None]:
+    """The streams of many split blocks; None for one with anything odd, which ``unpack_split`` can name."""
+    out: list[list[bytes] | None] = []
+    coded: list[bytes] = []
+    limits: list[int] = []
+    places: list[tuple[int, int]] = []
+    for i, (body, original) in enumerate(zip(bodies, originals)):
+        try:
+            parts = _parts(body, original)
+        except CodecError:
+            out.append(None)
+            continue
+        for k, (is_coded, part) in enumerate(parts):
+            if is_coded:
+                coded.append(part)
+                limits.append(split_limit(original))
+                places.append((i, k))
+        out.append([part for _, part in parts])
+    for (i, k), part in zip(places, huffman.decode_all(coded, limits)):
+        if part is None:
+            out[i] = None
+        elif out[i] is not None:
+            out[i][k] = part
+    return [x if x is not None and sum(map(len, x)) <= split_limit(n) else None for x, n in zip(out, originals)]
+
+
 Command = tuple[bytes, int, int]
 
 
@@ -299,38 +344,37 @@ def restore_split(streams: list[bytes], original: int) -> Expanded:
 
 def _restored(streams: list[bytes], original: int) -> Expanded | None:
     tags, literals, lengths, codes = streams
-    out, made, total = bytearray(), 0, 0
-    literal_at = length_at = code_at = matches = 0
+    out, made, distances = bytearray(), 0, []
+    literal_at = length_at = code_at = 0
     a = b = c = d = 0  # the latest distance first; 0 is none
     try:
         for tag in tags:
             if tag < SHORT_MATCH:
                 end = literal_at + tag + 1
                 out += literals[literal_at:end]
-                made += tag + 1
+                made += end - literal_at
                 literal_at = end
                 continue
             if tag < LONG_MATCH:
-                length = tag - SHORT_MATCH + SHORTEST
-            elif tag == LONG_MATCH:
-                length, length_at = get_varint(lengths, length_at)
+                length = tag - (SHORT_MATCH - SHORTEST)
             else:
-                return None
+                length, length_at = get_varint(lengths, length_at)
+                if tag > LONG_MATCH or length < SHORTEST:
+                    return None
             code = codes[code_at]
-            code_at += 1
-            if code > 127:
-                more = codes[code_at]
+            if code < 128:
                 code_at += 1
-                if more > 127:
-                    most = codes[code_at]
-                    code_at += 1
-                    if not 0 < most < 128:
+            else:
+                more = codes[code_at + 1]
+                if 0 < more < 128:
+                    code += (more << 7) - 128
+                    code_at += 2
+                else:
+                    most = codes[code_at + 2]
+                    if not more & 128 or not 0 < most < 128:
                         return None
                     code = code & 127 | (more & 127) << 7 | most << 14
-                elif more:
-                    code = code & 127 | more << 7
-                else:
-                    return None
+                    code_at += 3
             if code > 4:
                 distance = code - 4
                 if distance == a or distance == b or distance == c:
@@ -350,19 +394,122 @@ def _restored(streams: list[bytes], original: int) -> Expanded | None:
             else:
                 return None
             start = made - distance
-            if start < 0 or not distance or distance > FARTHEST:
-                return None
             made += length
-            if made > original or length < SHORTEST:
+            if start < 0 or made > original:
                 return None
             if distance >= length:
                 out += out[start : start + length]
             else:
                 out += (out[start:] * (length // distance + 1))[:length]
-            matches += 1
-            total += distance
-    except (IndexError, CodecError):
+            distances.append(distance)
+    except (IndexError, ZeroDivisionError, CodecError):
         return None
     if made != original or len(out) != original or (literal_at, length_at, code_at) != (len(literals), len(lengths), len(codes)):
         return None
-    return Expanded(bytes(out), len(tags) - matches, matches, literal_at, original - literal_at, total)
+    if distances and not 0 < min(distances) <= max(distances) <= FARTHEST:
+        return None
+    matches = len(distances)
+    return Expanded(bytes(out), len(tags) - matches, matches, literal_at, original - literal_at, sum(distances))
+
+
+def _varints(streams: list[bytes], counts: np.ndarray) -> np.ndarray | None:
+    """The values of all streams, ``counts`` in each; None unless they are canonical and of three bytes at most."""
+    data = np.frombuffer(b"".join(streams), np.uint8)
+    last = data < 128
+    ends = np.flatnonzero(last)
+    bounds = np.cumsum([0, *map(len, streams)])
+    if len(data) and (not last[bounds[1:][np.diff(bounds) > 0] - 1].all()):
+        return None
+    if (np.diff(np.searchsorted(ends, bounds)) != counts).any():
+        return None
+    sizes = np.diff(ends, prepend=-1)
+    if not len(ends):
+        return np.empty(0, np.int64)
+    if sizes.max() > 3 or ((sizes > 1) & (data[ends] == 0)).any():
+        return None
+    values = data[ends].astype(np.int64)
+    two, three = np.flatnonzero(sizes > 1), np.flatnonzero(sizes > 2)
+    values[two] = values[two] << 7 | data[ends[two] - 1] & 127
+    values[three] = values[three] << 7 | data[ends[three] - 2] & 127
+    return values
+
+
+def _distances(codes: list[int], counts: list[int]) -> list[int] | None:
+    """What distance codes stand for; each block begins with none held."""
+    out: list[int] = []
+    put, at = out.append, 0
+    for n in counts:
+        a = b = c = d = 0
+        for code in codes[at : at + n]:
+            if code > 4:
+                code -= 4
+                if code == a or code == b or code == c:
+                    return None
+                a, b, c, d = code, a, b, c
+            elif code == 1:
+                a, b = b, a
+            elif code == 2:
+                a, b, c = c, a, b
+            elif code == 3:
+                a, b, c, d = d, a, b, c
+            elif code:
+                return None
+            put(a)
+        at += n
+    return out
+
+
+def restore_all(blocks: list[list[bytes]], originals: list[int]) -> list[Expanded] | None:
+    """As ``restore_split`` for many blocks with array operations; None if any of them has anything odd.
+
+    A byte of a match points at the one it copies; pointers are followed by doubling until all
+    stand at literals.
+    """
+    tags, literals, lengths, codes = ([b[k] for b in blocks] for k in range(4))
+    tag = np.frombuffer(b"".join(tags), np.uint8)
+    bounds = np.cumsum([0, *map(len, tags)])
+    is_match = tag >= SHORT_MATCH
+    long = np.flatnonzero(tag == LONG_MATCH)
+    if len(tag) and tag.max() > LONG_MATCH:
+        return None
+    matches = np.concatenate([[0], np.cumsum(is_match)])[bounds]
+    own = _varints(lengths, np.diff(np.searchsorted(long, bounds)))
+    values = _varints(codes, np.diff(matches))
+    if own is None or values is None or len(own) and own.min() < SHORTEST:
+        return None
+    distances = _distances(values.tolist(), np.diff(matches).tolist())
+    if distances is None:
+        return None
+    size = np.where(is_match, tag.astype(np.int64) - (SHORT_MATCH - SHORTEST), tag.astype(np.int64) + 1)
+    size[long] = own
+    ends = np.concatenate([[0], np.cumsum(size)])
+    base = ends[bounds]
+    literal = np.concatenate([[0], np.cumsum(np.where(is_match, 0, size))])[bounds]
+    if np.diff(base).tolist() != originals or np.diff(literal).tolist() != list(map(len, literals)):
+        return None
+    back = np.zeros(len(tag), np.int32)
+    back[is_match] = distances
+    reach = ends[:-1] - np.repeat(base[:-1], np.diff(bounds))  # bytes of the block before each command
+    if (is_match & ((back < 1) | (back > np.minimum(reach, FARTHEST)))).any():
+        return None
+    back = np.repeat(back, size)
+    copied = np.flatnonzero(back).astype(np.int32)
+    out = np.empty(len(back), np.uint8)
+    out[back == 0] = np.frombuffer(b"".join(literals), np.uint8)
+    source = np.arange(len(back), dtype=np.int32)
+    source -= back
+    to = source[copied]
+    while True:
+        further = source[to]
+        if (further == to).all():
+            break
+        source[copied] = to = further
+    out[copied] = out[to]
+    data, at = out.tobytes(), base.tolist()
+    counts, runs = np.diff(matches).tolist(), np.diff(bounds).tolist()
+    total = np.concatenate([[0], np.cumsum(distances, dtype=np.int64)])[matches]
+    literal_bytes = np.diff(literal).tolist()
+    return [
+        Expanded(data[a:b], n - m, m, plain, b - a - plain, distance)
+        for a, b, n, m, plain, distance in zip(at, at[1:], runs, counts, literal_bytes, np.diff(total).tolist())
+    ]

@@ -104,6 +104,46 @@ def test_a_group_is_parsed_like_its_blocks_alone(blocks):
     assert [whole.of(i, int(group.bounds[i])) for i in range(len(arrays))] == [matching.parse(matching.Group.of([x])).of(0) for x in arrays]
 
 
+def outcome(call, *args):
+    try:
+        return call(*args)
+    except CodecError as e:
+        return e.status
+
+
+def test_groups_are_decoded_like_their_blocks_alone():
+    """Also with any of them damaged, whichever path then reads them."""
+    rng = random.Random(10)
+    text = [b" ".join(rng.choice([b"alpha", b"beta", bytes(rng.choices(b"etaoin shrdlu", k=9))]) for _ in range(rng.randrange(1, 900))) for _ in range(40)]
+    text += [b"", b"x", bytes(3000), rng.randbytes(700), b"ab" * 40_000, bytes(i % 256 for i in range(5000))]
+    whole = [block.encode(x) for x in text if x]
+    assert {b.method for b in whole} >= {block.STORED, block.SPLIT} and any(coded for b in whole if b.method == block.SPLIT for coded, _ in tokens._parts(b.payload, b.original))
+    assert [x.data for x in block.expand_all(whole)] == [x for x in text if x]
+    assert list(block.expand_all(whole)) == [block.expand(b) for b in whole]
+    for _ in range(150):
+        part = rng.sample(whole, 5)
+        i = rng.randrange(5)
+        payload = bytearray(part[i].payload)
+        for _ in range(rng.randrange(1, 3)):
+            payload[rng.randrange(min(len(payload), 700))] ^= 1 << rng.randrange(8)
+        part[i] = part[i]._replace(payload=bytes(payload[: rng.choice([len(payload), len(payload) - 1])]))
+        got = [x.status if isinstance(x, CodecError) else x for x in block.expand_all(part)]
+        assert got == [outcome(block.expand, b) for b in part]
+
+
+def test_many_streams_are_decoded_like_each_alone():
+    rng = random.Random(11)
+    plain = [bytes(rng.choices(range(rng.randrange(1, 256)), k=rng.randrange(1, 3000))) for _ in range(50)] + [b"z" * 5000, bytes(range(256)) * 30]
+    coded = [huffman.encode(x) for x in plain]
+    assert huffman.decode_all(coded, [len(x) for x in plain]) == plain
+    for _ in range(200):
+        bad = bytearray(rng.choice(coded))
+        bad[rng.randrange(len(bad))] ^= 1 << rng.randrange(8)
+        found, alone = huffman.decode_all([coded[0], bytes(bad), coded[1]], [1 << 20] * 3), outcome(huffman.decode, bytes(bad), 1 << 20)
+        assert found[0] == plain[0] and found[2] == plain[1] and (found[1] == alone if found[1] is not None else True)
+        assert isinstance(alone, str) or max(bad[4:260]) > huffman.QUICK or found[1] == alone
+
+
 def test_the_quick_reader_agrees_with_the_strict_one():
     rng = random.Random(6)
     data = bytes(rng.choice(b"abcab") for _ in range(3000)) + bytes(500)
