@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,25 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table that may be broadcast.
+BROADCAST = 48 << 20
+
+
+def few_bytes(df: DataFrame, most: int = BROADCAST) -> bool:
+    """Whether all values of ``df`` (settled, or cheap to read) take at most ``most`` bytes, counted."""
+
+    def width(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(column) + 16
+        if isinstance(kind, T.ArrayType):
+            inner = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
+            return F.size(column) * 8 * (inner + 2) + 16
+        return F.lit(8)
+
+    each = sum((F.coalesce(width(F.col(f.name), f.dataType), F.lit(8)) for f in df.schema), F.lit(32))
+    return (df.agg(F.sum(each.cast("long"))).first()[0] or 0) <= most
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt over all cores if it comes from fewer files than there are.
 
