@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.shingles import Runs, byte_values, mixed, slices
+from blockweave.llm.shingles import Runs, folding, mixed, slices
 
 K, WINDOW = 3, 2
 #: Least share of a template's words that must match.
@@ -120,10 +120,9 @@ FINDING = "doc_id long, license string, coverage double, matched int, span_start
 
 
 def _word_runs(data: np.ndarray, offsets: np.ndarray) -> Runs:
-    values, _ = byte_values()
     code = np.arange(256)
     word = (code >= 128) | (code >= 48) & (code <= 57) | ((code | 32) >= 97) & ((code | 32) <= 122) & (code < 128)
-    return Runs(data, offsets, word[data], values)
+    return Runs(data, offsets, word[data], folding()[0])
 
 
 def words_of(text: str) -> np.ndarray:

@@ -1,88 +1,90 @@
 """Near-duplicates by a multi-index Hamming join over MinHash signatures, confirmed on full sets.
 
-1. Every text gives its set of 5-word shingles and a signature of ``SYMBOLS`` minima of b bits.
+1. Every text gives its set of 5-word shingles and a signature of ``SYMBOLS`` minima of 16 bits.
    Texts with equal sets collapse to one row, by an aggregate with a map side.
-2. Pigeonhole: the first 30 symbols are split into 6 chunks of 5. Two signatures that differ
-   in at most 17 of these symbols differ in at most 2 of some chunk, so each chunk enumerates
-   the 10 ways to leave 2 symbols out and is indexed by the 3 others: 60 keys. All pairs under
-   that distance share a key. (At a similarity of 0.75 a pair exceeds it, and every chunk's
-   errors too, with a chance near 1e-6.)
+2. Two signatures are near if at most ``DISTANCE`` = 26 of the 45 symbols differ. Pigeonhole:
+   in 9 chunks of 5 symbols, a near pair differs in at most 2 of some chunk, so each chunk
+   enumerates the 10 ways to leave 2 symbols out and is indexed by the 3 others: 90 keys. All
+   near pairs share a key. (A pair with a similarity of 0.75 is not near with a chance of 7e-7,
+   one with 0.8 with 5e-9.)
 3. Rows that are alone under a key go. The others meet by key, with their signatures, and a
-   pair counts only under the first key it shares and only if enough of all symbols agree.
-   What leaves a task is one row per key and set that takes part, with a link to its local
-   root, never all pairs.
-4. The candidates' components meet once more, with their whole shingle sets; members of one
-   with more than ``TOGETHER`` sets meet under the keys of step 3 instead. Pairs that agree in
-   enough symbols and are not yet connected are compared exactly, and a local union-find gives
-   at most one link less than there are members.
+   near pair counts under the first key it shares. What leaves a task is one row per key and
+   set that takes part, with a link to its local root, never all pairs.
+4. The candidates' components meet once more, with their whole texts; the sets of one that is
+   too large for a task meet under the keys of step 3 instead. All near pairs that are not yet
+   connected are compared exactly, and a local union-find gives at most one link less than there
+   are members.
 5. Components of the links.
 
-A key with more than ``BLOCK`` rows is dealt over pairs of blocks, so that a task never holds
-more than two blocks of it and no pair is lost.
+Whether two sets are linked depends on the two alone: on their distance and their similarity, not
+on which of these paths compares them. Shingles are compared by two hashes of 64 bits each.
+
+Sizes. A key is dealt over pairs of blocks of at most ``BLOCK`` rows and about ``SHINGLES``
+shingles. Sets of a key with many rows meet by size first, since linked sets differ in size by a
+quarter at most. A key with over ``HOT`` rows is mostly one text with small changes: one of its
+sets becomes a pivot with which all others are compared exactly, in one linear pass. Sets linked
+with the pivot are connected by that. Jaccard distance is a metric, so a set over twice the allowed
+distance from the pivot links with none of them: only the few between are still paired with them,
+the rest of the key goes on without them. Keys so frequent that a sketch of the whole index names
+them skip even the window that counts the others. What neither sizes nor pivots part, many
+different texts that share a long passage, is dealt over pairs of blocks.
 
 Defined results: an empty or null text has an empty set and is linked with nothing; so is a
 row without an id, whose component is null and which is kept. Repeated ids share what their
-sets share. An empty table gives no rows.
+sets share. An empty table gives no rows. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockweave.llm.components import components
+from blockweave.llm.exact_dedup import frequent_digests
 from blockweave.llm.shingles import min_hashes, mixed, shingle_sets, slices
-from blockweave.runtime import settle
-
-CHUNKS, CHUNK, ERRORS = 6, 5, 2
-INDEXED = CHUNKS * CHUNK
-#: All symbols of a signature: INDEXED of 16 bits, the rest of 8.
-SYMBOLS = 126
-#: Similarity in percent, and the share of agreeing symbols below which no pair is compared
-#: exactly: 0.75 less over four standard deviations of the share among 126 symbols.
+from blockweave.runtime import few_bytes, settle
+
+CHUNKS, CHUNK, ERRORS = 9, 5, 2
+SYMBOLS = CHUNKS * CHUNK
+#: Symbols in which near signatures differ at most: the most that pigeonhole guarantees.
+DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Least similarity of linked sets in percent.
 PERCENT = 75
-AGREE = 0.585
-#: Rows of a key that meet in one task; larger keys are dealt over pairs of such blocks.
-BLOCK = 512
-#: Sets of a candidate component that meet in one task as a whole.
-TOGETHER = 512
+#: Rows, and shingles of their sets, that meet in one task; larger keys are dealt over pairs of such blocks.
+BLOCK, SHINGLES = 512, 1 << 19
+#: Rows from which a key is met by pivots; rounds of them; a round's pivots have so many shingles in all, which are broadcast (16 bytes each).
+HOT, ROUNDS, PIVOT_SHINGLES = 2 * BLOCK, 6, 1 << 20
+#: Keys that are met by pivots in a round, at most; and keys that the sketch names.
+HOT_KEYS = 4096
+FREQUENT = 256
 #: A set with over a HEAVY-th of all rows is named by broadcast.
 HEAVY = 512
-#: Candidates whose ids and groups are broadcast at most (about 50 bytes each) to pick their texts.
-BROADCAST = 400_000
 
-SUBSETS = [(c, [c * CHUNK + i for i in kept]) for c in range(CHUNKS) for kept in combinations(range(CHUNK), CHUNK - ERRORS)]
+SUBSETS = [[c * CHUNK + i for i in kept] for c in range(CHUNKS) for kept in combinations(range(CHUNK), CHUNK - ERRORS)]
 DIGEST = "doc_id long, n_shingles long, set_hash binary, signature binary"
+Sets = list[tuple[np.ndarray, np.ndarray]]
 
 
-def _sets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], list[bytes | None]]:
-    """Each text's sorted hashes as bytes, and their digest (none for an empty set)."""
+def _sets(first: np.ndarray, second: np.ndarray, bounds: np.ndarray) -> Sets:
     at = bounds.tolist()
-    sets = [hashes[a:b].tobytes() for a, b in zip(at, at[1:])]
-    return sets, [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in sets]
+    return [(first[a:b], second[a:b]) for a, b in zip(at, at[1:])]
+
+
+def _digests(sets: Sets) -> list[bytes | None]:
+    """A digest of each set; none for an empty one."""
+    return [hashlib.blake2b(a.tobytes() + b.tobytes(), digest_size=16).digest() if len(a) else None for a, b in sets]
 
 
-def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     # a minimum is small, so its high bits say little; the bits kept are those of a mix of it
-    minima = mixed(min_hashes(hashes, bounds, SYMBOLS))
-    coarse = (minima[:, :INDEXED] >> np.uint64(48)).astype("<u2")
-    fine = (minima[:, INDEXED:] >> np.uint64(56)).astype(np.uint8)
-    return [a.tobytes() + b.tobytes() for a, b in zip(coarse, fine)]
-
-
-def _signs(sets: list[np.ndarray]) -> list[bytes]:
-    """Signatures of sets in hand, a few at a time."""
-    out: list[bytes] = []
-    for at in range(0, len(sets), 64):
-        part = sets[at : at + 64]
-        out += _signatures(np.concatenate(part), np.cumsum([0, *map(len, part)]))
-    return out
+    return (mixed(min_hashes(hashes, bounds, SYMBOLS)) >> np.uint64(48)).astype("<u2")
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,42 +93,41 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, rows, data, offsets in slices(batch.column(1)):
-                hashes, bounds = shingle_sets(data, offsets)
-                sets, digests = _sets(hashes, bounds)
-                signs = [s if x else None for s, x in zip(_signatures(hashes, bounds), sets)]
+                first, second, bounds = shingle_sets(data, offsets)
+                digests = _digests(_sets(first, second, bounds))
+                signs = [s.tobytes() if d else None for s, d in zip(_signatures(first, bounds), digests)]
                 columns = [batch.column(0).slice(at, rows), pa.array(np.diff(bounds)), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hash", "signature"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, DIGEST)
 
 
-def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * INDEXED + SYMBOLS - INDEXED)
-    return np.ascontiguousarray(raw[:, : 2 * INDEXED]).view("<u2"), raw[:, 2 * INDEXED :]
+def _symbols(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), SYMBOLS)
 
 
-def _keys(coarse: np.ndarray) -> np.ndarray:
-    """The 60 keys of each signature: which subset, and its three symbols."""
+def _keys(symbols: np.ndarray) -> np.ndarray:
+    """The 90 keys of each signature: which subset, and its three symbols."""
     columns = []
-    for number, (_, kept) in enumerate(SUBSETS):
-        key = np.full(len(coarse), number, np.uint64)
+    for number, kept in enumerate(SUBSETS):
+        key = np.full(len(symbols), number, np.uint64)
         for i in kept:
-            key = (key << np.uint64(16)) | coarse[:, i].astype(np.uint64)
+            key = (key << np.uint64(16)) | symbols[:, i].astype(np.uint64)
         columns.append(mixed(key).view(np.int64))
     return np.stack(columns, axis=1)
 
 
 def index(reps: DataFrame) -> DataFrame:
-    """(key, rep) rows of ``reps`` (rep long, signature binary)."""
+    """(key, rep, n_shingles) rows of ``reps`` (rep long, n_shingles long, signature binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = _keys(_symbols(batch.column(1))[0])
-                names = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(names)], names=["key", "rep"])
+                keys = _keys(_symbols(batch.column(2)))
+                own = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), keys.shape[1]) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, own)], names=["key", "rep", "n_shingles"])
 
-    return reps.select("rep", "signature").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "n_shingles", "signature").mapInArrow(run, "key long, rep long, n_shingles long")
 
 
 def _in_groups(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.ndarray], pa.Table | None]) -> Iterator[pa.RecordBatch]:
@@ -164,22 +165,53 @@ def _marks(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(marks) + 1
 
 
-def _dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of large keys: each row goes to every pair of blocks that has its own."""
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.when(F.col("blocks") > 1, mine).otherwise(F.lit(0)))
-    few = rows.where("blocks <= 1").withColumns({"low": F.lit(0), "high": F.lit(0)})
-    many = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
-    return few.unionByName(many).drop("blocks", "size")
+#: What meets in a task. ``key`` names the key of the index, ``part`` tells sets of different sizes and sides apart.
+GROUP = ["key", "part", "low", "high"]
 
 
-GROUP = ["key", "low", "high"]
+def _blocks(size: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(size) / BLOCK), F.ceil(F.col(shingles) / SHINGLES)).cast("int")
 
 
-def _together(rows: DataFrame) -> DataFrame:
-    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "rep")
+def _band(more: int = 0) -> Column:
+    """Sets in bands that are not neighbours differ in size by more than linked ones do."""
+    return (F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / PERCENT) * (1 - 1e-9)) + more).cast("int")
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, rep, n_shingles) with size and shingles of their key."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
+    return rows.join(sizes, "key").select("key", "rep", "n_shingles", "size", "shingles")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, rep, n_shingles, size, shingles) as rows (rep, GROUP, block) of bounded groups in which all pairs of a key meet that may be linked.
+
+    A key that is too large for a task is dealt by size into bands, and each band over pairs of
+    blocks, so that a task holds two blocks at most. A set goes to the groups of its own band and
+    of the next; pairs of one band count in its own group only.
+    """
+    rows = rows.withColumn("blocks", _blocks("size", "shingles")).drop("size", "shingles")
+    zero = F.lit(0)
+    small = rows.where("blocks = 1").select("rep", "key", zero.alias("part"), zero.alias("low"), zero.alias("high"), zero.alias("block"))
+    banded = rows.where("blocks > 1").select("rep", "key", "n_shingles", F.explode(F.array(_band(), _band(1))).alias("part"), _band().alias("band"))
+    # two sides in a group: the band of the group itself, and the one below it
+    banded = banded.withColumn("side", (F.col("part") != F.col("band")).cast("int"))
+    counts = banded.groupBy("key", "part").agg(F.count_if(F.col("side") == 0).alias("own"), F.sum("n_shingles").alias("shingles"), F.count("*").alias("size"))
+    counts = counts.where("own > 0").select("key", "part", _blocks("size", "shingles").alias("blocks"))
+    return small.unionByName(_across(banded.join(counts, ["key", "part"])))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Rows (rep, key, part, side, blocks) of groups with two sides, dealt over pairs of blocks: pairs within side 0, and between both sides."""
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    # blocks of side 0 are even, those of side 1 odd; a pair of blocks needs one of side 0
+    rows = rows.withColumn("block", mine * 2 + F.col("side"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") * 2 - 1)))
+    rows = rows.where("block % 2 = 0 OR other % 2 = 0")
+    pair = {"low": F.least("block", "other"), "high": F.greatest("block", "other")}
+    # a block of side 1 meets others only, so its group with itself does not exist; one of side 0 meets itself, too
+    return rows.withColumns(pair).select("rep", *GROUP, "block")
 
 
 class _Forest:
@@ -201,37 +233,34 @@ class _Forest:
         return a != b
 
 
-def _pairs(signature: pa.Array, block: np.ndarray, apart: np.ndarray, ends: np.ndarray, key: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of one group that agree in enough symbols, by their distance j - i.
+def _pairs(symbols: np.ndarray, block: np.ndarray, apart: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near rows (i, j) of one group, by their distance j - i in the batch.
 
     ``ends`` is where each row's group ends. Rows of a group that is ``apart`` pair only across
-    its blocks. With ``key``, a pair counts if this is the first key that the two share.
+    its blocks.
     """
-    coarse, fine = _symbols(signature)
-    keys = _keys(coarse) if key is not None else None
-    number = (keys == key[:, None]).argmax(axis=1) if keys is not None else None
-    need, at = int(np.ceil(AGREE * SYMBOLS)), np.arange(len(coarse))
-    for step in range(1, len(coarse)):
+    at = np.arange(len(symbols))
+    for step in range(1, len(symbols)):
         at = at[at + step < ends[at]]
         if not len(at):
             break
         i = at[~apart[at] | (block[at] != block[at + step])]
-        j = i + step
-        same = (coarse[i] == coarse[j]).sum(axis=1) + (fine[i] == fine[j]).sum(axis=1)
-        i, j = i[same >= need], j[same >= need]
-        if keys is not None and len(i):
-            first = (keys[i] == keys[j]).argmax(axis=1) == number[i]
-            i, j = i[first], j[first]
-        if len(i):
-            yield i, j
+        near = (symbols[i] == symbols[i + step]).sum(axis=1) >= SYMBOLS - DISTANCE
+        if near.any():
+            yield i[near], i[near] + step
 
 
 def _meeting(rows: pa.Table, ends: np.ndarray) -> pa.Table | None:
-    """The rows of whole groups that belong to any pair, each with the root of what it is connected with."""
+    """The rows of whole groups that belong to a near pair, each with the root of what it is connected with."""
     rows = rows.combine_chunks()
     forest, takes_part = _Forest(rows.num_rows), np.zeros(rows.num_rows, bool)
     columns = {c: rows.column(c).to_numpy() for c in (*GROUP, "block", "rep")}
-    for i, j in _pairs(rows.column("signature").chunk(0), columns["block"], columns["low"] != columns["high"], ends, columns["key"]):
+    symbols = _symbols(rows.column("signature").chunk(0))
+    keys = _keys(symbols)
+    number = (keys == columns["key"][:, None]).argmax(axis=1)
+    for i, j in _pairs(symbols, columns["block"], columns["low"] != columns["high"], ends):
+        first = (keys[i] == keys[j]).argmax(axis=1) == number[i]  # a pair counts under the first key it shares
+        i, j = i[first], j[first]
         takes_part[i] = takes_part[j] = True
         for a, b in zip(i.tolist(), j.tolist()):
             forest.join(a, b)
@@ -242,72 +271,199 @@ def _meeting(rows: pa.Table, ends: np.ndarray) -> pa.Table | None:
     return pa.table({**{c: v[own] for c, v in columns.items()}, "root": roots})
 
 
+def _shared(mine: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray]) -> int:
+    """Size of the intersection of two sets."""
+    if len(mine[0]) < len(theirs[0]):
+        mine, theirs = theirs, mine
+    at = np.minimum(np.searchsorted(mine[0], theirs[0]), len(mine[0]) - 1)
+    return int(((mine[0][at] == theirs[0]) & (mine[1][at] == theirs[1])).sum())
+
+
+def similar(shared: int, a: int, b: int) -> bool:
+    return 100 * shared >= PERCENT * (a + b - shared)
+
+
 def _linked(rows: pa.Table, ends: np.ndarray) -> pa.Table | None:
     """Links that span what similar sets connect within each group."""
-    rows = rows.combine_chunks()
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-    names, forest, found = rows.column("rep").to_pylist(), _Forest(rows.num_rows), []
-    block, low, high, key, whole = (rows.column(c).to_numpy() for c in ("block", "low", "high", "key", "whole"))
-    for part in (whole, ~whole):
-        own = np.flatnonzero(part)  # a group is of one kind
-        if not len(own):
-            continue
-        after = np.searchsorted(own, ends[own])
-        signs = pa.array(_signs([sets[i] for i in own]), pa.binary())
-        for i, j in _pairs(signs, block[own], (low != high)[own], after, None if part is whole else key[own]):
-            for a, b in zip(own[i].tolist(), own[j].tolist()):
-                if forest.find(a) == forest.find(b):
-                    continue
-                mine, theirs = sets[a], sets[b]
-                at = np.searchsorted(mine, theirs)
-                shared = int((mine[np.minimum(at, len(mine) - 1)] == theirs).sum())
-                if 100 * shared >= PERCENT * (len(mine) + len(theirs) - shared):
-                    forest.join(a, b)
-                    found.append((names[a], names[b]))
-    return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())}) if found else None
+    sets: Sets = []
+    symbols: list[np.ndarray] = []
+    for chunk in rows.column("text").chunks:
+        for _, _, data, offsets in slices(chunk):
+            first, second, bounds = shingle_sets(data, offsets)
+            sets += _sets(first, second, bounds)
+            symbols.append(_signatures(first, bounds))
+    columns = {c: rows.column(c).to_numpy() for c in ("block", "low", "high", "rep")}
+    # an id may stand in several rows: the one with the set that is meant counts
+    meant = np.array([a == b for a, b in zip(_digests(sets), rows.column("set_hash").to_pylist())])
+    forest, found = _Forest(rows.num_rows), []
+    for i, j in _pairs(np.concatenate(symbols), columns["block"], columns["low"] != columns["high"], ends):
+        for a, b in zip(i.tolist(), j.tolist()):
+            if not (meant[a] and meant[b]) or forest.find(a) == forest.find(b):
+                continue
+            sizes = len(sets[a][0]), len(sets[b][0])
+            if 100 * min(sizes) >= PERCENT * max(sizes) and similar(_shared(sets[a], sets[b]), *sizes):
+                forest.join(a, b)
+                found.append((a, b))
+    if not found:
+        return None
+    at = np.array(found)
+    return pa.table({"u": columns["rep"][at[:, 0]], "v": columns["rep"][at[:, 1]]})
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "rep")
+
+
+#: From a pivot: what is linked with it, what may link with that, and what cannot.
+LINKED, BETWEEN, BEYOND = 0, 1, 2
+
+
+def _distances(texts: DataFrame, pivots: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(rep, pivot, kind, distance) of ``texts`` (text, rep, set_hash, pivots)."""
+    held = texts.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, float]] = []
+            reps, wanted, hashes = (batch.column(c).to_pylist() for c in ("rep", "pivots", "set_hash"))
+            for at, _, data, offsets in slices(batch.column("text")):
+                sets = _sets(*shingle_sets(data, offsets))
+                for k, (own, digest) in enumerate(zip(sets, _digests(sets)), at):
+                    if digest != hashes[k]:
+                        continue
+                    for pivot in wanted[k]:
+                        other = held.value[pivot]
+                        shared, sizes = _shared(own, other), (len(own[0]), len(other[0]))
+                        distance = 1 - shared / (sum(sizes) - shared)
+                        kind = LINKED if similar(shared, *sizes) else BETWEEN if distance <= 2 * (1 - PERCENT / 100) + 1e-9 else BEYOND
+                        out.append((reps[k], pivot, kind, distance))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["rep", "pivot", "kind", "distance"])
+
+    return texts.mapInArrow(run, "rep long, pivot long, kind int, distance double")
+
+
+def _by_pivots(docs: DataFrame, reps: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Rows (key, rep, n_shingles) of hot keys that are still to be paired; rows of groups with two sides; and links.
+
+    Every round compares the rows of each key with one of its sets, the first in an order that is
+    the same for all keys, so that keys have few different pivots. A key goes on while it has over HOT
+    rows and loses a tenth of them in a round.
+    """
+    rows = settle(rows.select("key", "rep", "n_shingles"), "hot-rows")
+    done: list[DataFrame] = []
+    crossing: list[DataFrame] = []
+    links: list[DataFrame] = []
+    for number in range(ROUNDS):
+        order = F.struct(F.xxhash64("rep", F.lit(number)).alias("h"), "rep", "n_shingles")
+        pivots = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("pivot")).where(F.col("size") > HOT)
+        chosen: list[tuple[int, int, int]] = []
+        total: dict[int, int] = {}
+        for r in pivots.orderBy(F.col("size").desc(), "key").limit(HOT_KEYS).collect():
+            more = 0 if r["pivot"]["rep"] in total else r["pivot"]["n_shingles"]
+            if sum(total.values()) + more <= PIVOT_SHINGLES:
+                total[r["pivot"]["rep"]] = r["pivot"]["n_shingles"]
+                chosen.append((r["key"], r["pivot"]["rep"], r["size"]))
+        if not chosen:
+            break
+        own = rows.sparkSession.createDataFrame(chosen, "key long, pivot long, before long")
+        done.append(rows.join(F.broadcast(own), "key", "left_anti"))
+        rows = rows.join(F.broadcast(own), "key")
+        names = F.broadcast(rows.sparkSession.createDataFrame([(p,) for p in total], "rep long"))
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for r in _texts(docs, reps.join(names, "rep").select("rep", "doc_id", "set_hash")).toLocalIterator():  # few texts, with PIVOT_SHINGLES shingles in all
+            data = np.frombuffer(r["text"].encode(), np.uint8)
+            found = _sets(*shingle_sets(data, np.array([0, len(data)])))
+            if _digests(found) == [bytes(r["set_hash"])]:
+                sets[r["rep"]] = found[0]
+        wanted = rows.groupBy("rep").agg(F.collect_set("pivot").alias("pivots"))
+        wanted = wanted.join(reps.select("rep", "doc_id", "set_hash"), "rep")
+        known = settle(_distances(_texts(docs, wanted), sets).dropDuplicates(["rep", "pivot"]), "distances")  # a row may be repeated
+        links.append(known.where((F.col("kind") == LINKED) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+        rows = settle(rows.join(known, ["rep", "pivot"]), "hot-rows")
+        # a linked set may link with a set between only if it is far enough from the pivot
+        nearest = rows.where(F.col("kind") == BETWEEN).groupBy("key").agg(F.min("distance").alias("nearest"))
+        border = rows.where(F.col("kind") <= BETWEEN).join(nearest, "key")
+        border = border.where((F.col("kind") == BETWEEN) | (F.col("distance") + (1 - PERCENT / 100) + 1e-9 >= F.col("nearest")))
+        crossing.append(border.select("rep", "key", "n_shingles", F.lit(-1 - number).alias("part"), (F.col("kind") == LINKED).cast("int").alias("side")))
+        left = rows.groupBy("key").agg(F.count_if(F.col("kind") != LINKED).alias("size"), F.first("before").alias("before"))
+        go_on = F.broadcast(settle(left.where(F.col("size") * 10 < F.col("before") * 9).select("key"), "hot-keys"))  # at most HOT_KEYS rows
+        rows = rows.where(F.col("kind") != LINKED).select("key", "rep", "n_shingles")
+        done.append(rows.join(go_on, "key", "left_anti"))
+        rows = rows.join(go_on, "key", "left_semi")
+    return _union([*done, rows]), crossing, links
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0].select("key", "rep", "n_shingles")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("key", "rep", "n_shingles"))
+    return out
+
+
+def _crossing(parts: list[DataFrame]) -> DataFrame:
+    """Groups with two sides of which only pairs between the sides are wanted, dealt over pairs of blocks, one of each side."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    counts = rows.groupBy("key", "part", "side").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
+    counts = counts.select("key", "part", "side", _blocks("size", "shingles").alias("blocks"))
+    rows = rows.join(counts, ["key", "part", "side"])
+    other = counts.select("key", "part", (1 - F.col("side")).alias("side"), F.col("blocks").alias("others"))
+    rows = rows.join(other, ["key", "part", "side"])  # a side alone has no pairs
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int") * 2 + F.col("side"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("other", F.col("k") * 2 + 1 - F.col("side"))
+    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("rep", *GROUP, "block")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id and more) with the texts of its rows; all texts are read once more."""
+    wanted = settle(wanted, "wanted")
+    few = few_bytes(wanted)
+    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id").drop("doc_id")
 
 
 def links(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(u, v) links between ``reps`` (rep, doc_id, signature): sparse, with the same components as all links."""
+    """(u, v) links between ``reps`` (rep, doc_id, n_shingles, set_hash, signature): sparse, with the same components as all links."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = index(reps)
-    keyed = keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    keyed = settle(keyed, "shared-keys")
-    near = _together(_dealt(keyed).join(reps.select("rep", "signature"), "rep"))
-    shape = "key long, low int, high int, block int, rep long, root long"
+    frequent = F.broadcast(settle(frequent_digests(keyed, "key", FREQUENT, 8 * FREQUENT), "frequent-keys"))  # at most FREQUENT rows
+    own = Window.partitionBy("key")
+    counted = keyed.join(frequent, "key", "left_anti").withColumns({"size": F.count("*").over(own), "shingles": F.sum("n_shingles").over(own)})
+    paired = settle(counted.where("size > 1"), "shared-keys")
+    hot = settle(keyed.join(frequent, "key", "left_semi").unionByName(paired.where(F.col("size") > HOT).select("key", "rep", "n_shingles")), "hot-rows")
+    groups = dealt(paired.where(F.col("size") <= HOT))
+    found: list[DataFrame] = []
+    if not hot.isEmpty():
+        rest, crossing, found = _by_pivots(texts, reps, hot)
+        groups = groups.unionByName(dealt(sized(settle(rest, "hot-rest")).where("size > 1")))
+        if crossing:
+            groups = groups.unionByName(_crossing(crossing))
+    near = _together(groups.join(reps.select("rep", "signature"), "rep"))
+    shape = "key long, part int, low int, high int, block int, rep long, root long"
     meeting = settle(near.mapInArrow(lambda batches: _in_groups(batches, _meeting), shape), "meetings")
     named = settle(components(meeting.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep"), "candidates")
-    sizes = named.groupBy("component").agg((F.count("*") <= TOGETHER).alias("whole"))
+    named = named.join(reps.select("rep", "n_shingles"), "rep")
+    sizes = named.groupBy("component").agg(((F.count("*") <= BLOCK) & (F.sum("n_shingles") <= SHINGLES)).alias("whole"))
     named = named.join(sizes, "component")
     zero = F.lit(0)
-    small = named.where("whole").select("rep", F.col("component").alias("key"), zero.alias("low"), zero.alias("high"), zero.alias("block"), "whole")
-    large = meeting.join(named.where(~F.col("whole")).select("rep", "whole"), "rep").select("rep", *GROUP, "block", "whole")
-    groups = small.unionByName(large).groupBy("rep").agg(F.collect_list(F.struct(*GROUP, "block", "whole")).alias("groups"))
-    wanted = settle(groups.join(reps.select("rep", "doc_id"), "rep"), "wanted")
-    # whole texts are read once more, and only candidates' sets are shuffled, once for each group
-    few = wanted.count() <= BROADCAST
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "rep", "groups")
-    shape = "rep long, groups array<struct<key: long, low: int, high: int, block: int, whole: boolean>>, set_hash binary, shingles binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, rows, data, offsets in slices(batch.column(0)):
-                sets, digests = _sets(*shingle_sets(data, offsets))
-                columns = [batch.column(1).slice(at, rows), batch.column(2).slice(at, rows), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["rep", "groups", "set_hash", "shingles"])
-
-    # an id may stand in several rows: the one with the set that is meant counts
-    sets = texts.mapInArrow(run, shape).where(F.xxhash64("set_hash") == F.col("rep"))
-    full = _together(sets.select("rep", F.explode("groups").alias("g"), "shingles").select("g.*", "rep", "shingles"))
-    return full.mapInArrow(lambda batches: _in_groups(batches, _linked), "u long, v long")
+    small = named.where("whole").select("rep", F.col("component").alias("key"), *[zero.alias(c) for c in ("part", "low", "high", "block")])
+    large = meeting.join(named.where(~F.col("whole")).select("rep"), "rep", "left_semi").select("rep", *GROUP, "block")
+    wanted = small.unionByName(large).groupBy("rep").agg(F.collect_list(F.struct(*GROUP, "block")).alias("groups"))
+    full = _texts(texts, wanted.join(reps.select("rep", "doc_id", "set_hash"), "rep"))
+    full = _together(full.select("rep", F.explode("groups").alias("g"), "set_hash", "text").select("g.*", "rep", "set_hash", "text"))
+    out = full.mapInArrow(lambda batches: _in_groups(batches, _linked), "u long, v long")
+    for more in found:
+        out = out.unionByName(more)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = settle(signatures(docs, id_col, text_col), "signatures")
     whole = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    reps = whole.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.count("*").alias("copies"))
-    reps = settle(reps.withColumn("rep", F.xxhash64("set_hash")), "sets")
+    reps = whole.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.count("*").alias("copies"))
+    reps = settle(reps.withColumn("rep", F.monotonically_increasing_id()), "sets")  # a name of its own for each set
     named = components(links(docs, reps, id_col, text_col))
     members = reps.select("rep", "doc_id", "set_hash").join(named, F.col("rep") == F.col("node"))
     members = settle(members.select("set_hash", "component", "doc_id"), "members")
@@ -327,6 +483,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id is not the smallest of its component."""
     gone = settle(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "near-copies")
-    if gone.count() <= BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(F.broadcast(gone) if few_bytes(gone) else gone, docs[id_col] == gone["_gone"], "left_anti")

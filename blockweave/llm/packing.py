@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.shingles import Runs, byte_values, slices
+from blockweave.llm.shingles import Runs, folding, slices
 from blockweave.runtime import settle
 
 CAPACITY = 2048
@@ -110,10 +110,11 @@ class _Tokenizer:
 
     The vocabulary drops white space, lowers letters and splits a text into runs of letters,
     single digits and runs of other signs before anything is merged. Runs of ASCII classes are
-    found and hashed with array operations, so only a run not met before costs Python work.
-    Bytes of other characters count as letters; a text in which such a run holds anything but
-    letters, or an apostrophe stands before a letter, is taken apart at blanks and line ends
-    only, and its chunks are encoded as they are.
+    found and hashed with array operations, so only a run not met before costs Python work; the
+    bytes of every run are compared with those of the one its hash stands for. Bytes of other characters count as letters; a text in which such a run holds anything but
+    letters, or an apostrophe stands before a letter, or a run is not the one that its hash stands
+    for, is taken apart at blanks and line ends only, and its chunks are encoded as they are. A
+    text that holds a special token's string is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -121,7 +122,8 @@ class _Tokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: special tokens that the library finds in a text before anything else
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         sizes = range(self.tokenizer.get_vocab_size(with_added_tokens=False))
         self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in sizes])
         code = np.arange(256)
@@ -138,11 +140,13 @@ class _Tokenizer:
         #: ids of all runs known, and where each begins; the first run is the mark of an odd one
         self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.known = np.zeros(1 << 16, np.int64), 1
+        #: bytes of all runs known, and where each begins
+        self.letters, self.spelt = np.zeros(1 << 16, np.uint8), 0
+        self.spells = np.zeros(1 << 16, np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        values, _ = byte_values()
-        runs = Runs(data, offsets, self.kinds[data], values)
+        runs = Runs(data, offsets, self.kinds[data], folding()[0])
         unique, first, inverse = np.unique(runs.hashes(), return_index=True, return_inverse=True)
         if len(self.hashes) > MEMO:
             self._forget()
@@ -156,7 +160,7 @@ class _Tokenizer:
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.ids[np.arange(total) + np.repeat(begin - (ends - sizes), sizes)].astype("<u4")
-        odd = place == 0
+        odd = (place == 0) | ~self._spelt_alike(runs, place)
         quote = (runs.ends - runs.starts == 1) & (data[runs.starts] == ord("'"))
         odd[:-1] |= quote[:-1] & (runs.starts[1:] == runs.ends[:-1]) & (self.kinds[data[runs.starts[1:]]] == 1)
         odd_before = np.concatenate([[0], np.cumsum(odd)])
@@ -165,8 +169,34 @@ class _Tokenizer:
         out = [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
         for i in np.flatnonzero(strange).tolist():
             out[i] = self._by_chunks(data[offsets[i] : offsets[i + 1]].tobytes().decode())
+        for i in sorted(self._with_special(data, offsets)):
+            text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
+    def _spelt_alike(self, runs: Runs, place: np.ndarray) -> np.ndarray:
+        """Which runs have the bytes of the known run at their place."""
+        begin = self.spells[place]
+        same = runs.sizes == self.spells[place + 1] - begin
+        sizes = np.where(same, runs.sizes, 0)
+        total = np.cumsum(sizes)
+        step = np.arange(int(total[-1]) if len(total) else 0)
+        from_run, from_known = (step + np.repeat(x - (total - sizes), sizes) for x in (runs.at, begin))
+        wrong = np.concatenate([[0], np.cumsum(runs.folded[from_run] != self.letters[from_known])])
+        return same & (wrong[total] == wrong[total - sizes])
+
+    def _with_special(self, data: np.ndarray, offsets: np.ndarray) -> set[int]:
+        """Texts that hold a special token's string."""
+        raw, found = data.tobytes(), set()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(token) <= offsets[i + 1]:
+                    found.add(i)
+                at = raw.find(token, at + 1)
+        return found
+
     def _find(self, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where hashes stand among the known ones, and which do."""
         if not len(self.hashes):
@@ -178,6 +208,7 @@ class _Tokenizer:
         hashes, at = unique[new].tolist(), first[new]
         raw = data.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(runs.starts[at].tolist(), runs.ends[at].tolist())]
+        spelling = {h: runs.folded[a : a + n].tobytes() for h, a, n in zip(hashes, runs.at[at].tolist(), runs.sizes[at].tolist())}
         letters, others, odd = [], [], []
         for h, t in zip(hashes, texts):
             if t.isascii():
@@ -192,20 +223,27 @@ class _Tokenizer:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in letters)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(letters):
-                self._add([h for h, _ in letters], ids, stops)
+                self._add([h for h, _ in letters], ids, stops, spelling)
             else:
                 others += letters
         if others:
             parts = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)]
-            self._add([h for h, _ in others], np.array([i for p in parts for i in p], np.uint32), np.cumsum([len(p) for p in parts]))
+            self._add([h for h, _ in others], np.array([i for p in parts for i in p], np.uint32), np.cumsum([len(p) for p in parts]), spelling)
 
-    def _add(self, hashes: list[int], ids: np.ndarray, stops: np.ndarray) -> None:
+    def _add(self, hashes: list[int], ids: np.ndarray, stops: np.ndarray, spelling: dict[int, bytes]) -> None:
         while self.filled + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.filled : self.filled + len(ids)] = ids
         while self.known + len(hashes) >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+            self.spells = np.concatenate([self.spells, np.zeros(len(self.spells), np.int64)])
         self.starts[self.known + 1 : self.known + 1 + len(hashes)] = self.filled + stops
+        letters = np.frombuffer(b"".join([spelling[h] for h in hashes]), np.uint8)
+        while self.spelt + len(letters) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(len(self.letters), np.uint8)])
+        self.letters[self.spelt : self.spelt + len(letters)] = letters
+        self.spells[self.known + 1 : self.known + 1 + len(hashes)] = self.spelt + np.cumsum([len(spelling[h]) for h in hashes])
+        self.spelt += len(letters)
         self._keep(hashes, np.arange(self.known, self.known + len(hashes), dtype=np.int32))
         self.filled += len(ids)
         self.known += len(hashes)

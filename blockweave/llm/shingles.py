@@ -1,8 +1,11 @@
-"""Word shingles of whole texts as 64-bit hashes, straight from Arrow buffers.
-
-Words are maximal runs of bytes other than blank and 0x09-0x0D, with A-Z lowered. A word's hash
-is read off prefix sums of a polynomial modulo 2**64 over the bytes of a slice of texts; no
-Python object is made per word.
+"""Words and word shingles of whole texts as hashes, straight from Arrow buffers.
+
+Words are maximal runs of bytes other than blank and 0x09-0x0D, with A-Z lowered. A run of up to
+``SPAN`` bytes is hashed by tabulation: every (place in the run, byte) has a random number of
+64 bits, and their sum, read off prefix sums over a slice of texts, is the hash. No two
+different runs, however built, collide more often than random numbers do. Longer runs are
+hashed one by one (xxh3). No Python object is made per word. Where a collision must not matter,
+callers compare bytes or a second hash from another table.
 """
 
 from __future__ import annotations
@@ -12,35 +15,29 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Words in a shingle.
 WORDS = 5
 #: Texts are taken in slices of about so many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 19
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a run that are hashed by tabulation.
+SPAN = 64
 
 
 @cache
-def byte_values() -> tuple[np.ndarray, np.ndarray]:
-    values = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+def folding() -> tuple[np.ndarray, np.ndarray]:
+    """What each byte counts as (A-Z as a-z), and which bytes part words."""
+    fold = np.arange(256, dtype=np.uint8)
+    fold[ord("A") : ord("Z") + 1] += 32
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
-    return values, space
-
+    return fold, space
 
-class _Powers:
-    up = down = np.ones(1, np.uint64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, SLICE_BYTES)
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            cls.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _BASE)]), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, inverse)]), dtype=np.uint64)
-        return cls.up[:n], cls.down[:n]
+@cache
+def _table(number: int) -> np.ndarray:
+    return np.random.default_rng([20240501, number]).integers(0, 2**64, SPAN * 256, dtype=np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -53,9 +50,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Maximal runs of bytes of one class within texts data[offsets[i]:offsets[i + 1]]; ``inside`` has each byte's class, 0 or False outside runs."""
+    """Maximal runs of bytes of one class within texts data[offsets[i]:offsets[i + 1]].
+
+    ``inside`` has each byte's class, 0 or False outside runs; ``fold`` what each byte counts as.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, values: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray):
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
@@ -63,26 +63,38 @@ class Runs:
         self.starts = np.flatnonzero((inside != 0) & edge[:n])
         edge[n] = True
         self.ends = np.flatnonzero((inside != 0) & edge[1:]) + 1
+        self.sizes = self.ends - self.starts
         #: runs before each text
         self.before = np.searchsorted(self.starts, offsets)
-        up, self._down = _Powers.of(n)
-        self._sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * up, dtype=np.uint64)])
-
-    def hashes(self) -> np.ndarray:
-        return mixed((self._sums[self.ends] - self._sums[self.starts]) * self._down[self.starts])
+        #: the bytes of all runs one after another, as they count, and where each run begins among them
+        self.folded = fold[data[inside != 0]]
+        self.at = np.cumsum(self.sizes) - self.sizes
+        place = np.arange(len(self.folded), dtype=np.int32) - np.repeat(self.at.astype(np.int32), self.sizes)
+        self._cells = (place & (SPAN - 1)) << 8 | self.folded
+        self._sums: dict[int, np.ndarray] = {}
+
+    def _total(self, table: int, size: np.ndarray) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of each run."""
+        if table not in self._sums:
+            self._sums[table] = np.concatenate([[np.uint64(0)], np.cumsum(_table(table)[self._cells], dtype=np.uint64)])
+        sums = self._sums[table]
+        return mixed(sums[self.at + size] - sums[self.at] + size.astype(np.uint64))
+
+    def hashes(self, table: int = 0) -> np.ndarray:
+        """The hash of each run; those of different tables are independent."""
+        h = self._total(table, self.sizes)
+        for i in np.flatnonzero(self.sizes > SPAN).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.folded[self.at[i] : self.at[i] + self.sizes[i]], seed=table + 1)
+        return h
 
     def heads(self, size: int) -> np.ndarray:
-        """Hashes of the first ``size`` bytes; shorter runs get 0."""
-        to = np.minimum(self.starts + size, len(self._down))
-        h = mixed((self._sums[to] - self._sums[self.starts]) * self._down[self.starts])
-        return np.where(self.ends - self.starts >= size, h, np.uint64(0))
+        """Hashes of the first ``size`` bytes, SPAN at most; shorter runs get 0."""
+        return np.where(self.sizes >= size, self._total(0, np.minimum(self.sizes, size)), np.uint64(0))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and the words before each text."""
-    values, space = byte_values()
-    runs = Runs(data, offsets, ~space[data], values)
-    return runs.hashes(), runs.before
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
+    fold, space = folding()
+    return Runs(data, offsets, ~space[data], fold)
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -97,27 +109,40 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts, one after another, and their bounds per text."""
-    h, before = word_hashes(data, offsets)
-    counts = np.diff(before)
-    weights = np.random.default_rng(77).integers(1, 2**63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _rolled(h: np.ndarray, weights: np.ndarray, words: int) -> np.ndarray:
+    """The hash of every ``words`` neighbouring words."""
     rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for k in range(words):
         rolled += h[k : k + len(rolled)] * weights[k]
-    rolled = mixed(rolled + np.uint64(words))
-    parts = []
-    for a, n in zip(before[:-1].tolist(), counts.tolist()):
+    return mixed(rolled + np.uint64(words))
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of all texts, one text after another, and their bounds per text.
+
+    A shingle is two independent hashes of 64 bits, in the order of the first within a text; a
+    text with fewer words has their whole sequence as one.
+    """
+    runs = words_of(data, offsets)
+    rng = np.random.default_rng(77)
+    weights = rng.integers(1, 2**63, (2, words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = [runs.hashes(0), runs.hashes(1)]
+    rolled = [_rolled(h[i], weights[i], words) for i in (0, 1)]
+    counts, parts = np.diff(runs.before), []
+    for a, n in zip(runs.before[:-1].tolist(), counts.tolist()):
         if n >= words:
-            part = np.sort(rolled[a : a + n - words + 1])
-            part = part[np.concatenate([[True], part[1:] != part[:-1]])]
-        elif n:  # fewer words: their whole sequence; the count keeps lengths apart
-            part = mixed((h[a : a + n] * weights[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
+            first, second = (r[a : a + n - words + 1] for r in rolled)
+            order = np.argsort(first)
+            first, second = first[order], second[order]
+            new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+            parts.append((first[new], second[new]))
+        elif n:  # the count keeps lengths apart
+            parts.append(tuple(mixed((h[i][a : a + n] * weights[i, :n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)) for i in (0, 1)))
         else:
-            part = np.empty(0, np.uint64)
-        parts.append(part)
-    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), bounds
+            parts.append((np.empty(0, np.uint64),) * 2)
+    bounds = np.cumsum([0, *[len(p) for p, _ in parts]]).astype(np.int64)
+    none = [np.empty(0, np.uint64)]
+    return np.concatenate([*[p for p, _ in parts], *none]), np.concatenate([*[p for _, p in parts], *none]), bounds
 
 
 def min_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.shingles import Runs, byte_values, slices
+from blockweave.llm.shingles import Runs, folding, slices
 from blockweave.runtime import settle
 
 #: Labelled rows to learn from, at most.
@@ -55,25 +55,25 @@ FEATURES = (
 
 @cache
 def _tables() -> dict[str, np.ndarray]:
-    values, space = byte_values()
+    fold, space = folding()
     code = np.arange(256)
     letter = (code >= 128) | ((code | 32) >= 97) & ((code | 32) <= 122) & (code < 128)
     upper = (code >= 65) & (code <= 90)
     digit = (code >= 48) & (code <= 57)
     mark = ~letter & ~digit & ~space & (code > 32)
-    plain = values.copy()
+    plain = fold.copy()
     leet = np.zeros(256, bool)
     for a, b in LEET.items():
         leet[ord(a)] = True
-        plain[ord(a)] = values[ord(b)]
-    return {"values": values, "letter": letter, "upper": upper, "digit": digit, "mark": mark, "plain": plain, "leet": leet, "space": space}
+        plain[ord(a)] = ord(b)
+    return {"fold": fold, "letter": letter, "upper": upper, "digit": digit, "mark": mark, "plain": plain, "leet": leet, "space": space}
 
 
 @cache
 def _hashes_of(words: tuple[str, ...]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     t = _tables()
-    return np.unique(Runs(data, np.array([0, len(data)]), t["letter"][data], t["values"]).hashes())
+    return np.unique(Runs(data, np.array([0, len(data)]), t["letter"][data], t["fold"]).hashes())
 
 
 def _member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
     if not len(data):
         return out
     letter = t["letter"][data]
-    runs = Runs(data, offsets, letter, t["values"])
+    runs = Runs(data, offsets, letter, t["fold"])
     h, before = runs.hashes(), runs.before
 
     def total(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -263,7 +263,7 @@ def learn_lexicon(sample: DataFrame, least: float = 0.004, odds: float = 12.0) -
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for at, rows, data, offsets in slices(batch.column(0)):
-                runs = Runs(data, offsets, t["letter"][data], t["values"])
+                runs = Runs(data, offsets, t["letter"][data], t["fold"])
                 owner = np.repeat(np.arange(rows), np.diff(runs.before)).astype(np.uint64)
                 for size in (0, *HEADS):
                     h = runs.heads(size) if size else runs.hashes()

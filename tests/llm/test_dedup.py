@@ -85,28 +85,79 @@ def corpus(rng, families, members, words=(3, 120)):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"TOGETHER": 3, "BLOCK": 4, "BROADCAST": 0}])
+#: Small limits send everything through bands, blocks, pivots and joins.
+TIGHT = {"BLOCK": 4, "SHINGLES": 300, "HOT": 6, "FREQUENT": 2, "HOT_KEYS": 40}
+
+
+@pytest.mark.parametrize("limits", [{}, TIGHT, TIGHT | {"PIVOT_SHINGLES": 150, "ROUNDS": 1}])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, limits):
-    for name, value in limits.items():  # small limits send everything through blocks, keys and joins
+    for name, value in limits.items():
         monkeypatch.setattr(near_dedup, name, value)
+    if limits:
+        monkeypatch.setattr(near_dedup, "few_bytes", lambda df: False)
     rng = random.Random(7)
-    rows = corpus(rng, 60, 9)
-    rows += [(len(rows) + i, t, "en") for i, t in enumerate(["", None, " \t", "one", "ONE", "one two", "one two three four", "É a b c d", "é a b c d", "a b c d e f"])]
+    rows = corpus(rng, 40, 9)
+    base = [f"v{i}" for i in range(80)]  # one large group of near copies, and texts that share a passage with it
+    for k in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(400)}"
+        rows.append((len(rows), " ".join(copy), "en"))
+    for k in range(25):
+        rows.append((len(rows), " ".join(base[: rng.randrange(30, 60)] + [f"y{rng.randrange(5000)}" for _ in range(rng.randrange(10, 60))]), "en"))
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    odd = ["", None, " \t", "one", "ONE", "one two", "one two three four", "É a b c d", "é a b c d", "a b c d e f", a, b, f"{a} {b} {a} {a}", f"{b} {a} {b} {b}"]
+    rows += [(len(rows) + i, t, "en") for i, t in enumerate(odd)]
     df = spark.createDataFrame(rows, DOC).repartition(3)
-    if limits:
-        got = near_dedup.near_duplicates(df)
-        dealt = near_dedup._dealt(spark.range(40).select(F.lit(1).alias("key"), F.col("id").alias("rep"), F.lit(40).alias("size")), 4)
-        assert dealt.groupBy("low", "high").count().agg(F.max("count")).first()[0] < 40
-    else:
-        got = near_dedup.near_duplicates(df)
+    by_pivots, met = near_dedup._by_pivots, []
+    monkeypatch.setattr(near_dedup, "_by_pivots", lambda *args: met.append(by_pivots(*args)) or met[-1])
+    got = near_dedup.near_duplicates(df)
     assert {tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()} == near_truth(rows)
+    if limits:  # pivots were at work, and left sets between
+        (_, crossing, links), = met
+        assert sum(x.count() for x in links) > 30 and near_dedup._crossing(crossing).count() > 10
+    else:
+        assert not met
+
+
+def test_blocks_and_bands_miss_no_pair_and_hold_none_twice(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rng = random.Random(8)
+    sizes = [rng.choice([1, 2, 3, 10, 12, 13, 14, 17, 40, 300]) for _ in range(120)]
+    rows = [(i % 3, i, n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "key long, rep long, n_shingles long")
+    groups: dict = {}
+    for r in near_dedup.dealt(near_dedup.sized(df)).collect():
+        groups.setdefault((r["key"], r["part"], r["low"], r["high"]), []).append((r["rep"], r["block"]))
+    met: dict = {}
+    for (_, _, low, high), own in groups.items():
+        for x, (a, ba) in enumerate(own):
+            for b, bb in own[x + 1 :]:
+                if low == high or ba != bb:
+                    met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if i % 3 == j % 3 and 4 * min(sizes[i], sizes[j]) >= 3 * max(sizes[i], sizes[j])}
+    assert want <= set(met) and set(met.values()) == {1}
+    assert max(map(len, groups.values())) < 40
+
+
+def test_every_pair_within_the_distance_shares_a_key():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    left = rng.integers(0, 1 << 16, (2000, near_dedup.SYMBOLS), dtype=np.uint16)
+    right = left.copy()
+    for row in right:  # the most symbols that may differ
+        row[rng.permutation(near_dedup.SYMBOLS)[: near_dedup.DISTANCE]] ^= 1
+    assert (near_dedup._keys(left) == near_dedup._keys(right)).any(axis=1).all()
 
 
 def test_near_duplicates_take_odd_tables(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(5, text, "x"), (5, text, "x"), (7, text + " end", "x"), (None, text, "x"), (9, "other words stand here alone", "x"), (9, text + " end", "x")]
-    df = spark.createDataFrame(rows, DOC).withColumns({"rep": F.lit(1), "key": F.lit(2), "_gone": F.lit(5), "kept": F.lit(False)})
+    df = spark.createDataFrame(rows, DOC).withColumns({"rep": F.lit(1), "key": F.lit(2), "_gone": F.lit(5), "kept": F.lit(False), "_Text": F.lit("a"), "SIZE": F.lit(1)})
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(5, 5, True), (5, 5, True), (7, 5, False), (None, None, True), (9, 9, True), (9, 5, False)], key=repr)
     kept = near_dedup.drop_near_copies(df)

@@ -26,12 +26,54 @@ def odd_texts():
     return ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["", " ", "x" * 30_000, "word " * 9000]
 
 
+def thue_morse(size=2048):
+    """Two words that collide under any polynomial hash modulo a power of two."""
+    a, b = "a", "b"
+    while len(a) < size:
+        a, b = a + b, b + a
+    return [a, b]
+
+
+def test_words_with_equal_polynomials_have_different_hashes():
+    for size in (32, 64, 1024, 2048):
+        words = thue_morse(size)
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        runs = shingles.words_of(data, np.array([0, len(data)]))
+        for table_number in (0, 1):
+            assert len(set(runs.hashes(table_number).tolist())) == 2
+
+
+def test_words_do_not_depend_on_what_stands_around_them():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdéZ", k=rng.choice([1, 2, 5, 63, 64, 65, 200]))) for _ in range(300)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    whole = shingles.words_of(data, np.array([0, len(data)]))
+    for word, h, g in zip(words, whole.hashes(0).tolist(), whole.heads(5).tolist(), strict=True):
+        alone = np.frombuffer(word.lower().replace("É", "é").encode(), np.uint8)
+        own = shingles.words_of(alone, np.array([0, len(alone)]))
+        assert own.hashes(0).tolist() == [h] and own.heads(5).tolist() == [g] and (g != 0) == (len(alone) >= 5)
+
+
+def test_a_wrong_entry_of_the_memo_is_noticed():
+    """As if two words had one hash: the second is still encoded as the library does."""
+    own, library = packing._Tokenizer(path("word_bpe_49k.json")), Tokenizer.from_file(path("word_bpe_49k.json"))
+
+    def ids(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return np.frombuffer(own.encode(data, np.array([0, len(data)]))[0], "<u4").tolist()
+
+    ids("horses run")
+    own.letters[:6] = np.frombuffer(b"houses", np.uint8)
+    for text in ("horses run", "houses run"):
+        assert ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
 # -- packing ---------------------------------------------------------------------------------
 
 
 def test_tokenizer_matches_the_library(odd_texts):
     own, library = packing._Tokenizer(path("word_bpe_49k.json")), Tokenizer.from_file(path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
+    odd_texts = odd_texts + ["".join(f"{w}<|endoftext|>{w.upper()}" for w in ("a", " b", "\u0301")), "<|startoftext|", "<|STARTOFTEXT|>", "|endoftext|>", *thue_morse()]
     got = []
     for _, _, data, offsets in shingles.slices(pa.array(odd_texts)):
         got += own.encode(data, offsets)
