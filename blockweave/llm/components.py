@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from blockweave.runtime import settle
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the minimum of each node.
+
+    The join has a key of its own, the node's complement: with the node itself Spark would join where the
+    minima were taken, and could not split the edges of one node with very many over tasks.
+    """
+    own = least.select(F.bitwise_not("u").alias("k"), "m")
+    return edges.withColumn("k", F.bitwise_not("u")).join(own, "k").drop("k")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (u long, v long); a component is named by its smallest node.
 
@@ -21,10 +31,10 @@ def components(links: DataFrame) -> DataFrame:
         # large star: the larger neighbours of a node move to the smallest of all its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = settle(small, "edges")
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if tuple(state) == before:

@@ -311,7 +311,9 @@ def _linked(rows: pa.Table, ends: np.ndarray) -> pa.Table | None:
 
 
 def _together(rows: DataFrame) -> DataFrame:
-    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "rep")
+    # a number of tasks, so that few bytes with much work are not put into few tasks
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *GROUP).sortWithinPartitions(*GROUP, "rep")
 
 
 #: From a pivot: what is linked with it, what may link with that, and what cannot.

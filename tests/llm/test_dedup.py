@@ -115,11 +115,11 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, limits):
     monkeypatch.setattr(near_dedup, "_by_pivots", lambda *args: met.append(by_pivots(*args)) or met[-1])
     got = near_dedup.near_duplicates(df)
     assert {tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()} == near_truth(rows)
+    (_, crossing, links), = met
     if limits:  # pivots were at work, and left sets between
-        (_, crossing, links), = met
         assert sum(x.count() for x in links) > 30 and near_dedup._crossing(crossing).count() > 10
     else:
-        assert not met
+        assert not crossing and not links
 
 
 def test_blocks_and_bands_miss_no_pair_and_hold_none_twice(spark, monkeypatch):
