@@ -106,15 +106,45 @@ def test_search_is_exact_with_ties(spark, width, k, block):
 
 def test_blocks_of_dimensions_prune_without_loss():
     rng = np.random.default_rng(8)
-    x = (np.floor(64 * rng.normal(size=(64, 3000)) * np.linspace(2, 0.1, 64)[:, None])).astype(np.float64)
+    x = (np.floor(64 * rng.normal(size=(64, 3000)) * np.linspace(2, 0.1, 64)[:, None])).astype(np.int64)
     best = topk.TopK(np.arange(10), x[:, :10], 5)
     for at in range(0, 3000, 500):
         best.feed(np.arange(at, at + 500), np.ascontiguousarray(x[:, at : at + 500]))
-    rows = best.rows()
+    rows = best.rows(np.arange(10))
     for q in range(10):
         s = x[:, q] @ x
         want = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:5]
-        assert [n for i, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()) if i == q] == want
+        assert [n for i, n in zip(rows.column("query_id").to_pylist(), rows.column("vec_id").to_pylist()) if i == q] == want
+
+
+@pytest.mark.parametrize("bits", [20, 25, 29, 30, 31])
+def test_scores_are_exact_beyond_floating_point(bits):
+    """Sums below 2**53, below 2**62 and beyond are held to whole numbers of any size."""
+    rng = random.Random(bits)
+    x = [[(1 << bits) + rng.randrange(4) for _ in range(3)] + [rng.choice([-1, 1]) * rng.randrange(1 << bits) // 2 for _ in range(20)] for _ in range(300)]
+    columns = np.ascontiguousarray(np.array(x, np.int64).T)
+    best = topk.TopK(np.arange(8), np.ascontiguousarray(columns[:, :8]), 5, step=4)
+    for at in range(0, 300, 100):
+        best.feed(np.arange(at, at + 100), np.ascontiguousarray(columns[:, at : at + 100]))
+    for q in range(8):
+        exact = [sum(a * b for a, b in zip(x[q], y)) for y in x]
+        want = sorted((-s, i) for i, s in enumerate(exact) if i != q)[:5]
+        assert list(zip([-s for s in best.scores[q]], best.names[q])) == want
+
+
+def test_search_takes_odd_tables(spark):
+    shape = "vec_id long, v array<long>, V2 string, query_id int, ROW int"
+    big = [640000001, 640000001]
+    rows = [(1, big, "x", 0, 0), (2, [640000003, 640000002], "x", 0, 0), (2, [640000003, 640000002], "x", 0, 0), (1, big, "y", 1, 1), (3, [1, 2, 3], "x", 0, 0), (1, [5, -5], "x", 0, 0)]
+    df = spark.createDataFrame(rows, shape)
+    got = topk.top_k(df, df.where("vec_id = 1"), 3)
+    # a repeated query counts once; another vector of the same id has a list of its own
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == [(1, 1, 2, 5), (1, 1, 2, 819200004480000005), (1, 2, 2, 5), (1, 2, 2, 819200004480000005)]
+    with pytest.raises(Exception, match="too large"):
+        topk.quantised(spark.createDataFrame([(1, [1e300])], "vec_id long, e array<double>"), "vec_id", "e").collect()
+    huge = spark.createDataFrame([(1, [1 << 61] * 3), (2, [1 << 61] * 3)], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(huge, huge, 1).collect()
 
 
 # -- chats -----------------------------------------------------------------------------------------
