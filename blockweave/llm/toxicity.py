@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
     """All columns of ``docs`` and its score."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: trees and at most MAX_LEXICON entries
-    at = docs.columns.index(text_col)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -330,7 +330,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
-    into = "_score"
-    while into in docs.columns:
+    known, into = {c.lower() for c in docs.columns}, "_score"
+    while into in known:
         into += "_"
     return score(docs, model, text_col, into).where(F.col(into) < threshold).drop(into)

@@ -37,9 +37,25 @@ def test_exact_dedup_takes_odd_tables(spark):
     df = spark.createDataFrame(rows, DOC).withColumns({"row": F.lit(1), "first": F.lit("f"), "digest": F.lit(0), "text_sha256": F.lit("no")})
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect()), key=repr)
     assert sum(k for *_, k in got) == 3 and (None, 2, 3, False) in got and (None, None, 1, True) in got and (4, 3, 2, False) in got
-    kept = exact_dedup.drop_exact_copies(df)
-    assert kept.columns == df.columns
-    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == [(2, "a"), (3, None), (None, "b")]
+    df = df.withColumns({"_DIGEST": F.lit(b"own"), "_Id": F.lit(7), "_place": F.lit(8), "_HOT": F.lit(9), "First_id": F.lit(10), "ID": F.lit(11)})
+    for heavy in (256, 1):
+        kept = exact_dedup.drop_exact_copies(df, heavy=heavy)
+        assert kept.columns == df.columns
+        got = kept.collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == [(2, "a"), (3, None), (None, "b")]
+        assert {(bytes(r["_DIGEST"]), r["_Id"], r["_place"], r["_HOT"], r["First_id"], r["ID"]) for r in got} == {(b"own", 7, 8, 9, 10, 11)}
+
+
+def test_dropping_exact_copies_matches_the_groups(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(rng.choice([i, i, i, 5, None]), rng.choice(["", None, "a  b", "a b"] + [f"t{k}" for k in range(60)]), "en") for i in range(500)]
+    df = spark.createDataFrame(rows, DOC).repartition(4).cache()
+    for heavy, few in ((256, True), (2, True), (2, False)):
+        monkeypatch.setattr(exact_dedup, "few_bytes", lambda df, few=few: few)
+        want = sorted(((r["doc_id"], r["text_sha256"]) for r in exact_dedup.exact_groups(df, heavy=heavy).where("kept").collect()), key=repr)
+        kept = exact_dedup.drop_exact_copies(df, heavy=heavy)
+        got = kept.select("doc_id", exact_dedup.digest(F.col("text")).alias("d")).collect()
+        assert sorted(((r["doc_id"], r["d"]) for r in got), key=repr) == want
 
 
 def test_frequent_digests_are_found(spark):

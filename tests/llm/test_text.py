@@ -218,7 +218,7 @@ def test_isotonic_is_the_best_monotone_fit():
 
 
 def test_toxicity_takes_odd_tables(spark):
-    docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (2, "", 3), (None, "x", 3), (4, "y" * 200_000, 3)], "doc_id long, text string, _score int")
+    docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (2, "", 3), (None, "x", 3), (4, "y" * 200_000, 3)], "doc_id long, text string, _score int").withColumns({"_SCORE_": F.lit("s"), "Fold": F.lit(1), "LABEL": F.lit(2)})
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score_documents(docs, empty).collect()
     assert len(got) == 5 and all(r["score"] == 0 and r["predicted"] == 0 for r in got)
