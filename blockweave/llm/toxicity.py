@@ -4,14 +4,17 @@ Features of a text, from its bytes: densities of a fixed and of a learnt lexicon
 either stands near a second-person word, capitals, punctuation, and obfuscation (letters mixed
 with digits or signs, and lexicon words found once these are read as letters).
 
-Training uses labelled rows only, at most ``MAX_TRAIN`` of them in the order of a hash of the
-id (all, if fewer). The learnt lexicon holds words and word beginnings that are far more common
-in rows labelled toxic; counting them is distributed, at most ``MAX_LEXICON`` reach the driver.
-Trees are fitted on four fifths of the training rows and calibrated on the rest.
+The learnt lexicon holds words and word beginnings that are far more common in rows labelled
+toxic; they are counted over all labelled rows outside the held-out fifth. A unit must be in 0.4 %
+of the toxic rows, so there are few of them for any number of rows: at most 250 times the units
+of a row. Were there ever more than ``MAX_LEXICON``, the share asked for is doubled until not.
+Trees are fitted on at most ``MAX_TRAIN`` of the labelled rows in the order of a hash of the id (all,
+if fewer), four fifths of which grow the trees while the rest calibrates them.
 
 Defined results: null and empty texts have features of zero and get the score of that. Without
 training rows of both classes the score is the share of toxic ones (0 without any). Labels that
-are null take no part; a row with several labels counts once for each.
+are null take no part; a row with several labels counts once for each, and so do rows that share
+an id. Empty tables give no rows. Further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.llm.shingles import Runs, folding, slices
-from blockweave.runtime import settle
+from blockweave.runtime import few_bytes, settle
 
-#: Labelled rows to learn from, at most.
+#: Labelled rows that the trees are fitted on, at most.
 MAX_TRAIN = 50_000
-#: Learnt words and beginnings, at most.
-MAX_LEXICON = 4_000
+#: Learnt words and beginnings that are held, at most (20 bytes each).
+MAX_LEXICON = 200_000
 #: Lengths of word beginnings in bytes.
 HEADS = (4, 5, 6)
 #: Words around a lexicon word in which a second-person word counts as near.
@@ -242,12 +245,17 @@ class Model:
         return np.clip(0.999 * np.interp(raw, self.centres, self.heights) + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
 
-def training_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", most: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, label, fold) of at most ``most`` labelled rows outside the held-out fifth."""
+def labelled_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, label) of the labelled rows outside the held-out fifth."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     own = known.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("label"))
+    return own.where(~held_out(F.col("doc_id")))
+
+
+def training_rows(labelled: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+    """(doc_id, label, fold) of at most ``most`` labelled rows."""
     deal = F.xxhash64("doc_id")
-    return own.where(~held_out(F.col("doc_id"))).orderBy(deal, "doc_id", "label").limit(most).withColumn("fold", F.pmod(F.shiftright(deal, 7), F.lit(5)).cast("int"))
+    return labelled.orderBy(deal, "doc_id", "label").limit(most).withColumn("fold", F.pmod(F.shiftright(deal, 7), F.lit(5)).cast("int"))
 
 
 def held_out(doc_id):
@@ -255,8 +263,8 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn_lexicon(sample: DataFrame, least: float = 0.004, odds: float = 12.0) -> Lexicon:
-    """Words and beginnings of ``sample`` (text, label) that are ``odds`` times as common in toxic rows."""
+def learn_lexicon(rows: DataFrame, least: float = 0.004, odds: float = 12.0, most: int = MAX_LEXICON) -> Lexicon:
+    """Words and beginnings of ``rows`` (text, label) that are ``odds`` times as common in toxic rows, and in a share of ``least`` of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tables()
@@ -273,33 +281,37 @@ def learn_lexicon(sample: DataFrame, least: float = 0.004, odds: float = 12.0) -
                     ones = np.bincount(of, toxic, len(unit)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), size, np.int32)), pa.array(unit.view(np.int64)), pa.array(ones), pa.array(np.bincount(of, minlength=len(unit)) - ones)], names=["size", "unit", "ones", "zeros"])
 
-    totals = sample.agg(F.sum("label"), F.count("*")).first()
-    ones, rows = totals[0] or 0, totals[1]
-    if not ones or ones == rows:
+    totals = rows.agg(F.sum("label"), F.count("*")).first()
+    ones, size = totals[0] or 0, totals[1]
+    if not ones or ones == size:
         return Lexicon([])
-    counts = sample.select("text", "label").mapInArrow(run, "size int, unit long, ones long, zeros long").groupBy("size", "unit").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    ratio = (F.col("ones") / ones) / ((F.col("zeros") + 0.5) / (rows - ones + 1))
-    found = counts.where((F.col("ones") >= max(3, least * ones)) & (ratio >= odds)).withColumn("weight", F.log(ratio))
-    top = found.orderBy(F.col("ones").desc(), "size", "unit").limit(MAX_LEXICON).collect()
-    return Lexicon([(r["size"], r["unit"], r["weight"]) for r in top])
+    counts = rows.select("text", "label").mapInArrow(run, "size int, unit long, ones long, zeros long").groupBy("size", "unit").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    ratio = (F.col("ones") / ones) / ((F.col("zeros") + 0.5) / (size - ones + 1))
+    found = settle(counts.where((F.col("ones") >= max(3, least * ones)) & (ratio >= odds)).withColumn("weight", F.log(ratio)), "lexicon")
+    while found.count() > most:
+        least *= 2
+        found = found.where(F.col("ones") >= least * ones)
+    return Lexicon([(r["size"], r["unit"], r["weight"]) for r in found.collect()])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAIN) -> Model:
     """A model learnt from the labelled rows of ``docs`` outside the held-out fifth."""
-    rows = settle(training_rows(labels, id_col, label_col, most), "training")  # at most ``most`` rows of 16 bytes
+    labelled = settle(labelled_rows(labels, id_col, label_col), "labelled")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = settle(texts.join(F.broadcast(rows), "doc_id"), "training-texts")
-    lexicon = learn_lexicon(sample)
-    shape = "label int, fold int, x array<float>"
+    lexicon = learn_lexicon(texts.join(F.broadcast(labelled) if few_bytes(labelled) else labelled, "doc_id"))
+    rows = settle(training_rows(labelled, most), "training")  # at most ``most`` rows of 16 bytes
+    sample = texts.join(F.broadcast(rows), "doc_id")
+    shape = "doc_id long, label int, fold int, x array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n, data, offsets in slices(batch.column(2)):
+            for at, n, data, offsets in slices(batch.column(3)):
                 x = features(data, offsets, lexicon)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(list(x), pa.list_(pa.float32()))], names=["label", "fold", "x"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(at, n) for k in range(3)], pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "label", "fold", "x"])
 
-    # in a fixed order, so that a fit that is run again gives the same trees
-    table = sample.sortWithinPartitions("doc_id").select("label", "fold", "text").mapInArrow(run, shape).orderBy("fold", "label", "x").limit(4 * most).toArrow()
+    # in a fixed order, so that a fit that is run again gives the same trees; where ids repeat, the bound holds for their rows, too
+    order = (F.xxhash64("doc_id"), "doc_id", "label", "x")
+    table = sample.select("doc_id", "label", "fold", "text").mapInArrow(run, shape).orderBy(*order).limit(most).toArrow()
     x = np.array(table.column("x").to_pylist(), np.float32).reshape(table.num_rows, len(FEATURES))
     return Model(lexicon, x, table.column("label").to_numpy().astype(np.float64), table.column("fold").to_numpy())
 
