@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +45,22 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], into: str = "nth") -> DataFrame:
+    """``rows`` with their place, from 1, among those of equal keys (nulls are equal); ``order`` is total.
+
+    Rows are dealt by ranges of keys and order, so one key with very many rows is spread over
+    tasks; each range needs only the number of rows of its first key before it.
+    """
+    dealt = settle(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_own"))  # keys and ranges only
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.sum("_own").over(earlier)).where("_before > 0").drop("_own").alias("s")
+    placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).alias("d")
+    same = reduce(and_, [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "_part")])
+    found = placed.join(starts, same, "left")
+    return found.select(*[F.col(f"d.{c}") for c in rows.columns], (F.col("_at") + F.coalesce("_before", F.lit(0))).cast("long").alias(into))
+
+
 #: Bytes of a table that may be broadcast.
 BROADCAST = 48 << 20
 
