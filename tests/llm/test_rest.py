@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from blockweave.llm import chat, queries, sharding, topk
-from blockweave.runtime import settle, table
+from blockweave.runtime import numbered, settle, table
 
 from .test_dedup import exact_truth, near_truth
 
@@ -185,7 +185,7 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert {r["status"] for r in got if r["conv_id"] == 2} == {"cyclic"}
     assert [r["json"] for r in got if r["conv_id"] == 3] == ['{"content":"{broken","role":"user"}', '{"content":"","role":"user"}', '{"content":"","role":"user"}']
     assert [r["json"] for r in got if r["conv_id"] is None] == ['{"content":null,"role":"unknown"}']
-    assert '{"role":"assistant","tool_call":{"arguments":{"x":1},"id":"b","name":"f"}}' in [r["json"] for r in got]
+    assert '{"role":"assistant","tool_call":{"arguments":{"x":1},"depends_on":["a"],"id":"b","name":"f"}}' in [r["json"] for r in got]
     assert chat.linked(spark.createDataFrame([], TURN), TOOLS).count() == 0
 
 
@@ -215,6 +215,96 @@ def test_links_match_brute_force(spark):
     assert {(r["conv_id"], r["turn"]): r["status"] for r in linked(spark, rows)} == want
 
 
+def test_nothing_in_an_envelope_is_lost(spark):
+    rows = [
+        (1, 0, "assistant", '{"reasoning": "why", "tool_calls": [{"id": "a", "name": "f", "arguments": "{\\"x\\": 1}", "type": "function"}, {"id": 7, "name": "f", "arguments": {"x": 2.0}}], "role": "bot"}'),
+        (1, 1, "tool", '{"tool_call_id": "a", "content": {"b": [1, 2.5], "a": null}, "is_error": true}'),
+        (1, 2, "tool", '{"tool_call_id": 7, "content": "seven"}'),
+        (1, 3, "assistant", '{"tool_calls": [{"id": "q", "name": "f", "arguments": {"x": 1, "x": 2}}]}'),
+        (1, 4, "assistant", '{"tool_calls": [{"id": "r", "name": "f", "arguments": "{\\"x\\": 1, \\"x\\": 2}"}, {"id": null, "name": "f"}]}'),
+        (1, 5, "assistant", '{"tool_calls": "none"}'), (1, 6, "tool", '{"tool_call_id": "\\ud800", "content": "\\ud83d"}'), (1, 7, "tool", '{"tool_call_id": "n", "content": NaN}'),
+        (1, 8, "user", "[" * 100_000), (1, 9, "assistant", '{"a":' * 100_000), (1, 10, "user", "x" * 300_000),
+    ]
+    got = linked(spark, rows)
+    of = {}
+    for r in got:
+        of.setdefault(r["turn"], []).append((r["kind"], r["status"], r["json"]))
+    assert of[0] == [
+        ("plain", "ok", '{"content":null,"extra":{"reasoning":"why","role":"bot"},"role":"assistant"}'),
+        ("call", "ok", '{"role":"assistant","tool_call":{"arguments":{"x":1},"extra":{"type":"function"},"id":"a","name":"f"}}'),
+        ("call", "ok", '{"role":"assistant","tool_call":{"arguments":{"x":2},"id":"7","name":"f"}}'),
+    ]
+    assert of[1] == [("result", "ok", '{"content":{"a":null,"b":[1,2.5]},"extra":{"is_error":true},"role":"tool","tool_call_id":"a"}')]
+    assert of[2] == [("result", "ok", '{"content":"seven","role":"tool","tool_call_id":"7"}')]
+    assert [x[:2] for x in of[3]] == [("plain", "invalid $: repeated key x")] and json.loads(of[3][0][2])["content"] == rows[3][3]
+    assert [x[:2] for x in of[4]] == [("call", "invalid $: repeated key x"), ("call", "invalid $.x: missing")]
+    assert [x[:2] for x in of[5]] == [("plain", "ok")] and of[6] == [("result", "orphan", '{"content":"\\ud83d","role":"tool","tool_call_id":"\\\\ud800"}')]
+    assert [x[0] for x in of[7] + of[8] + of[9] + of[10]] == ["plain"] * 4
+
+
+def order_truth(edges):
+    """Places by relaxing every edge until nothing moves; what would move on for ever is cyclic, and so is what is behind it."""
+    nodes = {x for e in edges for x in e}
+    place = {x: (x[2], 0) for x in nodes}
+    for step in range(2 * len(nodes) + 2):
+        moved = set()
+        for a, b in edges:
+            if (place[a][0], place[a][1] + 1) > place[b]:
+                place[b] = (place[a][0], place[a][1] + 1)
+                moved.add(b)
+    bad = set(moved)
+    while more := {b for a, b in edges if a in bad} - bad:
+        bad |= more
+    return {x: None if x in bad else place[x] for x in nodes}
+
+
+def test_order_matches_brute_force_in_one_task_and_by_rounds(spark):
+    rng = random.Random(12)
+    for _ in range(30):
+        nodes = [(i, 0, rng.randrange(6)) for i in range(rng.randrange(2, 14))]
+        edges = [tuple(rng.sample(nodes, 2)) for _ in range(rng.randrange(1, 12))]
+        want = order_truth(edges)
+        got = {(row, part): None if cyclic else (place["turn"], place["depth"]) for row, part, place, cyclic in chat.order(edges)}
+        assert got == {x[:2]: p for x, p in want.items()}
+    shape = "conv_id long, before struct<row: long, part: int, turn: long>, after struct<row: long, part: int, turn: long>"
+    df = spark.createDataFrame([(1, a, b) for a, b in edges] + [(None, (90, 0, None), (91, 0, 3))], shape)
+    whole = {(r["row"], r["part"], r["place"], r["cyclic"]) for r in chat._grouped(df).collect()}
+    rounds = {(r["row"], r["part"], r["place"], r["cyclic"]) for r in chat._by_rounds(df).collect()}
+    assert {(a, b, d) for a, b, _, d in whole} == {(a, b, d) for a, b, _, d in rounds}
+    assert {x for x in whole if not x[3]} == {x for x in rounds if not x[3]}
+
+
+def test_a_chain_of_a_thousand_calls_takes_few_jobs(spark):
+    rows = []
+    for i in range(1000):  # every call waits for the result of the one before, and all calls come first
+        rows.append((1, 0, "assistant", calls(call(f"c{i}", depends_on=[f"c{i - 1}"] if i else []))))
+        rows.append((1, 1, "tool", result(f"c{i}", str(i))))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    random.Random(1).shuffle(rows)
+    got = linked(spark, rows)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 60
+    assert [(r["kind"], r["call_id"]) for r in got] == [x for i in range(1000) for x in (("call", f"c{i}"), ("result", f"c{i}"))]
+    assert {r["status"] for r in got} == {"ok"}
+
+
+def test_chats_take_odd_tables(spark):
+    rows = [(1, 1, "assistant", calls(call("a")))] * 3 + [(None, None, "tool", result("a", "x")), (None, None, "assistant", calls(call("a"))), (1, None, None, None)]
+    df = spark.createDataFrame(rows, TURN).withColumns({"Row": F.lit(1), "PLACE": F.lit(2), "kind": F.lit("k"), "call_ID": F.lit("i"), "nth": F.lit(0), "_part": F.lit(0)})
+    got = sorted((r["conv_id"] or 0, r["kind"], r["status"]) for r in chat.linked(df, TOOLS).collect())
+    assert got == [(0, "call", "ok"), (0, "result", "ok"), (1, "call", "unanswered")] + [(1, "call", "unanswered")] * 2 + [(1, "plain", "ok")]
+
+
+def test_places_are_numbered_across_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice(["a", None]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, l string, i long").repartition(5)
+    got = {r["i"]: r["nth"] for r in numbered(df, ["k", "l"], ["i"]).collect()}
+    count = {}
+    for k, l, i in rows:
+        count[k, l] = count.get((k, l), 0) + 1
+        assert got[i] == count[k, l]
+
+
 def test_schemas_and_canonical_json():
     schema = {"type": "object", "properties": {"n": {"type": "number", "minimum": 0, "maximum": 5}, "s": {"type": ["string", "null"], "maxLength": 3, "pattern": "^a"}, "l": {"type": "array", "items": {"enum": [1, 2]}, "maxItems": 2}, "u": {"anyOf": [{"const": 1}, {"type": "boolean"}]}}}
     assert chat.invalid({"n": 5, "s": "ab", "l": [1, 2], "u": True}, schema) is None
