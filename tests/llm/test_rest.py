@@ -53,10 +53,59 @@ def test_cuts_are_weighted_medians(spark):
     # the first cut goes along the first of equally wide dimensions, by value and then by the tie
     halves = {r["id"]: r["shard"] for r in sharding.kd_shards(df, ["a", "b"], "w", leaves=2).collect()}
     assert max((r[1], r[4]) for r in rows if halves[r[0]] == 0) < min((r[1], r[4]) for r in rows if halves[r[0]] == 1)
+    many = [r["count"] for r in sharding.kd_shards(df, ["a", "b"], "w", leaves=700).groupBy("shard").count().collect()]
+    assert len(many) > 650
     by_target = sharding.kd_shards(df, ["a", "b"], "w", target_bytes=5000).select("shard").distinct().count()
     assert by_target == -(-sum(r[3] for r in rows) // 5000)
 
 
+def plain_tree(rows, leaves):
+    """Shards of rows (id, dimensions, weight, tie) by a k-d tree in plain loops."""
+    out, spread = {}, None
+
+    def split(own, first, n):
+        nonlocal spread
+        if n == 1 or not own:
+            out.update((r[0], first) for r in own)
+            return
+        widths = [max(r[1][d] for r in own) - min(r[1][d] for r in own) for d in range(len(own[0][1]))]
+        spread = spread or widths
+        best = max(range(len(widths)), key=lambda d: (widths[d] / spread[d] if spread[d] else 0, -d))
+        own = sorted(own, key=lambda r: (r[1][best], r[3]))
+        goal, before, left = sum(r[2] for r in own) * (n // 2) / n, 0, 0
+        for r in own:  # ties of (value, tie) do not occur here
+            if before + r[2] < goal or before < goal and before + r[2] - goal <= goal - before:
+                left += 1
+            before += r[2]
+        split(own[:left], first, n // 2)
+        split(own[left:], first + n // 2, n - n // 2)
+
+    split(rows, 0, leaves)
+    return out
+
+
+@pytest.mark.parametrize("few", [256, 0, 5])
+def test_shards_match_a_plain_tree(spark, monkeypatch, few):
+    monkeypatch.setattr(sharding, "FEW", few)
+    rng = random.Random(few)
+    rows = [(i, (rng.choice([3, 3, rng.randrange(1000)]), rng.randrange(-50, 50), i), rng.randint(1, 20), rng.randrange(2**31)) for i in range(1500)]
+    df = settle(spark.createDataFrame([(i, *x, w, t) for i, x, w, t in rows], "id long, a long, b long, c long, w long, tie long"), "kd")
+    for leaves in (2, 7, 24):
+        got = {r["id"]: r["shard"] for r in sharding.kd_shards(df, ["a", "b", "c"], "w", leaves=leaves).collect()}
+        assert got == plain_tree(rows, leaves)
+
+
+def test_numbers_and_times_keep_their_order(spark):
+    """Also beyond 1e15, by fractions and by microseconds."""
+    rows = [(i, "x" * 20, 1e300 * (i % 5) + i / 7e9, f"2020-01-01 00:00:00.{i % 900:06d}", str(i % 300 / 8)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x double, t string, d string").withColumns({"t": F.col("t").cast("timestamp"), "d": F.col("d").cast("decimal(10,3)")})
+    for name in ("x", "t", "d"):
+        value = {r["doc_id"]: r[name] for r in df.collect()}
+        got = sharding.shard_documents(df, shards=2, dimensions=(name,)).collect()
+        low, high = ([value[r["doc_id"]] for r in got if r["shard"] == n] for n in (0, 1))
+        assert len(got) == 900 and max(low) <= min(high) and abs(len(low) - 450) < 4
+
+
 def test_texts_with_one_beginning_are_parted(spark):
     rows = [(i, "x" * 50, f"https://host/{i % 8}" if i % 9 else None) for i in range(1600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
