@@ -12,7 +12,9 @@ that is itself a token stays whole. Matches recur, so their encodings are kept i
 memo per Python worker.
 
 Defined results: a null text counts as empty and gives no ids. Lone surrogates cannot occur in
-Spark strings. Memory is bounded by the longest text, not by the number of rows.
+Spark strings. Memory is bounded by the longest text, not by the number of rows. Rows are encoded
+one by one, repeated or not; a null id is an id like another. An empty table gives no rows. Further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

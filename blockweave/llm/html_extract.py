@@ -18,7 +18,8 @@ many its host has. Adaptive execution can split the join for a hot template.
 
 Defined results: null and empty html give an empty text, as does a page without text. Elements
 that are not closed end with their parent; stray end tags are ignored. A page without a host
-has templates in common with other such pages. Rows are treated one by one, repeated or not.
+has templates in common with other such pages. Rows are treated one by one, repeated or not. An
+empty table gives no rows. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

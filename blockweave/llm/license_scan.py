@@ -13,7 +13,8 @@ Texts are read whole, in one pass without a shuffle. The index is as small as th
 
 Defined results: null and empty texts have no findings. Of findings that overlap by more than
 half, the one with more matching words stays (then higher coverage, then the name). Rows are
-scanned one by one, repeated or not.
+scanned one by one, repeated or not; a null id is an id like another. An empty table gives no
+rows. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.llm.shingles import Runs, folding, mixed, slices
+from blockweave.runtime import few_bytes
 
 K, WINDOW = 3, 2
 #: Least share of a template's words that must match.
@@ -245,8 +247,16 @@ class Index:
         return sorted(kept, key=lambda f: f.first)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """FINDING rows; spans are in characters of the text, the end behind the last."""
+#: Bytes of a table of templates, which every task holds, at most.
+TEMPLATE_BYTES = 8 << 20
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """FINDING rows; spans are in characters of the text, the end behind the last. ``templates`` may be a table (name, text) of at most TEMPLATE_BYTES."""
+    if isinstance(templates, DataFrame):
+        if not few_bytes(templates, TEMPLATE_BYTES):
+            raise ValueError(f"templates take over {TEMPLATE_BYTES} bytes")
+        templates = {r["name"]: r["text"] for r in templates.select("name", "text").collect()}
     index = Index(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

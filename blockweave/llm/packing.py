@@ -6,13 +6,15 @@ fits most tightly is the lowest set bit at or above the item's length. When all
 and none fits, the fullest one closes to make room.
 
 Only lengths travel: (id, piece, length) rows are dealt over tasks by a hash of the id, in a
-number of tasks that follows their count. A task takes them in runs of bounded size, each in
-falling order of length: long items open the bins, short ones close their gaps, and what a run
-leaves open serves the next. The order is total, so a task that is run again packs the same
-way. Pieces that fill a bin alone skip the packing.
+number of tasks that follows their count. A task places them one by one, in runs of a bounded
+number of items, each in falling order of length: long items open bins, until more are wanted
+than may be open and the fullest close; short ones fill the gaps, and what a run leaves open
+serves the next. The order is total, so a task that is run again packs the same way. Pieces that
+fill a bin alone skip the packing.
 
 Defined results: a null text is empty and becomes the separator alone. Rows with the same id
-are packed one by one, as often as they occur; a null id is an id like another.
+are packed one by one, as often as they occur; a null id is an id like another. An empty table gives no rows.
+Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ from blockweave.runtime import settle
 CAPACITY = 2048
 SEPARATOR = 0
 #: Bins that a task holds open.
-OPEN_BINS = 65_536
-#: Items come in runs of about this many, long ones first; a run never needs more bins than are held open.
-ITEMS_PER_RUN = 60_000
+OPEN_BINS = 4096
+#: Items come in runs of about this many, long ones first.
+ITEMS_PER_RUN = 8192
 #: Items that a packing task gets; each further task costs a few bins that stay half empty.
 ITEMS_PER_TASK = 480_000
 #: Entries of the tokenizer's memo in a Python worker.
