@@ -2,17 +2,19 @@
 
 1. Every page is parsed into its element tree. The subtrees that could belong to a template,
    inside an article containers with lists, tables and figures, else all, are hashed by their
-   source; (host, hash) rows are counted over pages by an aggregate with a map side, so a host
+   source. Menus and link lists differ from page to page, so subtrees outside articles whose text is
+   mostly links are hashed by their shape as well: tags and classes, equal neighbours as one.
+   (host, hash) rows are counted over pages by an aggregate with a map side, so a host
    that holds a third of all pages costs no task more than another. A subtree on ``SHARE`` of a
    host's pages, and on ``LEAST`` at least, is that host's template, and so is a container, list,
    table or figure on ``MANY`` of its pages, however large the host is, unless those are mostly
    copies of a few pages.
-2. Each page is parsed again. Its article, or the page if it has none, is read without template
-   subtrees and without elements that are by name, role or class menus, headers, footers,
-   sidebars, notices, adverts, forms, scripts, styles or comments. Paragraphs that many pages
-   quote inside their article are text and stay.
+2. Each page is parsed again. Its article (with the main element around it, if any), or the page if
+   it has none, is read without template subtrees and without elements that are by name, role or class menus, headers, footers,
+   sidebars, notices, adverts, forms, scripts, styles or comments. Nothing else is left out:
+   paragraphs that many pages quote inside their article are text and stay.
 
-The template table is broadcast while it has at most ``BROADCAST`` rows; beyond that the hashes
+The template table is broadcast while it takes at most ``BROADCAST`` bytes; beyond that the hashes
 of each page meet the templates in a join, so that a page is given only those it holds, however
 many its host has. Adaptive execution can split the join for a hot template.
 
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.runtime import settle
+from blockweave.runtime import few_bytes, settle
 
 #: A template subtree is on this share of its host's pages, and on so many at least.
 SHARE, LEAST = 0.25, 5
@@ -42,8 +44,8 @@ SHARE, LEAST = 0.25, 5
 MANY = 100
 #: Of 64 classes of page digests, so many must hold it then; 100 different pages reach about 51, copies of one page reach 1.
 CLASSES = 32
-#: (host, hash) rows that are broadcast at most (16 bytes and a host name each).
-BROADCAST = 100_000
+#: Bytes of (host, hash) rows that are broadcast at most.
+BROADCAST = 8 << 20
 
 #: A tag ends before another one begins and closes its quotes: what does not is text. The first parts of a tag are read at once, others one by one.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,200}+)|<[!?][^<>]*+>", re.S)
@@ -54,7 +56,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title iframe".split())
 #: Read as elements, so that they end with their parent at the latest, but never text.
-UNSEEN = set("noscript template svg math select object".split())
+UNSEEN = set("template select".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img data".split())
 TEXT = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody table ul ol dl figcaption figure em b i strong".split())
 #: Text elements that hold others and may be templates inside an article, too.
@@ -62,21 +64,23 @@ GROUPS = set("ul ol dl table figure".split())
 BOILERPLATE = set("nav footer aside form menu dialog button head".split()) | RAW | UNSEEN
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 WORDS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice sidebar comment comments "
-    "disqus nav navbar navigation menu breadcrumb breadcrumbs footer header masthead share sharing social related newsletter subscribe popup "
-    "modal overlay widget pagination pager toolbar skip".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice sidebar comment comments "
+    "disqus nav navbar navigation menu breadcrumb breadcrumbs footer header masthead".split()
 )
 SINGLE = TEXT | INLINE
+LINES = set("p h1 h2 h3 h4 h5 h6 blockquote dd td figcaption pre".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 
 class Element:
-    __slots__ = ("tag", "start", "end", "children", "attributes", "hash")
+    __slots__ = ("tag", "start", "end", "children", "attributes", "hash", "shape", "text", "links")
 
     def __init__(self, tag: str, start: int, attributes: str = ""):
         self.tag, self.start, self.end, self.attributes = tag, start, -1, attributes
-        self.hash = 0
+        self.hash = self.shape = 0
+        #: characters of text below, and of those in links
+        self.text = self.links = 0
         #: elements, and (from, to) of the text between them
         self.children: list[Element | tuple[int, int]] = []
 
@@ -165,8 +169,6 @@ def _boilerplate(e: Element, in_article: bool) -> bool:
             words += value.split()
         elif name == "role":
             role = value.strip()
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
     if role in ROLES:
         return True
     for word in words:
@@ -177,23 +179,38 @@ def _boilerplate(e: Element, in_article: bool) -> bool:
 
 
 def _hash(page: Element, source: str) -> None:
-    """Hash every subtree by its source, in which the elements inside stand as their own hashes: linear at any depth."""
+    """Hash every subtree by its source, in which the elements inside stand as their own hashes, and by its shape: linear at any depth."""
     order = [page]
     for e in order:
         order += [c for c in e.children if isinstance(c, Element)]
     for e in reversed(order):
-        parts, at = [], e.start
+        parts, at, shapes = [], e.start, []
         for c in e.children:
             if isinstance(c, Element):
                 parts += [source[at : c.start].encode("utf-8", "surrogatepass"), b"\0%d\0" % c.hash]
                 at = c.end
+                e.text += c.text
+                e.links += c.links
+                if not shapes or shapes[-1] != c.shape:
+                    shapes.append(c.shape)
+            else:
+                e.text += len(source[c[0] : c[1]].strip())
         parts.append(source[at : e.end].encode("utf-8", "surrogatepass"))
         e.hash = xxhash.xxh3_64_intdigest(b"".join(parts)) - (1 << 63)
+        if e.tag == "a":
+            e.links = e.text
+        classes = sorted(v.lower() for n, *vs in ATTRIBUTE.findall(e.attributes) if n.lower() == "class" for v in "".join(vs).split()) if "class" in e.attributes.lower() else ()
+        e.shape = xxhash.xxh3_64_intdigest(f"{e.tag} {' '.join(classes)} {shapes}".encode("utf-8", "surrogatepass"), seed=1) - (1 << 63)
+
+
+def _link_list(e: Element) -> bool:
+    """Whether most of a container's text is links."""
+    return e.text > 0 and 2 * e.links >= e.text and _container(e)
 
 
-def _candidate(e: Element, in_article: bool) -> bool:
-    """Whether an element may belong to a template: paragraphs and inline elements inside an article may not."""
-    return e.tag not in ("html", "head", "body", "br") and not (in_article and not _container(e))
+def _candidate(e: Element, in_article: bool, in_text: bool) -> bool:
+    """Whether an element may belong to a template: paragraphs and inline elements inside an article may not, nor words within a line of text."""
+    return e.tag not in ("html", "head", "body", "br") and not (in_article and not _container(e)) and not (in_text and e.tag in INLINE)
 
 
 def _container(e: Element) -> bool:
@@ -205,40 +222,48 @@ def subtree_hashes(source: str) -> dict[int, bool]:
     found: dict[int, bool] = {}
     page = parse(source)
     _hash(page, source)
-    todo = [(page, False)]
+    todo = [(page, False, False)]
     while todo:
-        e, in_article = todo.pop()
+        e, in_article, in_text = todo.pop()
         for c in e.children:
             if isinstance(c, Element):
-                if _candidate(c, in_article):
+                if _candidate(c, in_article, in_text):
                     found[c.hash] = _container(c)
+                if not in_article and c.tag not in ("html", "body") and _link_list(c):
+                    found[c.shape] = True
                 if c.tag not in RAW | UNSEEN and c.tag != "head":
-                    todo.append((c, in_article or c.tag in ("article", "main")))
+                    todo.append((c, in_article or c.tag in ("article", "main"), _line(c, in_text)))
     return found
 
 
+def _line(e: Element, in_text: bool) -> bool:
+    """Whether inline elements in ``e`` are words within a line of text."""
+    return e.tag in LINES or in_text and e.tag in INLINE
+
+
 def _articles(e: Element) -> list[Element]:
-    """Outermost articles that are not part of boilerplate; else the page's main element."""
+    """Outermost articles that are not part of boilerplate, with the main elements around them; else the page's first main element."""
     found, mains = [], []
-    todo = [e]
+    todo: list[tuple[Element, Element | None]] = [(e, None)]
     while todo:
-        x = todo.pop()
+        x, main = todo.pop()
         if _boilerplate(x, False) and x.tag != "#page":
             continue
         if x.tag == "article":
-            found.append(x)
+            found.append(main or x)
             continue
-        if x.tag == "main" or 'role="main"' in x.attributes:
+        if main is None and (x.tag == "main" or 'role="main"' in x.attributes):
             mains.append(x)
-        todo += [c for c in reversed(x.children) if isinstance(c, Element)]
-    return sorted(found, key=lambda x: x.start) or mains[:1]
+            main = x
+        todo += [(c, main) for c in reversed(x.children) if isinstance(c, Element)]
+    return sorted({id(x): x for x in found}.values(), key=lambda x: x.start) or mains[:1]
 
 
 def _read(top: Element, source: str, in_article: bool, templates: frozenset[int] | set[int], out: list[str]) -> None:
     """The text of an element without boilerplate and templates; line ends stand around blocks."""
-    frames = [(iter(top.children), False)]
+    frames = [(iter(top.children), False, False)]
     while frames:
-        children, block = frames[-1]
+        children, block, in_text = frames[-1]
         for c in children:
             if isinstance(c, tuple):
                 out.append(html.unescape(source[c[0] : c[1]]))
@@ -246,9 +271,11 @@ def _read(top: Element, source: str, in_article: bool, templates: frozenset[int]
             inner = c.tag not in INLINE
             if inner:
                 out.append("\n")
-            if _boilerplate(c, in_article) or templates and _candidate(c, in_article) and c.hash in templates:
+            if _boilerplate(c, in_article):
+                continue
+            if templates and (_candidate(c, in_article, in_text) and c.hash in templates or not in_article and c.shape in templates and _link_list(c)):
                 continue
-            frames.append((iter(c.children), inner))
+            frames.append((iter(c.children), inner, _line(c, in_text)))
             break
         else:
             frames.pop()
@@ -302,7 +329,7 @@ def extract(
     templates = settle(site_templates(pages, share, least, url_col, html_col, many), "templates")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     held = None
-    if templates.count() <= broadcast:
+    if few_bytes(templates, broadcast):
         known: dict[str, set[int]] = {}
         for r in templates.collect():
             known.setdefault(r["host"], set()).add(r["hash"])

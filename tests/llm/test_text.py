@@ -375,11 +375,34 @@ def test_articles_are_read_whole(spark, small_dir):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want) and got[r["page_id"]]["url"] == r["url"]
 
 
+def test_link_lists_that_differ_are_found_by_their_shape(spark):
+    """Pages without an article: menus of other links and lengths on each page go by the template table alone."""
+    rows, want = [], {}
+    for i in range(40):
+        links = "".join(f'<a href="/{i}/{k}">place {i} {k}</a>' for k in range(3 + i % 4))
+        text = f"Story {i} goes on here <a href='/x'>with a link</a> for a while and ends"
+        rows.append((i, f"http://h{i % 2}.org/{i}", f'<body><div class="places">{links}</div><div class="story"><h1>Head {i}</h1><p>{text}</p></div><section><ul><li><a>to {i}</a><li><a>more {i}</a></ul></section></body>'))
+        want[i] = f"Head {i} Story {i} goes on here with a link for a while and ends"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    without = {r["page_id"]: r["text"] for r in html_extract.extract(pages, least=10**9, many=10**9).collect()}
+    assert got == want and all("place" in t and "more" in t for t in without.values())
+
+
+def test_nothing_but_boilerplate_goes():
+    page = (
+        '<main><h1>Title</h1><p>Lead.</p><article><div class="share-price">Share price fell</div><p>By <math><mi>x</mi></math> and <object>a figure</object>'
+        '<noscript>seen without scripts</noscript> <span aria-hidden="true">*</span></p><div class="related widget social">Kept</div><svg><text>label</text></svg>'
+        '<template>no</template><select><option>no</select></article></main><article>Second</article>'
+    )
+    assert html_extract.main_text(page) == "Title Lead. Share price fell By x and a figure seen without scripts * Kept label Second"
+
+
 def test_pages_take_odd_tables(spark):
     body = "<html><body><nav>m</nav><article><p>" + "long text " * 100_000 + "</p></article></body></html>"
     rows = [(1, "http://a.b/c", body), (1, "http://a.b/c", body), (None, None, None), (2, "", "<p>x"), (3, "http://a.b/d", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"Host": F.lit("h"), "HASH": F.lit(1), "text": F.lit("t"), "digest": F.lit("d")})
-    for broadcast in (100, 0):
+    for broadcast in (1 << 20, 0):
         got = sorted((r["page_id"] or 0, r["text"][:9], r["n_chars"]) for r in html_extract.extract(df, broadcast=broadcast).collect())
         assert got == [(0, "", 0), (1, "long text", 999_999), (1, "long text", 999_999), (2, "x", 1), (3, "", 0)]
     assert html_extract.extract(df.limit(0)).count() == 0
@@ -391,7 +414,7 @@ def test_markup_is_forgiven():
         "<p>a<b>b</b> c&nbsp;&lt;d&#233;<p>e<ul><li>x<li>y</ul><table><tr><td>1<td>2</table><aside>no</aside><!-- no --><div id=\"comments\"><p>bad</p></div>"
         '<script>if(a<b){"</p>"}</script><form>f</form><div hidden>h</div></article></main><footer>z'
     )
-    assert html_extract.main_text(page) == "T ab c <dé e x y 1 2"
+    assert html_extract.main_text(page) == "T ab c <dé e x y 1 2 h"
     assert html_extract.main_text("") == "" and html_extract.main_text("just text") == "just text" and html_extract.main_text("<p>a</div></p>b") == "a b"
     assert html_extract.main_text("<nav>m</nav><div>one</div><div>two</div>") == "one two"
 
@@ -420,7 +443,7 @@ def test_templates_of_large_hosts_and_lists_inside_articles_go(spark):
 
 
 def test_markup_is_read_at_any_size():
-    assert html_extract.main_text("<article><div><select><option>no</div><p>One<object>no</article>") == "One"
+    assert html_extract.main_text("<article><div><select><option>no</div><p>One<object> yes</article>") == "One yes"
     many = " ".join(f'a{i}="<{i}>"' for i in range(300))
     assert html_extract.main_text(f"<p {many}>text</p><p {many} end") == html_extract.main_text(f"<p>text</p>&lt;p {html_lib.escape(many, quote=False)} end")
     assert html_extract.main_text("<i>" * 600 + '<span class="advert">no</span>yes') == "yes"
