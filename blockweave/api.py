@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import islice
+from mmap import ACCESS_READ, mmap
 from typing import BinaryIO, NamedTuple
 
 from blockweave.operators import block as blocks
@@ -18,13 +21,31 @@ from blockweave.plans import ranges as plans
 from blockweave.plans.ranges import Sizes
 
 VERSION = "1.0"
-#: Result codes for callers that want numbers.
-CODES = {"ok": 0, "LengthMismatch": 2, "OutputLimitExceeded": 4}
+#: Result codes for callers that want numbers.
+CODES = {
+    0: "success",
+    1: "not bytes",
+    2: "the buffer has another size than the output",
+    3: "not an archive, or a damaged one",
+    4: "the output is over the limit",
+    5: "a worker failed",
+    6: "out of memory",
+}
+
+
+def code_of(result: str | BaseException | None) -> int:
+    """The number of a status, or of what a call raised."""
+    if isinstance(result, CodecError):
+        result = result.status
+    if isinstance(result, str):
+        return {"ok": 0, "LengthMismatch": 2, "OutputLimitExceeded": 4}.get(result, 3)
+    if result is None:
+        return 0
+    return 6 if isinstance(result, MemoryError) else 1 if isinstance(result, TypeError) else 5
 
 
-def code_of(status: str) -> int:
-    """0 fine, 2 wrong size, 4 over the limit, 3 any other refusal."""
-    return CODES.get(status, 3)
+def error_string(code: int) -> str:
+    return CODES.get(code, "no such code")
 
 
 def compress(data: bytes, sizes: Sizes = Sizes(), smallest: bool = False) -> bytes:
@@ -34,7 +55,7 @@ def compress(data: bytes, sizes: Sizes = Sizes(), smallest: bool = False) -> byt
 
 def compress_all(items: list[bytes], sizes: Sizes = Sizes(), smallest: bool = False) -> list[bytes]:
     """The archive of each item; blocks of different items are encoded together."""
-    planned = [plans.plan(data, sizes) for data in items]
+    planned = [plans.plan(data, sizes.checked()) for data in items]
     roots = iter(blocks.encode_all([data[r.start : r.end] for data, ranges in zip(items, planned) for r in ranges if r.target is None], smallest))
     out = []
     for ranges in planned:
@@ -96,15 +117,52 @@ def decompress(archive: bytes, limit: int | None = frame.DEFAULT_LIMIT) -> bytes
     return _one(decompress_all([archive], limit))
 
 
-def decompress_into(archive: bytes, buffer: bytearray | memoryview) -> int:
-    """Decodes into a buffer of just the right size; returns the bytes written."""
-    view = memoryview(buffer)
-    size = info(archive, len(view))["original_size"] if len(view) else info(archive)["original_size"]
-    if size != len(view):
-        raise refuse("LengthMismatch", f"{size} bytes for a buffer of {len(view)}")
-    data = decompress(archive, size)
-    view[:] = data
-    return size
+def decompressed_size(archive: bytes, limit: int | None = None) -> int:
+    """Bytes that an archive decodes to, from its headers."""
+    return sum(b.original for b in frame.read_blocks(archive, limit))
+
+
+def decompress_into(archive: bytes, buffer: bytearray | memoryview, limit: int | None = None) -> int:
+    """Decodes block by block into a buffer of just the right size; returns the bytes written."""
+    size = decompressed_size(archive, limit)
+    with memoryview(buffer) as view:
+        if size != len(view):
+            raise refuse("LengthMismatch", f"{size} bytes for a buffer of {len(view)}")
+
+        def put(at: int, data: bytes) -> None:
+            view[at : at + len(data)] = data
+
+        return _decode_to(archive, size, put, lambda at, n: bytes(view[at : at + n]))
+
+
+def _decode_to(archive: bytes | mmap, limit: int | None, put: Callable[[int, bytes], None], get: Callable[[int, int], bytes]) -> int:
+    """Decodes an archive to where ``put`` writes and ``get`` reads back; memory stays at a group of blocks. Returns the bytes written."""
+    spans: list[tuple[int, int]] = []  # where each block stands
+    held: deque[Block] = deque()
+    roots = blocks.expand_all(b for b in _noted(frame.read_blocks(archive, limit), held) if b.method != REFERENCE)
+
+    def write(b: Block, data: bytes) -> None:
+        at = spans[-1][0] + spans[-1][1] if spans else 0
+        put(at, data)
+        spans.append((at, len(data)))
+
+    for root in roots:
+        if isinstance(root, CodecError):
+            raise root
+        while held[0].method == REFERENCE:
+            b = held.popleft()
+            write(b, get(*spans[frame.target_of(b)]))
+        write(held.popleft(), root.data)
+    while held:
+        b = held.popleft()
+        write(b, get(*spans[frame.target_of(b)]))
+    return spans[-1][0] + spans[-1][1] if spans else 0
+
+
+def _noted(found: Iterator[Block], into: deque[Block]) -> Iterator[Block]:
+    for b in found:
+        into.append(b)
+        yield b
 
 
 def check_all(archives: list[bytes], limit: int | None = frame.DEFAULT_LIMIT) -> Iterator[int | CodecError]:
@@ -178,6 +236,8 @@ def compress_stream(source: BinaryIO, sink: BinaryIO, block_size: int = frame.DE
         nonlocal given
         sink.write(x)
         given += len(x)
+        if max(taken, given) >> 64:
+            raise refuse("InputTooLarge", "the stream is over the size that is counted")
 
     put(frame.header(block_size))
     while data := _fill(source, block_size):
@@ -249,13 +309,14 @@ def _same_file(a: str, b: str) -> bool:
     return os.path.realpath(a) == os.path.realpath(b) or os.path.exists(a) and os.path.exists(b) and os.path.samefile(a, b)
 
 
-def write_atomic(path: str, data: bytes) -> None:
-    """Writes beside ``path`` and moves into place, so that a failure leaves what was there."""
+@contextmanager
+def _atomic(path: str) -> Iterator[BinaryIO]:
+    """A file beside ``path`` that is moved into place at the end, so that a failure leaves what was there."""
     folder = os.path.dirname(os.path.abspath(path))
     handle, name = tempfile.mkstemp(prefix=".blockweave-", dir=folder)
     try:
-        with os.fdopen(handle, "wb") as out:
-            out.write(data)
+        with os.fdopen(handle, "w+b") as out:
+            yield out
             out.flush()
             os.fsync(out.fileno())
         if os.path.exists(path):
@@ -267,23 +328,72 @@ def write_atomic(path: str, data: bytes) -> None:
         raise
 
 
-def _file(source: str, target: str, work) -> tuple[int, int]:
+def write_atomic(path: str, data: bytes) -> None:
+    with _atomic(path) as out:
+        out.write(data)
+
+
+@contextmanager
+def _mapped(path: str) -> Iterator[bytes | mmap]:
+    """The bytes of a file without reading them into memory; an empty file cannot be mapped."""
+    with open(path, "rb") as f:
+        if not os.fstat(f.fileno()).st_size:
+            yield b""
+            return
+        with mmap(f.fileno(), 0, access=ACCESS_READ) as data:
+            yield data
+
+
+def _refuse_same(source: str, target: str) -> None:
     if _same_file(source, target):
         raise ValueError("input and output are the same file")
-    with open(source, "rb") as f:
-        data = f.read()
-    out = work(data)
-    write_atomic(target, out)
-    return len(data), len(out)
 
 
 def compress_file(source: str, target: str, sizes: Sizes = Sizes()) -> tuple[int, int]:
-    """(input bytes, output bytes)."""
-    return _file(source, target, lambda data: compress(data, sizes))
+    """(input bytes, output bytes). The input is mapped and the output written block by block."""
+    _refuse_same(source, target)
+    with _mapped(source) as data, _atomic(target) as out:
+        ranges = plans.plan(data, sizes.checked())
+        out.write(frame.header(max([frame.LEAST_BLOCK, *(r.end - r.start for r in ranges)]), any(r.target is not None for r in ranges)))
+        sums: list[int] = []
+        for at in range(0, len(ranges), blocks.TOGETHER):
+            part = ranges[at : at + blocks.TOGETHER]
+            for some in _some_bytes(part):
+                roots = iter(blocks.encode_all([data[r.start : r.end] for r in some if r.target is None]))
+                for r in some:
+                    b = next(roots) if r.target is None else Block(REFERENCE, 0, r.end - r.start, sums[r.target], r.target.to_bytes(4, "little"))
+                    sums.append(b.checksum)
+                    out.write(frame.block_bytes(b))
+        out.write(frame.end_mark())
+        return len(data), out.tell()
+
+
+def _some_bytes(ranges: list[plans.Range], most: int = 1 << 22) -> Iterator[list[plans.Range]]:
+    """Neighbouring ranges of about ``most`` bytes."""
+    held: list[plans.Range] = []
+    for r in ranges:
+        held.append(r)
+        if r.end - held[0].start >= most:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def decompress_file(source: str, target: str, limit: int | None = frame.DEFAULT_LIMIT) -> tuple[int, int]:
-    return _file(source, target, lambda data: decompress(data, limit))
+    """(input bytes, output bytes). The archive is mapped, and references are read back from the output."""
+    _refuse_same(source, target)
+    with _mapped(source) as data, _atomic(target) as out:
+
+        def put(at: int, x: bytes) -> None:
+            out.seek(at)
+            out.write(x)
+
+        def get(at: int, n: int) -> bytes:
+            out.seek(at)
+            return out.read(n)
+
+        return len(data), _decode_to(data, limit, put, get)
 
 
 def crc32(data: bytes) -> int:
@@ -292,5 +402,5 @@ def crc32(data: bytes) -> int:
 
 __all__ = [
     "CodecError", "Sizes", "StreamStats", "VERSION", "analyze", "analyze_all", "check", "check_all", "code_of", "compress", "compress_all", "compress_file", "compress_fixed", "compress_stream", "crc32",
-    "decompress", "decompress_all", "decompress_file", "decompress_into", "decompress_stream", "derived", "info", "read_concatenated", "write_atomic",
+    "decompress", "decompress_all", "decompress_file", "decompress_into", "decompress_stream", "decompressed_size", "derived", "error_string", "info", "read_concatenated", "write_atomic",
 ]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Generator
+from mmap import mmap
 from typing import NamedTuple
 
 from blockweave.operators.block import REFERENCE, STORED, Block
 from blockweave.operators.errors import refuse
+from blockweave.plans.ranges import LEAST_BLOCK, MOST_BLOCK
 
 #: Fixed values of the format: magic by version, sizes of headers, the end mark, flags and block sizes.
 MAGIC = {4: b"XCA4", 5: b"XCA5", 6: b"XCA6", 7: b"XCA7", 8: b"XCA8"}
 HEADER, BLOCK_HEADER, END = 12, 14, 255
 HAS_CHECKSUMS, HAS_REFERENCES = 1, 2
-LEAST_BLOCK, MOST_BLOCK, DEFAULT_BLOCK = 4096, 16 * 1024 * 1024, 256 * 1024
+DEFAULT_BLOCK = 256 * 1024
 #: Decoded bytes that are accepted unless a caller says otherwise.
 DEFAULT_LIMIT = 1 << 30
 
@@ -37,6 +40,8 @@ def header(block_size: int, references: bool = False) -> bytes:
 
 
 def block_bytes(b: Block) -> bytes:
+    if max(b.original, len(b.payload)) >> 32:
+        raise refuse("InputTooLarge", "a block is over the size a field can hold")
     head = bytes([b.method, b.predictor])
     return head + b"".join(x.to_bytes(4, "little") for x in (b.original, len(b.payload), b.checksum)) + b.payload
 
@@ -89,25 +94,38 @@ def read_block(data: bytes, at: int, head: Head, made: int, limit: int | None) -
     return Block(method, predictor, original, checksum, body), at + BLOCK_HEADER + packed
 
 
-def parse(data: bytes, limit: int | None = None, trailing: bool = False) -> tuple[Head, list[Block], int]:
-    """Header, blocks and the place behind the end mark; every structural rule is checked, payloads are not decoded."""
-    head, found, at, made = read_header(data), [], HEADER, 0
+def read_blocks(data: bytes | mmap, limit: int | None = None, trailing: bool = False) -> Generator[Block, None, int]:
+    """The blocks of an archive one by one, each with every structural rule checked; returns the place behind the end mark."""
+    head, at, made = read_header(data[:HEADER]), HEADER, 0
+    known: list[tuple[int, int]] = []
     while (step := read_block(data, at, head, made, limit)) is not None:
         b, at = step
         if b.method == REFERENCE:
             target = _u32(b.payload, 0)
-            if target >= len(found):
+            if target >= len(known):
                 raise refuse("InvalidMatch", "reference to a later block")
-            if found[target].original != b.original:
+            if known[target][0] != b.original:
                 raise refuse("LengthMismatch", "reference")
-            if found[target].checksum != b.checksum:
+            if known[target][1] != b.checksum:
                 raise refuse("ChecksumMismatch", "reference")
-        found.append(b)
+        known.append((b.original, b.checksum))
         made += b.original
+        yield b
     at += BLOCK_HEADER
     if not trailing and at != len(data):
         raise refuse("TrailingData", str(len(data) - at))
-    return head, found, at
+    return at
+
+
+def parse(data: bytes, limit: int | None = None, trailing: bool = False) -> tuple[Head, list[Block], int]:
+    """Header, blocks and the place behind the end mark; payloads are not decoded."""
+    found: list[Block] = []
+    blocks = read_blocks(data, limit, trailing)
+    while True:
+        try:
+            found.append(next(blocks))
+        except StopIteration as stop:
+            return read_header(data[:HEADER]), found, stop.value
 
 
 def target_of(b: Block) -> int | None:

@@ -8,17 +8,23 @@ If that saves less than a hundredth, fixed blocks are taken.
 
 from __future__ import annotations
 
+import hashlib
+from mmap import mmap
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockweave.operators.errors import refuse
+
 #: Sizes of the layouts; each is a parameter of what uses it.
 BLOCK = 256 * 1024
 LEAST_PLANNED = 128 * 1024
 CHUNK_LEAST, CHUNK_MOST, CHUNK_BITS = 64 * 1024, 512 * 1024, 18
 MOST_COPIES, LEAST_PERIOD = 64, 64 * 1024
+#: Fixed values of the format: the sizes that a block may have.
+LEAST_BLOCK, MOST_BLOCK = 4096, 16 * 1024 * 1024
 #: A block this short is never a reference, whose payload takes four bytes.
 REFERENCE_BYTES = 4
 
@@ -41,6 +47,14 @@ class Sizes(NamedTuple):
     chunk_bits: int = CHUNK_BITS
     least_period: int = LEAST_PERIOD
 
+    def checked(self) -> Sizes:
+        """These sizes, if blocks of them fit an archive."""
+        if not LEAST_BLOCK <= self.block <= MOST_BLOCK or not 0 < self.chunk_least <= self.chunk_most <= MOST_BLOCK:
+            raise refuse("InvalidBlockSize", str(self))
+        if not 0 < self.chunk_bits < 64 or self.least_period < 1 or self.least_planned < 0:
+            raise ValueError(f"sizes out of range: {self}")
+        return self
+
 
 # -- as DataFrame operations -------------------------------------------------------------
 
@@ -77,13 +91,14 @@ def periods(blobs: DataFrame, data: str = "data", length: str = "n_bytes", most_
 def references(blocks: DataFrame, within: list[str], order: list[str], block: str = "block") -> DataFrame:
     """``blocks`` with target: the block_index of the first equal block; null for that one itself.
 
-    Blocks meet by length and digest, which keeps the blocks' bytes out of the shuffle key.
+    Blocks meet by digest, which keeps their bytes out of the shuffle key. The first of each is found
+    by an aggregate with a map side, so one that is very common shrinks before it is shuffled.
     """
-    keyed = blocks.withColumn("digest", F.sha2(F.col(block), 256))
-    same = Window.partitionBy(*within, "digest").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first("block_index").over(same)
+    keyed = blocks.withColumn("_digest", F.sha2(F.col(block), 256))
+    firsts = keyed.groupBy(*within, "_digest").agg(F.min_by("block_index", F.struct(*order)).alias("_first"))
     longer = F.octet_length(F.col(block)) > REFERENCE_BYTES
-    return keyed.withColumn("target", F.when(longer & (first != F.col("block_index")), first)).drop("digest")
+    target = F.when(longer & (F.col("_first") != F.col("block_index")), F.col("_first"))
+    return keyed.join(firsts, [*within, "_digest"]).withColumn("target", target).select(*blocks.columns, "target")
 
 
 def offsets(blocks: DataFrame, within: list[str], size: str = "original") -> DataFrame:
@@ -102,12 +117,25 @@ def _gear(seed: int = 20240517) -> np.ndarray:
 _GEAR = _gear()
 
 
-def cut_candidates(data: np.ndarray, bits: int) -> np.ndarray:
+#: Bytes whose hashes are made at once, and those before them that they reach back to.
+STRETCH, REACH = 1 << 20, 63
+
+
+def cut_candidates(data: np.ndarray, bits: int, stretch: int = STRETCH) -> np.ndarray:
     """Places behind which a chunk may end: the high ``bits`` of a hash of the last 64 bytes are zero.
 
     The hash is the sum of Gear values, each shifted by its distance; doubling adds it up with
-    six array operations.
+    six array operations, a stretch at a time.
     """
+    found = []
+    for at in range(0, len(data), stretch):
+        begin = max(0, at - REACH)
+        ends = _candidates(data[begin : at + stretch], bits) + begin
+        found.append(ends[ends > at])
+    return np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
+
+
+def _candidates(data: np.ndarray, bits: int) -> np.ndarray:
     h = _GEAR[data]
     for step in (1, 2, 4, 8, 16, 32):
         later = h.copy()
@@ -133,26 +161,32 @@ def cut(length: int, size: int, start: int = 0) -> list[Range]:
 
 
 def period_of(data: bytes, least_period: int = LEAST_PERIOD, most_copies: int = MOST_COPIES) -> int | None:
-    view = memoryview(data)
-    for copies in range(most_copies, 1, -1):
-        unit, rest = divmod(len(data), copies)
-        if not rest and unit >= least_period and view[unit:] == view[:-unit]:
-            return unit
+    n = len(data)
+    with memoryview(data) as view:
+        for copies in range(most_copies, 1, -1):
+            unit, rest = divmod(n, copies)
+            starts = range(0, n - unit, STRETCH)
+            if not rest and unit >= least_period and all(view[a : min(a + STRETCH, n - unit)] == view[a + unit : min(a + STRETCH, n - unit) + unit] for a in starts):
+                return unit
     return None
 
 
-def with_references(data: bytes, ranges: list[Range]) -> list[Range]:
+def with_references(data: bytes | mmap, ranges: list[Range]) -> list[Range]:
     """Each range with the first earlier one that holds the same bytes."""
-    first: dict[bytes, int] = {}
-    out = []
+    first: dict[tuple[int, bytes], int] = {}
+    out: list[Range] = []
     for i, r in enumerate(ranges):
-        piece = data[r.start : r.end]
-        known = first.setdefault(piece, i) if len(piece) > REFERENCE_BYTES else i
+        known = i
+        if r.end - r.start > REFERENCE_BYTES:
+            piece = data[r.start : r.end]
+            known = first.setdefault((len(piece), hashlib.blake2b(piece, digest_size=16).digest()), i)
+            if known != i and data[ranges[known].start : ranges[known].end] != piece:
+                known = i
         out.append(r._replace(target=known if known != i else None))
     return out
 
 
-def plan(data: bytes, sizes: Sizes = Sizes()) -> list[Range]:
+def plan(data: bytes | mmap, sizes: Sizes = Sizes()) -> list[Range]:
     """The ranges of a blob in the layout that suits it."""
     if len(data) < sizes.least_planned:
         return cut(len(data), sizes.block)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from functools import reduce
@@ -18,19 +20,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This application's folder in the one that driver and executors share, ``spark.checkpoint.dir``.
 
     Where the setting is absent only a local master may fall back to the machine's own
     temporary folder; a cluster without it is refused, because executors could not read
-    each other's files.
+    each other's files. The folder goes when the driver's Python ends, or by ``clean``.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    folder = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        _folders[folder] = path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+    return folder
+
+
+#: folders of the applications of this process, with what deletes them
+_folders: dict[str, tuple] = {}
+
+
+def clean() -> None:
+    """Deletes what was settled so far; DataFrames that read it are of no use afterwards."""
+    while _folders:
+        _, (store, path) = _folders.popitem()
+        store.delete(path, True)
+
+
+@atexit.register
+def _clean_at_end() -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        clean()
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -81,10 +104,10 @@ def few_bytes(df: DataFrame, most: int = BROADCAST) -> bool:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt over all cores if it comes from fewer files than there are.
+    """``df`` dealt over all cores if its scan has fewer partitions than there are.
 
-    For work that costs far more than moving its rows. A table of many files, as any large one
-    is, stays as it is and is not shuffled.
+    For work that costs far more than moving its rows. A table of many partitions, as any large
+    one is, stays as it is and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(3 * cores, *keys)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores, *keys)

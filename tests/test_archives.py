@@ -27,7 +27,11 @@ def refused(status, call, *args, **kwargs):
     assert e.value.status == status, e.value
 
 
-@pytest.mark.parametrize("n", [0, 1, 3, 4, 31, 127, 128, 129, 4095, 4096, 65535, 65536])
+#: About the borders of literal runs, matches, blocks, windows and plans.
+BORDERS = sorted({max(0, edge + d) for edge in (0, 4, 64, 128, 260, 4096, 65_535, 131_072) for d in (-1, 0, 1)})
+
+
+@pytest.mark.parametrize("n", BORDERS)
 def test_sizes_round_trip_and_are_deterministic(n):
     data = random.Random(n).randbytes(n)
     archive = api.compress(data)
@@ -37,8 +41,8 @@ def test_sizes_round_trip_and_are_deterministic(n):
 
 
 def test_size_bounds():
-    assert len(api.compress(b"\7" * 200_000)) < 200
-    assert len(api.compress(b"*" * 10_000)) < 1000
+    assert len(api.compress(bytes(300_000))) < 250
+    assert len(api.compress(b"=" * 12_000)) < 100
 
 
 def test_copies_become_references():
@@ -82,15 +86,17 @@ def test_every_prefix_is_refused():
 
 
 def test_flips_are_refused():
-    data = bytes((17 * i + i // 97) & 255 for i in range(20_000))
+    rng = random.Random(21)
+    data = b"".join(rng.choice([b"north ", b"south ", b"east ", b"west ", b"%d " % rng.randrange(3000)]) for _ in range(4000))
     archive = bytearray(api.compress(data))
-    for at in range(frame.HEADER + frame.BLOCK_HEADER, len(archive) - frame.BLOCK_HEADER, 31):
-        archive[at] ^= 0x55
+    for at in rng.sample(range(frame.HEADER + frame.BLOCK_HEADER, len(archive) - frame.BLOCK_HEADER), 300):
+        flip = rng.randrange(1, 256)
+        archive[at] ^= flip
         try:
             assert api.decompress(bytes(archive)) == data  # a flip that decodes the same is no corruption
         except CodecError:
             pass
-        archive[at] ^= 0x55
+        archive[at] ^= flip
 
 
 def test_structural_rules():
@@ -121,6 +127,45 @@ def test_limits():
     assert api.decompress_into(archive, buffer) == len(TEXT) and buffer == TEXT
     refused("LengthMismatch", api.decompress_into, archive, bytearray(len(TEXT) + 1))
     assert (api.code_of("ok"), api.code_of("LengthMismatch"), api.code_of("BadMagic"), api.code_of("OutputLimitExceeded")) == (0, 2, 3, 4)
+    assert (api.code_of(TypeError()), api.code_of(OSError()), api.code_of(MemoryError()), api.code_of(CodecError("Truncated"))) == (1, 5, 6, 3)
+    assert len({api.error_string(c) for c in range(8)}) == 8
+    assert api.decompressed_size(archive) == len(TEXT)
+    refused("OutputLimitExceeded", api.decompressed_size, archive, len(TEXT) - 1)
+    refused("OutputLimitExceeded", api.decompress_into, archive, buffer, 5)
+    refused("InputTooLarge", frame.block_bytes, Block(0, 0, 1 << 32, 0, b""))
+
+
+def test_sizes_are_checked():
+    for bad in (Sizes(block=4095), Sizes(block=1 << 25), Sizes(chunk_least=0), Sizes(chunk_least=9, chunk_most=8), Sizes(chunk_most=1 << 25)):
+        refused("InvalidBlockSize", api.compress, TEXT, bad)
+    for bad in (Sizes(chunk_bits=0), Sizes(least_period=0)):
+        with pytest.raises(ValueError):
+            api.compress(TEXT, bad)
+
+
+def test_references_decode_into_buffers_and_files(tmp_path):
+    unit = random.Random(5).randbytes(9000)
+    for data in (b"", unit * 5, unit + b"x" * 10 + unit + TEXT + unit, unit * 300):
+        a, b, c = (str(tmp_path / n) for n in "abc")
+        with open(a, "wb") as f:
+            f.write(data)
+        assert api.compress_file(a, b, SMALL)[0] == len(data)
+        with open(b, "rb") as f:
+            archive = f.read()
+        assert archive == api.compress(data, SMALL)
+        assert api.decompress_file(b, c) == (len(archive), len(data))
+        with open(c, "rb") as f:
+            assert f.read() == data
+        buffer = bytearray(len(data))
+        assert api.decompress_into(archive, buffer) == len(data) and buffer == data
+
+
+def test_cuts_do_not_depend_on_stretches():
+    data = np.frombuffer(random.Random(4).randbytes(50_000), np.uint8)
+    whole = ranges.cut_candidates(data, 8)
+    assert len(whole) > 100
+    for stretch in (1, 63, 64, 1000, 49_999):
+        assert ranges.cut_candidates(data[: 5000 if stretch == 1 else None], 8, stretch).tolist() == whole[whole <= (5000 if stretch == 1 else 50_000)].tolist()
 
 
 def test_earlier_versions():

@@ -49,6 +49,23 @@ def test_block_checksums(spark, small_dir):
         assert r["crc"] == zlib.crc32(texts[r["doc_id"]][at : at + catalogue.SMALL])
 
 
+@pytest.mark.parametrize("absent", ["xxhash", "public_tokenizers", "blockweave.llm.shingles"])
+def test_what_cannot_be_imported_hides_nothing_else(absent):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r}); sys.modules[{absent!r}] = None\nimport __spark_entry__ as e\nassert 'q01_blob_sizes' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True)
+
+
+def test_code_reaches_workers_that_have_no_path_to_it(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\nimport __spark_entry__ as e\nfrom pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "assert e.queries()['q24_roundtrip_docs'](s, '/root/testdata/sf0.001').count() == 200"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+
+
 def test_entry_imports_without_the_llm_part(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for name in ("__spark_entry__.py", "blockweave"):
