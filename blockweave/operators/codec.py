@@ -185,19 +185,21 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
     """DECODED rows of all blocks of ``blocks``.
 
     Blocks are dealt over tasks together with the references that lead to them, so that each is
-    decoded once and references need no join.
+    decoded once and references need no join. The row of an archive without blocks passes with its status.
     """
-    own = ["blob_id", "root", "block_index", "method", "predictor", "original", "checksum", "payload"]
-    dealt = blocks.where("method IS NOT NULL").select(own).repartition("blob_id", "root").sortWithinPartitions("blob_id", "root", "block_index")
+    own = ["blob_id", "root", "block_index", "method", "predictor", "original", "checksum", "payload", "status"]
+    dealt = blocks.select(own).repartition("blob_id", "root").sortWithinPartitions("blob_id", "root", "block_index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, data, status = None, None, ""  # a block stands before what refers to it, perhaps in an earlier batch
 
         def work(columns: dict[str, list]) -> Iterator[tuple]:
             nonlocal last, data, status
-            found = kernel.expand_all(Block(*fields) for _, root, i, *fields in zip(*map(columns.__getitem__, own)) if i == root)
-            for blob_id, root, i in zip(*map(columns.__getitem__, own[:3])):
-                if i == root:
+            found = kernel.expand_all(Block(*fields[:5]) for _, root, i, *fields in zip(*map(columns.__getitem__, own)) if i == root and i is not None)
+            for blob_id, root, i, known in zip(*map(columns.__getitem__, [*own[:3], "status"])):
+                if i is None:
+                    last, data, status = None, None, known
+                elif i == root:
                     last, read = (blob_id, root), next(found)
                     data, status = (None, read.status) if isinstance(read, CodecError) else (read.data, "ok")
                 elif last != (blob_id, root):  # the rows of its target are not at hand
@@ -241,10 +243,7 @@ def decompress(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT, str
 
 def decompress_parallel(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT) -> DataFrame:
     """(blob_id, data, status) as of ``decompress``, with the blocks of an archive dealt over tasks; for few large archives."""
-    blocks = settle(read_blocks(archives, limit), "blocks")  # parsed once, read twice
-    decoded = decode_blocks(blocks)
-    none = blocks.where("method IS NULL").select("blob_id", F.lit(None).cast("int").alias("block_index"), F.lit(None).cast("binary").alias("block"), "status")
-    out = decoded.unionByName(none).groupBy("blob_id").agg(
+    out = decode_blocks(read_blocks(archives, limit)).groupBy("blob_id").agg(
         _in_order("block", "block_index").alias("data"),
         F.min(F.when(F.col("status") != "ok", F.struct("block_index", "status"))).alias("bad"),
     )

@@ -253,7 +253,7 @@ def q24_roundtrip_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q25_roundtrip_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs of many documents, their blocks dealt over tasks both ways, with references."""
-    packed = settle(codec.compress(settle(corpora(spark, sf_dir), "corpora"), SMALL_SIZES), "archives")
+    packed = settle(codec.compress(corpora(spark, sf_dir), SMALL_SIZES), "archives")
     return codec.decompress_parallel(packed).select("blob_id", "status", F.md5("data").alias("md5"))
 
 
