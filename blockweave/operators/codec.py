@@ -125,17 +125,23 @@ def assemble(blocks: DataFrame) -> DataFrame:
     return out.select("blob_id", F.concat(F.lit(start[:5]), flag, F.lit(start[6:8]), size, "body", F.lit(frame.end_mark())).alias("archive"))
 
 
-def compress(blobs: DataFrame, sizes: Sizes = Sizes(), smallest: bool = False) -> DataFrame:
-    """Archives of ``blobs``; ids are unique and not null."""
-    return assemble(encode_blocks(plan(blobs, sizes), smallest))
+#: Bytes from which the blocks of a blob or an archive are dealt over tasks; fewer are worked on where they lie, which moves none.
+DEAL = 8 << 20
 
 
-def compress_small(blobs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
+def compress(blobs: DataFrame, sizes: Sizes = Sizes(), smallest: bool = False, deal: int = DEAL) -> DataFrame:
+    """Archives of ``blobs``; ids are unique and not null. However blocks are dealt, the archives are the same."""
+    size = F.octet_length("data")
+    large = assemble(encode_blocks(plan(blobs.where(size >= deal), sizes), smallest))
+    return compress_small(blobs.where(size < deal), sizes, smallest).unionByName(large)
+
+
+def compress_small(blobs: DataFrame, sizes: Sizes = Sizes(), smallest: bool = False) -> DataFrame:
     """Archives of blobs that need no dealing of blocks: no shuffle, one pass. Gives the same archives as ``compress``."""
     from blockweave import api
 
     def work(columns: dict[str, list]) -> Iterator[tuple]:
-        yield from zip(columns["blob_id"], api.compress_all(columns["data"], sizes))
+        yield from zip(columns["blob_id"], api.compress_all(columns["data"], sizes, smallest))
 
     return _map(blobs.where("data IS NOT NULL").select("blob_id", "data"), "data", work, "blob_id long, archive binary")
 
@@ -241,13 +247,15 @@ def decompress(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT, str
     return _archives(archives, work, "blob_id long, data binary, status string, error string")
 
 
-def decompress_parallel(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT) -> DataFrame:
-    """(blob_id, data, status) as of ``decompress``, with the blocks of an archive dealt over tasks; for few large archives."""
-    out = decode_blocks(read_blocks(archives, limit)).groupBy("blob_id").agg(
+def decompress_parallel(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT, deal: int = DEAL) -> DataFrame:
+    """(blob_id, data, status) as of ``decompress``, with the blocks of archives of ``deal`` bytes or more dealt over tasks."""
+    size = F.octet_length("archive")
+    large = decode_blocks(read_blocks(archives.where(size >= deal), limit)).groupBy("blob_id").agg(
         _in_order("block", "block_index").alias("data"),
         F.min(F.when(F.col("status") != "ok", F.struct("block_index", "status"))).alias("bad"),
     )
-    return out.select("blob_id", F.when(F.col("bad").isNull(), F.col("data")).alias("data"), F.coalesce("bad.status", F.lit("ok")).alias("status"))
+    large = large.select("blob_id", F.when(F.col("bad").isNull(), F.col("data")).alias("data"), F.coalesce("bad.status", F.lit("ok")).alias("status"))
+    return decompress(archives.where(size < deal), limit).drop("error").unionByName(large)
 
 
 def check(archives: DataFrame, limit: int | None = frame.DEFAULT_LIMIT) -> DataFrame:

@@ -24,8 +24,8 @@ from blockweave.streaming import stream
 #: Blocks and chunks small enough for single documents to have several.
 SMALL = 4096
 SMALL_SIZES = Sizes(block=SMALL, least_planned=2 * SMALL, chunk_least=1024, chunk_most=16 * 1024, chunk_bits=12, least_period=256)
-#: Documents of a corpus blob.
-GROUP = 64
+#: Documents of a corpus blob, and bytes from which its blocks are dealt over tasks.
+GROUP, LARGE = 64, 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +252,9 @@ def q24_roundtrip_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q25_roundtrip_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blobs of many documents, their blocks dealt over tasks both ways, with references."""
-    packed = settle(codec.compress(corpora(spark, sf_dir), SMALL_SIZES), "archives")
-    return codec.decompress_parallel(packed).select("blob_id", "status", F.md5("data").alias("md5"))
+    """Blobs of many documents, with references; the blocks of the larger ones dealt over tasks both ways."""
+    packed = settle(codec.compress(corpora(spark, sf_dir), SMALL_SIZES, deal=LARGE), "archives")
+    return codec.decompress_parallel(packed, deal=LARGE * 2 // 3).select("blob_id", "status", F.md5("data").alias("md5"))
 
 
 def q26_frame_info(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,27 +26,36 @@ def items():
 
 @pytest.fixture(scope="module")
 def archives(spark, items):
-    return codec.compress(sources.from_memory(spark, items), SMALL).cache()
+    return codec.compress(sources.from_memory(spark, items), SMALL, deal=0).cache()
 
 
 def test_same_archives_however_blocks_are_dealt(spark, items, archives):
     want = {i: api.compress(x, SMALL) for i, x in enumerate(items)}
     for parts in (1, 7):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-        got = codec.compress(sources.from_memory(spark, items).repartition(parts), SMALL)
-        assert {r["blob_id"]: bytes(r["archive"]) for r in got.collect()} == want
+        for deal in (0, 10_000, codec.DEAL):
+            got = codec.compress(sources.from_memory(spark, items).repartition(parts), SMALL, deal=deal)
+            assert {r["blob_id"]: bytes(r["archive"]) for r in got.collect()} == want
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     small = codec.compress_small(sources.from_memory(spark, items), SMALL)
     assert {r["blob_id"]: bytes(r["archive"]) for r in small.collect()} == want
 
 
 def test_both_decoders_agree(items, archives):
-    for back in (codec.decompress(archives), codec.decompress_parallel(archives)):
+    for back in (codec.decompress(archives), codec.decompress_parallel(archives, deal=0), codec.decompress_parallel(archives, deal=3000)):
         rows = back.collect()
         assert {r["blob_id"]: bytes(r["data"]) for r in rows} == dict(enumerate(items))
         assert {r["status"] for r in rows} == {"ok"}
 
 
+def test_damaged_archives_are_refused_however_they_are_dealt(spark, archives):
+    bad = archives.withColumn("archive", F.expr("CASE WHEN blob_id % 2 = 0 THEN overlay(archive PLACING X'00112233' FROM 23 FOR 4) ELSE archive END"))
+    whole = {r["blob_id"]: (r["status"], r["data"]) for r in codec.decompress(bad).collect()}
+    assert {s for s, _ in whole.values()} > {"ok"}
+    for deal in (0, 1 << 30):
+        assert {r["blob_id"]: (r["status"], r["data"]) for r in codec.decompress_parallel(bad, deal=deal).collect()} == whole
+
+
 def test_analysis_adds_up(items, archives):
     for r in codec.derived(codec.analyze(archives)).collect():
         assert r["literal_bytes"] + r["matched_bytes"] + r["referenced_bytes"] == r["original_size"] == len(items[r["blob_id"]])
