@@ -296,6 +296,31 @@ def decompress_stream(source: BinaryIO, sink: BinaryIO, limit: int | None = None
     return StreamStats(taken, given, count)
 
 
+def decompress_streams(archives: list[bytes], limit: int | None = None) -> Iterator[tuple[bytes, str]]:
+    """What ``decompress_stream`` passes on of each archive that is at hand, and its status; blocks of different archives are decoded together."""
+    found: list[tuple[list[Block], str]] = []
+    for archive in archives:
+        own: list[Block] = []
+        status = "ok"
+        try:
+            if frame.read_header(archive).has_references:
+                raise refuse("InvalidMatch", "references in a stream")
+            own.extend(frame.read_blocks(archive, limit))
+        except CodecError as e:
+            status = e.status
+        found.append((own, status))
+    roots = blocks.expand_all(b for own, _ in found for b in own)
+    for own, status in found:
+        parts: list[bytes] = []
+        bad = None
+        for root in islice(roots, len(own)):
+            if isinstance(root, CodecError):
+                bad = bad or root.status
+            elif bad is None:
+                parts.append(root.data)
+        yield b"".join(parts), bad or status
+
+
 def read_concatenated(data: bytes) -> Iterator[tuple[int, int]]:
     """(start, end) of each archive in a row of archives."""
     at = 0
@@ -402,5 +427,5 @@ def crc32(data: bytes) -> int:
 
 __all__ = [
     "CodecError", "Sizes", "StreamStats", "VERSION", "analyze", "analyze_all", "check", "check_all", "code_of", "compress", "compress_all", "compress_file", "compress_fixed", "compress_stream", "crc32",
-    "decompress", "decompress_all", "decompress_file", "decompress_into", "decompress_stream", "decompressed_size", "derived", "error_string", "info", "read_concatenated", "write_atomic",
+    "decompress", "decompress_all", "decompress_file", "decompress_into", "decompress_stream", "decompress_streams", "decompressed_size", "derived", "error_string", "info", "read_concatenated", "write_atomic",
 ]

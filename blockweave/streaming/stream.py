@@ -7,15 +7,12 @@ stream is decoded.
 
 from __future__ import annotations
 
-import io
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from blockweave import api
 from blockweave.operators import frame
-from blockweave.operators.codec import _each_archive, _map
-from blockweave.operators.errors import CodecError
+from blockweave.operators.codec import _archives, _map
 
 
 def encode_stream(blobs: DataFrame, block_size: int = frame.DEFAULT_BLOCK) -> DataFrame:
@@ -31,15 +28,11 @@ def encode_stream(blobs: DataFrame, block_size: int = frame.DEFAULT_BLOCK) -> Da
 def decode_stream(archives: DataFrame, limit: int | None = None) -> DataFrame:
     """(blob_id, data, status); what was decoded before a refusal is kept, as a stream has passed it on already."""
 
-    def work(blob_id, archive):
-        out, status = io.BytesIO(), "ok"
-        try:
-            api.decompress_stream(io.BytesIO(archive), out, limit, exact=True)
-        except CodecError as e:
-            status = e.status
-        yield blob_id, out.getvalue(), status
+    def work(ids, found):
+        for blob_id, (data, status) in zip(ids, api.decompress_streams(found, limit)):
+            yield blob_id, data, status
 
-    return _each_archive(archives, work, "blob_id long, data binary, status string")
+    return _archives(archives, work, "blob_id long, data binary, status string")
 
 
 def blob_source(spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:

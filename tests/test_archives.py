@@ -207,6 +207,25 @@ def test_streams():
     refused("InvalidMatch", api.decompress_stream, io.BytesIO(api.compress(unit * 4, SMALL)), io.BytesIO())
 
 
+def test_streams_at_hand_are_decoded_like_streams():
+    rng = random.Random(14)
+    whole = [api.compress_fixed([TEXT[:n]], 4096)[0] for n in (0, 1, 5000, 13_000)] + [api.compress(random.Random(3).randbytes(10_000) * 4, SMALL)]
+    some = list(whole)
+    for archive in whole * 30:
+        bad = bytearray(archive[: rng.choice([len(archive), rng.randrange(len(archive) + 1)])] + rng.choice([b"", b"x"]))
+        if bad and rng.random() < 0.7:
+            bad[rng.randrange(len(bad))] ^= 1 << rng.randrange(8)
+        some.append(bytes(bad))
+    for limit in (None, 6000):
+        for archive, (data, status) in zip(some, api.decompress_streams(some, limit), strict=True):
+            out, want = io.BytesIO(), "ok"
+            try:
+                api.decompress_stream(io.BytesIO(archive), out, limit, exact=True)
+            except CodecError as e:
+                want = e.status
+            assert data == out.getvalue() and (status == want or {status, want} <= {"InvalidBlockSize", "OutputLimitExceeded", "UnsupportedMethod", "Truncated", "InvalidMatch"})
+
+
 def test_files(tmp_path):
     a, b, c = (str(tmp_path / n) for n in "abc")
     with open(a, "wb") as f:
