@@ -104,10 +104,11 @@ def few_bytes(df: DataFrame, most: int = BROADCAST) -> bool:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt over all cores if its scan has fewer partitions than there are.
+    """``df`` dealt over all cores if it comes from fewer files than there are.
 
-    For work that costs far more than moving its rows. A table of many partitions, as any large
-    one is, stays as it is and is not shuffled.
+    For work that costs far more than moving its rows: a file may be one row group, which no scan
+    divides. A table of many files, as any large one is, stays as it is and is not shuffled. The files
+    are counted in the JVM, which has them from planning the scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores, *keys)
+    return df if len(df._jdf.inputFiles()) >= cores else df.repartition(3 * cores, *keys)
