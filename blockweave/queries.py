@@ -183,13 +183,28 @@ def q15_canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_sql.canonical_codes(_code_lengths(_counts(spark, sf_dir)).drop("n"), ["lang"])
 
 
+def _code_costs(counts: DataFrame) -> DataFrame:
+    """(lang, n_bytes, code_bits, kraft) of each language's best prefix code, also where the codec has none; 256 counts reach a task per language."""
+    import pandas as pd
+
+    def costs(group: pd.DataFrame) -> pd.DataFrame:
+        counts = [0] * 256
+        for symbol, n in zip(group["symbol"].tolist(), group["n"].tolist()):
+            counts[symbol] = n
+        present, depths = huffman.best_depths(counts)
+        bits = sum(counts[s] * d for s, d in zip(present, depths))
+        deepest = max(depths)
+        kraft = (sum(1 << deepest - d for d in depths) << huffman.LONGEST) >> deepest  # of any depth
+        return group.iloc[:1][["lang"]].assign(n_bytes=sum(counts), code_bits=bits, kraft=kraft)
+
+    return counts.groupBy("lang").applyInPandas(costs, "lang string, n_bytes long, code_bits long, kraft long")
+
+
 def q16_code_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: bits of the best prefix code, its Kraft sum in 2**-24, and the entropy it cannot beat."""
     counts = settle(_counts(spark, sf_dir), "counts")
-    share = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(huffman.LONGEST) - F.col("length"))
-    costs = _code_lengths(counts).groupBy("lang").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.col("length")).alias("code_bits"), F.sum(share).alias("kraft"))
     floor = byte_sql.entropy_bits(counts, ["lang"]).select("lang", F.floor("bits").alias("entropy_bits"))
-    return costs.join(floor, "lang")
+    return _code_costs(counts).join(floor, "lang")
 
 
 def q17_block_crc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,23 @@ def test_code_cost_is_between_entropy_and_entropy_plus_one(spark, small_dir):
         assert r["entropy_bits"] <= r["code_bits"] <= r["entropy_bits"] + r["n_bytes"] + 1
 
 
+def test_code_cost_of_codes_that_the_codec_does_not_have(spark, tmp_path):
+    counts = [1, 1]
+    while len(counts) < 28:
+        counts.append(counts[-1] + counts[-2])
+    deep = "".join(chr(65 + i) * n for i, n in enumerate(counts))  # 27 bits for the rarest
+    rows = [(1, deep, "deep"), (2, "aaaa", "one"), (3, "abracadabra", "some"), (4, None, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalogue.q16_code_cost(spark, str(tmp_path))
+    columns = sorted(df.columns)
+    found = df.select(columns).collect()
+    assert {r["lang"]: (r["code_bits"], r["kraft"]) for r in found}["one"] == (0, 1 << 24)
+    assert len(found) == 3
+    assert plain(found) == plain(c.sql(f"select {', '.join(columns)} from ({catalogue.ORACLE_SQL['q16_code_cost']})").fetchall())
+
+
 def test_block_checksums(spark, small_dir):
     texts = {r["doc_id"]: r["text"].encode() for r in table(spark, small_dir, "documents").collect()}
     for r in catalogue.q17_block_crc(spark, small_dir).collect():
