@@ -12,7 +12,7 @@
    set that takes part, with a link to its local root, never all pairs.
 4. The candidates' components meet once more, with their whole texts; the sets of one that is
    too large for a task meet under the keys of step 3 instead. All near pairs that are not yet
-   connected are compared exactly, and a local union-find gives at most one link less than there
+   connected are compared exactly, each under the first key it shares, and a local union-find gives at most one link less than there
    are members.
 5. Components of the links.
 
@@ -64,6 +64,8 @@ HOT, ROUNDS, PIVOT_SHINGLES = 2 * BLOCK, 6, 1 << 20
 #: Keys that are met by pivots in a round, at most; and keys that the sketch names.
 HOT_KEYS = 4096
 FREQUENT = 256
+#: Rows of a group from which its signatures are compared symbol by symbol.
+LARGE = 48
 #: A set with over a HEAVY-th of all rows is named by broadcast.
 HEAVY = 512
 
@@ -167,6 +169,8 @@ def _marks(table: pa.Table) -> np.ndarray:
 
 #: What meets in a task. ``key`` names the key of the index, ``part`` tells sets of different sizes and sides apart.
 GROUP = ["key", "part", "low", "high"]
+#: The part of groups whose key names a whole component of candidates; beyond all bands.
+WHOLE = 1 << 30
 
 
 def _blocks(size: str, shingles: str) -> Column:
@@ -232,15 +236,34 @@ class _Forest:
         self.root[max(a, b)] = min(a, b)
         return a != b
 
+    def roots(self) -> np.ndarray:
+        """The root of every row."""
+        root = np.array(self.root)
+        while ((further := root[root]) != root).any():
+            root = further
+        return root
+
 
 def _pairs(symbols: np.ndarray, block: np.ndarray, apart: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Near rows (i, j) of one group, by their distance j - i in the batch.
+    """Near rows (i, j) of one group, by their distance j - i within a group that is large, and in all others.
 
     ``ends`` is where each row's group ends. Rows of a group that is ``apart`` pair only across
     its blocks.
     """
-    at = np.arange(len(symbols))
-    for step in range(1, len(symbols)):
+    bounds = np.concatenate([[0], np.unique(ends)])
+    large = np.diff(bounds) >= LARGE
+    for start, end in zip(bounds[:-1][large].tolist(), bounds[1:][large].tolist()):
+        # symbol by symbol, so that neighbouring rows lie side by side
+        own, side = np.ascontiguousarray(symbols[start:end].T), block[start:end]
+        for step in range(1, end - start):
+            near = (own[:, :-step] == own[:, step:]).view(np.uint8).sum(axis=0, dtype=np.uint8) >= SYMBOLS - DISTANCE
+            if apart[start]:
+                near &= side[:-step] != side[step:]
+            i = np.flatnonzero(near) + start
+            if len(i):
+                yield i, i + step
+    at = np.flatnonzero(~np.repeat(large, np.diff(bounds)))
+    for step in range(1, LARGE):
         at = at[at + step < ends[at]]
         if not len(at):
             break
@@ -250,32 +273,54 @@ def _pairs(symbols: np.ndarray, block: np.ndarray, apart: np.ndarray, ends: np.n
             yield i[near], i[near] + step
 
 
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All ``pairs``, some thousands at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+    for pair in pairs:
+        held.append(pair)
+        count += len(pair[0])
+        if count >= 4096:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, count = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def _meeting(rows: pa.Table, ends: np.ndarray) -> pa.Table | None:
     """The rows of whole groups that belong to a near pair, each with the root of what it is connected with."""
     rows = rows.combine_chunks()
     forest, takes_part = _Forest(rows.num_rows), np.zeros(rows.num_rows, bool)
     columns = {c: rows.column(c).to_numpy() for c in (*GROUP, "block", "rep")}
     symbols = _symbols(rows.column("signature").chunk(0))
-    keys = _keys(symbols)
-    number = (keys == columns["key"][:, None]).argmax(axis=1)
-    for i, j in _pairs(symbols, columns["block"], columns["low"] != columns["high"], ends):
-        first = (keys[i] == keys[j]).argmax(axis=1) == number[i]  # a pair counts under the first key it shares
-        i, j = i[first], j[first]
+    first, root = _first_keys(symbols, columns["key"]), forest.roots()
+    for i, j in _gathered(_pairs(symbols, columns["block"], columns["low"] != columns["high"], ends)):
+        own = first(i, j)
+        i, j = i[own], j[own]
         takes_part[i] = takes_part[j] = True
-        for a, b in zip(i.tolist(), j.tolist()):
-            forest.join(a, b)
+        apart = root[i] != root[j]
+        if apart.any():
+            for a, b in zip(i[apart].tolist(), j[apart].tolist()):
+                forest.join(a, b)
+            root = forest.roots()
     own = np.flatnonzero(takes_part)
     if not len(own):
         return None
-    roots = columns["rep"][[forest.find(i) for i in own.tolist()]]
-    return pa.table({**{c: v[own] for c, v in columns.items()}, "root": roots})
+    return pa.table({**{c: v[own] for c, v in columns.items()}, "root": columns["rep"][root[own]]})
+
+
+def _first_keys(symbols: np.ndarray, key: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Tells of pairs of rows whether the key under which they meet is the first they share, the one under which a pair counts."""
+    keys = _keys(symbols)
+    number = (keys == key[:, None]).argmax(axis=1)
+    return lambda i, j: (keys[i] == keys[j]).argmax(axis=1) == number[i]
 
 
 def _shared(mine: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray]) -> int:
     """Size of the intersection of two sets."""
     if len(mine[0]) < len(theirs[0]):
         mine, theirs = theirs, mine
-    at = np.minimum(np.searchsorted(mine[0], theirs[0]), len(mine[0]) - 1)
+    at = np.minimum(mine[0].searchsorted(theirs[0]), len(mine[0]) - 1)
     return int(((mine[0][at] == theirs[0]) & (mine[1][at] == theirs[1])).sum())
 
 
@@ -285,25 +330,33 @@ def similar(shared: int, a: int, b: int) -> bool:
 
 def _linked(rows: pa.Table, ends: np.ndarray) -> pa.Table | None:
     """Links that span what similar sets connect within each group."""
-    sets: Sets = []
-    symbols: list[np.ndarray] = []
-    for chunk in rows.column("text").chunks:
-        for _, _, data, offsets in slices(chunk):
-            first, second, bounds = shingle_sets(data, offsets)
-            sets += _sets(first, second, bounds)
-            symbols.append(_signatures(first, bounds))
-    columns = {c: rows.column(c).to_numpy() for c in ("block", "low", "high", "rep")}
+    # a set meets in several groups, mostly in the same task: its text is cut into shingles once
+    encoded = rows.column("text").dictionary_encode().unify_dictionaries()
+    place = np.concatenate([c.indices.to_numpy() for c in encoded.chunks]).tolist()
+    known: Sets = []
+    for _, _, data, offsets in slices(encoded.chunk(0).dictionary):
+        known += _sets(*shingle_sets(data, offsets))
+    digests = _digests(known)
+    columns = {c: rows.column(c).to_numpy() for c in (*GROUP, "block", "rep")}
     # an id may stand in several rows: the one with the set that is meant counts
-    meant = np.array([a == b for a, b in zip(_digests(sets), rows.column("set_hash").to_pylist())])
-    forest, found = _Forest(rows.num_rows), []
-    for i, j in _pairs(np.concatenate(symbols), columns["block"], columns["low"] != columns["high"], ends):
-        for a, b in zip(i.tolist(), j.tolist()):
-            if not (meant[a] and meant[b]) or forest.find(a) == forest.find(b):
-                continue
-            sizes = len(sets[a][0]), len(sets[b][0])
-            if 100 * min(sizes) >= PERCENT * max(sizes) and similar(_shared(sets[a], sets[b]), *sizes):
+    meant = np.array([digests[k] == digest for k, digest in zip(place, rows.column("set_hash").to_pylist())])
+    sets = [known[k] for k in place]
+    sizes = np.array([len(first) for first, _ in sets])
+    symbols, whole = _symbols(rows.column("signature")), columns["part"] == WHOLE
+    first, forest, found = _first_keys(symbols, columns["key"]), _Forest(rows.num_rows), []
+    root = forest.roots()
+    for i, j in _gathered(_pairs(symbols, columns["block"], columns["low"] != columns["high"], ends)):
+        open_ = meant[i] & meant[j] & (root[i] != root[j])
+        open_ &= 100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j])
+        i, j = i[open_], j[open_]
+        counts = whole[i] | first(i, j)
+        before = len(found)
+        for a, b in zip(i[counts].tolist(), j[counts].tolist()):
+            if forest.find(a) != forest.find(b) and similar(_shared(sets[a], sets[b]), len(sets[a][0]), len(sets[b][0])):
                 forest.join(a, b)
                 found.append((a, b))
+        if len(found) > before:
+            root = forest.roots()
     if not found:
         return None
     at = np.array(found)
@@ -449,11 +502,11 @@ def links(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = named.groupBy("component").agg(((F.count("*") <= BLOCK) & (F.sum("n_shingles") <= SHINGLES)).alias("whole"))
     named = named.join(sizes, "component")
     zero = F.lit(0)
-    small = named.where("whole").select("rep", F.col("component").alias("key"), *[zero.alias(c) for c in ("part", "low", "high", "block")])
+    small = named.where("whole").select("rep", F.col("component").alias("key"), F.lit(WHOLE).alias("part"), *[zero.alias(c) for c in ("low", "high", "block")])
     large = meeting.join(named.where(~F.col("whole")).select("rep"), "rep", "left_semi").select("rep", *GROUP, "block")
     wanted = small.unionByName(large).groupBy("rep").agg(F.collect_list(F.struct(*GROUP, "block")).alias("groups"))
-    full = _texts(texts, wanted.join(reps.select("rep", "doc_id", "set_hash"), "rep"))
-    full = _together(full.select("rep", F.explode("groups").alias("g"), "set_hash", "text").select("g.*", "rep", "set_hash", "text"))
+    full = _texts(texts, wanted.join(reps.select("rep", "doc_id", "set_hash", "signature"), "rep"))
+    full = _together(full.select("rep", F.explode("groups").alias("g"), "set_hash", "signature", "text").select("g.*", "rep", "set_hash", "signature", "text"))
     out = full.mapInArrow(lambda batches: _in_groups(batches, _linked), "u long, v long")
     for more in found:
         out = out.unionByName(more)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +199,53 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [-1, components.FEW])
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    order = list(range(200))
+    random.Random(5).shuffle(order)
+    links = [*zip(order, order[1:]), (1000, 1001), (1001, 1000), (7, 7), (2000, 2000)]
+    settle, settled = components.settle, []
+    monkeypatch.setattr(components, "settle", lambda *args: settled.append(args) or settle(*args))
+    got = [tuple(r) for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()]
+    assert sorted(got) == [*((i, 0) for i in range(200)), (1000, 1000), (1001, 1000)]
+    assert len(settled) == 2 if few > 0 else len(settled) > 2
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("kept, linked", [(170, False), (185, True)])
+def test_a_pair_that_shares_many_keys_is_compared_once(monkeypatch, kept, linked):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join(words[:kept] + [f"x{i}" for i in range(200 - kept)])]
+    parts = [near_dedup.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts]
+    signs = [near_dedup._signatures(first, bounds) for first, _, bounds in parts]
+    digests = [near_dedup._digests(near_dedup._sets(*p))[0] for p in parts]
+    keys = near_dedup._keys(np.concatenate(signs))
+    shared = keys[0][keys[0] == keys[1]].tolist()
+    assert len(shared) > 5
+    group = {"key": pa.array(np.repeat(shared, 2)), **{c: pa.array([0] * 2 * len(shared), pa.int32()) for c in ("part", "low", "high", "block")}}
+    rows = pa.table({**group, **{c: x * len(shared) for c, x in {"rep": [5, 9], "set_hash": digests, "signature": [s.tobytes() for s in signs], "text": texts}.items()}})
+    compare, compared = near_dedup._shared, []
+    monkeypatch.setattr(near_dedup, "_shared", lambda *sets: compared.append(sets) or compare(*sets))
+    found = near_dedup._linked(rows, np.repeat(np.arange(2, 2 * len(shared) + 1, 2), 2))
+    assert len(compared) == 1
+    assert (found.to_pylist() == [{"u": 5, "v": 9}]) if linked else found is None
+
+
+def test_large_groups_give_the_same_pairs(monkeypatch):
+    rng = np.random.default_rng(1)
+    sizes = np.array([1, 2, 90, 3, 47, 48, 49, 1, 2, 2])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    symbols = rng.integers(0, 3, (len(ends), near_dedup.SYMBOLS)).astype("<u2")
+    block, apart = rng.integers(0, 3, len(ends)), np.repeat(rng.random(len(sizes)) < 0.5, sizes)
+    want = {
+        (i, j)
+        for i in range(len(ends)) for j in range(i + 1, ends[i])
+        if (symbols[i] == symbols[j]).sum() >= near_dedup.SYMBOLS - near_dedup.DISTANCE and not (apart[i] and block[i] == block[j])
+    }
+    for large in (2, 48, 1000):
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        got = [p for i, j in near_dedup._gathered(near_dedup._pairs(symbols, block, apart, ends)) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(want) > 50 and set(got) == want
